@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, exact_dedup, media, mixing, token_files, url_filter
+from folioscope.llm import byte_bpe, exact_dedup, media, mixing, near_dedup, token_files, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_media_columns": media.op10_media_columns,
 }
