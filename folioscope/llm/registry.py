@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, exact_dedup, media, mixing, near_dedup, token_files, url_filter
+from folioscope.llm import byte_bpe, exact_dedup, media, mixing, near_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_files": token_files.op5_token_files,
