@@ -292,6 +292,22 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded_sha256 of each row, encoded and decoded in the task that scans it."""
+
+    def run(batches):
+        bpe = ByteBpe.of(path)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in batches_of(texts):
+                ids = list(bpe.encode(texts[part]))
+                decoded = [hashlib.sha256(bpe.decode(x.tolist())).hexdigest() for x in ids]
+                columns = [batch.column(0)[part.start : part.stop], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def default_path() -> str:
     import public_tokenizers
 

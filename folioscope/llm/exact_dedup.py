@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import body, materialize, table
+from folioscope.llm.shared import body, materialize, small_or_shuffled, table
 
 #: Characters in the prefix hash.
 PREFIX_CHARS = 256
@@ -62,8 +62,10 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that exact_groups keeps."""
-    dropped = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    dropped = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct()
+    dropped = small_or_shuffled(materialize(dropped, "exact-dropped"))
+    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == dropped["dropped_digest"])
+    return docs.join(dropped, same, "left_anti")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, exact_dedup, media, mixing, near_dedup, token_files, toxicity, url_filter
+from folioscope.llm import byte_bpe, exact_dedup, lm_score, media, mixing, near_dedup, quality, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_mixing": mixing.op4_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op10_media_columns": media.op10_media_columns,
 }
 

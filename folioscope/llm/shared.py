@@ -56,6 +56,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(nullable).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A materialized table of ids with a broadcast hint if it has at most so many rows (some 40 MB); more are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def python_fs(uri: str):
     """(file system, path) of pyarrow for a URI such as file:///..., hdfs://..., s3://..."""
     from pyarrow import fs
