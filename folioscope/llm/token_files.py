@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,11 @@ CHECKSUM_FLAG = 0x80
 #: The id appended to each document.
 END_ID = 2
 LEVEL = 1
-#: Words, and words less signs and case, whose ids are kept.
-WORDS, CORES = 600_000, 800_000
+#: Words, and runs of words, whose ids are kept.
+WORDS, RUNS_KEPT = 300_000, 700_000
+#: What the tokenizer splits a word into, once normalised.
+ASCII_RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts whose new words go to the library together.
 TOGETHER = 32
 #: Bytes that a reader fetches at once.
@@ -56,11 +61,10 @@ BYTE_CHARACTERS = byte_characters()
 class WordEncoder:
     """The tokenizers library's ids of a text, word by word.
 
-    The tokenizer normalises, splits at white space and never merges across it, so a text's ids are those of its words
-    one after the other. It also splits a letter or digit from a sign that follows, and ignores the case of A-Z, so
-    a word's last full stop or comma is taken off and what is left is looked up in lower case if it is ASCII. Each such
-    core goes to the library once while it is in the cache: straight to its model if it is one run of letters that
-    normalisation leaves alone, which spares the steps before the model, else through all of them.
+    The tokenizer normalises (NFC, lower case), splits at white space, then into contractions, runs of letters, single
+    digits and runs of other signs, and never merges across these. So a text's ids are those of its words one after the
+    other, and a word's ids those of its runs. Runs are asked of the library's model once while they are in the cache. Words
+    that normalisation could change beyond plain lower case go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -71,8 +75,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.ends = {sign.encode(): self.library([sign])[0] for sign in ".,"}
+        self.runs: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -80,38 +83,38 @@ class WordEncoder:
             _KEPT[path] = cls(path)
         return _KEPT[path]
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        parts = {}
-        for word in words.difference(self.words):
-            end = word[-1:] if word[-1:] in self.ends and word[-2:-1].isalnum() else b""
-            core = word[: len(word) - len(end)]
-            parts[word] = (core.lower() if core.isascii() else core, end)
-        others = []
-        for core in {core for core, _ in parts.values()}.difference(self.cores):
-            text = core.decode("utf-8", "surrogatepass")
-            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-                self.cores[core] = b"".join([ID.pack(t.id) for t in self.model.tokenize(core.decode("latin-1").translate(BYTE_CHARACTERS))])
-            else:
-                others.append((core, text))
-        if others:
-            self.cores.update(zip([core for core, _ in others], self.library([text for _, text in others])))
-        for word, (core, end) in parts.items():
-            self.words[word] = self.cores[core] + self.ends[end] if end else self.cores[core]
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def run(self, run: bytes) -> bytes:
+        self.runs[run] = ids = b"".join([ID.pack(t.id) for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_CHARACTERS))])
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        if word.isascii():
+            parts = [word.lower()] if word.isalpha() else ASCII_RUNS.findall(word.lower())
+        else:
+            text = word.decode("utf-8", "surrogatepass")
+            if not unicodedata.is_normalized("NFC", text) or "\u03a3" in text or "\u0130" in text:  # lower case depends on the place, or is longer
+                return self.library(text)
+            low = text.lower()
+            parts = [p.encode("utf-8", "surrogatepass") for p in ([low] if low.isalpha() else RUNS.findall(low))]
+        known = self.runs.get
+        return b"".join([known(p) or self.run(p) for p in parts])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids with END_ID of each UTF-8 text, as little-endian unsigned 32-bit integers."""
+        end = ID.pack(END_ID)
         for at in range(0, len(texts), TOGETHER):
             words = [text.split() for text in texts[at : at + TOGETHER]]  # bytes are split at ASCII white space alone
-            self.learn(set().union(*words))
+            if len(self.words) > WORDS:
+                self.words.clear()
+            if len(self.runs) > RUNS_KEPT:
+                self.runs.clear()
+            for new in set().union(*words).difference(self.words):
+                self.words[new] = self.word(new)
             for of_text in words:
-                yield b"".join(map(self.words.__getitem__, of_text)) + struct.pack("<I", END_ID)
+                yield b"".join(map(self.words.__getitem__, of_text)) + end
 
 
 class FrameWriter:
