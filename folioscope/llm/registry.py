@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_url_filter": url_filter.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

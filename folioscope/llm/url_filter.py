@@ -118,8 +118,9 @@ def calibrate(scored: DataFrame) -> int:
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, int]:
-    """Log ratio table and threshold from (url, accepted); URLs with an odd hash are kept for the threshold."""
-    labelled = labelled.where("url IS NOT NULL AND accepted IS NOT NULL").withColumn("odd", F.pmod(F.xxhash64("url"), F.lit(2)) == 1)
+    """Log ratio table and threshold from (url, accepted); URLs with an odd MD5 are kept for the threshold."""
+    odd = F.substring(F.md5(F.col("url").cast("binary")), 32, 1).isin(*"13579bdf")
+    labelled = labelled.where("url IS NOT NULL AND accepted IS NOT NULL").withColumn("odd", odd)
     ratio = log_ratio(gram_counts(labelled.where("NOT odd")))
     return ratio, calibrate(with_scores(labelled.where("odd"), ratio))
 
@@ -147,3 +148,42 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+
+
+def _fits(of: str, start: str) -> str:
+    return f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '/{start}')"
+
+
+def _chosen(rules, pick: int) -> str:
+    longest = sorted(rules, key=lambda r: -len(r[0]))
+    return "CASE " + " ".join(f"WHEN {_fits(r[0].partition('/')[0], r[0].partition('/')[2])} THEN '{r[pick]}'" for r in longest) + " END"
+
+
+OP3_SQL = f"""
+WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+                  '{"^" * ORDER}' || regexp_replace(translate(lower(coalesce(url, '')), '123456789', '000000000'), '[^a-z0:/.?#=&_\\-%+]', '~', 'g') || '^' AS s FROM pages),
+h AS (SELECT page_id, url, s, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p AS (SELECT *, {_chosen(RULES, 0)} AS rule, {_chosen(RULES, 1)} AS ruled, contains('13579bdf', substr(md5(url), 32, 1)) AS odd FROM h),
+i AS (SELECT page_id, ruled, odd, url, s, unnest(range(1, length(s) - 1)) AS i FROM p),
+g AS (SELECT page_id, substr(s, i, 1) AS a, substr(s, i + 1, 1) AS b, substr(s, i + 2, 1) AS c, CASE WHEN url IS NOT NULL AND NOT odd THEN ruled END AS k FROM i),
+u AS (SELECT DISTINCT a, b, c FROM g), k AS (SELECT unnest(['allow', 'block']) AS k),
+n3 AS (SELECT k, a, b, c, count(*)::DOUBLE AS n FROM g WHERE k IS NOT NULL GROUP BY ALL), n3s AS (SELECT k, a, b, sum(n) AS n FROM n3 GROUP BY ALL),
+n2 AS (SELECT k, b, c, sum(n) AS n FROM n3 GROUP BY ALL), n2s AS (SELECT k, b, sum(n) AS n FROM n2 GROUP BY ALL),
+n1 AS (SELECT k, c, sum(n) AS n FROM n3 GROUP BY ALL), n1s AS (SELECT k, sum(n) AS n FROM n1 GROUP BY ALL),
+q0 AS (SELECT u.*, k.k, (coalesce(n1.n, 0) + {DISCOUNT}::DOUBLE * (1.0::DOUBLE / {SYMBOLS})) / (coalesce(n1s.n, 0) + {DISCOUNT}::DOUBLE) AS p
+       FROM u CROSS JOIN k LEFT JOIN n1 ON n1.k = k.k AND n1.c = u.c LEFT JOIN n1s ON n1s.k = k.k),
+q1 AS (SELECT q0.* EXCLUDE (p), (coalesce(n2.n, 0) + {DISCOUNT}::DOUBLE * p) / (coalesce(n2s.n, 0) + {DISCOUNT}::DOUBLE) AS p
+       FROM q0 LEFT JOIN n2 ON n2.k = q0.k AND n2.b = q0.b AND n2.c = q0.c LEFT JOIN n2s ON n2s.k = q0.k AND n2s.b = q0.b),
+q2 AS (SELECT q1.* EXCLUDE (p), (coalesce(n3.n, 0) + {DISCOUNT}::DOUBLE * p) / (coalesce(n3s.n, 0) + {DISCOUNT}::DOUBLE) AS p
+       FROM q1 LEFT JOIN n3 ON n3.k = q1.k AND n3.a = q1.a AND n3.b = q1.b AND n3.c = q1.c LEFT JOIN n3s ON n3s.k = q1.k AND n3s.a = q1.a AND n3s.b = q1.b),
+w AS (SELECT x.a, x.b, x.c, greatest(-32000, least(32000, round((ln(x.p) - ln(y.p)) * {SCALE}))) AS w FROM q2 x JOIN q2 y ON x.a = y.a AND x.b = y.b AND x.c = y.c WHERE x.k = 'allow' AND y.k = 'block'),
+v AS (SELECT page_id, floor(sum(w) / count(*))::BIGINT AS url_score FROM g JOIN w ON g.a = w.a AND g.b = w.b AND g.c = w.c GROUP BY page_id),
+f AS (SELECT p.*, v.url_score FROM p JOIN v ON p.page_id = v.page_id),
+b AS (SELECT url_score, count_if(ruled = 'allow') AS yes, count_if(ruled = 'block') AS no FROM f WHERE url IS NOT NULL AND odd AND ruled IS NOT NULL GROUP BY url_score),
+t AS (SELECT url_score, lag(url_score) OVER (ORDER BY url_score) AS before, (sum(yes) OVER ())::DOUBLE AS y, (sum(no) OVER ())::DOUBLE AS n,
+             (sum(yes) OVER (ORDER BY url_score) - yes)::DOUBLE AS lost, (sum(no) OVER (ORDER BY url_score) - no)::DOUBLE AS kept_out FROM b),
+z AS (SELECT CASE WHEN before IS NULL THEN url_score ELSE floor((url_score + before + 1) / 2.0)::BIGINT END AS threshold FROM t WHERE y > 0 AND n > 0
+      ORDER BY lost / y + (n - kept_out) / n, url_score LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN url_score >= coalesce((SELECT threshold FROM z), 0) THEN 'allow' ELSE 'block' END) AS verdict, url_score FROM f
+"""
