@@ -10,8 +10,8 @@ of copies that is the one they were made from), and members are paired with it.
 of equal registers, corrected for registers that agree by chance) lies far below the threshold go; the others are
 confirmed on their full sets, and links become components. Then only buckets that still hold several components are
 looked at again: their members meet in blocks of bounded size, where sketches of different components are compared in
-numpy, each pair in its first common band alone, and what the estimate lets through is confirmed in the same way. So no
-link between components is lost, and pairs within a component cost nothing.
+numpy, each pair in its first common band alone. The full sets of those that the estimate lets through meet once more in
+their block and are compared there. So no link between components is lost, and pairs never become rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.shared import body, materialize, table
+from folioscope.llm.shared import body, materialize, small_or_shuffled, table
 
 #: Words in a shingle and least similarity in per cent, unless a query says otherwise.
 WIDTH, PERCENT = 5, 80
@@ -33,8 +33,6 @@ MANTISSA = 10
 ERRORS = 5.0
 #: Members of a bucket that meet in one block; shingles sketched at once.
 BLOCK, CHUNK = 512, 400_000
-#: Ids that a scan may get by broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 WORDS_KEPT = 600_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _KEPT: dict = {}
@@ -173,17 +171,21 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids that are similar by their full sets; pairs must be materialized."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles (the sorted set, binary) of the rows of docs whose doc_id is in ids."""
+    ids = small_or_shuffled(materialize(ids, "near-ids"))
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).join(ids, "doc_id", "left_semi")
-    full = materialize(rows.mapInArrow(sets, "doc_id long, shingles binary"), "near-sets")
+    return materialize(rows.mapInArrow(run, "doc_id long, shingles binary"), "near-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids that are similar by their full sets; pairs must be materialized."""
+    full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), width)
     for side in "ab":
         pairs = pairs.join(full.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"of_{side}")), side)
 
@@ -208,49 +210,57 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     return paired.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
 
 
-def block_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) that share a bucket but no component, found in blocks of sketches."""
+def block_rows(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The members of likely pairs that share a bucket but no component: block, cid, component, partners (array of cids).
+
+    A block is two slices of a bucket, or one with itself, of some BLOCK members each; a pair is found in its first common band alone.
+    """
     rows = buckets.join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
     rows = materialize(rows, "near-labelled")
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rows = rows.join(split, "key", "left_semi").join(classes.select("cid", "n", "sketch"), "cid")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    slices = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "cid", "component", "n", "sketch")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lambda batches: (made for t in groups(batches, ("key", "i", "j")) for made in likely_in_block(t, percent)), BLOCK_ROWS)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            names = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
-            for x, y in zip(cuts[:-2], cuts[1:-1]):
-                yield from met(t.slice(x, y - x), percent)
-            held = t.slice(cuts[-2]) if t.num_rows else None
-        if held is not None:
-            yield from met(held, percent)
 
-    return rows.mapInArrow(run, "a long, b long")
+BLOCK_ROWS = "block long, cid long, component long, partners array<long>"
 
 
-def met(t: pa.Table, percent: int):
-    """Pairs of one block of rows (mine, band, cid, component, n, sketch), as a record batch."""
+def groups(batches, by: tuple[str, ...]):
+    """Tables of the rows that agree in integer columns by, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if not t.num_rows:
+            continue
+        names = np.stack([t.column(c).to_numpy().astype(np.int64) for c in by])
+        cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
+        for x, y in zip(cuts[:-2], cuts[1:-1]):
+            yield t.slice(x, y - x)
+        held = t.slice(cuts[-2])
+    if held is not None:
+        yield held
+
+
+def likely_in_block(t: pa.Table, percent: int):
+    """BLOCK_ROWS of one block of rows (key, i, j, mine, band, cid, component, n, sketch)."""
     cid, component, n, mine = (t.column(c).to_numpy() for c in ("cid", "component", "n", "mine"))
     if len(cid) < 2 or (component == component[0]).all():
         return
-    i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
+    key, i, j, band = (t.column(c)[0].as_py() for c in ("key", "i", "j", "band"))
     regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    partners: dict[int, list[int]] = {}
     for x in range(len(cid) - 1):
         rest = slice(x + 1, None)
         able = (component[rest] != component[x]) & (np.minimum(n[rest], n[x]) * 100 >= np.maximum(n[rest], n[x]) * percent)
         if i != j:
             able &= mine[rest] != mine[x]
         y = np.flatnonzero(able) + x + 1
-        if not len(y):
-            continue
         same = regs[y] == regs[x]
-        agree = same.mean(1)
+        agree = same.mean(1) if len(y) else np.empty(0)
         near = agree >= floor_of(percent)  # the corrected estimate is lower still
         y, same, agree = y[near], same[near], agree[near]
         if not len(y):
@@ -258,7 +268,55 @@ def met(t: pa.Table, percent: int):
         first = same.reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band
         good = y[first & (estimate(agree, n[y], np.full(len(y), n[x])) >= floor_of(percent))]
         if len(good):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[good], cid[x])), pa.array(np.maximum(cid[good], cid[x]))], ["a", "b"])
+            partners.setdefault(x, []).extend(cid[good].tolist())
+            for k in good.tolist():
+                partners.setdefault(k, [])
+    if partners:
+        block = int(mixed(np.array([key], np.int64).view(np.uint64) * _GOLD + np.uint64(i << 32 | j)).view(np.int64)[0])
+        at = list(partners)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(at)), pa.array(cid[at]), pa.array(component[at]), pa.array(list(partners.values()), pa.list_(pa.int64()))], ["block", "cid", "component", "partners"])
+
+
+def block_links(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that hold on the full sets among the partners of each block of rows; rows must be materialized.
+
+    The sets of a block's members meet in one task, so pairs need no rows of their own; a pair whose components another
+    link of the block has joined is not looked at.
+    """
+    full = full_sets(docs, rows.select(F.col("cid").alias("doc_id")).distinct(), width)
+    met = rows.join(full.withColumnRenamed("doc_id", "cid"), "cid").repartition("block").sortWithinPartitions("block")
+
+    def run(batches):
+        for t in groups(batches, ("block",)):
+            cids, components, partners = (t.column(c).to_pylist() for c in ("cid", "component", "partners"))
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            cuts = np.cumsum([len(s) for s in sets])[:-1]
+            place, numbered = {c: k for k, c in enumerate(cids)}, np.split(numbers, cuts)
+            joined = {c: c for c in components}
+
+            def top(c, joined=joined):
+                while joined[c] != c:
+                    joined[c] = c = joined[joined[c]]
+                return c
+
+            here, found = np.zeros(int(numbers.max()) + 1, bool), []
+            for x, others in enumerate(partners):
+                if not others:
+                    continue
+                here[numbered[x]] = True
+                for y in map(place.__getitem__, others):
+                    a, b = top(components[x]), top(components[y])
+                    if a != b:
+                        common = int(np.count_nonzero(here[numbered[y]]))
+                        if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                            joined[a] = b
+                            found.append((cids[x], cids[y]))
+                here[numbered[x]] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return met.select("block", "cid", "component", "partners", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -280,9 +338,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     first = materialize(likely(hub_pairs(buckets), classes, percent), "near-pairs")
     links = materialize(confirmed(first, docs, width, percent), "near-links")
     labels = connected_components(links)
-    second = materialize(block_pairs(buckets, labels, classes, percent), "near-pairs")
+    second = materialize(block_rows(buckets, labels, classes, percent), "near-blocks")
     if not second.isEmpty():
-        further = materialize(confirmed(second, docs, width, percent), "near-links")
+        further = materialize(block_links(second, docs, width, percent), "near-links")
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = connected_components(stars.union(further))
     found = rows.join(classes.select("set_key", "cid"), "set_key", "left").join(labels, F.col("cid") == F.col("node"), "left")
@@ -294,6 +352,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that near_groups keeps: one document of each group."""
     dropped = near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = small_or_shuffled(materialize(dropped, "near-dropped"))
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
 
 
