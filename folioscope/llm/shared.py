@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import sys
 import tempfile
 import uuid
 
@@ -68,16 +66,3 @@ def python_fs(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
-def ship_by_value_unless_importable() -> None:
-    """Python workers import this package from PYTHONPATH or the working folder; elsewhere it travels inside the pickled functions."""
-    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if not any(p and os.path.exists(os.path.join(p, "folioscope", "llm", "shared.py")) for p in seen) and home:
-        from pyspark import cloudpickle
-
-        cloudpickle.register_pickle_by_value(sys.modules["folioscope"])
-
-
-ship_by_value_unless_importable()

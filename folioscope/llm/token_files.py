@@ -45,7 +45,6 @@ RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 TOGETHER = 32
 #: Bytes that a reader fetches at once.
 FETCH = 4 << 20
-ID = struct.Struct("<I")
 _KEPT: dict = {}
 
 
@@ -87,7 +86,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def run(self, run: bytes) -> bytes:
-        self.runs[run] = ids = b"".join([ID.pack(t.id) for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_CHARACTERS))])
+        self.runs[run] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_CHARACTERS))])
         return ids
 
     def word(self, word: bytes) -> bytes:
@@ -104,7 +103,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids with END_ID of each UTF-8 text, as little-endian unsigned 32-bit integers."""
-        end = ID.pack(END_ID)
+        end = END_ID.to_bytes(4, "little")
         for at in range(0, len(texts), TOGETHER):
             words = [text.split() for text in texts[at : at + TOGETHER]]  # bytes are split at ASCII white space alone
             if len(self.words) > WORDS:
