@@ -48,6 +48,11 @@ def flag(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit("")))).isin(*YES)
 
 
+def optional_flag(c: Column) -> Column:
+    """A flag that may be unset: null for an absent or blank setting."""
+    return F.when(strip(F.coalesce(c, F.lit(""))) != "", flag(c))
+
+
 def positive_ints(c: Column) -> Column:
     """The positive integers of a comma-separated setting."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: strip(x).try_cast("int")), lambda x: x > 0)

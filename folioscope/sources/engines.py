@@ -66,6 +66,22 @@ def first_answer(recognise: Callable, candidates: list, generic: Callable[[str],
     return text
 
 
+def first_working(calls: list[Callable], *args):
+    """The result of the first call that works; engines' interfaces differ between versions. Else the last error."""
+    error: Exception = RuntimeError("no call was given")
+    for call in calls:
+        try:
+            return call(*args)
+        except (AttributeError, TypeError) as e:
+            error = e
+    raise error
+
+
+def last_attempts(errors: Column, n: int = 6) -> Column:
+    """The last n entries of a list of attempts, for an error text."""
+    return F.slice(errors, F.greatest(F.size(errors) - n + 1, F.lit(1)), F.lit(n))
+
+
 def with_retries(request: Callable[[], tuple[int, str]], attempts: int, backoff: float, sleep=time.sleep) -> str:
     """A request's body; codes that may pass are tried again after backoff * 2 ** attempt seconds."""
     for attempt in range(attempts):
@@ -151,6 +167,16 @@ def boxes_of_parallel_arrays(payload: Column) -> Column:
     return F.transform(texts, lambda t, i: F.struct(i.alias("idx"), t.alias("text"), F.coalesce(F.get(scores, i), F.lit(0.0)).alias("confidence"), F.get(boxes, i).alias("box")))
 
 
+def boxes_of_legacy_lists(payload: Column) -> Column:
+    """array of struct(idx, text, confidence, box) of [box, [text, confidence]] lists (JSON), also one level deeper, a list a page."""
+    v = F.try_parse_json(payload)
+    flat = F.try_variant_get(v, "$", "array<variant>")
+    deeper = F.flatten(F.transform(flat, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))))
+    items = F.when(F.try_variant_get(v, "$[0][0][1][0]", "string").isNotNull() & F.try_variant_get(v, "$[0][1][1]", "double").isNull(), deeper).otherwise(flat)
+    read = lambda x, i: F.struct(i.alias("idx"), F.try_variant_get(x, "$[1][0]", "string").alias("text"), F.coalesce(F.try_variant_get(x, "$[1][1]", "double"), F.lit(0.0)).alias("confidence"), F.try_variant_get(x, "$[0]", "array<array<double>>").alias("box"))
+    return F.filter(F.transform(items, read), lambda b: b["text"].isNotNull())
+
+
 def words_of_parallel_arrays(data: DataFrame, keys=("page",)) -> DataFrame:
     """keys, idx and the fields of each word, of rows with parallel arrays of strings; short arrays give the default, word_num its place.
 

@@ -197,6 +197,11 @@ def test_engine_answers(spark):
     ).first()
     assert (one.c.text, one.c.summary.response_pages_count, one.c.summary.tables_count, one.m, one.e, one.p, one.d) == ("H\n\nT", 2, 1, "hi", "bad", "plain", "Erro desconhecido.")
     assert [(b.text, b.confidence, b.box) for b in one.b] == [("a", 0.5, None), ("b", 0.0, None)]
+    legacy = '[[[[0,1],[4,1]],["a",0.9]],[[[0,5],[4,5]],["b",0.8]]]'
+    both = spark.range(1).select(engines.boxes_of_legacy_lists(F.lit(legacy)).alias("x"), engines.boxes_of_legacy_lists(F.lit(f"[{legacy}]")).alias("y"), engines.last_attempts(F.array(*[F.lit(str(i)) for i in range(8)])).alias("l"), engines.last_attempts(F.array(F.lit("1"))).alias("k"), names.optional_flag(F.lit(" ")).alias("f")).first()
+    assert [(b.text, b.confidence, b.box) for b in both.x] == [("a", 0.9, [[0.0, 1.0], [4.0, 1.0]]), ("b", 0.8, [[0.0, 5.0], [4.0, 5.0]])] == [(b.text, b.confidence, b.box) for b in both.y]
+    assert (both.l, both.k, both.f) == (list("234567"), ["1"], None)
+    assert engines.first_working([lambda x: x.missing, lambda x: x + 1], 1) == 2
     waits = []
     answers = iter([(503, ""), (429, ""), (200, "ok")])
     assert engines.with_retries(lambda: next(answers), 3, 0.5, waits.append) == "ok" and waits == [0.5, 1.0]
