@@ -45,7 +45,7 @@ BLOCK = 128
 #: Code points scanned at once, unless one text is longer.
 CHUNK = 1_000_000
 #: Pieces whose ids are kept.
-CACHE = 500_000
+CACHE = 300_000
 #: Pieces of more bytes are merged with a heap.
 LONG_PIECE = 64
 

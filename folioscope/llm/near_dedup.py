@@ -33,7 +33,7 @@ MANTISSA = 10
 ERRORS = 5.0
 #: Members of a bucket that meet in one block; shingles sketched at once.
 BLOCK, CHUNK = 512, 400_000
-WORDS_KEPT = 600_000
+WORDS_KEPT = 150_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _KEPT: dict = {}
 

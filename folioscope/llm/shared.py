@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a Python worker gets at once in the steps that are written to the scratch folder.
+BATCH_ROWS = 1000
 #: A word of a text: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,11 +48,24 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path if "://" in path else fs.makeQualified(jvm_path).toString()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Python workers get at most so many rows at once while an action runs: rows here are texts, sketches and whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet to the shared scratch folder and reads them back."""
     spark = df.sparkSession
     path = f"{scratch(spark, tag)}/table"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return spark.read.schema(nullable).parquet(path)
 

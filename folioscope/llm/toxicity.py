@@ -54,7 +54,7 @@ DENSITY_ADDS, DENSE = 1.5, 50
 #: Pull of the fitted weights towards these, in rows.
 PULL = 4.0
 THRESHOLD = 0.7
-MEMO = 500_000
+MEMO = 100_000
 
 
 class Transducer:
