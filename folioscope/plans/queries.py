@@ -353,6 +353,77 @@ def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.cascade(pages, stages, lambda df, _: df, ("doc_id",)).select("doc_id", "idx", "text")
 
 
+# ---- attempts at whole texts; the queries above and merge_bands see what their SQL cuts out
+
+#: Size of the page that a whole text is taken to fill, in pixels.
+PAGE_WIDTH, PAGE_HEIGHT = 1654, 2339
+#: Lines of a band; a band begins with the last line of the one before.
+BAND_LINES = 8
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, s, h (a hash of the text that says which engines fail), width, height."""
+    rows = texts(spark, sf_dir).withColumnRenamed("t", "s")
+    return rows.withColumns({"h": F.crc32(F.col("s").cast("binary")), "width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
+
+
+def without_fourth_words(s: Column) -> Column:
+    return F.array_join(F.filter(F.split(s, " ", -1), lambda _, i: i % 4 != 3), " ")
+
+
+def whole_bands(s: Column) -> Column:
+    """band, text of overlapping bands that cover the lines of a text to its end."""
+    rows = text.lines(s)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(rows) - 2), F.lit(BAND_LINES - 1))
+    return F.transform(starts, lambda at: F.struct(at.alias("band"), F.array_join(F.slice(rows, at + 1, F.lit(BAND_LINES)), "\n").alias("text")))
+
+
+def whole_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at each whole text: letters confused, every fourth word lost, merged from bands. Some fail."""
+    h, s = F.col("h"), F.col("s")
+    failed = F.lit("engine failed")
+    one = lambda idx, mode, t, fails: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), F.when(fails, "").otherwise(t).alias("text"), F.when(fails, failed).alias("error"))
+    banded = text.dedupe_lines(F.array_join(F.transform(whole_bands(s), lambda b: b["text"]), "\n"))
+    rows = F.array(
+        one(0, "pagina_inteira", F.translate(s, "elo", "c10"), h % 3 == 0),
+        one(1, "pagina_inteira_pre", without_fourth_words(s), h % 7 == 0),
+        one(2, "faixas", banded, h % 7 == 0),
+    )
+    made = whole_texts(spark, sf_dir).select("doc_id", "width", "height", F.explode(rows).alias("a")).select("doc_id", "width", "height", "a.*")
+    return select.judged(made.withColumn("warnings", F.array().cast("array<string>")), suspicion=True)
+
+
+@query()
+def best_attempt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.best_attempt(whole_attempts(spark, sf_dir), ("doc_id",)).select("doc_id", "mode", "text", "score")
+
+
+@query()
+def best_attempt_tiered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.best_attempt(whole_attempts(spark, sf_dir), ("doc_id",), tiered=True).select("doc_id", "mode", "text", "score")
+
+
+@query()
+def cascade_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def stage(out: int, t: Column):
+        fails = F.col("h") % out == 0
+        return lambda df: df.withColumns({"text": F.when(fails, "").otherwise(t), "error": F.when(fails, F.lit("engine failed")), "warnings": F.array().cast("array<string>")})
+
+    s = F.col("s")
+    stages = list(zip(standardize.PIPELINE, (stage(2, F.translate(s, "elo", "c10")), stage(3, without_fourth_words(s)), stage(5, text.dedupe_lines(s)), stage(7, s))))
+    return select.cascade(whole_texts(spark, sf_dir), stages, lambda df, _: df, ("doc_id",), suspicion=True).select("doc_id", "idx", "text")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, text AS t FROM documents WHERE text <> ''), {SQL_DEDUPED.format(key="doc_id", source="s")}
+SELECT s.doc_id, coalesce({SQL_DISPLAY.replace("coalesce(text, '')", "coalesce(a.text, '')")}, '') AS text FROM s LEFT JOIN a ON s.doc_id = a.doc_id
+""")
+def merge_bands_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping bands of each text to its end, joined and without repeated lines: what dedupe_lines makes of the text."""
+    bands = texts(spark, sf_dir).select("doc_id", F.explode(whole_bands(F.col("t"))).alias("b")).select("doc_id", "b.*")
+    return select.merge_bands(bands, ("doc_id",))
+
+
 @query(f"""
 WITH t AS (SELECT conv_id AS doc, turn + 1 AS page, coalesce(text, '') AS t, role FROM conversations),
 g AS (SELECT doc, page, t FROM t WHERE role <> 'assistant' AND trim(t) <> '' AND NOT {SQL_GENERIC})
