@@ -1,17 +1,19 @@
 """Masked pseudo-likelihood by a bidirectional window network.
 
-Each word of a text is predicted from the words on both sides of it, and the log-probabilities are summed. A word is one
-of BUCKETS hashed types; a type belongs to one of CLASSES classes: the commonest types have one of their own, the others
-share the rest. P(word | left, right) = P(class | class left, class right) * P(type | class). The second factor comes
-from the counts of all words of the corpus. The first is a network: embeddings of the two neighbours, a hidden layer,
-a softmax; it is trained in numpy on the counts of class triples of the whole corpus, which say all that the corpus has
-to say about it. Both counts are summed by the tasks that scan the texts, then across tasks, and are bounded by
-BUCKETS and CLASSES ** 3 whatever the corpus's size, and so is the table of log-probabilities that scoring looks up.
+Each word of a text is predicted from the words on both sides of it, and the log-probabilities are summed. Every word of
+the corpus is a type of its own, named by 64 bits of its digest, and belongs to a class. The commonest words have a class
+of their own; the others belong to the class whose words stand in the likeliest contexts, by a mixture that is learned
+from the neighbours of the HEAD commonest words. The number of classes grows with the vocabulary, and the contexts with it.
+P(word | left, right) = P(class | class left, class right) * P(type | class). The second factor comes from the counts
+of all words of the corpus. The first is a network: embeddings of the two neighbours, a hidden layer, a softmax; it is
+trained in numpy on the counts of class triples of the whole corpus. The commonest words are broadcast; the
+counts and classes of all others stay in partitioned tables and are joined. The driver gets the counts of triples and of
+the HEAD words' neighbours: classes ** 3 numbers, which grow as the vocabulary to the power of 0.6.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,43 +22,107 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import body, materialize, table
 
-BUCKETS, CLASSES, COMMON = 65_536, 96, 64
+#: Classes at least, and the vocabulary from which on they grow, with its power.
+CLASSES, CLASSES_FROM, CLASSES_POWER = 96, 400_000, 0.2
+#: Words that are broadcast; the commonest of them that count as neighbours when classes are learned, and the rounds of that.
+HEAD, NEIGHBOURS, ROUNDS = 65_536, 64, 10
 #: Size of an embedding and of the hidden layer; passes over the triples, triples in a step, rate, seed.
 EMBEDDING, HIDDEN, EPOCHS, STEP, RATE, SEED = 16, 48, 6, 4096, 0.01, 9
-#: Class of the edges of a text.
-EDGE = CLASSES - 1
 WORDS_KEPT = 600_000
+#: Words that a task counts at once.
+TOGETHER = 4_000_000
 _KEPT: dict = {}
 
 
-def buckets_of(data: bytes) -> np.ndarray:
-    """uint16 types of the words of a UTF-8 text, A-Z in lower case."""
+def words_of(data: bytes) -> np.ndarray:
+    """int64 types of the words of a UTF-8 text, A-Z in lower case."""
     words = data.lower().split()
     known = _KEPT.setdefault("words", {})
     try:
-        return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     except KeyError:
         if len(known) > WORDS_KEPT:
             known.clear()
-        known.update((w, zlib.crc32(w) % BUCKETS) for w in set(words).difference(known))
-        return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
+        known.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)) for w in set(words).difference(known))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def word_types(docs: DataFrame) -> DataFrame:
-    """doc_id, types (uint16, little-endian) of each row."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n: each type of the corpus and how often it occurs."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([buckets_of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "types"])
+            for t in batch.column(0).to_pylist():
+                held.append(words_of(t))
+                size += len(held[-1])
+            if size > TOGETHER:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    def counted(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+    return docs.select(body().cast("binary").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def commonest(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Types and counts of the commonest words, most at most and as many as are above a count, in descending order."""
+    by_count = sorted(((r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().to_pylist()), reverse=True)
+    least, size = 1 << 62, 0
+    for n, of_n in by_count:
+        size += of_n
+        if size > most:
+            break
+        least = n
+    found = words.where(F.col("n") >= least).toArrow()
+    h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    return h[order], n[order]
+
+
+def coded_documents(docs: DataFrame, head: np.ndarray) -> DataFrame:
+    """key, doc_id, codes, tail of each row: a word's code is its place in head, or len(head) and its place in the row's tail of other types."""
+    by_type = np.argsort(head)
+    shared = docs.sparkSession.sparkContext.broadcast((head[by_type], by_type.astype(np.int32)))
+
+    def run(batches):
+        types, places = shared.value
+        for batch in batches:
+            codes, tails = [], []
+            for t in batch.column(2).to_pylist():
+                u, at = np.unique(words_of(t), return_inverse=True)
+                found = np.minimum(np.searchsorted(types, u), max(0, len(types) - 1))
+                common = types[found] == u if len(types) else np.zeros(len(u), bool)
+                of = len(types) + np.cumsum(~common) - 1
+                if len(types):
+                    of[common] = places[found[common]]
+                codes.append(of.astype(np.int32)[at].tobytes())
+                tails.append(u[~common])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.int64()))], ["key", "doc_id", "codes", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", body().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, types binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", body().cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"key long, doc_id {kind}, codes binary, tail array<long>")
 
 
-def _joined(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """All types of a batch, and their number in each row."""
-    parts = batch.column(column).to_pylist()
-    return np.frombuffer(b"".join(parts), np.uint16), np.array([len(p) // 2 for p in parts], np.int64)
+def _joined(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of bytes, and how many each row has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(p) // np.dtype(kind).itemsize for p in parts], np.int64)
+
+
+def _sides(c: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right neighbour of each number; edge beyond the ends of a row."""
+    left, right = np.append(edge, c[:-1]), np.append(c[1:], edge)
+    ends = np.cumsum(lengths)
+    full = lengths > 0
+    left[(ends - lengths)[full]] = edge
+    right[ends[full] - 1] = edge
+    return left[: len(c)], right[-len(c) :] if len(c) else c
 
 
 def _counts(rows: DataFrame, size: int, of) -> np.ndarray:
@@ -65,53 +131,142 @@ def _counts(rows: DataFrame, size: int, of) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(of(batch), minlength=size)
+            found, n = np.unique(of(batch), return_counts=True)
+            total[found] += n
         found = np.flatnonzero(total)
         for at in range(0, len(found), 100_000):
             part = found[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["k", "n"])
 
-    summed = rows.select("types").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[summed.column("k").to_numpy()] = summed.column("n").to_numpy()
     return counts
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """Class of each type: the COMMON commonest have their own, the others share the rest but EDGE."""
-    of = COMMON + np.arange(BUCKETS) % (CLASSES - COMMON - 1)
-    common = np.argsort(-counts, kind="stable")[:COMMON]
-    of[common] = np.arange(COMMON)
-    return of.astype(np.uint8)
+def classes_for(vocabulary: int) -> int:
+    """Number of classes of a corpus with so many types."""
+    return max(CLASSES, round(CLASSES * (vocabulary / CLASSES_FROM) ** CLASSES_POWER))
 
 
-def triples(types: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Number of the triple (left, class, right) at each word."""
-    c = of[types].astype(np.int64)
-    left, right = np.append(EDGE, c[:-1]), np.append(c[1:], EDGE)
-    ends = np.cumsum(lengths)
-    full = lengths > 0
-    left[(ends - lengths)[full]] = EDGE
-    right[ends[full] - 1] = EDGE
-    return (left * CLASSES + c) * CLASSES + right if len(c) else c
+def learned_classes(contexts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each word of head, and log P(neighbour | class) of the classes that several words share, from the neighbours' counts (word, neighbour).
+
+    The first two thirds are the commonest words; the last class is the edge; the others are a mixture fitted by hard
+    expectation maximization.
+    """
+    own = min(len(contexts), classes * 2 // 3)
+    shared = classes - own - 1
+    rest = contexts[own:].astype(np.float64)
+    prior = contexts.sum(0) + 1.0
+    prior *= contexts.shape[1] / prior.sum()
+    random = np.random.default_rng(SEED)
+    start = random.permutation(len(rest))[:shared]
+    sums = np.zeros((shared, contexts.shape[1]))
+    sums[: len(start)] = rest[start]
+    side = contexts.shape[1] // 2
+    at = np.zeros(len(rest), np.int64)
+    for round_ in range(ROUNDS + 1):
+        p = sums + prior
+        log_p = np.hstack([np.log(h / h.sum(1, keepdims=True)) for h in (p[:, :side], p[:, side:])])
+        at = (rest @ log_p.T).argmax(1)
+        if round_ < ROUNDS:
+            sums = np.zeros_like(sums)
+            np.add.at(sums, at, rest)
+    return np.append(np.arange(own), own + at).astype(np.uint16), log_p
+
+
+def tail_classes(coded: DataFrame, n_head: int, near: int, log_p: np.ndarray, first: int) -> DataFrame:
+    """h, class, n of each type that is not in head: the likeliest of the shared classes, the first of which is first, by all its neighbours."""
+    side = near + 2
+    by_pair = (log_p[:, None, :side] + 0.0).transpose(2, 1, 0) + log_p[:, side:].T[None]
+    shared = coded.sparkSession.sparkContext.broadcast(by_pair.reshape(side * side, -1).astype(np.float32))
+
+    def pairs(batches):
+        for batch in batches:
+            codes, lengths = _joined(batch.column(0), np.int32)
+            left, right = _sides(np.minimum(codes, near), lengths, near + 1)
+            tail = batch.column(1)
+            base = np.repeat(np.diff(tail.offsets.to_numpy()).cumsum() - np.diff(tail.offsets.to_numpy()), lengths)
+            at = np.flatnonzero(codes >= n_head)
+            h = tail.flatten().to_numpy()[base[at] + codes[at] - n_head]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array((left[at] * side + right[at]).astype(np.int32))], ["h", "k"])
+
+    def classed(batches):
+        by_pair = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            if len(n):
+                fits = np.add.reduceat(by_pair[lists.flatten().to_numpy()], np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((first + fits.argmax(1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "class", "n"])
+
+    lists = coded.select("codes", "tail").mapInArrow(pairs, "h long, k int").groupBy("h").agg(F.sort_array(F.collect_list("k")).alias("k"))
+    return lists.mapInArrow(classed, "h long, class int, n long")
+
+
+def classed_documents(coded: DataFrame, tail: DataFrame, of: np.ndarray, counts: np.ndarray, classes: int) -> DataFrame:
+    """doc_id, types (uint16 classes), log_type (sum of log P(type | class)) of each row; each type counts once more than it was seen."""
+    total = np.bincount(of, counts + 1.0, classes)
+    for r in tail.groupBy("class").agg(F.sum(F.col("n") + 1).alias("n")).toArrow().to_pylist():
+        total[r["class"]] += r["n"]
+    log_total = np.log(np.maximum(total, 1.0))
+    model = coded.sparkSession.sparkContext.broadcast((of, np.log(counts + 1.0) - log_total[of], log_total))
+
+    def run(batches):
+        of, log_type, log_total = model.value
+        for batch in batches:
+            codes, lengths = _joined(batch.column(1), np.int32)
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            found = lists.flatten()
+            place, kind, n = (found.field(i).to_numpy() for i in range(3))
+            first = np.cumsum(sizes) - sizes
+            at = np.repeat(first, sizes) + place
+            tail_class, tail_log = np.zeros(len(at), np.uint16), np.zeros(len(at))
+            tail_class[at] = kind
+            tail_log[at] = np.log(n + 1.0) - log_total[kind]
+            common = codes < len(of)
+            c, logs = np.zeros(len(codes), np.uint16), np.zeros(len(codes))
+            c[common], logs[common] = of[codes[common]], log_type[codes[common]]
+            rare = np.repeat(first, lengths)[~common] + codes[~common] - len(of)
+            c[~common], logs[~common] = tail_class[rare], tail_log[rare]
+            ends = np.cumsum(lengths)
+            parts = [c[e - n : e] for e, n in zip(ends, lengths)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([float(logs[e - n : e].sum()) for e, n in zip(ends, lengths)], pa.float64())], ["doc_id", "types", "log_type"])
+
+    places = coded.select("key", F.posexplode("tail").alias("place", "h")).join(tail, "h")
+    places = places.groupBy("key").agg(F.collect_list(F.struct("place", "class", "n")).alias("found"))
+    empty = F.array().cast("array<struct<place:int,class:int,n:bigint>>")
+    rows = coded.select("key", "doc_id", "codes").join(places, "key", "left").select("doc_id", "codes", F.coalesce("found", empty).alias("found"))
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, types binary, log_type double")
+
+
+def triples(c: np.ndarray, lengths: np.ndarray, classes: int) -> np.ndarray:
+    """Number of the triple (left, class, right) at each word, from the words' classes; the last class is the edge of a text."""
+    c = c.astype(np.int64)
+    left, right = _sides(c, lengths, classes - 1)
+    return (left * classes + c) * classes + right
 
 
 def trained_table(counts: np.ndarray) -> np.ndarray:
     """float32 log P(class | left, right) at the number of each triple, by a network trained on the triples' counts (Adam, cross entropy)."""
     random = np.random.default_rng(SEED)
+    classes = round(len(counts) ** (1 / 3))
     p = {
-        "l": random.normal(0, 0.3, (CLASSES, EMBEDDING)), "r": random.normal(0, 0.3, (CLASSES, EMBEDDING)),
+        "l": random.normal(0, 0.3, (classes, EMBEDDING)), "r": random.normal(0, 0.3, (classes, EMBEDDING)),
         "h": random.normal(0, (2 * EMBEDDING) ** -0.5, (2 * EMBEDDING, HIDDEN)), "b": np.zeros(HIDDEN),
-        "o": random.normal(0, HIDDEN**-0.5, (HIDDEN, CLASSES)), "c": np.zeros(CLASSES),
+        "o": random.normal(0, HIDDEN**-0.5, (HIDDEN, classes)), "c": np.zeros(classes),
     }
-    by_pair = counts.reshape(CLASSES, CLASSES, CLASSES).transpose(0, 2, 1).reshape(-1, CLASSES)  # a row for each (left, right)
-    p["c"] = np.log(by_pair.sum(0) + 1.0) - np.log(by_pair.sum() + CLASSES)
+    by_pair = counts.reshape(classes, classes, classes).transpose(0, 2, 1).reshape(-1, classes)  # a row for each (left, right)
+    p["c"] = np.log(by_pair.sum(0) + 1.0) - np.log(by_pair.sum() + classes)
     seen = np.flatnonzero(by_pair.sum(1))
     weight = by_pair.sum(1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
 
     def forward(pairs):
-        x = np.hstack([p["l"][pairs // CLASSES], p["r"][pairs % CLASSES]])
+        x = np.hstack([p["l"][pairs // classes], p["r"][pairs % classes]])
         h = np.tanh(x @ p["h"] + p["b"])
         z = h @ p["o"] + p["c"]
         z -= z.max(1, keepdims=True)
@@ -129,22 +284,38 @@ def trained_table(counts: np.ndarray) -> np.ndarray:
             dh = dz @ p["o"].T * (1 - h * h)
             dx = dh @ p["h"].T
             slope = {"o": h.T @ dz, "c": dz.sum(0), "h": x.T @ dh, "b": dh.sum(0), "l": np.zeros_like(p["l"]), "r": np.zeros_like(p["r"])}
-            np.add.at(slope["l"], pairs // CLASSES, dx[:, :EMBEDDING])
-            np.add.at(slope["r"], pairs % CLASSES, dx[:, EMBEDDING:])
+            np.add.at(slope["l"], pairs // classes, dx[:, :EMBEDDING])
+            np.add.at(slope["r"], pairs % classes, dx[:, EMBEDDING:])
             step += 1
             for k, g in slope.items():
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    log_p = forward(np.arange(CLASSES * CLASSES))[2]
-    return log_p.reshape(CLASSES, CLASSES, CLASSES).transpose(0, 2, 1).reshape(-1).astype(np.float32)
+    log_p = forward(np.arange(classes * classes))[2]
+    return log_p.reshape(classes, classes, classes).transpose(0, 2, 1).reshape(-1).astype(np.float32)
+
+
+def modelled(docs: DataFrame) -> tuple[DataFrame, int]:
+    """classed_documents of docs, written, and the number of classes."""
+    words = materialize(word_counts(docs), "lm-words")
+    classes = classes_for(words.count())
+    head, counts = commonest(words, HEAD)
+    coded = materialize(coded_documents(docs, head), "lm-codes")
+    n_head, near = len(head), min(NEIGHBOURS, len(head))
+    side = near + 2
 
+    def neighbours(batch):
+        codes, lengths = _joined(batch.column(0), np.int32)
+        left, right = _sides(np.minimum(codes, near), lengths, near + 1)
+        common = codes < n_head
+        at = codes[common].astype(np.int64) * 2 * side
+        return np.append(at + left[common], at + side + right[common])
 
-def type_given_class(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """float32 log P(type | class), each type counted once more than it was seen."""
-    total = np.bincount(of, counts + 1.0, CLASSES)
-    return (np.log(counts + 1.0) - np.log(total[of])).astype(np.float32)
+    contexts = _counts(coded.select("codes"), n_head * 2 * side, neighbours).reshape(n_head, 2 * side)
+    of, log_p = learned_classes(contexts, classes)
+    tail = materialize(tail_classes(coded, n_head, near, log_p, classes - 1 - len(log_p)), "lm-tail")
+    return materialize(classed_documents(coded, tail, of, counts, classes), "lm-classes"), classes
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -154,24 +325,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     0 words, sum 0 and a null mean. Repeated rows get equal scores and count as often as they occur. Rows without a
     doc_id are scored like others. Only doc_id and text are read; an empty table gives an empty result.
     """
-    rows = materialize(word_types(docs), "lm-types")
-    counts = _counts(rows, BUCKETS, lambda batch: _joined(batch, 0)[0])
-    of = classes_of(counts)
-    log_class = trained_table(_counts(rows, CLASSES**3, lambda batch: triples(*_joined(batch, 0), of)))
-    log_type = type_given_class(counts, of)
-    model = rows.sparkSession.sparkContext.broadcast((of, log_class, log_type))
+    rows, classes = modelled(docs)
+    counts = _counts(rows.select("types"), classes**3, lambda batch: triples(*_joined(batch.column(0), np.uint16), classes))
+    model = rows.sparkSession.sparkContext.broadcast(trained_table(counts))
 
     def run(batches):
-        of, log_class, log_type = model.value
+        log_class = model.value
         for batch in batches:
-            types, lengths = _joined(batch, 1)
-            words = log_class[triples(types, lengths, of)].astype(np.float64) + log_type[types]
-            total = np.diff(np.concatenate([[0.0], np.cumsum(words)])[np.append(0, np.cumsum(lengths))])
+            types, lengths = _joined(batch.column(1), np.uint16)
+            words = log_class[triples(types, lengths, classes)].astype(np.float64)
+            total = np.diff(np.concatenate([[0.0], np.cumsum(words)])[np.append(0, np.cumsum(lengths))]) + batch.column(2).to_numpy()
             mean = [t / n if n else None for t, n in zip(total, lengths)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(total), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "types").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+    return rows.select("doc_id", "types", "log_type").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

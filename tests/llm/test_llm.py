@@ -426,6 +426,48 @@ def test_language_model(spark, odd, none):
     assert np.allclose(np.exp(table.astype(float)).sum(1), 1, atol=1e-4)  # a distribution over the class between each pair
 
 
+@pytest.mark.parametrize("head", [0, 12, 65_536])
+def test_language_model_counts_every_word(spark, odd, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    by_bucket, pair = {}, None
+    for n in range(100_000):
+        w = f"w{n}"
+        pair = by_bucket.setdefault(zlib.crc32(w.encode()) % 65_536, w), w
+        if pair[0] != w:
+            break
+    often, once = pair  # agree in crc32 modulo 65,536
+    r = random.Random(3)
+    rows = [(i, sentence(r, 30) + f" alpha {often} beta") for i in range(40)] + [(98, f"alpha {often} beta"), (99, f"alpha {once} beta"), (100, None)]
+    docs = spark.createDataFrame([*rows, (None, f"beta {once}")], "doc_id long, text string")
+    kept, classes = lm_score.modelled(docs)
+    found = kept.collect()
+    assert len(found) == 44 and classes == lm_score.CLASSES
+    texts = {i: (t or "").split() for i, t in rows} | {None: ["beta", once]}
+    of, counts = {}, {}
+    for f in found:
+        types = np.frombuffer(f.types, np.uint16)
+        assert len(types) == len(texts[f.doc_id])
+        for w, c in zip(texts[f.doc_id], types):
+            assert of.setdefault(w, c) == c
+            counts[w] = counts.get(w, 0) + 1
+    total = {c: sum(counts[w] + 1 for w in of if of[w] == c) for c in of.values()}
+    for f in found:
+        assert f.log_type == pytest.approx(sum(math.log((counts[w] + 1) / total[of[w]]) for w in texts[f.doc_id]))
+    got = {g.doc_id: g.mean_log_likelihood for g in lm_score.score_documents(docs).collect()}
+    assert got[98] > got[99]
+    assert lm_score.score_documents(odd).count() == odd.count()
+
+
+def test_language_model_grows_and_learns_classes():
+    assert lm_score.classes_for(400_000) == 96 < lm_score.classes_for(2_000_000) < lm_score.classes_for(10_000_000)
+    contexts = np.zeros((164, 12), np.int64)
+    contexts[:64] = 50
+    contexts[64::2, [1, 8]] = 20
+    contexts[65::2, [3, 10]] = 20
+    of, _ = lm_score.learned_classes(contexts, 96)
+    assert not set(of[64::2]) & set(of[65::2])
+
+
 # ---- pipeline
 
 
