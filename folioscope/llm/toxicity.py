@@ -35,6 +35,8 @@ TARGETS = "you your youre u he she they them him her ya du dich dir dein ihr euc
 NEGATIONS = "not no never isnt arent wasnt aint nicht kein keine nie pas jamais nunca ningún".split()
 REPORTS = "said says told called calls quoted wrote claimed sagte sagten nannte zitierte schrieb dit disait appelé écrit dijo dijeron llamó escribió".split()
 TOKEN = re.compile(r"[^\W\d_]+")
+#: Words of a clause with the apostrophes inside them.
+APOSTROPHED = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;\n]+")
 #: Tokens within which a target or a negation counts.
 TARGET_REACH, NEGATION_REACH = 4, 2
@@ -142,6 +144,15 @@ class Grammar:
             self.known[word] = found
         return found
 
+    def split(self, clause: str) -> Iterable[str]:
+        """Words of a clause, parted at apostrophes (I'll, l'enculé) except in negations (isn't)."""
+        for word in APOSTROPHED.findall(clause):
+            joined = word.replace("'", "").replace("’", "")
+            if self.symbols.get(joined) == NEGATION:
+                yield joined
+            else:
+                yield from TOKEN.findall(word)
+
     def features(self, text: str) -> np.ndarray:
         """Of the whole text: how dense its matches are, then the strength of the strongest matched clause of each kind."""
         found = np.zeros(1 + len(KINDS))
@@ -152,7 +163,7 @@ class Grammar:
             return found
         total = 0.0
         for clause in CLAUSE.split(low):
-            words = [read(w) for w in TOKEN.findall(clause.replace("'", "").replace("’", ""))]
+            words = [read(w) for w in self.split(clause)]
             if any(s in (INSULT, THREAT) for s, _ in words):
                 for kind, strength in self.matches(words):
                     found[1 + kind] = max(found[1 + kind], strength)

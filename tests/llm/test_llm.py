@@ -392,6 +392,15 @@ def test_toxicity_grammar():
     assert score("Nobody is hurt. " * 50 + "You moron!") >= 0.7
 
 
+def test_toxicity_reads_apostrophes():
+    g = toxicity.Grammar({})
+    score = lambda t: g.score(g.features(t))
+    for quote in "'’":
+        assert score(f"I{quote}ll kill you.") == score("I will kill you.") >= 0.7
+        assert score(f"Regarde l{quote}enculé.") == score("Regarde l enculé.") >= 0.7
+        assert score(f"He isn{quote}t an idiot.") < 0.7
+
+
 def test_toxicity_learns_words(spark, odd, none, labels):
     r = random.Random(13)
     rows = []
