@@ -45,6 +45,8 @@ SEED = 0.85
 #: Labelled rows that a fit uses, about; learned entries kept at most; shortest and longest word beginnings.
 LABELLED_ROWS, ENTRIES = 24_000, 4_000
 BEGINNINGS = range(3, 9)
+#: Hashes whose minima labelled rows must share to count once.
+SKETCH = 8
 #: A feature is learned if its toxic documents would be chance with less than this probability in all features together.
 CHANCE = 0.05
 #: Least log-odds of a learned feature, and those of full strength.
@@ -207,11 +209,18 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, rows: int = L
 
 
 def one_of_like(rows: DataFrame) -> DataFrame:
-    """One row of those that share the least hash of three words in a row: copies and most near copies count once."""
+    """One row of those that share their label and the least of each of SKETCH hashes of three words in a row: copies count once, so do closest copies.
+
+    Texts that share a passage differ in some minimum, unless the passage is most of them.
+    """
     words = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2))
-    sign = F.array_min(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))
-    return words.groupBy(sign.alias("sign")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.label", "r.text")
+
+    def sign(n: int) -> F.Column:
+        return F.array_min(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(3)), F.lit(n)))).alias(f"sign{n}")
+
+    signs = [sign(n) for n in range(SKETCH)]
+    return words.groupBy("label", *signs).agg(F.min(F.struct("doc_id", "text")).alias("r")).select("label", "r.text")
 
 
 def features_of(text: str) -> set[str]:

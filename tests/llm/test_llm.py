@@ -401,6 +401,17 @@ def test_toxicity_reads_apostrophes():
         assert score(f"He isn{quote}t an idiot.") < 0.7
 
 
+def test_toxicity_keeps_rows_that_share_a_passage(spark):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(40))
+    texts = [passage + " " + " ".join(word() for _ in range(40)) for _ in range(40)]
+    rows = [(i, i % 2, t) for i, t in enumerate(texts)] + [(50, 0, texts[0]), (51, 1, texts[0])]
+    kept = toxicity.one_of_like(spark.createDataFrame(rows, "doc_id long, label int, text string")).collect()
+    assert len({k.text for k in kept}) == 40  # the passage alone makes none alike
+    assert sum(k.text == texts[0] for k in kept) == 2  # the copy went; the other label stays
+
+
 def test_toxicity_learns_words(spark, odd, none, labels):
     r = random.Random(13)
     rows = []
