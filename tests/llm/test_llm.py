@@ -179,25 +179,72 @@ def brute_mix(rows):
     return total, target
 
 
+def brute_queue(rows, share=1.5, passes=2):
+    """(source, text, size, taken) of each served unit in order, by a plain queue over the operator's own shuffled order."""
+    size = lambda t: len(WORD.findall(text_of(t)))
+    told = lambda x: "0" if x is None else f"1{x}"
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    total, target = brute_mix(rows)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    units = []
+    for s in total:
+        mine = sorted((md5("|".join([md5(text_of(t)), told(d), told(s)])), d, t) for d, t, of in rows if of == s and size(t))
+        served = 0
+        for n in range(passes):
+            for key, d, t in mine:
+                served += size(t)
+                units.append((served / weight[s], s is None, s or "", n, key, d, t, s))
+    left, out = math.floor(share * sum(total.values())), []
+    for u in sorted(units):
+        if left > 0:
+            out.append((u[7], u[5], size(u[6]), min(left, size(u[6]))))
+            left -= size(u[6])
+    return weight, out
+
+
 def test_mixing(spark, odd, none):
     r = random.Random(9)
     rows = [(i, sentence(r, r.randint(0, 200)), r.choice(["a", "b", "c", "d", "é", None] + ["a"] * 4)) for i in range(400)]
+    rows += [rows[3], (None, "no id", "b"), (None, "no id at all", "b"), (5, "another text", rows[5][2])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.schedule(df).collect()
     total, target = brute_mix(rows)
-    taken = {}
+    weight, queue = brute_queue(rows)
+    taken, want = {}, {}
     for g in got:
         assert math.isclose(g.target, target[g.source], rel_tol=1e-9, abs_tol=1e-6) and g.source_size == total[g.source]
-        assert 0 <= g.taken <= 2 * g.size
+        assert 0 <= g.taken <= 2 * g.size and (g.taken > 0) == (g.finish is not None)
         taken[g.source] = taken.get(g.source, 0) + g.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    assert sorted(mixing.schedule(df.repartition(7)).collect()) == sorted(got)
+    longest = max(g.size for g in got)
+    assert all(abs(taken[s] - target[s]) <= longest for s in target) and sum(taken.values()) == math.floor(1.5 * sum(total.values()))
+    for s, d, _, n in queue:
+        want[s, d] = want.get((s, d), 0) + n
+    of = {}
+    for g in got:
+        of[g.source, g.doc_id] = of.get((g.source, g.doc_id), 0) + g.taken
+    assert {k: n for k, n in of.items() if n} == want
+    assert sorted(map(str, mixing.schedule(df.repartition(7)).collect())) == sorted(map(str, got))
     mixed = mixing.mix(df).collect()
-    assert sum(g.copies for g in got) == len(mixed)
-    assert mixing.schedule(odd).count() == odd.count() and mixing.mix(odd).columns == odd.columns
+    assert [(m.source, m.doc_id) for m in mixed] == [(s, d) for s, d, size, n in queue if 2 * n >= size]
+    # while no source is used up, each has its share of every prefix, within a document
+    served, drained = {s: 0 for s in total}, False
+    for m in mixed:
+        n = len(WORD.findall(m.text))
+        served[m.source] += n
+        drained = drained or any(served[s] >= 2 * total[s] for s in total if total[s])
+        if not drained:
+            level = {s: served[s] / weight[s] for s in total if total[s]}
+            assert max(level.values()) - min(level.values()) <= longest / min(weight.values())
     assert mixing.schedule(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_odd_columns(spark, odd):
+    clashing = odd.withColumns({c: F.lit("mine") for c in ("copies", "finish", "shuffle_key", "served_pass", "of_id", "row_key", "row", "slice", "upto", "pass", "served", "nth", "taken", "budget", "level")})
+    assert mixing.schedule(clashing).count() == odd.count()
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns and {m["row"] for m in mixed.collect()} == {"mine"}
+
+
 # ---- URL filter
 
 
