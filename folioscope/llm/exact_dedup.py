@@ -1,13 +1,15 @@
 """Exact de-duplication by progressive refinement, in DataFrame operations only.
 
-One scan turns each text into three marks: its length in bytes, a hash of its first characters, and the SHA-256 of the
-whole. Rows are then grouped by length; only rows of a length that occurs twice are grouped by the prefix hash as well;
-only rows of such a group that has two members are grouped by the full hash. No later step sees a text: what is
-shuffled is some 60 bytes a row. Groups are counted with map-side partial sums and joined back with a join whose large
-partitions AQE can split, so a text that fills a third of the table costs no single task.
-
-The full digest is taken in the first scan, since it is part of the result of every row and Parquet would have to read
-the text column again to take it for the survivors alone.
+Rows are grouped by the length of their text in bytes; only rows of a length that occurs twice are grouped by a hash of the text's first characters
+as well; only rows of such a group that has two members are grouped by the SHA-256 of the whole text. No shuffle carries
+a text: what is shuffled is some 60 bytes a row at most.
+
+exact_groups owes the digest of every row to its result, so it takes all three marks in one scan and refines over the
+marks. drop_exact_copies takes the digest of the survivors of the first two steps alone.
+
+Groups are counted with map-side partial sums before they are compared, so a text that fills a third of the table is
+one row a task there. Groups of at least one HOT_SHARE-th of all rows number HOT_SHARE at most; these are broadcast, and only rows of
+other groups are dealt by their marks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from folioscope.llm.shared import body, materialize, small_or_shuffled, table
 
 #: Characters in the prefix hash.
 PREFIX_CHARS = 256
+#: Groups of at least one in so many rows are broadcast: there are so many at most.
+HOT_SHARE = 10_000
 
 
 def marks(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -32,6 +36,12 @@ def marks(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     )
 
 
+def _shared_heads(counts: DataFrame) -> DataFrame:
+    """(n_bytes, head) that several rows have, of counts (n_bytes, head, n): lengths that occur twice first."""
+    lengths = counts.groupBy("n_bytes").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("n_bytes")
+    return counts.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "head").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes", "head")
+
+
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, digest, keep_id, group_size, kept.
 
@@ -41,16 +51,18 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     doc_id and text are read, so further columns never clash.
     """
     rows = materialize(marks(docs, prefix_chars), "exact-marks")
-    by_head = rows.groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("n"))
-    shared_lengths = by_head.groupBy("n_bytes").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes")
-    shared_heads = by_head.where("n > 1").join(shared_lengths, "n_bytes", "left_semi").select("n_bytes", "head")
-    survivors = rows.join(shared_heads, ["n_bytes", "head"], "left_semi")
-    groups = (
-        survivors.groupBy("n_bytes", "head", "digest")
-        .agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    return rows.join(groups, ["n_bytes", "head", "digest"], "left").select(
+    # one row a task for each text, so copies meet already counted
+    texts = materialize(rows.groupBy("n_bytes", "head", "digest").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "exact-texts")
+    survivors = texts.join(_shared_heads(texts.select("n_bytes", "head", "n")), ["n_bytes", "head"], "left_semi")
+    groups = survivors.where("n > 1").select("digest", "top", "n")
+    often = max(2, rows.count() // HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col("n") >= often).withColumnsRenamed({"top": "hot_top", "n": "hot_n"}))
+    rows = rows.join(hot, "digest", "left")
+    # rows that are answered already are dealt by their ids and meet nothing
+    dealt = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.md5(F.col("doc_id").cast("string")).cast("binary"))
+    rest = groups.where(F.col("n") < often).withColumnRenamed("digest", "dealt")
+    rows = rows.withColumn("dealt", dealt).join(rest, "dealt", "left").withColumns({"top": F.coalesce("hot_top", "top"), "n": F.coalesce("hot_n", "n")})
+    return rows.select(
         "doc_id",
         "n_bytes",
         "digest",
@@ -60,12 +72,40 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that exact_groups keeps."""
-    dropped = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).distinct()
-    dropped = small_or_shuffled(materialize(dropped, "exact-dropped"))
-    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == dropped["dropped_digest"])
-    return docs.join(dropped, same, "left_anti")
+def drop_exact_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """docs without copies, all columns: of rows with equal texts the one with the largest doc_id stays.
+
+    Null counts as empty; a row without a doc_id stays only if no copy has one. Of rows that repeat both doc_id and
+    text the least one stays (by its columns, which must be of types that can be ordered). Digests are taken of texts that share length
+    and prefix with another alone. An empty table gives an empty result; columns may have any names.
+    """
+    marked = docs.select("doc_id", body().alias("text"), F.octet_length(body()).alias("n_bytes"), F.xxhash64(F.substring(body(), 1, prefix_chars)).alias("head"))
+    counts = materialize(marked.groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("n")), "exact-heads")
+    shared = small_or_shuffled(materialize(_shared_heads(counts), "exact-shared"))
+    survivors = marked.join(shared, ["n_bytes", "head"], "left_semi").select("doc_id", "n_bytes", "head", F.sha2("text", 256).alias("digest"))
+    members = materialize(survivors.groupBy("doc_id", "n_bytes", "head", "digest").agg(F.count(F.lit(1)).alias("times")), "exact-survivors")
+    groups = members.groupBy("digest").agg(F.max("doc_id").alias("top"), F.sum("times").alias("n")).where("n > 1")
+    often = max(2, members.count() // HOT_SHARE)
+    hot, rest = (groups.where(c) for c in (F.col("n") >= often, F.col("n") < often))
+    found = members.join(F.broadcast(hot), "digest").unionByName(members.join(rest, "digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("top"))
+    # a row goes if another one stays for it; of rows that come more than once all go first
+    gone = materialize(found.where(~stays | (F.col("times") > 1)).select(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "n_bytes", "head", "digest")], stays.alias("stays")), "exact-dropped")
+    text = F.coalesce(docs["text"], F.lit(""))
+
+    def alike(away: DataFrame) -> F.Column:
+        """No equality of digests, so that only rows which agree in the other marks take theirs."""
+        same = docs["doc_id"].eqNullSafe(away["of_doc_id"]) & (F.octet_length(text) == away["of_n_bytes"]) & (F.xxhash64(F.substring(text, 1, prefix_chars)) == away["of_head"])
+        return same & F.startswith(F.sha2(text, 256), away["of_digest"])
+
+    away = small_or_shuffled(gone)
+    left = docs.join(away, alike(away), "left_anti")
+    again = gone.where("stays")
+    if again.isEmpty():
+        return left
+    again = small_or_shuffled(again)
+    row = docs.join(again, alike(again)).select(again["of_doc_id"], again["of_digest"], F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
+    return left.unionByName(row.groupBy("of_doc_id", "of_digest").agg(F.min("row_").alias("row_")).select("row_.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,24 @@ def test_exact_groups(spark, odd, none):
     assert all(g.kept == (g.doc_id == g.keep_id) for g in got)
     left = exact_dedup.drop_exact_copies(odd)
     assert left.columns == odd.columns
-    assert {text_of(r.text) for r in left.collect()} == set(by_text)
+    assert sorted(text_of(r.text) for r in left.collect()) == sorted(by_text)  # a row that repeats its id and text stays once
+    assert {text_of(r.text): r.doc_id for r in left.collect()} == {t: max((d for d in ds if d is not None), default=None) for t, ds in by_text.items()}
+    clashing = odd.withColumns({c: F.lit("mine") for c in ("n_bytes", "head", "of_doc_id", "of_head", "of_digest", "of_n_bytes", "stays", "row", "top", "times")})
+    left = exact_dedup.drop_exact_copies(clashing)
+    assert left.columns == clashing.columns and left.count() == len(by_text) and exact_dedup.drop_exact_copies(none).count() == 0
+
+
+def test_exact_groups_hot_and_cold(spark, monkeypatch):
+    """Groups around the size from which they are broadcast, and texts that share length and prefix only."""
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 20)
+    rows = [(i, "hot") for i in range(60)] + [(100 + i, f"cold{i % 10}") for i in range(30)] + [(200 + i, "p" * 300 + str(i)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {g.doc_id: (g.keep_id, g.group_size, g.kept) for g in exact_dedup.exact_groups(docs).collect()}
+    of = {}
+    for d, t in rows:
+        of.setdefault(t, []).append(d)
+    assert got == {d: (max(of[t]), len(of[t]), d == max(of[t])) for d, t in rows}
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()) == sorted(max(ds) for ds in of.values())
 
 
 def brute_near(rows, width, percent):
