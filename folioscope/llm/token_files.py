@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,8 @@ class WordEncoder:
     The tokenizer normalises (NFC, lower case), splits at white space, then into contractions, runs of letters, single
     digits and runs of other signs, and never merges across these. So a text's ids are those of its words one after the
     other, and a word's ids those of its runs. Runs are asked of the library's model once while they are in the cache. Words
-    that normalisation could change beyond plain lower case go through the whole library.
+    that normalisation could change beyond plain lower case, and texts that hold an added token of the tokenizer such as
+    <|endoftext|>, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -71,8 +73,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
 
@@ -105,15 +107,19 @@ class WordEncoder:
         """Ids with END_ID of each UTF-8 text, as little-endian unsigned 32-bit integers."""
         end = END_ID.to_bytes(4, "little")
         for at in range(0, len(texts), TOGETHER):
-            words = [text.split() for text in texts[at : at + TOGETHER]]  # bytes are split at ASCII white space alone
+            part = texts[at : at + TOGETHER]
+            lows = [text.lower() for text in part]
+            whole = {i for i, low in enumerate(lows) if any(a in low for a in self.added)}
+            words = [() if i in whole else text.split() for i, text in enumerate(part)]  # bytes are split at ASCII white space alone
             if len(self.words) > WORDS:
                 self.words.clear()
             if len(self.runs) > RUNS_KEPT:
                 self.runs.clear()
             for new in set().union(*words).difference(self.words):
                 self.words[new] = self.word(new)
-            for of_text in words:
-                yield b"".join(map(self.words.__getitem__, of_text)) + end
+            for i, of_text in enumerate(words):
+                ids = self.library(part[i].decode("utf-8", "surrogatepass")) if i in whole else b"".join(map(self.words.__getitem__, of_text))
+                yield ids + end
 
 
 class FrameWriter:
@@ -190,30 +196,30 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> list
     """Encodes every whole text and writes the files and _manifest.json to folder; returns the manifest.
 
     An entry has file, documents, tokens and start, the ids in all files before it. A null text is empty and has END_ID
-    alone; a null doc_id comes first. Rows of equal doc_id keep no set order among themselves. An empty table gives
-    an empty manifest. Only doc_id and text are read.
+    alone; a null doc_id comes first. Rows of equal doc_id go by a hash of their text, so reruns agree. An empty table
+    gives an empty manifest. Only doc_id and text are read.
     """
 
     def run(batches):
         encoder, files, writer, stream = WordEncoder.of(tokenizer_path), python_fs(folder), None, None
-        name, first = f"{uuid.uuid4().hex}.tokens.zst", None
+        name = f"{uuid.uuid4().hex}.tokens.zst"
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if writer is None and doc_ids:
                 stream = files[0].open_output_stream(f"{files[1]}/{name}", compression=None)
-                writer, first = FrameWriter(stream), doc_ids[0]
+                writer = FrameWriter(stream)
             for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
                 writer.add(doc_id, ids)
         if writer is not None:
             writer.finish()
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first": first, "documents": len(writer.counts), "tokens": sum(writer.counts)}], pa.schema([("file", pa.string()), ("first", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "documents": len(writer.counts), "tokens": sum(writer.counts)}], pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().cast("binary").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    written = ranged.mapInArrow(run, "file string, first long, documents long, tokens long").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().cast("binary").alias("text"), F.xxhash64(body()).alias("mark"))
+    ranged = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark")
+    written = ranged.select("doc_id", "text").mapInArrow(run, "part long, file string, documents long, tokens long").collect()
     manifest, start = [], 0
-    for r in sorted(written, key=lambda r: (r["first"] is not None, r["first"] or 0)):
+    for r in sorted(written, key=lambda r: r.part):  # ranges are numbered in order
         manifest.append({"file": r.file, "documents": r.documents, "tokens": r.tokens, "start": start})
         start += r.tokens
     fs, path = python_fs(folder)

@@ -320,7 +320,8 @@ def test_token_files(spark, odd, none, tmp_path):
 
     path = token_files.default_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    told = ["a <|endoftext|> b", "wo<|startoftext|>rd <|EndOfText|> x", "no < |endoftext|>", "ABC <|endoftext|>", ""]
+    odd = odd.unionByName(spark.createDataFrame([(50 + i, t) for i, t in enumerate(told)], "doc_id long, text string"), allowMissingColumns=True)
     rows = sorted(((r.doc_id, text_of(r.text)) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     folder = shared.scratch(spark, "test-tokens")
     token_files.write_token_files(odd, path, folder)
@@ -361,7 +362,7 @@ def test_token_file_checksum(tmp_path):
 def test_words_like_library():
     encoder = token_files.WordEncoder(token_files.default_path())
     r = random.Random(10)
-    texts = ["".join(r.choices("aeT'srvlmdΣİéÉ ́漢1²Ⅷ!-_\"😀\t\n\x0b\x1c 　.,<|>", k=r.randint(0, 30))) for _ in range(3000)]
+    texts = ["".join(r.choices([*"aeT'srvlmdΣİéÉ ́漢1²Ⅷ!-_\"😀\t\n\x0b\x1c 　.,<|>"] + ["<|endoftext|>"] * (n % 3 == 0), k=r.randint(0, 30))) for n in range(3000)]
     for t, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2]
 
