@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import body, is_held_out, table
+from folioscope.llm.shared import body, is_held_out, materialize, table
 
 OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT = range(7)
 #: Seed words of the grammar, in English, German, French and Spanish.
@@ -42,8 +42,8 @@ CLAUSE = re.compile(r"[.!?;\n]+")
 TARGET_REACH, NEGATION_REACH = 4, 2
 #: Strength of a seed word; learned ones have up to 1.
 SEED = 0.85
-#: Labelled rows that a fit uses, about; learned entries kept at most; shortest and longest word beginnings.
-LABELLED_ROWS, ENTRIES = 24_000, 4_000
+#: Labelled rows that a fit uses, about; shortest and longest word beginnings.
+LABELLED_ROWS = 24_000
 BEGINNINGS = range(3, 9)
 #: Hashes whose minima labelled rows must share to count once.
 SKETCH = 8
@@ -175,20 +175,18 @@ class Grammar:
         return found
 
     def matches(self, words: list[tuple[int, float]]) -> Iterable[tuple[int, float]]:
-        """Kind and strength of each trigger in a clause; the second reading, from the right, finds targets that follow."""
+        """Kind and strength of each trigger in a clause; the second reading, from the right, finds targets and reports that follow."""
         state, marked = 0, []
         for at, (symbol, strength) in enumerate(words):
             state, marks = GRAMMAR[state][symbol]
             if marks & {"insult", "threat"}:
                 marked.append([at, marks, strength])
-        state, behind = 0, set()
+        state, after = 0, {}
         for at in range(len(words) - 1, -1, -1):
-            state, marks = GRAMMAR[state][words[at][0]]
-            if "target" in marks:
-                behind.add(at)
-        reported = any(s == REPORT for s, _ in words)
+            state, after[at] = GRAMMAR[state][words[at][0]]
         for at, marks, strength in marked:
-            yield KIND["threat" in marks, "target" in marks or at in behind, "negated" in marks, reported], strength
+            both = marks | after[at]
+            yield KIND["threat" in marks, "target" in both, "negated" in marks, "reported" in both], strength
 
     def score(self, features: np.ndarray) -> float:
         """Probability from the kind that speaks most for toxicity, and the density; weaker readings of the same document don't lower it."""
@@ -252,21 +250,27 @@ def chance_of(n: int, total: int, rate: float) -> float:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words and beginnings with strengths from (label, text); what is collected is bounded by ENTRIES features."""
+    """Words and beginnings with strengths from (label, text).
+
+    A feature is collected if it is in so many toxic rows that a feature of toxic rows alone could pass the test; their number, like that of the
+    entries, is bounded by the labelled rows.
+    """
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
     if not toxic or not clean:
         return {}
     rate = toxic / (toxic + clean)
-    least = max(3, math.ceil(math.log(20 * ENTRIES / CHANCE) / -math.log(rate)))
-    often = counted(rows.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(20 * ENTRIES).collect()
+    by_toxic = materialize(counted(rows.where("label = 1")), "toxic-features")
+    features = by_toxic.count()
+    least = max(3, math.ceil(math.log(max(1, features) / CHANCE) / -math.log(rate)))
+    often = by_toxic.where(F.col("n") >= least).collect()
     in_toxic = {r.feature: r.n for r in often}
     in_clean = {r.feature: r.n for r in counted(rows.where("label <> 1"), frozenset(in_toxic)).collect()}
     good = {}
     for feature, n in in_toxic.items():
         m = in_clean.get(feature, 0)
         odds = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1))
-        if odds >= LOG_ODDS and chance_of(n, n + m, rate) * len(in_toxic) < CHANCE:
+        if odds >= LOG_ODDS and chance_of(n, n + m, rate) * features < CHANCE:
             good[feature] = (n, min(1.0, odds / FULL))
     most = Counter()  # documents of the commonest word under a beginning
     for word, n in in_toxic.items():
@@ -279,7 +283,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         if under >= 0.9 * good[feature][1] or feature.endswith("*") and good[feature][0] < 1.5 * most[feature]:
             continue  # a beginning that stands for one word only is no more than that word
         chosen[feature] = good[feature][1]
-    return dict(sorted(chosen.items(), key=lambda kv: (-good[kv[0]][0], kv[0]))[:ENTRIES])
+    return chosen
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -296,7 +300,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     """A grammar from docs (doc_id, text) and labels (doc_id, toxic); without labels of both kinds the seeds alone."""
-    rows = one_of_like(labelled_rows(docs, labels, "toxic"))
+    rows = materialize(one_of_like(labelled_rows(docs, labels, "toxic")), "toxic-rows")
     learned = learn_lexicon(rows)
     grammar = Grammar(learned)
 
