@@ -1,42 +1,65 @@
-"""Masked pseudo-likelihood by a bidirectional window network.
-
-Each word of a text is predicted from the words on both sides of it, and the log-probabilities are summed. Every word of
-the corpus is a type of its own, named by 64 bits of its digest, and belongs to a class. The commonest words have a class
-of their own; the others belong to the class whose words stand in the likeliest contexts, by a mixture that is learned
-from the neighbours of the HEAD commonest words. The number of classes grows with the vocabulary, and the contexts with it.
-P(word | left, right) = P(class | class left, class right) * P(type | class). The second factor comes from the counts
-of all words of the corpus. The first is a network: embeddings of the two neighbours, a hidden layer, a softmax; it is
-trained in numpy on the counts of class triples of the whole corpus. The commonest words are broadcast; the
-counts and classes of all others stay in partitioned tables and are joined. The driver gets the counts of triples and of
-the HEAD words' neighbours: classes ** 3 numbers, which grow as the vocabulary to the power of 0.6.
+"""Masked pseudo-likelihood by a bidirectional window network with a memory of the corpus.
+
+Each word of a text is predicted from the WINDOW words on both sides of it, and the log-probabilities are summed.
+
+The network's inputs are embeddings of the neighbours, weighted by their place, and a hidden layer; its output is the word itself, by a
+softmax in two steps: the class of the word, then the word among those of its class, both from the hidden layer. It knows the commonest words of the
+corpus, more of them the larger the vocabulary is. Any other word is predicted as a rare word by the network, then spelled by
+a model of byte pairs of the corpus's rare words, so every word has a probability. Each task trains a copy in numpy on all
+words of its documents (Adam, cross entropy), and the copies are averaged, weighted by their words.
+
+The memory holds how often each window, with and without the word in it, occurs in the corpus. A masked word does not count
+itself: with n other occurrences of its window, k of them around the same word, its probability is (k + PRIOR p) / (n + PRIOR),
+p being the network's, which is p where the window occurs nowhere else. So what is gathered grows with the corpus, word by word.
+
+Windows meet by their hashes. A task sends, for each of its chunks of documents and each range of hashes, one compressed blob of the sorted hashes
+with the network's log-probabilities, and gets back corrections for the documents in which other chunks know a
+window. Equal windows of a chunk are one entry, so a passage that every document has is as many entries as there are chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import body, materialize, table
 
-#: Classes at least, and the vocabulary from which on they grow, with its power.
-CLASSES, CLASSES_FROM, CLASSES_POWER = 96, 400_000, 0.2
-#: Words that are broadcast; the commonest of them that count as neighbours when classes are learned, and the rounds of that.
-HEAD, NEIGHBOURS, ROUNDS = 65_536, 64, 10
-#: Size of an embedding and of the hidden layer; passes over the triples, triples in a step, rate, seed.
-EMBEDDING, HIDDEN, EPOCHS, STEP, RATE, SEED = 16, 48, 6, 4096, 0.01, 9
-WORDS_KEPT = 600_000
-#: Words that a task counts at once.
-TOGETHER = 4_000_000
+#: Neighbours on either side.
+WINDOW = 2
+#: Words that the network knows in a corpus of HEAD_FROM types, and the power by which they grow with the types.
+HEAD, HEAD_FROM, HEAD_POWER = 16_384, 400_000, 0.2
+#: Size of embeddings and hidden layer; words in a step, rate, seed.
+SIZE, STEP, RATE, SEED = 32, 16_384, 0.01, 9
+#: Occurrences that the network's probability counts as beside those in the memory.
+PRIOR = 2.0
+#: Words and documents of a chunk; words that one copy is trained on and that one range of hashes holds, about; words kept.
+TOGETHER, DOCS_TOGETHER, TRAINER_WORDS, RANGE_WORDS, WORDS_KEPT = 500_000, 50_000, 5_000_000, 2_000_000, 300_000
+#: Numbers in a block of parameters that is averaged.
+BLOCK = 65_536
+#: Bits of an entry's hash that stand for the word, and bits by which those of its window exceed the logarithm of the corpus's words.
+WORD_BITS, SPARE_BITS = 12, 20
+#: The network's log-probabilities are rounded to this part of one, so that they pack; the sum of n words is off by some sqrt(n) / 55.
+ROUNDED = 16
 _KEPT: dict = {}
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def words_of(data: bytes) -> np.ndarray:
-    """int64 types of the words of a UTF-8 text, A-Z in lower case."""
-    words = data.lower().split()
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[1]
+    return h ^ (h >> np.uint64(32))
+
+
+def types_of(words: list[bytes]) -> np.ndarray:
+    """int64 types of words: 64 bits of their digests."""
     known = _KEPT.setdefault("words", {})
     try:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -47,28 +70,40 @@ def words_of(data: bytes) -> np.ndarray:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes], np.ndarray]]:
+    """(rows, words, words of each row) of chunks of whole documents; A-Z in lower case. Column number text holds UTF-8 bytes."""
+    rows, words, lengths = [], [], []
+    for batch in batches:
+        at = 0
+        for i, t in enumerate(batch.column(text)):
+            own = t.as_py().lower().split()
+            words += own
+            lengths.append(len(own))
+            if len(words) >= TOGETHER or len(lengths) >= DOCS_TOGETHER:
+                yield [*rows, batch.slice(at, i + 1 - at)], words, np.array(lengths, np.int64)
+                rows, words, lengths, at = [], [], [], i + 1
+        if at < batch.num_rows:
+            rows.append(batch.slice(at))
+    if rows:
+        yield rows, words, np.array(lengths, np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, n: each type of the corpus and how often it occurs."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(words_of(t))
-                size += len(held[-1])
-            if size > TOGETHER:
-                yield counted(held)
-                held, size = [], 0
-        if size:
-            yield counted(held)
-
-    def counted(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+        for _, words, _ in chunks(batches, 0):
+            h, n = np.unique(types_of(words), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return docs.select(body().cast("binary").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def head_for(vocabulary: int) -> int:
+    """Number of words that the network knows, for a corpus with so many types."""
+    return round(HEAD * max(1.0, vocabulary / HEAD_FROM) ** HEAD_POWER)
+
+
 def commonest(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Types and counts of the commonest words, most at most and as many as are above a count, in descending order."""
     by_count = sorted(((r["n"], r["words"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().to_pylist()), reverse=True)
@@ -84,238 +119,254 @@ def commonest(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def coded_documents(docs: DataFrame, head: np.ndarray) -> DataFrame:
-    """key, doc_id, codes, tail of each row: a word's code is its place in head, or len(head) and its place in the row's tail of other types."""
-    by_type = np.argsort(head)
-    shared = docs.sparkSession.sparkContext.broadcast((head[by_type], by_type.astype(np.int32)))
-
-    def run(batches):
-        types, places = shared.value
-        for batch in batches:
-            codes, tails = [], []
-            for t in batch.column(2).to_pylist():
-                u, at = np.unique(words_of(t), return_inverse=True)
-                found = np.minimum(np.searchsorted(types, u), max(0, len(types) - 1))
-                common = types[found] == u if len(types) else np.zeros(len(u), bool)
-                of = len(types) + np.cumsum(~common) - 1
-                if len(types):
-                    of[common] = places[found[common]]
-                codes.append(of.astype(np.int32)[at].tobytes())
-                tails.append(u[~common])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.int64()))], ["key", "doc_id", "codes", "tail"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", body().cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"key long, doc_id {kind}, codes binary, tail array<long>")
-
-
-def _joined(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of bytes, and how many each row has."""
-    parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), kind), np.array([len(p) // np.dtype(kind).itemsize for p in parts], np.int64)
-
-
-def _sides(c: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right neighbour of each number; edge beyond the ends of a row."""
-    left, right = np.append(edge, c[:-1]), np.append(c[1:], edge)
+def sides(x: np.ndarray, lengths: np.ndarray, edge) -> np.ndarray:
+    """[2 * WINDOW, words]: the neighbours of each word in its document, those before it first; edge beyond the ends."""
     ends = np.cumsum(lengths)
-    full = lengths > 0
-    left[(ends - lengths)[full]] = edge
-    right[ends[full] - 1] = edge
-    return left[: len(c)], right[-len(c) :] if len(c) else c
-
-
-def _counts(rows: DataFrame, size: int, of) -> np.ndarray:
-    """Counts of the numbers below size that of(batch) gives, summed by each task, then across tasks."""
+    first, end = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
+    at, found = np.arange(len(x)), []
+    for by in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]:
+        to = at + by
+        inside = (to >= first) & (to < end)
+        found.append(np.where(inside, x[np.where(inside, to, at)], edge) if len(x) else x)
+    return np.stack(found)
+
+
+class Network:
+    """Codes: the places of the head words, then one for all rare words; as an input also the edge of a document."""
+
+    def __init__(self, head: np.ndarray, counts: np.ndarray, rare: int):
+        self.by_type = np.argsort(head)
+        self.types = head[self.by_type]
+        self.rare, self.edge = len(head), len(head) + 1
+        n = np.append(counts, rare) + 1.0
+        # the commonest words make classes of their own, later ones share classes of like mass; the rare word is a class
+        mass = np.cumsum(n[:-1]) - n[:-1]
+        step = np.floor(mass / max(1.0, n[:-1].sum()) * max(1, round(len(head) ** 0.5)))
+        first = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(head) else np.empty(0, np.int64)
+        self.starts = np.append(first, [self.rare, self.rare + 1]).astype(np.int64)
+        sizes = np.diff(self.starts)
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        of_class = np.add.reduceat(n, self.starts[:-1])
+        random = np.random.default_rng(SEED)
+        drawn = lambda scale, *shape: random.normal(0, scale, shape)
+        self.p = {
+            "in": drawn(0.3, self.rare + 2, SIZE), "place": np.full((2 * WINDOW, SIZE), (2 * WINDOW) ** -0.5),
+            "hidden": drawn(SIZE**-0.5, SIZE, SIZE), "bias": np.zeros(SIZE),
+            "class": drawn(0.1, SIZE, len(sizes)), "class_bias": np.log(of_class / of_class.sum()),
+            "word": drawn(0.1, self.rare + 1, SIZE), "word_bias": np.log(n / of_class[self.of]),
+        }
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.spelling = np.zeros((257, 257), np.float64)
+
+    def codes(self, types: np.ndarray) -> np.ndarray:
+        if not self.rare:
+            return np.zeros(len(types), np.int64)
+        found = np.minimum(np.searchsorted(self.types, types), self.rare - 1)
+        return np.where(self.types[found] == types, self.by_type[found], self.rare)
+
+    def hidden(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = sum(self.p["in"][w] * place for w, place in zip(windows, self.p["place"]))
+        return x, np.tanh(x @ self.p["hidden"] + self.p["bias"])
+
+    def groups(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(rows, first, end) for each class of several words that codes have: their places and the class's words."""
+        of = self.of[codes]
+        order = np.argsort(of, kind="stable")
+        found, at = np.unique(of[order], return_index=True)
+        for k, rows in zip(found, np.split(order, at[1:])):
+            if self.starts[k + 1] - self.starts[k] > 1:
+                yield rows, int(self.starts[k]), int(self.starts[k + 1])
+
+    def log_p(self, windows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """log P(word | its neighbours) of words by their codes."""
+        out = np.empty(len(codes))
+        for at in range(0, len(codes), STEP):
+            part = codes[at : at + STEP]
+            h = self.hidden(windows[:, at : at + STEP])[1]
+            found = _log_softmax(h @ self.p["class"] + self.p["class_bias"])[np.arange(len(part)), self.of[part]]
+            for rows, first, end in self.groups(part):
+                inner = _log_softmax(h[rows] @ self.p["word"][first:end].T + self.p["word_bias"][first:end])
+                found[rows] += inner[np.arange(len(rows)), part[rows] - first]
+            out[at : at + STEP] = found
+        return out
+
+    def slopes(self, windows: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes of the mean cross entropy by each parameter."""
+        p, n, rows = self.p, np.float32(len(codes)), np.arange(len(codes))
+        x, h = self.hidden(windows)
+        d = np.exp(_log_softmax(h @ p["class"] + p["class_bias"]))
+        d[rows, self.of[codes]] -= 1
+        d /= n
+        slope = {"class": h.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+        dh = d @ p["class"].T
+        for own, first, end in self.groups(codes):
+            d = np.exp(_log_softmax(h[own] @ p["word"][first:end].T + p["word_bias"][first:end]))
+            d[np.arange(len(own)), codes[own] - first] -= 1
+            d /= n
+            slope["word"][first:end] = d.T @ h[own]
+            slope["word_bias"][first:end] = d.sum(0)
+            dh[own] += d @ p["word"][first:end]
+        dh *= 1 - h * h
+        slope["hidden"], slope["bias"] = x.T @ dh, dh.sum(0)
+        dx = dh @ p["hidden"].T
+        slope["place"] = np.stack([(p["in"][w] * dx).sum(0) for w in windows])
+        flat = windows.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        found, at = np.unique(flat[order], return_index=True)
+        slope["in"] = np.zeros_like(p["in"])
+        slope["in"][found] = np.add.reduceat((dx[None] * p["place"][:, None]).reshape(-1, SIZE)[order], at, axis=0)
+        return slope
+
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """log P(spelling) of rare words."""
+        return np.add.reduceat(self.spelling[_byte_pairs(words)], np.cumsum([0] + [len(w) + 1 for w in words[:-1]])) if words else np.empty(0)
+
+    def finish(self, vector: np.ndarray, pairs: np.ndarray) -> None:
+        """Takes averaged parameters and the corpus's counts of byte pairs."""
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        self.spelling = np.log(pairs + 1.0) - np.log((pairs + 1.0).sum(1, keepdims=True))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def _byte_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring symbols of each word between two edges: 0, or a byte and one."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    symbols = np.zeros(int(lengths.sum()) + len(words) + 1, np.int64)
+    symbols[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(words)), lengths) + 1] = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
+    return symbols[:-1], symbols[1:]
+
+
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.n = p, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def step(self, slopes: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        rate = np.float32(RATE * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n))
+        for k, g in slopes.items():
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+
+
+def trained(docs: DataFrame) -> tuple[Network, int]:
+    """The network of the corpus, and the number of its words."""
+    types = materialize(word_counts(docs), "lm-words")
+    total = types.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    head, counts = commonest(types, head_for(total.types))
+    network = Network(head, counts, total.words - int(counts.sum()))
+    shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            found, n = np.unique(of(batch), return_counts=True)
-            total[found] += n
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["k", "n"])
-
-    summed = rows.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[summed.column("k").to_numpy()] = summed.column("n").to_numpy()
-    return counts
-
-
-def classes_for(vocabulary: int) -> int:
-    """Number of classes of a corpus with so many types."""
-    return max(CLASSES, round(CLASSES * (vocabulary / CLASSES_FROM) ** CLASSES_POWER))
-
-
-def learned_classes(contexts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word of head, and log P(neighbour | class) of the classes that several words share, from the neighbours' counts (word, neighbour).
-
-    The first two thirds are the commonest words; the last class is the edge; the others are a mixture fitted by hard
-    expectation maximization.
-    """
-    own = min(len(contexts), classes * 2 // 3)
-    shared = classes - own - 1
-    rest = contexts[own:].astype(np.float64)
-    prior = contexts.sum(0) + 1.0
-    prior *= contexts.shape[1] / prior.sum()
-    random = np.random.default_rng(SEED)
-    start = random.permutation(len(rest))[:shared]
-    sums = np.zeros((shared, contexts.shape[1]))
-    sums[: len(start)] = rest[start]
-    side = contexts.shape[1] // 2
-    at = np.zeros(len(rest), np.int64)
-    for round_ in range(ROUNDS + 1):
-        p = sums + prior
-        log_p = np.hstack([np.log(h / h.sum(1, keepdims=True)) for h in (p[:, :side], p[:, side:])])
-        at = (rest @ log_p.T).argmax(1)
-        if round_ < ROUNDS:
-            sums = np.zeros_like(sums)
-            np.add.at(sums, at, rest)
-    return np.append(np.arange(own), own + at).astype(np.uint16), log_p
-
-
-def tail_classes(coded: DataFrame, n_head: int, near: int, log_p: np.ndarray, first: int) -> DataFrame:
-    """h, class, n of each type that is not in head: the likeliest of the shared classes, the first of which is first, by all its neighbours."""
-    side = near + 2
-    by_pair = (log_p[:, None, :side] + 0.0).transpose(2, 1, 0) + log_p[:, side:].T[None]
-    shared = coded.sparkSession.sparkContext.broadcast(by_pair.reshape(side * side, -1).astype(np.float32))
-
-    def pairs(batches):
-        for batch in batches:
-            codes, lengths = _joined(batch.column(0), np.int32)
-            left, right = _sides(np.minimum(codes, near), lengths, near + 1)
-            tail = batch.column(1)
-            base = np.repeat(np.diff(tail.offsets.to_numpy()).cumsum() - np.diff(tail.offsets.to_numpy()), lengths)
-            at = np.flatnonzero(codes >= n_head)
-            h = tail.flatten().to_numpy()[base[at] + codes[at] - n_head]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array((left[at] * side + right[at]).astype(np.int32))], ["h", "k"])
-
-    def classed(batches):
-        by_pair = shared.value
-        for batch in batches:
-            lists = batch.column(1)
-            n = np.diff(lists.offsets.to_numpy())
-            if len(n):
-                fits = np.add.reduceat(by_pair[lists.flatten().to_numpy()], np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((first + fits.argmax(1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "class", "n"])
-
-    lists = coded.select("codes", "tail").mapInArrow(pairs, "h long, k int").groupBy("h").agg(F.sort_array(F.collect_list("k")).alias("k"))
-    return lists.mapInArrow(classed, "h long, class int, n long")
-
-
-def classed_documents(coded: DataFrame, tail: DataFrame, of: np.ndarray, counts: np.ndarray, classes: int) -> DataFrame:
-    """doc_id, types (uint16 classes), log_type (sum of log P(type | class)) of each row; each type counts once more than it was seen."""
-    total = np.bincount(of, counts + 1.0, classes)
-    for r in tail.groupBy("class").agg(F.sum(F.col("n") + 1).alias("n")).toArrow().to_pylist():
-        total[r["class"]] += r["n"]
-    log_total = np.log(np.maximum(total, 1.0))
-    model = coded.sparkSession.sparkContext.broadcast((of, np.log(counts + 1.0) - log_total[of], log_total))
-
-    def run(batches):
-        of, log_type, log_total = model.value
-        for batch in batches:
-            codes, lengths = _joined(batch.column(1), np.int32)
-            lists = batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            found = lists.flatten()
-            place, kind, n = (found.field(i).to_numpy() for i in range(3))
-            first = np.cumsum(sizes) - sizes
-            at = np.repeat(first, sizes) + place
-            tail_class, tail_log = np.zeros(len(at), np.uint16), np.zeros(len(at))
-            tail_class[at] = kind
-            tail_log[at] = np.log(n + 1.0) - log_total[kind]
-            common = codes < len(of)
-            c, logs = np.zeros(len(codes), np.uint16), np.zeros(len(codes))
-            c[common], logs[common] = of[codes[common]], log_type[codes[common]]
-            rare = np.repeat(first, lengths)[~common] + codes[~common] - len(of)
-            c[~common], logs[~common] = tail_class[rare], tail_log[rare]
-            ends = np.cumsum(lengths)
-            parts = [c[e - n : e] for e, n in zip(ends, lengths)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([float(logs[e - n : e].sum()) for e, n in zip(ends, lengths)], pa.float64())], ["doc_id", "types", "log_type"])
-
-    places = coded.select("key", F.posexplode("tail").alias("place", "h")).join(tail, "h")
-    places = places.groupBy("key").agg(F.collect_list(F.struct("place", "class", "n")).alias("found"))
-    empty = F.array().cast("array<struct<place:int,class:int,n:bigint>>")
-    rows = coded.select("key", "doc_id", "codes").join(places, "key", "left").select("doc_id", "codes", F.coalesce("found", empty).alias("found"))
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, types binary, log_type double")
-
-
-def triples(c: np.ndarray, lengths: np.ndarray, classes: int) -> np.ndarray:
-    """Number of the triple (left, class, right) at each word, from the words' classes; the last class is the edge of a text."""
-    c = c.astype(np.int64)
-    left, right = _sides(c, lengths, classes - 1)
-    return (left * classes + c) * classes + right
-
-
-def trained_table(counts: np.ndarray) -> np.ndarray:
-    """float32 log P(class | left, right) at the number of each triple, by a network trained on the triples' counts (Adam, cross entropy)."""
-    random = np.random.default_rng(SEED)
-    classes = round(len(counts) ** (1 / 3))
-    p = {
-        "l": random.normal(0, 0.3, (classes, EMBEDDING)), "r": random.normal(0, 0.3, (classes, EMBEDDING)),
-        "h": random.normal(0, (2 * EMBEDDING) ** -0.5, (2 * EMBEDDING, HIDDEN)), "b": np.zeros(HIDDEN),
-        "o": random.normal(0, HIDDEN**-0.5, (HIDDEN, classes)), "c": np.zeros(classes),
-    }
-    by_pair = counts.reshape(classes, classes, classes).transpose(0, 2, 1).reshape(-1, classes)  # a row for each (left, right)
-    p["c"] = np.log(by_pair.sum(0) + 1.0) - np.log(by_pair.sum() + classes)
-    seen = np.flatnonzero(by_pair.sum(1))
-    weight = by_pair.sum(1)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-
-    def forward(pairs):
-        x = np.hstack([p["l"][pairs // classes], p["r"][pairs % classes]])
-        h = np.tanh(x @ p["h"] + p["b"])
-        z = h @ p["o"] + p["c"]
-        z -= z.max(1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    step, per_step = 0, max(64, STEP // 16)
-    for _ in range(EPOCHS if len(seen) else 0):
-        order = random.permutation(seen)
-        for at in range(0, len(order), per_step):
-            pairs = order[at : at + per_step]
-            x, h, log_p = forward(pairs)
-            share = weight[pairs] / weight[pairs].sum()
-            target = by_pair[pairs] / weight[pairs][:, None]
-            dz = (np.exp(log_p) - target) * share[:, None]
-            dh = dz @ p["o"].T * (1 - h * h)
-            dx = dh @ p["h"].T
-            slope = {"o": h.T @ dz, "c": dz.sum(0), "h": x.T @ dh, "b": dh.sum(0), "l": np.zeros_like(p["l"]), "r": np.zeros_like(p["r"])}
-            np.add.at(slope["l"], pairs // classes, dx[:, :EMBEDDING])
-            np.add.at(slope["r"], pairs % classes, dx[:, EMBEDDING:])
-            step += 1
-            for k, g in slope.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    log_p = forward(np.arange(classes * classes))[2]
-    return log_p.reshape(classes, classes, classes).transpose(0, 2, 1).reshape(-1).astype(np.float32)
-
-
-def modelled(docs: DataFrame) -> tuple[DataFrame, int]:
-    """classed_documents of docs, written, and the number of classes."""
-    words = materialize(word_counts(docs), "lm-words")
-    classes = classes_for(words.count())
-    head, counts = commonest(words, HEAD)
-    coded = materialize(coded_documents(docs, head), "lm-codes")
-    n_head, near = len(head), min(NEIGHBOURS, len(head))
-    side = near + 2
-
-    def neighbours(batch):
-        codes, lengths = _joined(batch.column(0), np.int32)
-        left, right = _sides(np.minimum(codes, near), lengths, near + 1)
-        common = codes < n_head
-        at = codes[common].astype(np.int64) * 2 * side
-        return np.append(at + left[common], at + side + right[common])
-
-    contexts = _counts(coded.select("codes"), n_head * 2 * side, neighbours).reshape(n_head, 2 * side)
-    of, log_p = learned_classes(contexts, classes)
-    tail = materialize(tail_classes(coded, n_head, near, log_p, classes - 1 - len(log_p)), "lm-tail")
-    return materialize(classed_documents(coded, tail, of, counts, classes), "lm-classes"), classes
+        own: Network = shared.value
+        own.p, pairs, seen = {k: v.copy() for k, v in own.p.items()}, np.zeros(257 * 257, np.int64), 0
+        adam, random = Adam(own.p), np.random.default_rng(SEED)
+        for _, words, lengths in chunks(batches, 0):
+            codes = own.codes(types_of(words))
+            rare = _byte_pairs([words[i] for i in np.flatnonzero(codes == own.rare)])
+            pairs += np.bincount(rare[0] * 257 + rare[1], minlength=257 * 257)
+            windows, order = sides(codes, lengths, own.edge), random.permutation(len(codes))
+            for at in range(0, len(order), STEP):
+                part = order[at : at + STEP]
+                adam.step(own.slopes(windows[:, part], codes[part]))
+            seen += len(words)
+        if seen:
+            trainer, vector = TaskContext.get().partitionId(), own.flat()
+            parts = [vector[at : at + BLOCK].tobytes() for at in range(0, len(vector), BLOCK)]
+            parts.append(pairs.tobytes())
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([trainer] * n), pa.array([*range(n - 1), -1]), pa.array([seen] * n), pa.array(parts, pa.binary())], ["trainer", "block", "words", "part"])
+
+    def averaged(t: pa.Table) -> pa.Table:
+        t = t.sort_by("trainer")
+        words, parts = t.column("words").to_numpy(), t.column("part").to_pylist()
+        if t.column("block")[0].as_py() < 0:
+            found = sum(np.frombuffer(x, np.int64) for x in parts).astype(np.float64)
+        else:
+            found = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(parts, words)) / words.sum()
+        return pa.table({"block": t.column("block")[:1], "part": pa.array([found.tobytes()], pa.binary())})
+
+    texts = docs.select(body().cast("binary").alias("text")).coalesce(max(1, -(-total.words // TRAINER_WORDS)))
+    copies = texts.mapInArrow(run, "trainer long, block long, words long, part binary")
+    found = {r["block"]: np.frombuffer(r["part"], np.float64) for r in copies.groupBy("block").applyInArrow(averaged, "block long, part binary").toArrow().to_pylist()}
+    if found:
+        pairs = found.pop(-1).reshape(257, 257)
+        network.finish(np.concatenate([found[k] for k in sorted(found)]), pairs)
+    return network, total.words
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, ...: sorted or small numbers compress well that way."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(-1), at + n * size
+
+
+def packed(keys: np.ndarray, logs: np.ndarray, times: np.ndarray, docs: np.ndarray) -> bytes:
+    """A blob of entries: sorted keys, log-probabilities, how often each occurs, and the documents of all occurrences."""
+    import zstandard
+
+    data = np.array([len(keys), len(docs)], "<u4").tobytes() + _planes(keys) + _planes(logs.astype("<f2")) + _planes(times.astype("<u4")) + _planes(docs.astype("<u2"))
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    (n, m), at = np.frombuffer(data, "<u4", 2), 8
+    keys, at = _numbers(data, at, n, "<u8")
+    logs, at = _numbers(data, at, n, "<f2")
+    times, at = _numbers(data, at, n, "<u4")
+    return keys, logs.astype(np.float64), times.astype(np.int64), _numbers(data, at, m, "<u2")[0].astype(np.int64)
+
+
+def window_bits(words: int) -> int:
+    """Bits of a window's hash in a corpus of so many words: one in a million windows has another one's."""
+    return min(64 - WORD_BITS, max(1, words).bit_length() + SPARE_BITS)
+
+
+def window_keys(types: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """uint64 for each word: bits of its window's hash, then WORD_BITS of its own, then zeros."""
+    t = types.view(np.uint64)
+    window = mixed(sum(s * odd for s, odd in zip(sides(t, lengths, np.uint64(1)), _ODD)))
+    below = np.uint64(64 - bits)
+    return window >> below << below | mixed(t * _ODD[4]) >> np.uint64(64 - WORD_BITS) << np.uint64(64 - bits - WORD_BITS)
+
+
+def corrections(keys: np.ndarray, logs: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
+    """What the memory adds to each entry's log-probability, from all entries of a range of hashes."""
+    if not len(keys):
+        return np.zeros(0)
+    order = np.argsort(keys, kind="stable")
+    k, n = keys[order], times[order]
+
+    def summed(same: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        return np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(same))))
+
+    of_word, of_window = np.empty(len(k)), np.empty(len(k))
+    of_word[order], of_window[order] = summed(k), summed(k >> np.uint64(64 - bits))
+    found = np.zeros(len(k))
+    known = of_window > 1
+    p = np.exp(logs[known])
+    found[known] = np.log((of_word[known] - 1 + PRIOR * p) / (of_window[known] - 1 + PRIOR)) - logs[known]
+    return found
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -325,21 +376,77 @@ def score_documents(docs: DataFrame) -> DataFrame:
     0 words, sum 0 and a null mean. Repeated rows get equal scores and count as often as they occur. Rows without a
     doc_id are scored like others. Only doc_id and text are read; an empty table gives an empty result.
     """
-    rows, classes = modelled(docs)
-    counts = _counts(rows.select("types"), classes**3, lambda batch: triples(*_joined(batch.column(0), np.uint16), classes))
-    model = rows.sparkSession.sparkContext.broadcast(trained_table(counts))
-
-    def run(batches):
-        log_class = model.value
-        for batch in batches:
-            types, lengths = _joined(batch.column(1), np.uint16)
-            words = log_class[triples(types, lengths, classes)].astype(np.float64)
-            total = np.diff(np.concatenate([[0.0], np.cumsum(words)])[np.append(0, np.cumsum(lengths))]) + batch.column(2).to_numpy()
-            mean = [t / n if n else None for t, n in zip(total, lengths)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(total), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+    network, total = trained(docs)
+    ranges, bits = max(1, -(-total // RANGE_WORDS)), window_bits(total)
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def scored(batches):
+        own, spelled = shared.value, {}
+        bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+        for rows, words, lengths in chunks(batches, 2):
+            chunk = rows[0].column(0)[0].as_py()
+            types = types_of(words)
+            keys, at, inverse, times = np.unique(window_keys(types, lengths, bits), return_index=True, return_inverse=True, return_counts=True)
+            codes = own.codes(types)
+            logs = own.log_p(sides(codes, lengths, own.edge)[:, at], codes[at])
+            rare = np.flatnonzero(codes[at] == own.rare)
+            of_rare = [words[i] for i in at[rare]]
+            if len(spelled) > WORDS_KEPT:
+                spelled.clear()
+            new = list(set(of_rare).difference(spelled))
+            spelled.update(zip(new, own.spell(new).tolist()))
+            logs[rare] += np.fromiter(map(spelled.__getitem__, of_rare), np.float64, len(of_rare))
+            logs = (np.round(logs * ROUNDED) / ROUNDED).astype(np.float16).astype(np.float64)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            sums = np.bincount(doc, logs[inverse], len(lengths)) if len(doc) else np.zeros(len(lengths))
+            ids = pa.concat_arrays([r.column(1) for r in rows])
+            sink = io.BytesIO()
+            batch = pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(sums)], ["doc_id", "n", "sum"])
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            to, blobs = [ranges + chunk], [sink.getvalue()]
+            by_entry = doc[np.argsort(inverse, kind="stable")]
+            cuts, ends = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]), np.append(0, np.cumsum(times))
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    to.append(i)
+                    blobs.append(packed(keys[a:b], logs[a:b], times[a:b], by_entry[ends[a] : ends[b]]))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "blob"])
+
+    def corrected(t: pa.Table) -> pa.Table:
+        """A range's blobs to the corrections of each chunk's documents; a chunk's own sums pass through."""
+        blobs = t.column("blob").to_pylist()
+        if t.column("range")[0].as_py() >= ranges:
+            return pa.table({"chunk": t.column("chunk"), "docs": pa.nulls(len(t), pa.binary()), "sums": t.column("blob")})
+        parts = [unpacked(b) for b in blobs]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        added = np.split(corrections(*(np.concatenate([p[i] for p in parts]) for i in range(3)), bits), ends[:-1])
+        at, sums = [], []
+        for (_, _, times, doc), by in zip(parts, added):
+            total = np.bincount(doc, np.repeat(by, times))
+            found = np.flatnonzero(total)
+            at.append(found.astype("<u2").tobytes())
+            sums.append(total[found].astype("<f4").tobytes())
+        return pa.table({"chunk": t.column("chunk"), "docs": pa.array(at, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def assembled(t: pa.Table) -> pa.Table:
+        own, added = None, []
+        for at, sums in zip(t.column("docs").to_pylist(), t.column("sums").to_pylist()):
+            if at is None:
+                own = pa.ipc.open_stream(sums).read_all()
+            else:
+                added.append((np.frombuffer(at, "<u2"), np.frombuffer(sums, "<f4")))
+        n, total = own.column("n").to_numpy(), own.column("sum").to_numpy().copy()
+        for at, sums in sorted(added, key=lambda x: (x[0].tobytes(), x[1].tobytes())):
+            total[at] += sums
+        mean = [t / k if k else None for t, k in zip(total, n)]
+        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": pa.array(mean, pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "types", "log_type").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body().cast("binary").alias("text"))
+    blobs = rows.mapInArrow(scored, "range long, chunk long, blob binary")
+    parts = blobs.groupBy("range").applyInArrow(corrected, "chunk long, docs binary, sums binary")
+    return parts.groupBy("chunk").applyInArrow(assembled, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -500,57 +500,92 @@ def test_language_model(spark, odd, none):
     rows = [(i, "the cat sat on the mat and the dog sat on the log " * r.randint(1, 6)) for i in range(60)]
     shuffled = rows[0][1].split()
     r.shuffle(shuffled)
-    got = {g.doc_id: g for g in lm_score.score_documents(spark.createDataFrame([*rows, (99, " ".join(shuffled))], "doc_id long, text string")).collect()}
-    assert got[99].mean_log_likelihood < min(got[i].mean_log_likelihood for i in range(60)) - 0.5
+    words = [f"w{i}" for i in range(4000)]
+    once = [(200 + i, " ".join(r.choices(words, k=80))) for i in range(30)]
+    twice = [(300 + i, " ".join(r.choices(words, k=80))) for i in range(10)]
+    docs = spark.createDataFrame([*rows, (99, " ".join(shuffled)), *once, *twice, *[(d + 100, t) for d, t in twice]], "doc_id long, text string").repartition(5)
+    got = {g.doc_id: g.mean_log_likelihood for g in lm_score.score_documents(docs).collect()}
+    assert got[99] < min(got[i] for i in range(60)) - 0.5
+    assert max(got[d] for d, _ in once) < min(got[d] for d, _ in twice)
     found = lm_score.score_documents(odd).collect()
     assert len(found) == odd.count() and lm_score.score_documents(none).count() == 0
     assert all((g.n_words == 0) == (g.mean_log_likelihood is None) for g in found)
-    counts = np.zeros(lm_score.CLASSES**3, np.int64)
-    counts[:50] = 7
-    table = lm_score.trained_table(counts).reshape(lm_score.CLASSES, lm_score.CLASSES, lm_score.CLASSES)
-    assert np.allclose(np.exp(table.astype(float)).sum(1), 1, atol=1e-4)  # a distribution over the class between each pair
-
-
-@pytest.mark.parametrize("head", [0, 12, 65_536])
-def test_language_model_counts_every_word(spark, odd, monkeypatch, head):
-    monkeypatch.setattr(lm_score, "HEAD", head)
-    by_bucket, pair = {}, None
-    for n in range(100_000):
-        w = f"w{n}"
-        pair = by_bucket.setdefault(zlib.crc32(w.encode()) % 65_536, w), w
-        if pair[0] != w:
-            break
-    often, once = pair  # agree in crc32 modulo 65,536
+    assert all(g.n_words == len(WORD.findall(text_of(t))) for g in found for i, t, *_ in odd_rows()[:13] if g.doc_id == i)
+
+
+@pytest.mark.parametrize("head", [0, 12, 16_384])
+def test_language_model_against_brute_force(spark, monkeypatch, head):
+    """Each word from its neighbours, one at a time, from the network's parameters and plain counts of windows."""
+    for name, value in (("HEAD", head), ("TOGETHER", 300), ("RANGE_WORDS", 400)):
+        monkeypatch.setattr(lm_score, name, value)
     r = random.Random(3)
-    rows = [(i, sentence(r, 30) + f" alpha {often} beta") for i in range(40)] + [(98, f"alpha {often} beta"), (99, f"alpha {once} beta"), (100, None)]
-    docs = spark.createDataFrame([*rows, (None, f"beta {once}")], "doc_id long, text string")
-    kept, classes = lm_score.modelled(docs)
-    found = kept.collect()
-    assert len(found) == 44 and classes == lm_score.CLASSES
-    texts = {i: (t or "").split() for i, t in rows} | {None: ["beta", once]}
-    of, counts = {}, {}
-    for f in found:
-        types = np.frombuffer(f.types, np.uint16)
-        assert len(types) == len(texts[f.doc_id])
-        for w, c in zip(texts[f.doc_id], types):
-            assert of.setdefault(w, c) == c
-            counts[w] = counts.get(w, 0) + 1
-    total = {c: sum(counts[w] + 1 for w in of if of[w] == c) for c in of.values()}
-    for f in found:
-        assert f.log_type == pytest.approx(sum(math.log((counts[w] + 1) / total[of[w]]) for w in texts[f.doc_id]))
-    got = {g.doc_id: g.mean_log_likelihood for g in lm_score.score_documents(docs).collect()}
-    assert got[98] > got[99]
-    assert lm_score.score_documents(odd).count() == odd.count()
-
-
-def test_language_model_grows_and_learns_classes():
-    assert lm_score.classes_for(400_000) == 96 < lm_score.classes_for(2_000_000) < lm_score.classes_for(10_000_000)
-    contexts = np.zeros((164, 12), np.int64)
-    contexts[:64] = 50
-    contexts[64::2, [1, 8]] = 20
-    contexts[65::2, [3, 10]] = 20
-    of, _ = lm_score.learned_classes(contexts, 96)
-    assert not set(of[64::2]) & set(of[65::2])
+    texts = [sentence(r, r.randint(1, 60)) + f" x{i % 7} Ünï" for i in range(40)] + [sentence(r, 30)] * 3 + ["", None, "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    network, total = lm_score.trained(docs)
+    words = [text_of(t).encode().lower().split() for t in texts]
+    assert total == sum(map(len, words)) and network.rare == (0 if head == 0 else network.rare) <= max(head, 0)
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+
+    def softmax(z):
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def code(w):
+        return network.edge if w is None else int(network.codes(lm_score.types_of([w]))[0])
+
+    def by_network(window, w):
+        x = sum(p["in"][code(o)] * place for o, place in zip(window, p["place"]))
+        h = np.tanh(x @ p["hidden"] + p["bias"])
+        k = int(network.of[code(w)])
+        first, end = network.starts[k : k + 2]
+        found = np.log(softmax(h @ p["class"] + p["class_bias"])[k]) + np.log(softmax(p["word"][first:end] @ h + p["word_bias"][first:end])[code(w) - first])
+        if code(w) == network.rare:
+            symbols = [0, *(b + 1 for b in w), 0]
+            found += sum(network.spelling[a, b] for a, b in zip(symbols, symbols[1:]))
+        return round(found * lm_score.ROUNDED) / lm_score.ROUNDED
+
+    windows = []
+    for ws in words:
+        padded = [None, None, *ws, None, None]
+        windows.append([((padded[i], padded[i + 1], padded[i + 3], padded[i + 4]), w) for i, w in enumerate(ws)])
+    around, whole = {}, {}
+    for ws in windows:
+        for c, w in ws:
+            around[c] = around.get(c, 0) + 1
+            whole[c, w] = whole.get((c, w), 0) + 1
+    got = {g.doc_id: g for g in lm_score.score_documents(docs).collect()}
+    for d, ws in enumerate(windows):
+        want = sum(math.log((whole[c, w] - 1 + lm_score.PRIOR * math.exp(by_network(c, w))) / (around[c] - 1 + lm_score.PRIOR)) for c, w in ws)
+        assert got[d].n_words == len(ws) and got[d].log_likelihood == pytest.approx(want, abs=0.3, rel=1e-3)
+    if network.rare:  # over all words that may stand between given neighbours
+        window = np.array([[code(x)] * (network.rare + 1) for x in windows[0][0][0]])
+        assert np.exp(network.log_p(window, np.arange(network.rare + 1))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_grows():
+    assert lm_score.head_for(1000) == lm_score.HEAD < lm_score.head_for(2_000_000) < lm_score.head_for(10_000_000)
+    assert lm_score.window_bits(100) < lm_score.window_bits(10**9) < lm_score.window_bits(10**13) == 52
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
+    blob = lm_score.packed(keys, -np.arange(500) / 16, np.arange(1, 501), np.zeros(500 * 501 // 2))
+    assert all((a == b).all() for a, b in zip(lm_score.unpacked(blob), (keys, -np.arange(500) / 16, np.arange(1, 501), np.zeros(500 * 501 // 2))))
+
+
+def test_network_slopes():
+    """Slopes against differences of the mean cross entropy."""
+    network = lm_score.Network(np.arange(50), np.arange(60, 10, -1), 9)
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    r = np.random.default_rng(2)
+    windows, codes = r.integers(0, 52, (4, 40)), r.integers(0, 51, 40)
+    slopes = network.slopes(windows, codes)
+    for name, value in network.p.items():
+        at = tuple(r.integers(0, n) for n in value.shape)
+        if name == "in":
+            at = (windows[1, 3], at[1])
+        value[at] += 1e-5
+        above = -network.log_p(windows, codes).mean()
+        value[at] -= 2e-5
+        below = -network.log_p(windows, codes).mean()
+        value[at] += 1e-5
+        assert slopes[name][at] == pytest.approx((above - below) / 2e-5, rel=1e-3, abs=1e-6), name
 
 
 # ---- pipeline
