@@ -5,8 +5,9 @@ Each word of a text is predicted from the WINDOW words on both sides of it, and
 The network's inputs are embeddings of the neighbours, weighted by their place, and a hidden layer; its output is the word itself, by a
 softmax in two steps: the class of the word, then the word among those of its class, both from the hidden layer. It knows the commonest words of the
 corpus, more of them the larger the vocabulary is. Any other word is predicted as a rare word by the network, then spelled by
-a model of byte pairs of the corpus's rare words, so every word has a probability. Each task trains a copy in numpy on all
-words of its documents (Adam, cross entropy), and the copies are averaged, weighted by their words.
+a model of byte pairs of the corpus's rare words, so every word has a probability. Each task trains a copy in numpy on its documents
+(Adam, cross entropy): one word in MASKED is masked and predicted, from a place that changes from chunk to chunk, the others are what it is
+predicted from. The copies are averaged, weighted by their words. Vocabulary, byte pairs, memory and scores are of all words.
 
 The memory holds how often each window, with and without the word in it, occurs in the corpus. A masked word does not count
 itself: with n other occurrences of its window, k of them around the same word, its probability is (k + PRIOR p) / (n + PRIOR),
@@ -19,7 +20,6 @@ window. Equal windows of a chunk are one entry, so a passage that every document
 
 from __future__ import annotations
 
-import hashlib
 import io
 from collections.abc import Iterator
 
@@ -34,21 +34,24 @@ from folioscope.llm.shared import body, materialize, table
 #: Neighbours on either side.
 WINDOW = 2
 #: Words that the network knows in a corpus of HEAD_FROM types, and the power by which they grow with the types.
-HEAD, HEAD_FROM, HEAD_POWER = 16_384, 400_000, 0.2
-#: Size of embeddings and hidden layer; words in a step, rate, seed.
-SIZE, STEP, RATE, SEED = 32, 16_384, 0.01, 9
+HEAD, HEAD_FROM, HEAD_POWER = 8_192, 400_000, 0.2
+#: Size of embeddings and hidden layer; masked words in a step, one of how many words is masked, rate, seed.
+SIZE, STEP, MASKED, RATE, SEED = 24, 8_192, 4, 0.01, 9
 #: Occurrences that the network's probability counts as beside those in the memory.
 PRIOR = 2.0
-#: Words and documents of a chunk; words that one copy is trained on and that one range of hashes holds, about; words kept.
-TOGETHER, DOCS_TOGETHER, TRAINER_WORDS, RANGE_WORDS, WORDS_KEPT = 500_000, 50_000, 5_000_000, 2_000_000, 300_000
+#: Bytes and documents of a chunk; words that one copy is trained on and that one range of hashes holds, about.
+TOGETHER, DOCS_TOGETHER, TRAINER_WORDS, RANGE_WORDS = 3_000_000, 50_000, 10_000_000, 2_000_000
 #: Numbers in a block of parameters that is averaged.
 BLOCK = 65_536
 #: Bits of an entry's hash that stand for the word, and bits by which those of its window exceed the logarithm of the corpus's words.
 WORD_BITS, SPARE_BITS = 12, 20
 #: The network's log-probabilities are rounded to this part of one, so that they pack; the sum of n words is off by some sqrt(n) / 55.
 ROUNDED = 16
-_KEPT: dict = {}
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: White space that parts words; a byte's lower case, A-Z alone; a random number for each byte.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_DRAWN = np.random.default_rng(SEED).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,42 +61,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def types_of(words: list[bytes]) -> np.ndarray:
-    """int64 types of words: 64 bits of their digests."""
-    known = _KEPT.setdefault("words", {})
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        known.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)) for w in set(words).difference(known))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes], np.ndarray]]:
-    """(rows, words, words of each row) of chunks of whole documents; A-Z in lower case. Column number text holds UTF-8 bytes."""
-    rows, words, lengths = [], [], []
+class Words:
+    """The words of a chunk of documents, as arrays: bytes (of all words, A-Z in lower case), sizes (bytes of each word), lengths (words of each document), types."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        space = _SPACE[data]
+        word = np.flatnonzero(~space)
+        starts = np.flatnonzero(~space & np.append(True, space[:-1])) if len(data) else np.empty(0, np.int64)
+        self.bytes = _LOWER[data[word]]
+        self.first = np.searchsorted(word, starts)
+        self.sizes = np.diff(np.append(self.first, len(word)))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.lengths = np.diff(np.append(0, np.searchsorted(starts, ends)))
+        place = np.arange(len(word)) - np.repeat(self.first, self.sizes)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(int(self.sizes.max(initial=0)), _ODD[2])))
+        sums = np.add.reduceat(_DRAWN[self.bytes] * powers[place], self.first) if len(starts) else np.empty(0, np.uint64)
+        self.types = mixed(sums + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def pairs(self) -> np.ndarray:
+        """Number of each pair of neighbouring symbols: 0 before a word and behind it, a byte and one inside. A word has its bytes' pairs, then its last one."""
+        symbols = self.bytes.astype(np.int32) + 1
+        before = np.append(np.int32(0), symbols[:-1])[: len(symbols)]
+        before[self.first] = 0
+        return before * 257 + symbols, symbols[self.first + self.sizes - 1] * 257 if len(self.first) else symbols
+
+
+def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
+    """(rows, their words) of chunks of whole documents. Column number text holds UTF-8 bytes."""
+    rows, texts, size = [], [], 0
     for batch in batches:
         at = 0
-        for i, t in enumerate(batch.column(text)):
-            own = t.as_py().lower().split()
-            words += own
-            lengths.append(len(own))
-            if len(words) >= TOGETHER or len(lengths) >= DOCS_TOGETHER:
-                yield [*rows, batch.slice(at, i + 1 - at)], words, np.array(lengths, np.int64)
-                rows, words, lengths, at = [], [], [], i + 1
+        for i, t in enumerate(batch.column(text).to_pylist()):
+            texts.append(t)
+            size += len(t)
+            if size >= TOGETHER or len(texts) >= DOCS_TOGETHER:
+                yield [*rows, batch.slice(at, i + 1 - at)], Words(texts)
+                rows, texts, size, at = [], [], 0, i + 1
         if at < batch.num_rows:
             rows.append(batch.slice(at))
     if rows:
-        yield rows, words, np.array(lengths, np.int64)
+        yield rows, Words(texts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, n: each type of the corpus and how often it occurs."""
 
     def run(batches):
-        for _, words, _ in chunks(batches, 0):
-            h, n = np.unique(types_of(words), return_counts=True)
+        for _, words in chunks(batches, 0):
+            h, n = np.unique(words.types, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return docs.select(body().cast("binary").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -119,25 +135,28 @@ def commonest(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def sides(x: np.ndarray, lengths: np.ndarray, edge) -> np.ndarray:
-    """[2 * WINDOW, words]: the neighbours of each word in its document, those before it first; edge beyond the ends."""
-    ends = np.cumsum(lengths)
-    first, end = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
-    at, found = np.arange(len(x)), []
-    for by in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]:
-        to = at + by
-        inside = (to >= first) & (to < end)
-        found.append(np.where(inside, x[np.where(inside, to, at)], edge) if len(x) else x)
-    return np.stack(found)
+def sides(x: np.ndarray, lengths: np.ndarray, edge, of: np.ndarray | None = None) -> np.ndarray:
+    """[2 * WINDOW, words]: the neighbours of each word (or of the words at places of) in its document, those before it first; edge beyond the ends."""
+    padded = np.full(len(x) + WINDOW * (len(lengths) + 1), edge, x.dtype)
+    at = np.arange(WINDOW, WINDOW + len(x)) + np.repeat(np.arange(len(lengths)) * WINDOW, lengths)
+    padded[at] = x
+    if of is not None:
+        at = at[of]
+    return np.stack([padded[at + by] for by in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]])
 
 
 class Network:
     """Codes: the places of the head words, then one for all rare words; as an input also the edge of a document."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, rare: int):
-        self.by_type = np.argsort(head)
-        self.types = head[self.by_type]
         self.rare, self.edge = len(head), len(head) + 1
+        # head words by the first bits of their types; those that share them are looked up by the rest
+        self.bits = max(1, (4 * len(head)).bit_length())
+        slot = (head.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.order = np.argsort(head.view(np.uint64))
+        self.types = np.append(head[self.order], 0)
+        self.slots = np.searchsorted(slot[self.order], np.arange(2**self.bits))
+        self.deepest = int(np.bincount(slot).max()) if len(head) else 0
         n = np.append(counts, rare) + 1.0
         # the commonest words make classes of their own, later ones share classes of like mass; the rare word is a class
         mass = np.cumsum(n[:-1]) - n[:-1]
@@ -145,7 +164,7 @@ class Network:
         first = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(head) else np.empty(0, np.int64)
         self.starts = np.append(first, [self.rare, self.rare + 1]).astype(np.int64)
         sizes = np.diff(self.starts)
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.of = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
         of_class = np.add.reduceat(n, self.starts[:-1])
         random = np.random.default_rng(SEED)
         drawn = lambda scale, *shape: random.normal(0, scale, shape)
@@ -156,70 +175,78 @@ class Network:
             "word": drawn(0.1, self.rare + 1, SIZE), "word_bias": np.log(n / of_class[self.of]),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.spelling = np.zeros((257, 257), np.float64)
+        self.spelling = np.zeros(257 * 257, np.float32)
 
     def codes(self, types: np.ndarray) -> np.ndarray:
-        if not self.rare:
-            return np.zeros(len(types), np.int64)
-        found = np.minimum(np.searchsorted(self.types, types), self.rare - 1)
-        return np.where(self.types[found] == types, self.by_type[found], self.rare)
-
-    def hidden(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = sum(self.p["in"][w] * place for w, place in zip(windows, self.p["place"]))
-        return x, np.tanh(x @ self.p["hidden"] + self.p["bias"])
+        """int32 codes of types."""
+        at = self.slots[(types.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)]
+        codes = np.full(len(types), self.rare, np.int32)
+        for by in range(self.deepest):
+            to = np.minimum(at + by, self.rare)
+            found = np.flatnonzero(self.types[to] == types)
+            found = found[to[found] < self.rare]
+            codes[found] = self.order[to[found]]
+        return codes
+
+    def inputs(self, windows: np.ndarray) -> np.ndarray:
+        x = self.p["in"][windows[0]] * self.p["place"][0]
+        for w, place in zip(windows[1:], self.p["place"][1:]):
+            x += self.p["in"][w] * place
+        return x
 
     def groups(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         """(rows, first, end) for each class of several words that codes have: their places and the class's words."""
         of = self.of[codes]
         order = np.argsort(of, kind="stable")
         found, at = np.unique(of[order], return_index=True)
-        for k, rows in zip(found, np.split(order, at[1:])):
+        for k, rows in zip(found.tolist(), np.split(order, at[1:])):
             if self.starts[k + 1] - self.starts[k] > 1:
                 yield rows, int(self.starts[k]), int(self.starts[k + 1])
 
-    def log_p(self, windows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def log_p(self, windows: np.ndarray, codes: np.ndarray, block: int = 4096) -> np.ndarray:
         """log P(word | its neighbours) of words by their codes."""
-        out = np.empty(len(codes))
-        for at in range(0, len(codes), STEP):
-            part = codes[at : at + STEP]
-            h = self.hidden(windows[:, at : at + STEP])[1]
-            found = _log_softmax(h @ self.p["class"] + self.p["class_bias"])[np.arange(len(part)), self.of[part]]
-            for rows, first, end in self.groups(part):
-                inner = _log_softmax(h[rows] @ self.p["word"][first:end].T + self.p["word_bias"][first:end])
-                found[rows] += inner[np.arange(len(rows)), part[rows] - first]
-            out[at : at + STEP] = found
+        p, out = self.p, np.empty(len(codes))
+        hidden = np.empty((len(codes), SIZE), p["in"].dtype)
+        for at in range(0, len(codes), block):
+            h = np.tanh(self.inputs(windows[:, at : at + block]) @ p["hidden"] + p["bias"])
+            hidden[at : at + block] = h
+            out[at : at + block] = _log_softmax_at(h @ p["class"] + p["class_bias"], self.of[codes[at : at + block]])
+        for rows, first, end in self.groups(codes):
+            for at in range(0, len(rows), block):
+                part = rows[at : at + block]
+                out[part] += _log_softmax_at(hidden[part] @ p["word"][first:end].T + p["word_bias"][first:end], codes[part] - first)
         return out
 
     def slopes(self, windows: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
         """Slopes of the mean cross entropy by each parameter."""
-        p, n, rows = self.p, np.float32(len(codes)), np.arange(len(codes))
-        x, h = self.hidden(windows)
-        d = np.exp(_log_softmax(h @ p["class"] + p["class_bias"]))
-        d[rows, self.of[codes]] -= 1
-        d /= n
+        p, n = self.p, len(codes)
+        x = self.inputs(windows)
+        h = np.tanh(x @ p["hidden"] + p["bias"])
+        d = _slope_at(h @ p["class"] + p["class_bias"], self.of[codes], n)
         slope = {"class": h.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
         dh = d @ p["class"].T
         for own, first, end in self.groups(codes):
-            d = np.exp(_log_softmax(h[own] @ p["word"][first:end].T + p["word_bias"][first:end]))
-            d[np.arange(len(own)), codes[own] - first] -= 1
-            d /= n
-            slope["word"][first:end] = d.T @ h[own]
+            of_own, words = h[own], p["word"][first:end]
+            d = _slope_at(of_own @ words.T + p["word_bias"][first:end], codes[own] - first, n)
+            slope["word"][first:end] = d.T @ of_own
             slope["word_bias"][first:end] = d.sum(0)
-            dh[own] += d @ p["word"][first:end]
+            dh[own] += d @ words
         dh *= 1 - h * h
         slope["hidden"], slope["bias"] = x.T @ dh, dh.sum(0)
         dx = dh @ p["hidden"].T
-        slope["place"] = np.stack([(p["in"][w] * dx).sum(0) for w in windows])
+        slope["place"] = np.stack([np.einsum("ij,ij->j", p["in"][w], dx) for w in windows])
         flat = windows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        found, at = np.unique(flat[order], return_index=True)
+        order = np.argsort(flat.astype(np.uint16) if self.edge < 65_536 else flat, kind="stable")
+        found = flat[order]
+        at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         slope["in"] = np.zeros_like(p["in"])
-        slope["in"][found] = np.add.reduceat((dx[None] * p["place"][:, None]).reshape(-1, SIZE)[order], at, axis=0)
+        slope["in"][found[at]] = np.add.reduceat((dx[None] * p["place"][:, None]).reshape(-1, SIZE)[order], at, axis=0)
         return slope
 
-    def spell(self, words: list[bytes]) -> np.ndarray:
-        """log P(spelling) of rare words."""
-        return np.add.reduceat(self.spelling[_byte_pairs(words)], np.cumsum([0] + [len(w) + 1 for w in words[:-1]])) if words else np.empty(0)
+    def spell(self, words: Words) -> np.ndarray:
+        """log P(spelling) of all words, were they rare."""
+        inside, last = words.pairs()
+        return np.add.reduceat(self.spelling[inside], words.first, dtype=np.float64) + self.spelling[last] if len(last) else np.empty(0)
 
     def finish(self, vector: np.ndarray, pairs: np.ndarray) -> None:
         """Takes averaged parameters and the corpus's counts of byte pairs."""
@@ -227,23 +254,27 @@ class Network:
         for k, v in self.p.items():
             self.p[k] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
-        self.spelling = np.log(pairs + 1.0) - np.log((pairs + 1.0).sum(1, keepdims=True))
+        pairs = pairs.reshape(257, 257) + 1.0
+        self.spelling = (np.log(pairs) - np.log(pairs.sum(1, keepdims=True))).reshape(-1).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row of z at one place; z is overwritten."""
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    found = z[np.arange(len(z)), at]
+    return found - np.log(np.exp(z, out=z).sum(1))
 
 
-def _byte_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring symbols of each word between two edges: 0, or a byte and one."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    symbols = np.zeros(int(lengths.sum()) + len(words) + 1, np.int64)
-    symbols[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(words)), lengths) + 1] = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
-    return symbols[:-1], symbols[1:]
+def _slope_at(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Slope by z of -1 / n of the sum of the log-softmax of each row at one place; z is overwritten."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / (n * z.sum(1, keepdims=True, dtype=z.dtype))).astype(z.dtype)
+    z[np.arange(len(z)), at] -= z.dtype.type(1 / n)
+    return z
 
 
 class Adam:
@@ -273,15 +304,16 @@ def trained(docs: DataFrame) -> tuple[Network, int]:
         own: Network = shared.value
         own.p, pairs, seen = {k: v.copy() for k, v in own.p.items()}, np.zeros(257 * 257, np.int64), 0
         adam, random = Adam(own.p), np.random.default_rng(SEED)
-        for _, words, lengths in chunks(batches, 0):
-            codes = own.codes(types_of(words))
-            rare = _byte_pairs([words[i] for i in np.flatnonzero(codes == own.rare)])
-            pairs += np.bincount(rare[0] * 257 + rare[1], minlength=257 * 257)
-            windows, order = sides(codes, lengths, own.edge), random.permutation(len(codes))
-            for at in range(0, len(order), STEP):
-                part = order[at : at + STEP]
-                adam.step(own.slopes(windows[:, part], codes[part]))
-            seen += len(words)
+        for number, (_, words) in enumerate(chunks(batches, 0)):
+            codes = own.codes(words.types)
+            inside, last = words.pairs()
+            rare = codes == own.rare
+            pairs += np.bincount(inside[np.repeat(rare, words.sizes)], minlength=257 * 257) + np.bincount(last[rare], minlength=257 * 257)
+            masked = random.permutation(np.arange(number % MASKED, len(codes), MASKED))
+            windows, codes = sides(codes, words.lengths, own.edge, masked), codes[masked]
+            for at in range(0, len(masked), STEP):
+                adam.step(own.slopes(windows[:, at : at + STEP], codes[at : at + STEP]))
+            seen += len(words.types)
         if seen:
             trainer, vector = TaskContext.get().partitionId(), own.flat()
             parts = [vector[at : at + BLOCK].tobytes() for at in range(0, len(vector), BLOCK)]
@@ -302,7 +334,7 @@ def trained(docs: DataFrame) -> tuple[Network, int]:
     copies = texts.mapInArrow(run, "trainer long, block long, words long, part binary")
     found = {r["block"]: np.frombuffer(r["part"], np.float64) for r in copies.groupBy("block").applyInArrow(averaged, "block long, part binary").toArrow().to_pylist()}
     if found:
-        pairs = found.pop(-1).reshape(257, 257)
+        pairs = found.pop(-1)
         network.finish(np.concatenate([found[k] for k in sorted(found)]), pairs)
     return network, total.words
 
@@ -377,48 +409,54 @@ def score_documents(docs: DataFrame) -> DataFrame:
     doc_id are scored like others. Only doc_id and text are read; an empty table gives an empty result.
     """
     network, total = trained(docs)
-    ranges, bits = max(1, -(-total // RANGE_WORDS)), window_bits(total)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges, bits = max(least, -(-total // RANGE_WORDS)), window_bits(total)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def scored(batches):
-        own, spelled = shared.value, {}
+        own = shared.value
         bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-        for rows, words, lengths in chunks(batches, 2):
-            chunk = rows[0].column(0)[0].as_py()
-            types = types_of(words)
-            keys, at, inverse, times = np.unique(window_keys(types, lengths, bits), return_index=True, return_inverse=True, return_counts=True)
-            codes = own.codes(types)
-            logs = own.log_p(sides(codes, lengths, own.edge)[:, at], codes[at])
-            rare = np.flatnonzero(codes[at] == own.rare)
-            of_rare = [words[i] for i in at[rare]]
-            if len(spelled) > WORDS_KEPT:
-                spelled.clear()
-            new = list(set(of_rare).difference(spelled))
-            spelled.update(zip(new, own.spell(new).tolist()))
-            logs[rare] += np.fromiter(map(spelled.__getitem__, of_rare), np.float64, len(of_rare))
+        for rows, words in chunks(batches, 2):
+            chunk, lengths = rows[0].column(0)[0].as_py(), words.lengths
+            keys = window_keys(words.types, lengths, bits)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+            times, keys, at = np.diff(np.append(first, len(keys))), keys[first], order[first]
+            codes = own.codes(words.types)
+            logs = own.log_p(sides(codes, lengths, own.edge, at), codes[at])
+            logs += np.where(codes[at] == own.rare, own.spell(words)[at], 0.0)
             logs = (np.round(logs * ROUNDED) / ROUNDED).astype(np.float16).astype(np.float64)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            sums = np.bincount(doc, logs[inverse], len(lengths)) if len(doc) else np.zeros(len(lengths))
-            ids = pa.concat_arrays([r.column(1) for r in rows])
+            doc = np.repeat(np.arange(len(lengths)), lengths)[order]
+            sums = np.bincount(doc, np.repeat(logs, times), len(lengths)) if len(doc) else np.zeros(len(lengths))
             sink = io.BytesIO()
-            batch = pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(sums)], ["doc_id", "n", "sum"])
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([r.column(1) for r in rows]), pa.array(lengths), pa.array(sums)], ["doc_id", "n", "sum"])
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)
-            to, blobs = [ranges + chunk], [sink.getvalue()]
-            by_entry = doc[np.argsort(inverse, kind="stable")]
             cuts, ends = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]), np.append(0, np.cumsum(times))
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if a < b:
-                    to.append(i)
-                    blobs.append(packed(keys[a:b], logs[a:b], times[a:b], by_entry[ends[a] : ends[b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "blob"])
-
-    def corrected(t: pa.Table) -> pa.Table:
-        """A range's blobs to the corrections of each chunk's documents; a chunk's own sums pass through."""
-        blobs = t.column("blob").to_pylist()
-        if t.column("range")[0].as_py() >= ranges:
-            return pa.table({"chunk": t.column("chunk"), "docs": pa.nulls(len(t), pa.binary()), "sums": t.column("blob")})
-        parts = [unpacked(b) for b in blobs]
+            filled = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+            blobs = [sink.getvalue(), *(packed(keys[a:b], logs[a:b], times[a:b], doc[ends[a] : ends[b]]) for _, a, b in filled)]
+            to = [-1, *(i for i, _, _ in filled)]
+            yield pa.RecordBatch.from_arrays([pa.array([to_ if to_ >= 0 else hash(chunk) % ranges for to_ in to], pa.int32()), pa.array(to, pa.int32()), pa.array([chunk] * len(to), pa.int64()), pa.array(blobs, pa.binary())], ["part", "range", "chunk", "blob"])
+
+    def corrected(batches):
+        """The blobs of each range to the corrections of each chunk's documents; the chunks' own sums pass through."""
+        held, of = [], None
+        for batch in batches:
+            for i, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if i < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.binary()), pa.array([blob.as_py()], pa.binary())], ["chunk", "docs", "sums"])
+                    continue
+                if i != of and held:
+                    yield of_range(held)
+                    held = []
+                held.append((chunk, unpacked(blob.as_py())))
+                of = i
+        if held:
+            yield of_range(held)
+
+    def of_range(held) -> pa.RecordBatch:
+        parts = [p for _, p in held]
         ends = np.cumsum([len(p[0]) for p in parts])
         added = np.split(corrections(*(np.concatenate([p[i] for p in parts]) for i in range(3)), bits), ends[:-1])
         at, sums = [], []
@@ -427,7 +465,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             found = np.flatnonzero(total)
             at.append(found.astype("<u2").tobytes())
             sums.append(total[found].astype("<f4").tobytes())
-        return pa.table({"chunk": t.column("chunk"), "docs": pa.array(at, pa.binary()), "sums": pa.array(sums, pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array(at, pa.binary()), pa.array(sums, pa.binary())], ["chunk", "docs", "sums"])
 
     def assembled(t: pa.Table) -> pa.Table:
         own, added = None, []
@@ -444,8 +482,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", body().cast("binary").alias("text"))
-    blobs = rows.mapInArrow(scored, "range long, chunk long, blob binary")
-    parts = blobs.groupBy("range").applyInArrow(corrected, "chunk long, docs binary, sums binary")
+    blobs = rows.mapInArrow(scored, "part int, range int, chunk long, blob binary")
+    met = blobs.repartitionById(ranges, F.col("part")).sortWithinPartitions("range").select("range", "chunk", "blob")
+    parts = met.mapInArrow(corrected, "chunk long, docs binary, sums binary")
     return parts.groupBy("chunk").applyInArrow(assembled, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
