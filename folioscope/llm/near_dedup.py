@@ -211,9 +211,10 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def block_rows(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The members of likely pairs that share a bucket but no component: block, cid, component, partners (array of cids).
+    """The members of likely pairs that share a bucket but no component: part, block, cid, component, partners (array of cids).
 
     A block is two slices of a bucket, or one with itself, of some BLOCK members each; a pair is found in its first common band alone.
+    The blocks of a bucket are dealt to tasks in turn, so a bucket that holds a third of all members loads all tasks alike.
     """
     rows = buckets.join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
     rows = materialize(rows, "near-labelled")
@@ -222,11 +223,14 @@ def block_rows(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percen
     slices = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "cid", "component", "n", "sketch")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("key"), F.lit(parts)) + F.expr("CAST(j AS BIGINT) * (j + 1) div 2 + i")
+    rows = rows.withColumn("part", F.pmod(turn, F.lit(parts)).cast("int"))
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(lambda batches: (made for t in groups(batches, ("key", "i", "j")) for made in likely_in_block(t, percent)), BLOCK_ROWS)
 
 
-BLOCK_ROWS = "block long, cid long, component long, partners array<long>"
+BLOCK_ROWS = "part int, block long, cid long, component long, partners array<long>"
 
 
 def groups(batches, by: tuple[str, ...]):
@@ -274,7 +278,7 @@ def likely_in_block(t: pa.Table, percent: int):
     if partners:
         block = int(mixed(np.array([key], np.int64).view(np.uint64) * _GOLD + np.uint64(i << 32 | j)).view(np.int64)[0])
         at = list(partners)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(at)), pa.array(cid[at]), pa.array(component[at]), pa.array(list(partners.values()), pa.list_(pa.int64()))], ["block", "cid", "component", "partners"])
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("part").to_pylist()[:1] * len(at), pa.int32()), pa.array([block] * len(at)), pa.array(cid[at]), pa.array(component[at]), pa.array(list(partners.values()), pa.list_(pa.int64()))], ["part", "block", "cid", "component", "partners"])
 
 
 def block_links(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -284,7 +288,8 @@ def block_links(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     link of the block has joined is not looked at.
     """
     full = full_sets(docs, rows.select(F.col("cid").alias("doc_id")).distinct(), width)
-    met = rows.join(full.withColumnRenamed("doc_id", "cid"), "cid").repartition("block").sortWithinPartitions("block")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.join(full.withColumnRenamed("doc_id", "cid"), "cid").repartitionById(parts, F.col("part")).sortWithinPartitions("block")
 
     def run(batches):
         for t in groups(batches, ("block",)):
