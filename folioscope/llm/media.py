@@ -215,9 +215,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def with_features(media: DataFrame) -> DataFrame:
     """media (of read_archives) with payload (binary) and feature; what is stored is checked to be such a WAV file."""
 
-    @F.udf("string", useArrow=True)
-    def feature(stored):
-        return feature_of(samples_of(bytes(stored)))
+    @F.arrow_udf("string")
+    def feature(stored: pa.Array) -> pa.Array:
+        return pa.array([feature_of(samples_of(m)) for m in stored.to_pylist()], pa.string())
 
     return media.withColumns({"payload": F.substring("media", HEADER_BYTES + 1, 2**31 - 1), "feature": feature("media")})
 
