@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 BATCH_ROWS = 1000
 #: A word of a text: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Scratch folders made in this process and not yet released.
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def is_held_out(column: str = "doc_id") -> F.Column:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that the driver and all executors share, under spark.checkpoint.dir; a JVM hook deletes it at the end.
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir; release or a JVM hook at the end deletes it.
 
     Only a local session may go without that setting; then the folder is in the machine's temporary folder.
     """
@@ -45,9 +47,23 @@ def scratch(spark: SparkSession, tag: str) -> str:
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jvm_path)
     fs.deleteOnExit(jvm_path)
+    _MADE.append(path)
     return path if "://" in path else fs.makeQualified(jvm_path).toString()
 
 
+def scratch_made() -> int:
+    """How many scratch folders there are by now: where a later release begins."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch folders made since then but the last one, which holds what all others were made for."""
+    for path in _MADE[since:-1]:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    del _MADE[since:-1]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Python workers get at most so many rows at once while an action runs: rows here are texts, sketches and whole sets."""
