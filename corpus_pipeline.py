@@ -2,7 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
 docs. All but the last return the columns of docs. Null and empty texts pass the first stage, are copies of one another
-in the second, are linked with nothing in the third, have no words in the fourth, and no ids in the last.
+in the second, are linked with nothing in the third, have no words in the fourth, so the mix leaves them out. Whole texts
+are read, however long. Ties go by doc_id in the second and third stage, by the digest that orders the queue in the fourth, so
+reruns agree; rows that repeat doc_id and text are one document from the second stage on. An empty table stays empty
+through all stages. Columns beside doc_id, text and source may have any names that aren't these, and any types that can be ordered.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
-from folioscope.llm.shared import materialize, table
+from folioscope.llm.shared import materialize, release, scratch_made, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +44,14 @@ STAGES = [
     ("byte_bpe", tokenized),
 ]
 
-#: No SQL states the first and third stage; tests hold each stage against a brute-force version.
+#: No SQL states the first, third and last stage; tests hold the stages against brute-force versions, libraries and held-out labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage was made from is deleted when its own table is written."""
+    docs, since = table(spark, sf_dir, "documents"), scratch_made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since)
     return docs
