@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import body, materialize, table
+from folioscope.llm.words import ODD, Words, mixed
 
 #: Neighbours on either side.
 WINDOW = 2
@@ -47,44 +48,6 @@ BLOCK = 65_536
 WORD_BITS, SPARE_BITS = 12, 20
 #: The network's log-probabilities are rounded to this part of one, so that they pack; the sum of n words is off by some sqrt(n) / 55.
 ROUNDED = 16
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: White space that parts words; a byte's lower case, A-Z alone; a random number for each byte.
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_DRAWN = np.random.default_rng(SEED).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    h = (h ^ (h >> np.uint64(32))) * _ODD[0]
-    h = (h ^ (h >> np.uint64(29))) * _ODD[1]
-    return h ^ (h >> np.uint64(32))
-
-
-class Words:
-    """The words of a chunk of documents, as arrays: bytes (of all words, A-Z in lower case), sizes (bytes of each word), lengths (words of each document), types."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        space = _SPACE[data]
-        word = np.flatnonzero(~space)
-        starts = np.flatnonzero(~space & np.append(True, space[:-1])) if len(data) else np.empty(0, np.int64)
-        self.bytes = _LOWER[data[word]]
-        self.first = np.searchsorted(word, starts)
-        self.sizes = np.diff(np.append(self.first, len(word)))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.lengths = np.diff(np.append(0, np.searchsorted(starts, ends)))
-        place = np.arange(len(word)) - np.repeat(self.first, self.sizes)
-        powers = np.cumprod(np.append(np.uint64(1), np.full(int(self.sizes.max(initial=0)), _ODD[2])))
-        sums = np.add.reduceat(_DRAWN[self.bytes] * powers[place], self.first) if len(starts) else np.empty(0, np.uint64)
-        self.types = mixed(sums + self.sizes.astype(np.uint64)).view(np.int64)
-
-    def pairs(self) -> np.ndarray:
-        """Number of each pair of neighbouring symbols: 0 before a word and behind it, a byte and one inside. A word has its bytes' pairs, then its last one."""
-        symbols = self.bytes.astype(np.int32) + 1
-        before = np.append(np.int32(0), symbols[:-1])[: len(symbols)]
-        before[self.first] = 0
-        return before * 257 + symbols, symbols[self.first + self.sizes - 1] * 257 if len(self.first) else symbols
 
 
 def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
@@ -376,9 +339,9 @@ def window_bits(words: int) -> int:
 def window_keys(types: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
     """uint64 for each word: bits of its window's hash, then WORD_BITS of its own, then zeros."""
     t = types.view(np.uint64)
-    window = mixed(sum(s * odd for s, odd in zip(sides(t, lengths, np.uint64(1)), _ODD)))
+    window = mixed(sum(s * odd for s, odd in zip(sides(t, lengths, np.uint64(1)), ODD)))
     below = np.uint64(64 - bits)
-    return window >> below << below | mixed(t * _ODD[4]) >> np.uint64(64 - WORD_BITS) << np.uint64(64 - bits - WORD_BITS)
+    return window >> below << below | mixed(t * ODD[4]) >> np.uint64(64 - WORD_BITS) << np.uint64(64 - bits - WORD_BITS)
 
 
 def corrections(keys: np.ndarray, logs: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:

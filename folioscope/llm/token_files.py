@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import body, python_fs, scratch, table
+from folioscope.llm.words import Words
 
 #: Fixed values of the public seekable format and of skippable frames.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -37,13 +38,11 @@ CHECKSUM_FLAG = 0x80
 #: The id appended to each document.
 END_ID = 2
 LEVEL = 1
-#: Words, and runs of words, whose ids are kept.
-WORDS, RUNS_KEPT = 300_000, 700_000
+#: Words, and runs of words, whose ids are kept; bytes of texts whose words are looked up together.
+WORDS, RUNS_KEPT, TOGETHER = 300_000, 700_000, 4_000_000
 #: What the tokenizer splits a word into, once normalised.
 ASCII_RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Texts whose new words go to the library together.
-TOGETHER = 32
 #: Bytes that a reader fetches at once.
 FETCH = 4 << 20
 _KEPT: dict = {}
@@ -58,13 +57,24 @@ def byte_characters() -> dict[int, int]:
 BYTE_CHARACTERS = byte_characters()
 
 
+class Known(dict):
+    """Values by key, found when they are first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key):
+        self[key] = value = self.find(key)
+        return value
+
+
 class WordEncoder:
     """The tokenizers library's ids of a text, word by word.
 
     The tokenizer normalises (NFC, lower case), splits at white space, then into contractions, runs of letters, single
     digits and runs of other signs, and never merges across these. So a text's ids are those of its words one after the
-    other, and a word's ids those of its runs. Runs are asked of the library's model once while they are in the cache. Words
-    that normalisation could change beyond plain lower case, and texts that hold an added token of the tokenizer such as
+    other, and a word's ids those of its runs. Words are found and told apart in numpy, and each distinct one is looked up once for many
+    texts; runs are asked of the library's model once while they are in the cache. Words that normalisation could change beyond plain lower case, and texts that hold an added token of the tokenizer such as
     <|endoftext|>, go through the whole library.
     """
 
@@ -74,9 +84,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[int, bytes] = {}
+        self.runs = Known(self.run)
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -88,38 +99,65 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def run(self, run: bytes) -> bytes:
-        self.runs[run] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_CHARACTERS))])
-        return ids
+        # ASCII letters stand for themselves
+        text = run.decode("ascii") if run.isalpha() else run.decode("latin-1").translate(BYTE_CHARACTERS)
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.model.tokenize(text)])
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.runs[word.lower()]
         if word.isascii():
-            parts = [word.lower()] if word.isalpha() else ASCII_RUNS.findall(word.lower())
+            parts = ASCII_RUNS.findall(word.lower())
         else:
             text = word.decode("utf-8", "surrogatepass")
             if not unicodedata.is_normalized("NFC", text) or "\u03a3" in text or "\u0130" in text:  # lower case depends on the place, or is longer
                 return self.library(text)
             low = text.lower()
-            parts = [p.encode("utf-8", "surrogatepass") for p in ([low] if low.isalpha() else RUNS.findall(low))]
-        known = self.runs.get
-        return b"".join([known(p) or self.run(p) for p in parts])
+            if low.isalpha():
+                return self.runs[low.encode("utf-8", "surrogatepass")]
+            parts = [p.encode("utf-8", "surrogatepass") for p in RUNS.findall(low)]
+        return b"".join(map(self.runs.__getitem__, parts))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids with END_ID of each UTF-8 text, as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= TOGETHER):
+                size += len(texts[to])
+                to += 1
+            yield from self._together(texts[at:to])
+            at = to
+
+    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each distinct word of the texts is looked up once; their ids are then gathered."""
         end = END_ID.to_bytes(4, "little")
-        for at in range(0, len(texts), TOGETHER):
-            part = texts[at : at + TOGETHER]
-            lows = [text.lower() for text in part]
-            whole = {i for i, low in enumerate(lows) if any(a in low for a in self.added)}
-            words = [() if i in whole else text.split() for i, text in enumerate(part)]  # bytes are split at ASCII white space alone
-            if len(self.words) > WORDS:
-                self.words.clear()
-            if len(self.runs) > RUNS_KEPT:
-                self.runs.clear()
-            for new in set().union(*words).difference(self.words):
-                self.words[new] = self.word(new)
-            for i, of_text in enumerate(words):
-                ids = self.library(part[i].decode("utf-8", "surrogatepass")) if i in whole else b"".join(map(self.words.__getitem__, of_text))
-                yield ids + end
+        whole = {i: self.library(t.decode("utf-8", "surrogatepass")) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        words = Words([b"" if i in whole else t for i, t in enumerate(texts)])  # parted at ASCII white space alone
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.runs) > RUNS_KEPT:
+            self.runs.clear()
+        order = np.argsort(words.types)
+        types = words.types[order]
+        new = np.append(True, types[1:] != types[:-1])[: len(types)]
+        first, inverse = order[new], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        found, known, data = [], self.words, words.bytes.tobytes()
+        for kind, start, size in zip(types[new].tolist(), words.first[first].tolist(), words.sizes[first].tolist()):
+            ids = known.get(kind)
+            if ids is None:
+                ids = known[kind] = self.word(data[start : start + size])
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[inverse]
+        ends = np.cumsum(counts)
+        tokens = flat[np.arange(int(counts.sum())) + np.repeat(starts[inverse] - (ends - counts), counts)]
+        cuts = np.append(0, ends)[np.cumsum(words.lengths)].tolist()
+        for i, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts)):
+            yield whole.get(i, tokens[a:b].tobytes()) + end
 
 
 class FrameWriter:
