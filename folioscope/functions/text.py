@@ -1,27 +1,26 @@
-"""Text normalisation and text statistics as column expressions.
+"""Text normalisation and text statistics as column expressions, all of them in the JVM.
 
 White space means what Python's str.isspace means; Java's own classes differ, so every pattern spells its characters out.
-Only NFC needs Python, and only for rows that hold a character at or above U+0300: all below are stable under NFC, and
-the other rows send a null to the worker instead of their text.
+A column expression that is named twice is computed twice, so functions here name their input once, or bind it with let.
 """
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space, and its complement, as the members of a character class.
 WS_SET = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS, NOT_WS = f"[{WS_SET}]", f"[^{WS_SET}]"
+#: White space other than LF.
+_BLANK = r"[\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Where str.splitlines breaks.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD_SET = r"\p{L}\p{N}_"
 #: Letters and digits that the scores count; fragments of answers that hold no page text.
-ALNUM = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]"
+ALNUM_SET = "A-Za-zÀ-ÖØ-öø-ÿ0-9"
 GENERIC_FRAGMENTS = (
     "transforme uma imagem",
     "no texto extração",
@@ -34,13 +33,14 @@ GENERIC_FRAGMENTS = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often use names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def nfc(c: Column) -> Column:
-    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), c)), c)
+    """Unicode normal form C by the ICU library that Spark itself ships; texts in that form already are only looked through."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
 
 
 def strip(c: Column) -> Column:
@@ -49,10 +49,11 @@ def strip(c: Column) -> Column:
 
 def display_text(c: Column) -> Column:
     """NFC; line ends as LF; NBSP as space; no U+200B; one space for a run of blanks; single blank lines inside only."""
-    text = F.regexp_replace(nfc(F.coalesce(c, F.lit(""))), r"\r\n?", "\n")
-    text = F.translate(text, "\u00a0\u200b", " ")
-    lines = F.transform(F.split(text, "\n", -1), lambda line: strip(F.regexp_replace(line, r"[ \t\f\x0B]+", " ")))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
+    text = F.translate(F.regexp_replace(nfc(c), r"\r\n?", "\n"), "\u00a0\u200b", " ")
+    text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
+    # blanks at the ends of lines; a run is looked at from its first character alone
+    text = F.regexp_replace(text, rf"(?<!{_BLANK}){_BLANK}++(?=\n)|(?<=\n){_BLANK}++", "")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def one_line(display: Column) -> Column:
@@ -61,8 +62,8 @@ def one_line(display: Column) -> Column:
 
 
 def scoring_text(display: Column) -> Column:
-    """The text that rates compare: normalised once more (which matters after a removed U+200B), then on one line."""
-    return one_line(display_text(display))
+    """The text that rates compare: normalised once more, then on one line. Of the normalisation only NFC can matter, where a U+200B was removed."""
+    return one_line(nfc(display))
 
 
 def count_words(c: Column) -> Column:
@@ -83,15 +84,33 @@ def count_lines(c: Column) -> Column:
 
 
 def count_alnum(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(ALNUM))
+    return F.length(F.regexp_replace(c, f"[^{ALNUM_SET}]+", ""))
 
 
-def score_text(c: Column) -> Column:
+def text_counts(c: Column) -> Column:
+    """struct(text, alnum, words, lines, distinct) of a text, null counting as empty: what scores and judgements are made of."""
+    return let(
+        F.coalesce(c, F.lit("")),
+        lambda t: F.struct(
+            t.alias("text"),
+            count_alnum(t).alias("alnum"),
+            F.regexp_count(t, F.lit(f"[{WORD_SET}]+")).alias("words"),
+            count_lines(t).alias("lines"),
+            F.size(F.array_distinct(F.split(t, ""))).alias("distinct"),
+        ),
+    )
+
+
+def score_of(counts: Column) -> Column:
     """Letters and digits, 0.7 a word, 0.3 a line, 8 times distinct characters / length; 0 for an empty text."""
-    text = F.coalesce(c, F.lit(""))
-    diversity = F.size(F.array_distinct(F.split(text, ""))) / F.length(text)
-    found = count_alnum(text) + F.regexp_count(text, F.lit(f"[{WORD_SET}]+")) * F.lit(0.7) + count_lines(text) * F.lit(0.3) + diversity * F.lit(8.0)
-    return F.when(text == "", F.lit(0.0)).otherwise(found)
+    diversity = counts["distinct"] / F.length(counts["text"])
+    found = counts["alnum"] + counts["words"] * F.lit(0.7) + counts["lines"] * F.lit(0.3) + diversity * F.lit(8.0)
+    return F.when(counts["text"] == "", F.lit(0.0)).otherwise(found)
+
+
+def score_text(c: Column) -> Column:
+    """score_of a text."""
+    return let(text_counts(c), score_of)
 
 
 def normal_line(c: Column) -> Column:
@@ -99,24 +118,37 @@ def normal_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), f"{WS}+", " "), r"[^a-zà-öø-ÿ0-9 ]+", "")
 
 
-def dedupe_lines(c: Column) -> Column:
-    """Drops lines without letters and lines like the last kept one (blank lines between don't count); at most one blank line in a row."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        raw = F.regexp_replace(line, rf"{WS}+\z", "")
-        norm = normal_line(raw)
-        blank = F.when((F.size(acc["out"]) > 0) & (F.try_element_at(acc["out"], F.lit(-1)) != ""), F.concat(acc["out"], F.array(F.lit("")))).otherwise(acc["out"])
-        kept = (norm != "") & ~norm.eqNullSafe(acc["last"])
-        return (
-            F.when(raw == "", F.struct(acc["last"].alias("last"), blank.alias("out")))
-            .when(kept, F.struct(norm.alias("last"), F.concat(acc["out"], F.array(raw)).alias("out")))
-            .otherwise(acc)
-        )
+def _before(rows: Column) -> Column:
+    """rows moved up by one: each row's predecessor, null for the first."""
+    return F.concat(F.array(F.lit(None)), F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))))
 
-    return display_text(F.aggregate(lines(F.coalesce(c, F.lit(""))), start, step, lambda acc: F.array_join(acc["out"], "\n")))
 
+def dedupe_lines(c: Column) -> Column:
+    """Drops lines without letters and lines like the last kept one (blank lines between don't count); at most one blank line in a row.
 
+    A line is like the last kept one exactly if it is like its predecessor among the lines that are not blank and have letters,
+    since a dropped line is like the one it was dropped for. So no line waits for another, and the cost is in proportion to the text.
+    """
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), LINE_BREAK, "\n")
+
+    def split_both(t: Column) -> Column:
+        raw = F.regexp_replace(t, rf"(?<!{_BLANK}){_BLANK}++(?=\n|\z)", "")
+        norm = F.regexp_replace(F.regexp_replace(F.lower(t), f"{_BLANK}+", " "), r" ?\n ?", "\n")
+        norm = F.regexp_replace(F.regexp_replace(norm, r"\A +| +\z", ""), r"[^a-zà-öø-ÿ0-9 \n]+", "")
+        return F.arrays_zip(F.split(raw, "\n", -1).alias("raw"), F.split(norm, "\n", -1).alias("norm"))
+
+    numbered = F.transform(let(text, split_both), lambda x, i: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), i.alias("i")))
+    filled = F.filter(numbered, lambda x: x["raw"] != "")
+    # blanks: blank lines before a line
+    filled = F.transform(filled, lambda x, k: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), (x["i"] - k).alias("blanks")))
+    filled = F.filter(filled, lambda x: x["norm"] != "")
+    kept = let(filled, lambda rows: F.zip_with(rows, _before(rows), lambda x, last: F.when(last.isNull() | (last["norm"] != x["norm"]), x)))
+    kept = F.filter(kept, lambda x: x.isNotNull())
+    joined = let(kept, lambda rows: F.zip_with(rows, _before(rows), lambda x, last: F.when(last["blanks"] < x["blanks"], F.concat(F.lit("\n"), x["raw"])).otherwise(x["raw"])))
+    return display_text(F.array_join(joined, "\n"))
+
+
+#: Fixed values in the two functions below: the markup that is recognised.
 def _rewritten(line: Column) -> Column:
     """Inline markup of one stripped line."""
     for pattern, to in (

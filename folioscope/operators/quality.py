@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.geometry import max_reasonable_chars
-from folioscope.functions.text import GENERIC_FRAGMENTS, WORD_SET, count_alnum, count_lines, display_text, one_line, score_text, scoring_text, strip
+from folioscope.functions.text import GENERIC_FRAGMENTS, WORD_SET, count_alnum, count_lines, display_text, let, one_line, score_of, scoring_text, strip, text_counts
 
 #: Fixed values of the judgements.
 LEAST_ALNUM, LEAST_SCORE, LONGEST_RUN, MANY_TOKENS, LEAST_DISTINCT = 25, 90, 6, 600, 0.22
@@ -19,16 +19,30 @@ _LONG_WORD = rf"{_EDGE}[{WORD_SET}-]{{3,}}"
 REPEATED_PHRASE = rf"({_LONG_WORD}(?: +{_LONG_WORD}){{0,3}})(?: +\1){{3,}}"
 
 
+def generic_of(counts: Column) -> Column:
+    """Of text_counts: empty, or an answer about the image instead of its text, or one line with hardly a letter."""
+    about = let(one_line(F.lower(counts["text"])), lambda norm: reduce(lambda a, b: a | b, [F.contains(norm, F.lit(f)) for f in GENERIC_FRAGMENTS]))
+    return (counts["text"] == "") | ((counts["alnum"] < LEAST_ALNUM) & (counts["lines"] <= 1)) | about
+
+
+def judgement(c: Column) -> Column:
+    """struct(generic, acceptable, score) of a text, its counts taken once."""
+
+    def judged(counts: Column) -> Column:
+        generic = F.struct(generic_of(counts).alias("generic"), score_of(counts).alias("score"), (counts["text"] != "").alias("filled"))
+        return let(generic, lambda j: F.struct(j["generic"].alias("generic"), (j["filled"] & ~j["generic"] & (j["score"] >= LEAST_SCORE)).alias("acceptable"), j["score"].alias("score")))
+
+    return let(text_counts(c), judged)
+
+
 def is_generic_response(c: Column) -> Column:
-    """Empty, or an answer about the image instead of its text, or one line with hardly a letter."""
-    text = F.coalesce(c, F.lit(""))
-    norm = one_line(F.lower(text))
-    about = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(f)) for f in GENERIC_FRAGMENTS])
-    return (text == "") | about | ((count_alnum(text) < LEAST_ALNUM) & (count_lines(text) <= 1))
+    """generic_of a text."""
+    counts = lambda t: F.struct(t.alias("text"), count_alnum(t).alias("alnum"), count_lines(t).alias("lines"))
+    return let(let(F.coalesce(c, F.lit("")), counts), generic_of)
 
 
 def is_acceptable_text(c: Column) -> Column:
-    return (F.coalesce(c, F.lit("")) != "") & ~is_generic_response(c) & (score_text(c) >= LEAST_SCORE)
+    return judgement(c)["acceptable"]
 
 
 def longest_run(tokens: Column) -> Column:
@@ -42,19 +56,41 @@ def longest_run(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["best"])
 
 
+def equal_run(tokens: Column, apart: int, n: int) -> Column:
+    """Whether n tokens in a row equal the tokens so many places behind them."""
+    flags = F.zip_with(tokens, F.slice(tokens, F.lit(apart + 1), F.greatest(F.size(tokens) - apart, F.lit(0))), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    return F.contains(F.array_join(flags, ""), F.lit("1" * n))
+
+
+def _may_repeat(norm: Column) -> Column:
+    """Necessary for REPEATED_PHRASE: of four equal phrases of k words, the inner two and the inner ends of the outer two are whole words."""
+    return let(F.split(norm, " "), lambda w: reduce(lambda a, b: a | b, [equal_run(w, k, 3 * k - 2) for k in range(1, 5)]))
+
+
+def runaway_repetition(c: Column) -> Column:
+    """A phrase four times in a row, a token six times, or very few distinct tokens among many.
+
+    The search for a phrase goes back and forth in the text, so it is made only where words repeat at a phrase's distance.
+    """
+
+    def judged(norm: Column) -> Column:
+        tokens = F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))
+        few = lambda t: (F.size(t) > MANY_TOKENS) & (F.size(F.array_distinct(t)) / F.size(t) < LEAST_DISTINCT)
+        return let(tokens, lambda t: few(t) | equal_run(t, 1, LONGEST_RUN - 1)) | F.when(_may_repeat(norm), norm.rlike(REPEATED_PHRASE)).otherwise(F.lit(False))
+
+    return let(F.lower(scoring_text(display_text(c))), judged)
+
+
 def with_runaway_repetition(df: DataFrame, text: str, to: str = "runaway") -> DataFrame:
-    """df with to: a phrase four times in a row, a token six times, or very few distinct tokens among many."""
-    df = df.withColumn("_norm", F.lower(scoring_text(display_text(F.col(text)))))
-    df = df.withColumn("_tokens", F.regexp_extract_all("_norm", F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0)))
-    few = (F.size("_tokens") > MANY_TOKENS) & (F.size(F.array_distinct("_tokens")) / F.size("_tokens") < LEAST_DISTINCT)
-    return df.withColumn(to, F.col("_norm").rlike(REPEATED_PHRASE) | (longest_run(F.col("_tokens")) >= LONGEST_RUN) | few).drop("_norm", "_tokens")
+    """df with to: runaway_repetition of the text."""
+    return df.withColumn(to, runaway_repetition(F.col(text)))
 
 
 def with_suspicion(df: DataFrame, text: str, width: str, height: str, to: str = "suspicious") -> DataFrame:
     """df with to: a text too long for its page, or with runaway repetition."""
-    df = with_runaway_repetition(df, text, "_runaway").withColumn("_scored", scoring_text(display_text(F.col(text))))
-    long = F.length("_scored") > max_reasonable_chars(F.col(width), F.col(height))
-    return df.withColumn(to, (F.col("_scored") != "") & (long | F.col("_runaway"))).drop("_scored", "_runaway")
+    scored = scoring_text(display_text(F.col(text)))
+    long = lambda t: (t != "") & (F.length(t) > max_reasonable_chars(F.col(width), F.col(height)))
+    return df.withColumn(to, let(scored, long) | runaway_repetition(F.col(text)))
 
 
 def reusable_pages(cached: DataFrame, page_count: Column | None = None) -> DataFrame:

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by key to all cores if it is read in fewer splits than there are cores; larger tables are taken as they come, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- documents of pages, and what engines make of them
 
 SQL_BENCHMARK_PAGES = """
@@ -53,12 +59,12 @@ c AS (SELECT doc, page, 'copy' AS model, t, false AS failed FROM p
 
 
 def benchmark_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.posexplode(F.split("text", r"\.", -1)).alias("ord", "text"))
+    rows = spread(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("doc"), F.posexplode(F.split("text", r"\.", -1)).alias("ord", "text"))
     return rows.where(text.one_line(F.col("text")) != "").withColumn("page", F.col("ord") + 1)
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), F.col("turn").alias("ord"), "text")
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), F.col("turn").alias("ord"), "text")
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ SQL_TEXTS = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
 
 @query(f"SELECT doc_id, {SQL_DISPLAY} AS text FROM documents")
@@ -227,7 +233,7 @@ g AS (SELECT page_id, string_agg(CASE WHEN blank THEN '' ELSE r END, chr(10) ORD
 SELECT p.page_id, coalesce(g.text, '') AS text FROM pages p LEFT JOIN g ON p.page_id = g.page_id
 """)
 def cleanup_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.cleanup_markup(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", text.cleanup_markup(F.col("html")).alias("text"))
 
 
 @query(f"{SQL_TEXTS} SELECT doc_id, {SQL_SCORE} AS score FROM d")
@@ -237,7 +243,7 @@ def score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SQL_TEXTS} SELECT doc_id, {SQL_GENERIC} AS generic, t <> '' AND NOT {SQL_GENERIC} AND {SQL_SCORE} >= 90 AS acceptable FROM d")
 def generic_and_acceptable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", quality.is_generic_response(F.col("t")).alias("generic"), quality.is_acceptable_text(F.col("t")).alias("acceptable"))
+    return texts(spark, sf_dir).select("doc_id", quality.judgement(F.col("t")).alias("j")).select("doc_id", "j.generic", "j.acceptable")
 
 
 SQL_DEDUPED = """
