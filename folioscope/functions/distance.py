@@ -58,7 +58,7 @@ def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def round3(x: pd.Series) -> pd.Series:
     """Three decimals, rounded from the exact binary value; Spark's round and bround start from the shortest decimal."""
-    return x.map(lambda v: None if pd.isna(v) else round(max(0.0, v), 3)).astype("float64")
+    return x.map(lambda v: None if pd.isna(v) else round(max(0.0, v), 3)).astype("float64")  # infinity stays
 
 
 def safe_rate(distance: Column, length: Column) -> Column:

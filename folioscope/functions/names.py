@@ -7,16 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import strip
 
-#: Labels of known models; a prefix that stands for a family; settings that mean yes.
-LABELS = {
-    "mistral-ocr-latest": "Mistral OCR",
-    "mistral-ocr-2512": "Mistral OCR",
-    "glm-ocr:bf16": "GLM-OCR (bf16)",
-    "paddleocr:pt:gpu": "PaddleOCR (GPU)",
-    "easyocr:pt,en:gpu": "EasyOCR (GPU)",
-    "tesseract:por+eng:oem3": "Tesseract OEM3",
-}
-FAMILY, FAMILY_LABEL = "mistral-ocr", "Mistral OCR"
+#: Settings that mean yes; the palette.
 YES = ("1", "true", "yes", "on", "sim")
 COLORS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
 
@@ -34,9 +25,10 @@ def output_path(root: str, model: Column, source: Column) -> Column:
     return F.concat(F.lit(f"{root.rstrip('/')}/data/extracted/"), safe_name(model), F.lit("_output_"), safe_name(stem), F.lit(".json"))
 
 
-def label(model: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, model), F.when(model.startswith(FAMILY), F.lit(FAMILY_LABEL)), model)
+def label(model: Column, labels: dict[str, str] | None = None, families: dict[str, str] | None = None) -> Column:
+    """How a chart names a model: by its id in labels, else by the first of families that its id begins with, else by its id."""
+    named = [F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), model)] if labels else []
+    return F.coalesce(*named, *[F.when(model.startswith(prefix), F.lit(shown)) for prefix, shown in (families or {}).items()], model)
 
 
 def color(index: Column) -> Column:

@@ -89,3 +89,9 @@ def console_lines(board: DataFrame) -> DataFrame:
     """The fixed-width lines of a leaderboard, in order of rank."""
     line = F.format_string("%-20s %8.4f %8.4f %8d %8d %10.3f %8d %10d %8d", F.left("model", F.lit(20)), "cer", "wer", "char_distance", "word_distance", "total_processing_seconds", "failed_pages_count", "missing_pages_count", "extra_pages_count")
     return board.select("doc", "rank", line.alias("line"))
+
+
+def console_page_lines(pages: DataFrame) -> DataFrame:
+    """The fixed-width lines of each model's pages, for the longer form of the console report."""
+    line = F.format_string("%4d %8.4f %8.4f %8d %8d %10s", "page", "cer", "wer", "char_distance", "word_distance", F.left("status", F.lit(10)))
+    return pages.select("doc", "model", "page", line.alias("line"))

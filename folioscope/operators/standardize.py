@@ -20,7 +20,7 @@ PAGE_FIELDS = (
     "page", "image_file", "status", "text", "text_for_cer_wer", "char_count", "word_count", "processing_seconds",
     "rotation_applied_degrees", "extraction_mode", "warnings", "error", "metadata",
 )
-#: Raw fields and their types; absent columns count as null.
+#: The fields of a raw page, beside PAGE_FIELDS those of a standard one. Absent columns count as null.
 RAW_FIELDS = {
     "page": "string", "image_file": "string", "text": "string", "processing_seconds": "string", "rotation_applied_degrees": "string",
     "extraction_mode": "string", "ocr_method": "string", "warnings": "array<string>", "error": "string",
@@ -55,7 +55,7 @@ def _blank_to_null(c: Column) -> Column:
 def standardize_pages(raw: DataFrame) -> DataFrame:
     """PAGE_FIELDS of each raw page, with all columns of raw that are no raw field.
 
-    Nothing is rejected: bad numbers become 0, negative seconds 0, warnings that are no list none. An error makes the
+    Nothing is rejected: bad numbers become 0, negative seconds and NaN 0, warnings that are no list none. An error makes the
     status error even beside a text.
     """
     own = [c for c in raw.columns if c not in RAW_FIELDS]
@@ -64,7 +64,7 @@ def standardize_pages(raw: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", display_text(F.col("raw_text")))
     rows = rows.withColumn("text_for_cer_wer", scoring_text(F.col("text")))
     error = _blank_to_null(F.col("raw_error"))
-    seconds = F.coalesce(F.col("raw_processing_seconds").try_cast("double"), F.lit(0.0))
+    seconds = F.nanvl(F.coalesce(F.col("raw_processing_seconds").try_cast("double"), F.lit(0.0)), F.lit(0.0))
     whole = lambda name: F.coalesce(F.col(f"raw_{name}").try_cast("int"), F.lit(0))
     mode = F.coalesce(F.when(F.col("raw_extraction_mode") != "", F.col("raw_extraction_mode")), F.col("raw_ocr_method"))
     warnings = F.filter(F.transform(F.coalesce("raw_warnings", F.array().cast("array<string>")), lambda w: F.coalesce(strip(w), F.lit("None"))), lambda w: w != "")
@@ -77,7 +77,7 @@ def standardize_pages(raw: DataFrame) -> DataFrame:
         "text_for_cer_wer",
         F.length("text").alias("char_count"),
         count_words(F.col("text_for_cer_wer")).alias("word_count"),
-        round3(F.greatest(seconds, F.lit(0.0))).alias("processing_seconds"),
+        round3(F.when(seconds > 0.0, seconds).otherwise(F.lit(0.0))).alias("processing_seconds"),
         whole("rotation_applied_degrees").alias("rotation_applied_degrees"),
         _blank_to_null(mode).alias("extraction_mode"),
         warnings.alias("warnings"),

@@ -12,7 +12,7 @@ def percent_label(cer):
     return F.when(cer > 1, F.lit(">100%")).otherwise(F.format_string("%.0f%%", cer * 100))
 
 
-def heat_cells(board: DataFrame, pages: DataFrame) -> DataFrame:
+def heat_cells(board: DataFrame, pages: DataFrame, labels: dict[str, str] | None = None, families: dict[str, str] | None = None) -> DataFrame:
     """doc, rank, model, label, color, position, cell (cer up to 1), percent of each page of each ranked model.
 
     Position counts a model's pages from 1; there are as many columns as the first-ranked model has pages.
@@ -22,7 +22,7 @@ def heat_cells(board: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.join(board.select("doc", "model", "rank"), ["doc", "model"])
     width = F.max(F.when(F.col("rank") == 1, F.col("position"))).over(Window.partitionBy("doc"))
     rows = rows.withColumn("columns", width).where("position <= columns")
-    return rows.select("doc", "rank", "model", label(F.col("model")).alias("label"), color(F.col("rank") - 1).alias("color"), "position", F.least("cer", F.lit(1.0)).alias("cell"), percent_label(F.col("cer")).alias("percent"))
+    return rows.select("doc", "rank", "model", label(F.col("model"), labels, families).alias("label"), color(F.col("rank") - 1).alias("color"), "position", F.least("cer", F.lit(1.0)).alias("cell"), percent_label(F.col("cer")).alias("percent"))
 
 
 def heat_matrix(cells: DataFrame, columns: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import distance, geometry, names, text
 from folioscope.operators import evaluate, layout, quality, select, standardize
 from folioscope.plans import charts
-from folioscope.sources import documents, engines
+from folioscope.sources import documents, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -301,130 +301,102 @@ def latency_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("average_seconds", F.col("total_seconds") / F.col("pages"))
 
 
-# ---- attempts
+# ---- attempts at whole texts: letters confused, every fourth word lost, the text itself; some fail, by the text's length
 
+#: Size of the page that a text is taken to fill, in pixels; lines of a band, which begins with the last line of the one before.
+PAGE_WIDTH, PAGE_HEIGHT = 1654, 2339
+BAND_LINES = 8
+
+SQL_FEWER_WORDS = "array_to_string(list_filter(string_split(s, ' '), lambda w, i: (i - 1) % 4 <> 3), ' ')"
 SQL_ATTEMPTS = f"""
-d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
-u AS (SELECT doc_id, 0 AS idx, 'pagina_inteira' AS mode, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(s, 60) END AS t, doc_id % 11 = 1 AS suspicious FROM d
-      UNION ALL SELECT doc_id, 1, 'pagina_inteira_pre', CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(s, 200) END, doc_id % 5 = 2 FROM d
-      UNION ALL SELECT doc_id, 2, 'faixas', CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(s, 200) END, false FROM d),
-a AS (SELECT *, {SQL_SCORE} AS score FROM u)"""
+d AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT doc_id, 0 AS idx, 'pagina_inteira' AS mode, CASE WHEN n % 3 = 0 THEN '' ELSE translate(s, 'elo', 'c10') END AS t, n % 11 = 1 AS suspicious, n % 3 = 0 AS fails FROM d
+      UNION ALL SELECT doc_id, 1, 'pagina_inteira_pre', CASE WHEN n % 7 = 0 THEN '' ELSE {SQL_FEWER_WORDS} END, n % 5 = 2, n % 7 = 0 FROM d
+      UNION ALL SELECT doc_id, 2, 'faixas', CASE WHEN n % 7 < 2 THEN '' ELSE s END, n % 13 = 4, n % 7 < 2 FROM d),
+a AS (SELECT *, {SQL_SCORE} AS score FROM u),
+w AS (SELECT doc_id, string_agg(mode, ',' ORDER BY idx) AS warnings, coalesce(string_agg(mode || ': engine failed', ' | ' ORDER BY idx) FILTER (fails), '') AS errors FROM u GROUP BY doc_id)"""
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, s = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    one = lambda idx, mode, t, suspicious: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), t.alias("text"), suspicious.alias("suspicious"))
+def fewer_words(s: Column) -> Column:
+    return F.array_join(F.filter(F.split(s, " ", -1), lambda _, i: i % 4 != 3), " ")
+
+
+def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = F.length("t"), F.col("t")
+    one = lambda idx, mode, t, fails, suspicious: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), F.when(fails, "").otherwise(t).alias("text"), suspicious.alias("suspicious"), F.when(fails, F.lit("engine failed")).alias("error"))
     rows = F.array(
-        one(0, "pagina_inteira", F.when(d % 3 == 0, "").otherwise(F.left(s, F.lit(60))), d % 11 == 1),
-        one(1, "pagina_inteira_pre", F.when(d % 7 == 0, "").otherwise(F.left(s, F.lit(200))), d % 5 == 2),
-        one(2, "faixas", F.when(d % 7 == 0, "").otherwise(F.left(s, F.lit(200))), F.lit(False)),
+        one(0, "pagina_inteira", F.translate(s, "elo", "c10"), n % 3 == 0, n % 11 == 1),
+        one(1, "pagina_inteira_pre", fewer_words(s), n % 7 == 0, n % 5 == 2),
+        one(2, "faixas", s, n % 7 < 2, n % 13 == 4),
     )
-    made = table(spark, sf_dir, "documents").select("doc_id", F.explode(rows).alias("a")).select("doc_id", "a.*")
-    return made.withColumns({"score": text.score_text(F.col("text")), "warnings": F.array().cast("array<string>"), "error": F.lit(None).cast("string")})
+    made = texts(spark, sf_dir).select("doc_id", F.explode(rows).alias("a")).select("doc_id", "a.*")
+    return made.withColumns({"warnings": F.array("mode"), "width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_attempts(spark, sf_dir).withColumn("score", text.score_text(F.col("text")))
+
+
+SQL_BEST = """
+SELECT b.doc_id, mode, t AS text, score, warnings, CASE WHEN t = '' THEN errors END AS error
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {0}) AS n FROM a) b JOIN w ON b.doc_id = w.doc_id WHERE n = 1"""
 
 
-SQL_BEST = "SELECT doc_id, mode, t AS text, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {0}) AS n FROM a) WHERE n = 1"
+def _best(attempts: DataFrame, tiered: bool) -> DataFrame:
+    return select.best_attempt(attempts, ("doc_id",), tiered=tiered).select("doc_id", "mode", "text", "score", F.array_join("warnings", ",").alias("warnings"), "error")
 
 
 @query(f"WITH {SQL_ATTEMPTS} " + SQL_BEST.format("t <> '' DESC, CASE WHEN t <> '' THEN score END DESC, CASE WHEN t <> '' THEN idx ELSE -idx END"))
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_attempt(attempts(spark, sf_dir), ("doc_id",)).select("doc_id", "mode", "text", "score")
+    return _best(attempts(spark, sf_dir), False)
 
 
 @query(f"WITH {SQL_ATTEMPTS} " + SQL_BEST.format("t <> '' AND NOT suspicious DESC, t <> '' DESC, CASE WHEN t <> '' THEN score END DESC, CASE WHEN t <> '' THEN idx ELSE -idx END"))
 def best_attempt_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_attempt(attempts(spark, sf_dir), ("doc_id",), tiered=True).select("doc_id", "mode", "text", "score")
+    return _best(attempts(spark, sf_dir), True)
 
 
-SQL_STAGE = "CASE WHEN doc_id % {0} = 0 THEN '' ELSE left(s, {1}) END"
+@query()
+def best_attempt_suspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with suspicion from the texts themselves, which SQL can't state (back-references)."""
+    return _best(select.judged(raw_attempts(spark, sf_dir), suspicion=True), True)
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
-u AS (SELECT doc_id, 0 AS idx, {SQL_STAGE.format(2, 90)} AS t FROM d UNION ALL SELECT doc_id, 1, {SQL_STAGE.format(3, 150)} FROM d
-      UNION ALL SELECT doc_id, 2, {SQL_STAGE.format(5, 300)} FROM d UNION ALL SELECT doc_id, 3, {SQL_STAGE.format(7, 1000)} FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT doc_id, 0 AS idx, CASE WHEN n % 2 = 0 THEN '' ELSE translate(s, 'elo', 'c10') END AS t FROM d UNION ALL SELECT doc_id, 1, CASE WHEN n % 3 = 0 THEN '' ELSE {SQL_FEWER_WORDS} END FROM d
+      UNION ALL SELECT doc_id, 2, CASE WHEN n % 5 = 0 THEN '' ELSE translate(s, 'aiu', '4 v') END FROM d UNION ALL SELECT doc_id, 3, CASE WHEN n % 7 = 0 THEN '' ELSE s END FROM d),
 a AS (SELECT *, {SQL_SCORE} AS score, t <> '' AND NOT {SQL_GENERIC} AND {SQL_SCORE} >= 90 AS good FROM u),
 b AS (SELECT doc_id, min(idx) FILTER (good) AS stop FROM a GROUP BY doc_id),
 k AS (SELECT a.* FROM a JOIN b ON a.doc_id = b.doc_id WHERE stop IS NULL OR idx <= stop)
 SELECT doc_id, idx, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t <> '' DESC, CASE WHEN t <> '' THEN score END DESC, CASE WHEN t <> '' THEN idx ELSE -idx END) AS n FROM k) WHERE n = 1
 """)
 def cascade_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("s"))
-
-    def stage(out: int, n: int):
-        said = F.when(F.col("doc_id") % out == 0, "").otherwise(F.left("s", F.lit(n)))
-        return lambda df: df.withColumns({"text": said, "error": F.lit(None).cast("string"), "warnings": F.array().cast("array<string>")})
-
-    stages = list(zip(standardize.PIPELINE, (stage(2, 90), stage(3, 150), stage(5, 300), stage(7, 1000))))
-    return select.cascade(pages, stages, lambda df, _: df, ("doc_id",)).select("doc_id", "idx", "text")
+    n, s = F.length("t"), F.col("t")
 
+    def stage(out: int, said: Column):
+        fails = n % out == 0
+        return lambda df: df.withColumns({"text": F.when(fails, "").otherwise(said), "error": F.when(fails, F.lit("engine failed")), "warnings": F.array().cast("array<string>")})
 
-# ---- attempts at whole texts; the queries above and merge_bands see what their SQL cuts out
-
-#: Size of the page that a whole text is taken to fill, in pixels.
-PAGE_WIDTH, PAGE_HEIGHT = 1654, 2339
-#: Lines of a band; a band begins with the last line of the one before.
-BAND_LINES = 8
-
-
-def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, s, h (a hash of the text that says which engines fail), width, height."""
-    rows = texts(spark, sf_dir).withColumnRenamed("t", "s")
-    return rows.withColumns({"h": F.crc32(F.col("s").cast("binary")), "width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
-
-
-def without_fourth_words(s: Column) -> Column:
-    return F.array_join(F.filter(F.split(s, " ", -1), lambda _, i: i % 4 != 3), " ")
+    stages = list(zip(standardize.PIPELINE, (stage(2, F.translate(s, "elo", "c10")), stage(3, fewer_words(s)), stage(5, F.translate(s, "aiu", "4 v")), stage(7, s))))
+    return select.cascade(texts(spark, sf_dir), stages, sinks.written, ("doc_id",)).select("doc_id", "idx", "text")
 
 
 def whole_bands(s: Column) -> Column:
     """band, text of overlapping bands that cover the lines of a text to its end."""
-    rows = text.lines(s)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(rows) - 2), F.lit(BAND_LINES - 1))
-    return F.transform(starts, lambda at: F.struct(at.alias("band"), F.array_join(F.slice(rows, at + 1, F.lit(BAND_LINES)), "\n").alias("text")))
 
+    def cut(rows: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(rows) - 2), F.lit(BAND_LINES - 1))
+        return F.transform(starts, lambda at: F.struct(at.alias("band"), F.array_join(F.slice(rows, at + 1, F.lit(BAND_LINES)), "\n").alias("text")))
 
-def whole_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three attempts at each whole text: letters confused, every fourth word lost, merged from bands. Some fail."""
-    h, s = F.col("h"), F.col("s")
-    failed = F.lit("engine failed")
-    one = lambda idx, mode, t, fails: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), F.when(fails, "").otherwise(t).alias("text"), F.when(fails, failed).alias("error"))
-    banded = text.dedupe_lines(F.array_join(F.transform(whole_bands(s), lambda b: b["text"]), "\n"))
-    rows = F.array(
-        one(0, "pagina_inteira", F.translate(s, "elo", "c10"), h % 3 == 0),
-        one(1, "pagina_inteira_pre", without_fourth_words(s), h % 7 == 0),
-        one(2, "faixas", banded, h % 7 == 0),
-    )
-    made = whole_texts(spark, sf_dir).select("doc_id", "width", "height", F.explode(rows).alias("a")).select("doc_id", "width", "height", "a.*")
-    return select.judged(made.withColumn("warnings", F.array().cast("array<string>")), suspicion=True)
-
-
-@query()
-def best_attempt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_attempt(whole_attempts(spark, sf_dir), ("doc_id",)).select("doc_id", "mode", "text", "score")
-
-
-@query()
-def best_attempt_tiered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.best_attempt(whole_attempts(spark, sf_dir), ("doc_id",), tiered=True).select("doc_id", "mode", "text", "score")
-
-
-@query()
-def cascade_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def stage(out: int, t: Column):
-        fails = F.col("h") % out == 0
-        return lambda df: df.withColumns({"text": F.when(fails, "").otherwise(t), "error": F.when(fails, F.lit("engine failed")), "warnings": F.array().cast("array<string>")})
-
-    s = F.col("s")
-    stages = list(zip(standardize.PIPELINE, (stage(2, F.translate(s, "elo", "c10")), stage(3, without_fourth_words(s)), stage(5, text.dedupe_lines(s)), stage(7, s))))
-    return select.cascade(whole_texts(spark, sf_dir), stages, lambda df, _: df, ("doc_id",), suspicion=True).select("doc_id", "idx", "text")
+    return text.let(text.lines(s), cut)
 
 
 @query(f"""
 WITH s AS (SELECT doc_id, text AS t FROM documents WHERE text <> ''), {SQL_DEDUPED.format(key="doc_id", source="s")}
 SELECT s.doc_id, coalesce({SQL_DISPLAY.replace("coalesce(text, '')", "coalesce(a.text, '')")}, '') AS text FROM s LEFT JOIN a ON s.doc_id = a.doc_id
 """)
-def merge_bands_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping bands of each text to its end, joined and without repeated lines: what dedupe_lines makes of the text."""
     bands = texts(spark, sf_dir).select("doc_id", F.explode(whole_bands(F.col("t"))).alias("b")).select("doc_id", "b.*")
     return select.merge_bands(bands, ("doc_id",))
@@ -532,13 +504,14 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'glm-ocr:bf16' WHEN 1 THEN 'mistral-ocr-' || n_nationkey WHEN 2 THEN 'paddleocr:pt:gpu' ELSE n_name END AS model FROM nation)
-SELECT id, model, CASE WHEN model = 'glm-ocr:bf16' THEN 'GLM-OCR (bf16)' WHEN model = 'paddleocr:pt:gpu' THEN 'PaddleOCR (GPU)' WHEN model LIKE 'mistral-ocr%' THEN 'Mistral OCR' ELSE model END AS label FROM m
+WITH m AS (SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'first:v1' WHEN 1 THEN 'second-' || n_nationkey WHEN 2 THEN 'third:fast' ELSE n_name END AS model FROM nation)
+SELECT id, model, CASE WHEN model = 'first:v1' THEN 'First (v1)' WHEN model = 'third:fast' THEN 'Third, fast' WHEN model LIKE 'second-%' THEN 'Second' ELSE model END AS label FROM m
 """)
 def label_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    model = F.when(n % 4 == 0, "glm-ocr:bf16").when(n % 4 == 1, F.concat(F.lit("mistral-ocr-"), n.cast("string"))).when(n % 4 == 2, "paddleocr:pt:gpu").otherwise(F.col("n_name"))
-    return table(spark, sf_dir, "nation").select(n.alias("id"), model.alias("model")).withColumn("label", names.label(F.col("model")))
+    model = F.when(n % 4 == 0, "first:v1").when(n % 4 == 1, F.concat(F.lit("second-"), n.cast("string"))).when(n % 4 == 2, "third:fast").otherwise(F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").select(n.alias("id"), model.alias("model"))
+    return rows.withColumn("label", names.label(F.col("model"), {"first:v1": "First (v1)", "third:fast": "Third, fast"}, {"second-": "Second"}))
 
 
 @query("SELECT event_id, event_type || '/' || CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR ELSE json_extract_string(props, '$.k') END AS merged FROM events")
@@ -571,23 +544,3 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.console_lines(evaluate.leaderboard(*reference_and_candidates(benchmark_pages(spark, sf_dir))))
-
-
-@query(f"""
-WITH s AS (SELECT doc_id, left(coalesce(text, ''), 500) || chr(10) || substr(coalesce(text, ''), 400, 300) AS t FROM documents), {SQL_DEDUPED.format(key="doc_id", source="s")}
-SELECT s.doc_id, coalesce({SQL_DISPLAY.replace("coalesce(text, '')", "coalesce(a.text, '')")}, '') AS text FROM s LEFT JOIN a ON s.doc_id = a.doc_id
-""")
-def merge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping bands of each text, joined and without repeated lines."""
-    t = F.coalesce("text", F.lit(""))
-    cut = F.array(F.struct(F.lit(0).alias("band"), F.left(t, F.lit(500)).alias("text")), F.struct(F.lit(1).alias("band"), F.substring(t, 400, 300).alias("text")))
-    bands = table(spark, sf_dir, "documents").select("doc_id", F.explode(cut).alias("b")).select("doc_id", "b.*")
-    return select.merge_bands(bands, ("doc_id",))
-
-
-@query()
-def cloud_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a cloud engine, made of the web pages."""
-    page = F.struct(F.col("page_id").cast("int").alias("index"), F.col("html").alias("markdown"), F.col("url").alias("header"), F.lit("").alias("footer"), F.array(F.lit("t")).alias("tables"))
-    said = engines.cloud_response_to_text(F.to_json(F.struct(F.array(page).alias("pages"))))
-    return table(spark, sf_dir, "pages").select("page_id", said.alias("r")).select("page_id", "r.text", "r.summary.response_pages_count", "r.summary.tables_count")

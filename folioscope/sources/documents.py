@@ -13,7 +13,7 @@ from folioscope.operators.quality import reusable_pages
 
 #: Where results are looked for, and where if there are none.
 RESULTS, FALLBACK = "data/extracted/*_output_*.json", "ocr_models/*/*_output.json"
-#: Keys of a page that are no metadata.
+#: Keys of a page that are no metadata.
 PAGE_KEYS = (
     "page", "image_file", "status", "text", "text_for_cer_wer", "char_count", "word_count", "processing_seconds",
     "rotation_applied_degrees", "extraction_mode", "ocr_method", "warnings", "error", "metadata", "meta",

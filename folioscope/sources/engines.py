@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import engine_text, strip
+from folioscope.functions.text import engine_text, let, strip
 from folioscope.operators.quality import RETRYABLE
 
 ATTEMPT_SCHEMA = "text string, error string, warnings array<string>, processing_seconds double"
@@ -83,13 +83,19 @@ def last_attempts(errors: Column, n: int = 6) -> Column:
 
 
 def with_retries(request: Callable[[], tuple[int, str]], attempts: int, backoff: float, sleep=time.sleep) -> str:
-    """A request's body; codes that may pass are tried again after backoff * 2 ** attempt seconds."""
+    """A request's body; codes that may pass, and requests that fail without an answer, are tried again after backoff * 2 ** attempt seconds."""
     for attempt in range(attempts):
-        status, answer = request()
-        if status < 400:
-            return answer
-        if status not in RETRYABLE or attempt == attempts - 1:
-            raise RuntimeError(f"HTTP {status}: {answer}")
+        last = attempt == attempts - 1
+        try:
+            status, answer = request()
+        except Exception as e:  # noqa: BLE001  a connection fails in many ways
+            if last:
+                raise RuntimeError(f"no answer: {e}") from e
+        else:
+            if status < 400:
+                return answer
+            if status not in RETRYABLE or last:
+                raise RuntimeError(f"HTTP {status}: {answer}")
         sleep(backoff * 2**attempt)
     raise RuntimeError("no attempt was made")
 
@@ -122,23 +128,56 @@ class FakeEngine:
 
 
 def cloud_response_to_text(payload: Column, header: bool = True, footer: bool = True) -> Column:
-    """struct(text, summary) of a cloud answer (JSON): pages' header, markdown and footer joined by blank lines, cleaned of markup."""
-    page = "struct<index:int,markdown:string,header:string,footer:string,tables:array<string>,images:array<string>,hyperlinks:array<string>>"
-    pages = F.from_json(payload, f"struct<pages:array<{page}>>")["pages"]
-    part = lambda c, on=True: F.when(F.lit(on) & (strip(c) != ""), strip(c))
-    texts = F.transform(pages, lambda p: strip(F.concat_ws("\n\n", part(p["header"], header), part(p["markdown"]), part(p["footer"], footer))))
-    counted = lambda field: F.aggregate(F.transform(pages, lambda p: F.greatest(F.coalesce(F.size(p[field]), F.lit(0)), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    summary = F.struct(
-        F.size(pages).alias("response_pages_count"), F.filter(F.transform(pages, lambda p: p["index"]), lambda i: i.isNotNull()).alias("response_page_indices"),
-        counted("tables").alias("tables_count"), counted("images").alias("images_count"), counted("hyperlinks").alias("hyperlinks_count"),
-    )
-    text = engine_text(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n"), markup=True)
-    return F.struct(text.alias("text"), summary.alias("summary"))
+    """struct(text, summary) of a cloud answer (JSON): pages' header, markdown and footer joined by blank lines, cleaned of markup.
+
+    Pages that are no objects count, but say nothing. An answer without a list of pages, or with an empty one, is an
+    error. summary keeps usage_info as JSON where it is an object.
+    """
+
+    def of(answer: Column) -> Column:
+        listed = F.try_variant_get(answer, "$.pages", "array<variant>")
+        checked = F.when(F.coalesce(F.size(listed), F.lit(0)) <= 0, F.raise_error(F.lit("the answer holds no pages"))).otherwise(listed)
+        usage = F.try_variant_get(answer, "$.usage_info", "variant")
+        return F.struct(checked.alias("pages"), F.when(F.schema_of_variant(usage).startswith("OBJECT"), F.to_json(usage)).alias("usage_info"))
+
+    def said(p: Column, key: str, on: bool = True) -> Column:
+        text = strip(F.try_variant_get(p, f"$.{key}", "string"))
+        return F.when(F.lit(on) & (text != ""), text)
+
+    def page(p: Column) -> Column:
+        listed = lambda key: F.greatest(F.coalesce(F.size(F.try_variant_get(p, f"$.{key}", "array<variant>")), F.lit(0)), F.lit(0))
+        return F.struct(
+            F.concat_ws("\n\n", said(p, "header", header), said(p, "markdown"), said(p, "footer", footer)).alias("text"),
+            F.try_variant_get(p, "$.index", "int").alias("index"),
+            listed("tables").alias("tables"), listed("images").alias("images"), listed("hyperlinks").alias("hyperlinks"),
+        )
+
+    def summed(answer: Column) -> Column:
+        objects = F.filter(answer["pages"], lambda p: F.schema_of_variant(p).startswith("OBJECT"))
+        pages = F.struct(F.transform(objects, page).alias("said"), F.size(answer["pages"]).alias("n"), answer["usage_info"].alias("usage_info"))
+
+        def told(x: Column) -> Column:
+            total = lambda field: F.aggregate(x["said"], F.lit(0), lambda a, p: a + p[field]).alias(f"{field}_count")
+            indices = F.filter(F.transform(x["said"], lambda p: p["index"]), lambda i: i.isNotNull())
+            text = F.array_join(F.filter(F.transform(x["said"], lambda p: p["text"]), lambda t: t != ""), "\n\n")
+            summary = F.struct(x["n"].alias("response_pages_count"), indices.alias("response_page_indices"), total("tables"), total("images"), total("hyperlinks"), x["usage_info"].alias("usage_info"))
+            return F.struct(text.alias("raw"), summary.alias("summary"))
+
+        return let(pages, told)
+
+    found = let(let(F.parse_json(payload), of), summed)
+    return F.struct(engine_text(found["raw"], markup=True).alias("text"), found["summary"].alias("summary"))
 
 
 def chat_response_to_text(payload: Column) -> Column:
-    """The content of a local model server's answer (JSON), in either form."""
-    return F.coalesce(F.get_json_object(payload, "$.message.content"), F.get_json_object(payload, "$.response"), F.lit(""))
+    """The content of a local model server's answer (JSON): of its message, or of response where there is a message that is no object."""
+
+    def of(answer: Column) -> Column:
+        message = F.try_variant_get(answer, "$.message", "variant")
+        other = message.isNotNull() & ~F.schema_of_variant(message).startswith("OBJECT")
+        return strip(F.coalesce(F.when(other, F.try_variant_get(answer, "$.response", "string")).otherwise(F.try_variant_get(answer, "$.message.content", "string")), F.lit("")))
+
+    return F.coalesce(let(F.try_parse_json(payload), of), F.lit(""))
 
 
 def error_message(payload: Column, default: str = "Erro desconhecido.") -> Column:

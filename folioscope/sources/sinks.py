@@ -1,10 +1,54 @@
-"""Writing results: one JSON document a row, reports, ranking lines, page-wise checkpoints."""
+"""Writing results: documents as files of their own, JSON lines, reports, page-wise checkpoints, tables that cut lineage."""
 
 from __future__ import annotations
 
+import json
+import posixpath
+import tempfile
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.names import output_path
+
+
+def file_system(uri: str):
+    """(file system, path) of pyarrow for a URI such as file:///..., hdfs://..., or for a plain path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def write_document_files(documents: DataFrame, root: str, extra_root: str | None = None, source: str = "source_pdf") -> DataFrame:
+    """Each document as a JSON file of its own, under the path that output_path builds from its model and source; returns path, bytes of each.
+
+    The files are indented by two spaces, keep what is not ASCII and replace what is there; extra_root gets a copy. The
+    tasks write them, so root must be a folder that all executors share; a task that is run again writes the same
+    files. discover finds them there. Runs when the result is read or written.
+    """
+    roots = list(dict.fromkeys(r for r in (root, extra_root) if r))
+    body = F.to_json(F.struct(*[c for c in documents.columns]), {"ignoreNullFields": "false"})
+    rows = documents.select(F.array(*[output_path(r, F.col("model"), F.col(source)) for r in roots]).alias("paths"), body.alias("body"))
+
+    def run(batches):
+        for batch in batches:
+            written = []
+            for paths, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode()
+                for path in paths:
+                    fs, at = file_system(path)
+                    fs.create_dir(posixpath.dirname(at), recursive=True)
+                    with fs.open_output_stream(at) as out:
+                        out.write(data)
+                    written.append((path, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in written], pa.string()), pa.array([n for _, n in written], pa.int64())], ["path", "bytes"])
+
+    return rows.mapInArrow(run, "path string, bytes long")
+
 
 def write_documents(documents: DataFrame, path: str, extra_path: str | None = None) -> None:
     """Documents as JSON lines, non-ASCII kept, replacing what is there; a second copy if another path is named."""
@@ -24,3 +68,23 @@ def write_report(report: DataFrame, path: str) -> None:
 def append_pages(pages: DataFrame, path: str) -> None:
     """Page-wise progress: finished pages are appended by model; a rerun reads them and leaves them out."""
     pages.write.mode("append").partitionBy("model").parquet(path)
+
+
+def scratch_folder(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share; only a local session may go without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/folioscope-scratch"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a scratch folder and read back: what came before it is not computed again."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry, names
 from folioscope.operators import evaluate, layout, quality, select, standardize
-from folioscope.plans import charts
-from folioscope.sources import documents, engines, sinks
+from folioscope.plans import charts, runs
+from folioscope.sources import boundary, documents, engines, sinks
 from folioscope.streaming.pages import append_stream
 
 RAW = "doc string, model string, ord int, page string, text string, processing_seconds string, error string, warnings array<string>, meta map<string,string>, metadata map<string,string>, ocr_method string"
@@ -31,6 +32,11 @@ def test_standardize_coerces(spark):
     assert (c.page, c.status, c.error, c.processing_seconds) == (0, "ok", None, 0.0)
 
 
+def test_odd_seconds(spark):
+    rows = standardize.standardize_pages(raw(spark, ("d", "m", 0, "1", "t", "NaN"), ("d", "m", 1, "2", "t", "Infinity"), ("d", "m", 2, "3", "t", "-Infinity"), ("d", "m", 3, "4", "t", "2.0005"))).orderBy("ord").collect()
+    assert [r.processing_seconds for r in rows] == [0.0, float("inf"), 0.0, round(2.0005, 3)]
+
+
 def test_documents(spark):
     pages = standardize.standardize_pages(raw(spark, ("d", "m", 0, "2", "two", "24.115"), ("d", "m", 1, "1", "one", "24.115"), ("d", "m", 2, "0", "zero", "0"), ("d", "m", 3, "3", "", "0", "e")))
     (d,) = standardize.build_documents(pages).collect()
@@ -154,10 +160,10 @@ def test_geometry(spark):
 
 def test_names(spark):
     one = spark.range(1).select(
-        names.safe_name(F.lit(" a/b ç.. ")), names.safe_name(F.lit("..")), names.output_path("/r", F.lit("m:1"), F.lit("x/My File.v2.pdf")), names.label(F.lit("mistral-ocr-9")), names.label(F.lit("own")),
-        names.color(F.lit(12)), names.flag(F.lit(" Sim ")), names.positive_ints(F.lit("3, x,-1,4")), names.model_id("tesseract", names.languages(F.lit("por+eng")), F.lit("oem3"), "+"), names.keyed_engine_config(3, F.lit(6)), names.image_format(F.lit("JPEG")),
+        names.safe_name(F.lit(" a/b ç.. ")), names.safe_name(F.lit("..")), names.output_path("/r", F.lit("m:1"), F.lit("x/My File.v2.pdf")), names.label(F.lit("family-9"), {"one": "One"}, {"family-": "Family"}), names.label(F.lit("own")),
+        names.color(F.lit(12)), names.flag(F.lit(" Sim ")), names.positive_ints(F.lit("3, x,-1,4")), names.model_id("keyed", names.languages(F.lit("por+eng")), F.lit("oem3"), "+"), names.keyed_engine_config(3, F.lit(6)), names.image_format(F.lit("JPEG")),
     ).first()
-    assert list(one)[:10] == ["a_b", "arquivo", "/r/data/extracted/m_1_output_My_File.v2.json", "Mistral OCR", "own", "#2ca02c", True, [3, 4], "tesseract:por+eng:oem3", "--oem 3 --psm 6 -c preserve_interword_spaces=1"]
+    assert list(one)[:10] == ["a_b", "arquivo", "/r/data/extracted/m_1_output_My_File.v2.json", "Family", "own", "#2ca02c", True, [3, 4], "keyed:por+eng:oem3", "--oem 3 --psm 6 -c preserve_interword_spaces=1"]
     assert tuple(one[10]) == ("jpg", "JPEG")
 
 
@@ -189,13 +195,17 @@ def test_resume(spark):
 
 
 def test_engine_answers(spark):
-    cloud = json.dumps({"pages": [{"index": 0, "markdown": "# T", "header": "H", "tables": ["t"]}, {"index": 1, "markdown": ""}]})
+    cloud = json.dumps({"pages": [{"index": 0, "markdown": "# T", "header": "H", "tables": ["t"]}, "no object", {"index": 1, "markdown": ""}], "usage_info": {"pages": 2}})
+    for none in ('{"pages":[]}', '{"text":"x"}', '{"pages":"x"}'):
+        with pytest.raises(Exception, match="no pages"):
+            spark.range(1).select(engines.cloud_response_to_text(F.lit(none))).collect()
     one = spark.range(1).select(
         engines.cloud_response_to_text(F.lit(cloud)).alias("c"), engines.chat_response_to_text(F.lit('{"message":{"content":"hi"}}')).alias("m"),
         engines.error_message(F.lit('{"message":" ","error":{"type":"bad"}}')).alias("e"), engines.error_message(F.lit("plain")).alias("p"), engines.error_message(F.lit("[]")).alias("d"),
         engines.boxes_of_parallel_arrays(F.lit('{"res":{"rec_texts":["a","b"],"rec_scores":[0.5]}}')).alias("b"),
     ).first()
-    assert (one.c.text, one.c.summary.response_pages_count, one.c.summary.tables_count, one.m, one.e, one.p, one.d) == ("H\n\nT", 2, 1, "hi", "bad", "plain", "Erro desconhecido.")
+    assert (one.c.text, one.c.summary.response_pages_count, one.c.summary.tables_count, one.m, one.e, one.p, one.d) == ("H\n\nT", 3, 1, "hi", "bad", "plain", "Erro desconhecido.")
+    assert (one.c.summary.response_page_indices, one.c.summary.usage_info) == ([0, 1], '{"pages":2}')
     assert [(b.text, b.confidence, b.box) for b in one.b] == [("a", 0.5, None), ("b", 0.0, None)]
     legacy = '[[[[0,1],[4,1]],["a",0.9]],[[[0,5],[4,5]],["b",0.8]]]'
     both = spark.range(1).select(engines.boxes_of_legacy_lists(F.lit(legacy)).alias("x"), engines.boxes_of_legacy_lists(F.lit(f"[{legacy}]")).alias("y"), engines.last_attempts(F.array(*[F.lit(str(i)) for i in range(8)])).alias("l"), engines.last_attempts(F.array(F.lit("1"))).alias("k"), names.optional_flag(F.lit(" ")).alias("f")).first()
@@ -205,6 +215,19 @@ def test_engine_answers(spark):
     waits = []
     answers = iter([(503, ""), (429, ""), (200, "ok")])
     assert engines.with_retries(lambda: next(answers), 3, 0.5, waits.append) == "ok" and waits == [0.5, 1.0]
+    fallible = iter([ConnectionError("reset"), TimeoutError("slow"), (200, "ok")])
+
+    def request():
+        found = next(fallible)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    assert engines.with_retries(request, 3, 0.0, waits.append) == "ok"
+    with pytest.raises(RuntimeError, match="no answer: down"):
+        engines.with_retries(lambda: (_ for _ in ()).throw(OSError("down")), 2, 0.0, waits.append)
+    with pytest.raises(RuntimeError, match="HTTP 400"):
+        engines.with_retries(lambda: (400, "bad"), 3, 0.0, waits.append)
     assert engines.first_answer(lambda c: c, ["", "generic", "text"], lambda t: t == "generic") == "text"
 
 
@@ -217,3 +240,80 @@ def test_stream_and_sinks(spark, tmp_path):
     assert pages.count() == 3
     sinks.write_documents(standardize.build_documents(pages), f"{tmp_path}/docs")
     assert spark.read.json(f"{tmp_path}/docs").first().page_count == 2
+
+
+def test_results_of_any_shape():
+    class Array:
+        def tolist(self):
+            return [[1, 2, 5, 9]]
+
+    class Answer:
+        res = {"rec_texts": ["a"], "rec_scores": ["0.5"], "rec_boxes": Array()}
+
+    line = lambda t, c: [[[0, 1], [4, 1], [4, 3], [0, 3]], [t, c]]
+    assert boundary.boxed(Answer()) == [(0, "a", 0.5, 1.0, 2.0, 5.0, 9.0)]
+    assert boundary.boxed([[line("a", 0.9), line(" b ", "x")]]) == [(0, "a", 0.9, 0.0, 1.0, 4.0, 3.0), (1, "b", 0.0, 0.0, 1.0, 4.0, 3.0)]
+    assert boundary.boxed(line("a", 0.9)) == [(0, "a", 0.9, 0.0, 1.0, 4.0, 3.0)]
+    assert boundary.boxed({"texts": ["a", "", "c"], "scores": [1]}) == [(0, "a", 1.0, 0.0, 0.0, 8.0, 10.0), (2, "c", 0.0, 0.0, 40.0, 8.0, 50.0)]
+    assert boundary.boxed([[["x"], {"text": "yy", "confidence": 0.25, "bbox": [3, 4, 1, 2]}], None, 7, []]) == [(0, "x", 0.0, 0.0, 0.0, 8.0, 10.0), (0, "yy", 0.25, 1.0, 2.0, 3.0, 4.0)]
+    assert boundary.boxed({"res": {"texts": []}, "text": "t"})[0][1] == "t" and boundary.boxed(None) == []
+
+
+def test_renderers(spark, tmp_path):
+    one = lambda content, dpi: [(dpi, 1, content), (dpi, 2, content)]
+
+    def broken(content, dpi):
+        raise OSError("no library")
+
+    assert boundary.render_with_fallback(b"x", 72, {"a": broken, "b": one})[1] == (72, 2, b"x")
+    with pytest.raises(RuntimeError, match="a: no library . c: no pages"):
+        boundary.render_with_fallback(b"x", 72, {"a": broken, "c": lambda content, dpi: []})
+    with pytest.raises(RuntimeError, match="a: no library$"):
+        boundary.render_with_fallback(b"x", 72, {"a": broken, "b": one}, " A ")
+    with pytest.raises(ValueError, match="unknown page renderer"):
+        boundary.render_with_fallback(b"x", 72, {"a": broken}, "z")
+    files = spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b"2"))], "path string, content binary")
+    images = spark.createDataFrame([("p", "page_0002.jpg", bytearray(b"j2")), ("p", "page_0001.jpg", bytearray(b"j1")), ("p", "page_0001.png", bytearray(b"n"))], "path string, image_file string, image binary")
+    got = boundary.rendered_or_reused(files, images, 100, {"b": one}).orderBy("path", "page").collect()
+    assert [(r.path, r.page, r.image_file, bytes(r.image), r.reused) for r in got] == [("p", 1, "page_0001.jpg", b"j1", True), ("p", 2, "page_0002.jpg", b"j2", True), ("q", 1, "page_0001.jpg", b"2", False), ("q", 2, "page_0002.jpg", b"2", False)]
+    assert boundary.rendered_or_reused(files, None, 100, {"b": one}).count() == 4
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/tool").write_text("")
+    assert boundary.tool_folder("tool", ["", f"{tmp_path}/bin/tool"], []) == f"{tmp_path}/bin" == boundary.tool_folder("tool", [], ["/none", f"{tmp_path}/bin"], lambda t: None)
+    assert boundary.tool_folder("tool", [], [f"{tmp_path}/bin"], lambda t: "/usr/bin/tool") is None
+
+
+def test_checks_before_a_run():
+    boundary.check_model("m:v2", ["m:v1", ""])
+    with pytest.raises(RuntimeError, match="is not available: a"):
+        boundary.check_model("m", ["a:1"])
+    boundary.check_languages(["por"], ["por", "eng"])
+    with pytest.raises(RuntimeError, match="languages x are not available: eng, por"):
+        boundary.check_languages(["por", "x"], ["por", "eng"])
+    assert [boundary.device(w, a)[0] for w in (None, True, False) for a in (True, False)] == [True, False, True, False, False, False]
+    assert boundary.device(True, False)[1]
+    assert boundary.tool_command(" x ", "/none", "t") == "x" and boundary.tool_command("", "/none", "t", lambda t: "/b/t") == "/b/t" and boundary.tool_command(None, "/none", "t", lambda t: None) == "t"
+    assert boundary.first_constructor(lambda **k: k["b"], [{"a": 1}, {"b": 2}]) == 2
+    with pytest.raises(RuntimeError, match="no variant"):
+        boundary.first_constructor(lambda **k: k["c"], [{"a": 1}] * 9)
+
+
+def test_files_to_ranking_and_chart(spark, tmp_path):
+    """Documents written as files, found again, rated against a reference file; the report is read back for the chart."""
+    pages = standardize.standardize_pages(raw(spark, ("x.pdf", "good", 0, "1", "alpha beta"), ("x.pdf", "good", 1, "2", "gamma"), ("x.pdf", "poor", 0, "1", "alpha"), ("x.pdf", "poor", 1, "2", "delta")))
+    docs = standardize.build_documents(pages).withColumns({"source_pdf": F.col("doc"), "file_name": F.col("doc")})
+    assert sinks.write_document_files(docs, str(tmp_path / "out"), str(tmp_path / "copy")).count() == 4
+    written = json.loads((tmp_path / "out/data/extracted/good_output_x.json").read_text())
+    assert written["pages"][0]["text"] == "alpha beta" and written["pages"][0]["error"] is None
+    assert (tmp_path / "out/data/extracted/good_output_x.json").read_text().startswith('{\n  "')
+    assert (tmp_path / "copy/data/extracted/poor_output_x.json").exists()
+    (tmp_path / "ref.json").write_text(json.dumps([{"page": 1, "text": "alpha beta"}, {"page": 2, "text": "gamma"}]))
+    board = runs.evaluate_files(spark, str(tmp_path / "ref.json"), root=str(tmp_path / "out"), report_path=str(tmp_path / "report")).orderBy("rank").collect()
+    assert [(r.rank, r.model, r.cer) for r in board] == [(1, "good", 0.0), (2, "poor", board[1].cer)] and board[1].cer > 0
+    part = next(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part"))
+    cells = runs.chart_frames(spark, [str(part)], {"good": "Good"}).collect()
+    assert {(c.label, c.position) for c in cells} == {("Good", 1), ("Good", 2), ("poor", 1), ("poor", 2)}
+    rows = evaluate.console_page_lines(evaluate.page_metrics(*evaluation(spark))).where("model = 'b'").orderBy("page").collect()
+    assert rows[0].line == "   1   0.0000   0.0000        0        0         ok"
+    checked = sinks.written(spark.range(3), "test-written")
+    assert checked.count() == 3

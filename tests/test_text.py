@@ -93,3 +93,24 @@ def test_score(spark):
     values = ["", "one two", "é½ x_1\n\nb", "🙂 ok"]
     (got,) = on(spark, values, text.score_text(F.col("s")))
     assert [round(g, 9) for g in got] == [round(score(v), 9) for v in values]
+
+
+def test_long_texts_in_proportion(spark):
+    """A text of 100,000 lines: no array grows in a fold."""
+    lines = [f"line {i // 2}" if i % 7 else "" for i in range(100_000)]
+    (got,) = on(spark, ["\n".join(lines)], text.dedupe_lines(F.col("s")))
+    assert got[0] == deduped("\n".join(lines))
+
+
+def test_repeated_phrases_as_the_pattern_finds_them(spark):
+    from folioscope.operators import quality
+
+    r = random.Random(7)
+    words = ["abc", "abcd", "xabc", "ab", "a-bc", "-abc", "abc-", "é__", "...", "def", "abc."]
+    values = [" ".join(r.choices(words[: r.randint(1, 11)], k=r.randint(0, 40))) for _ in range(4000)]
+    values += [("x-" if i % 2 else "") + " ".join(["one two three four"[: 3 + 4 * (i % 4)].strip()] * (3 + i % 3)) + ("more" if i % 3 else "") for i in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    norm = F.lower(text.scoring_text(text.display_text(F.col("s"))))
+    rows = df.select(norm.rlike(quality.REPEATED_PHRASE).alias("plain"), quality._may_repeat(norm).alias("may"), quality.runaway_repetition(F.col("s")).alias("got"), quality.longest_run(F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))).alias("run")).collect()
+    assert all(r.may for r in rows if r.plain) and 0 < sum(r.plain for r in rows) < len(rows)
+    assert all(r.got == (r.plain or r.run >= quality.LONGEST_RUN) for r in rows)
