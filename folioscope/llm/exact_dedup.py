@@ -87,7 +87,9 @@ def drop_exact_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> Data
     groups = members.groupBy("digest").agg(F.max("doc_id").alias("top"), F.sum("times").alias("n")).where("n > 1")
     often = max(2, members.count() // HOT_SHARE)
     hot, rest = (groups.where(c) for c in (F.col("n") >= often, F.col("n") < often))
-    found = members.join(F.broadcast(hot), "digest").unionByName(members.join(rest, "digest"))
+    hot = F.broadcast(hot)
+    # only rows of other groups are dealt by their digests
+    found = members.join(hot, "digest").unionByName(members.join(hot, "digest", "left_anti").join(rest, "digest"))
     stays = F.col("doc_id").eqNullSafe(F.col("top"))
     # a row goes if another one stays for it; of rows that come more than once all go first
     gone = materialize(found.where(~stays | (F.col("times") > 1)).select(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "n_bytes", "head", "digest")], stays.alias("stays")), "exact-dropped")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import byte_bpe, components, exact_dedup, lm_score, media, mixing, near_dedup, quality, shared, token_files, toxicity, url_filter
+from folioscope.llm import byte_bpe, components, exact_dedup, lm_score, media, mixing, near_dedup, quality, registry, shared, token_files, toxicity, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -601,6 +601,146 @@ def test_network_slopes():
         assert slopes[name][at] == pytest.approx((above - below) / 2e-5, rel=1e-3, abs=1e-6), name
 
 
+# ---- the queries themselves, on a folder of odd rows
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """sf_dir with odd documents, ones to learn from, labels and pages."""
+    at = tmp_path_factory.mktemp("sf")
+    r = random.Random(21)
+    rows = [x for x in odd_rows() if x[0] is not None]
+    for i in range(300):
+        toxic = r.random() < 0.3
+        text = sentence(r, r.randint(20, 60)).capitalize() + "."
+        if i % 3 == 0:
+            text = "!!! $$$ " + text.upper() + " %%% " * 9
+        rows.append((1000 + i, text + (" You are a worthless idiot." if toxic else ""), "en", f"s{i % 4}", len(text)))
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(d, int(not t.startswith("!!!")), int("idiot" in t)) for d, t, *_ in rows if d >= 1000], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    urls = [None, "", "http://a.net/x", "http://b.org/fr/1", "http://c.io/1"] + [f"http://d{i}.example.net/en/{i}" for i in range(20)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("<p>x</p>")).write.parquet(f"{at}/pages.parquet")
+    return str(at), [(d, text_of(t)) for d, t, *_ in rows]
+
+
+def test_every_query_on_odd_rows(spark, folder):
+    import duckdb
+
+    at, rows = folder
+    con = duckdb.connect()
+    for name in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet/*.parquet'")
+    for name, run in registry.QUERIES.items():
+        got = run(spark, at).toPandas()
+        assert len(got) == (25 if name == "op3_url_filter" else len(rows)), name
+        if name in registry.ORACLES:
+            want = con.execute(registry.ORACLES[name]).df()
+            shown = lambda d: sorted(tuple("-" if x is None or x != x else str(x) for x in row) for row in d[sorted(got.columns)].itertuples(index=False))
+            assert sorted(want.columns) == sorted(got.columns) and shown(got) == shown(want), name
+
+
+def test_held_out_scores(spark, folder):
+    """op1 and op2: rows are held out by the crc32 of their ids, equal texts have equal scores, and held-out labels are told."""
+    at, rows = folder
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    for run, column, threshold in ((quality.op1_quality, "quality", 0.5), (toxicity.op2_toxicity, "toxic", 0.7)):
+        got = run(spark, at).collect()
+        texts, by_text = dict(rows), {}
+        for g in got:
+            assert g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 3 == 1) and 0 <= g.score <= 1 and g.predicted == (g.score >= threshold)
+            assert by_text.setdefault(texts[g.doc_id], g.score) == g.score
+        held = [g for g in got if g.held_out and g.doc_id in labels]
+        assert sum(g.predicted == labels[g.doc_id][column] for g in held) >= 0.95 * len(held) > 50
+
+
+def test_marks_of_the_product_automaton():
+    """Each symbol's marks are those of the five transducers run side by side."""
+    r = random.Random(22)
+    parts = toxicity.transducers()
+    for _ in range(2000):
+        states, state = [p.start for p in parts], 0
+        for symbol in r.choices(range(7), k=r.randint(1, 14)):
+            state, got = toxicity.GRAMMAR[state][symbol]
+            made = [p.step(s, symbol) for p, s in zip(parts, states)]
+            states = [m[0] for m in made]
+            assert got == {m[1] for m in made if m[1]}
+
+
+def test_clause_marks_by_hand():
+    g = toxicity.Grammar({})
+    kinds = lambda clause: [toxicity.KINDS[k] for k, _ in g.matches([g.read(w) for w in g.split(clause.lower())])]
+    # threat, targeted, negated, reported
+    assert kinds("you are an idiot") == [(0, 1, 0, 0)]
+    assert kinds("not an idiot") == [(0, 0, 1, 0)]
+    assert kinds("she said an idiot came") == kinds("an idiot came, she said") == [(0, 1, 0, 1)]
+    assert kinds("I will kill you") == [(1, 1, 0, 0)] and kinds("they kill weeds") == []
+
+
+def test_ridge_and_calibration_against_brute_force(spark, folder):
+    """Normal equations summed by task give the ridge solution over all rows; the calibration's points are the pools of adjacent violators."""
+    at, _ = folder
+    docs, labels = (spark.read.parquet(f"{at}/{name}.parquet") for name in ("documents", "labels"))
+    scorer = quality.train(docs, labels)
+    rows = quality.labelled_statistics(docs, labels).collect()
+    x, y = np.array([r.x for r in rows]), np.array([float(r.label) for r in rows])
+    assert np.allclose(scorer.center, x.mean(0)) and np.allclose(scorer.spread, x.std(0) + 1e-6)
+    fit = np.array([not r.calibrates for r in rows])
+    z = quality.cosines(x[fit], scorer.center, scorer.spread)
+    stacked = np.vstack([z, quality.RIDGE**0.5 * np.eye(z.shape[1])])
+    brute = np.linalg.lstsq(stacked, np.append(y[fit], np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(quality.cosines(x, scorer.center, scorer.spread) @ brute, scorer.raw(x), atol=1e-6)
+    # the cosines' products approach the Gaussian kernel of that width
+    u = np.clip((x[:40] - scorer.center) / scorer.spread, -quality.FAR, quality.FAR)
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(2) / (2 * quality.WIDTH**2))
+    near = quality.cosines(x[:40], scorer.center, scorer.spread)[:, 1:]
+    assert np.abs(near @ near.T - kernel).max() < 0.35
+
+    raw, label = scorer.raw(x[~fit]), y[~fit]
+    blocks = [[s, t, 1.0] for s, t in sorted(zip(raw, label))]
+    i = 0
+    while i + 1 < len(blocks):
+        if blocks[i][1] / blocks[i][2] >= blocks[i + 1][1] / blocks[i + 1][2]:
+            blocks[i] = [p + q for p, q in zip(blocks[i], blocks[i + 1])]
+            del blocks[i + 1]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    assert np.allclose(scorer.at, [s / n for s, _, n in blocks])
+    assert np.allclose(scorer.probability, np.maximum.accumulate([(t + label.mean()) / (n + 1) for _, t, n in blocks]))
+
+
+def test_byte_bpe_query_like_library(spark, folder):
+    import tiktoken
+
+    at, rows = folder
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.ByteBpe(byte_bpe.default_path()).ranks, special_tokens={})
+    texts = dict(rows)
+    for g in byte_bpe.op8_byte_bpe(spark, at).collect():
+        ids = library.encode_ordinary(texts[g.doc_id])
+        assert (g.n_tokens, g.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert g.decoded_sha256 == hashlib.sha256(texts[g.doc_id].encode()).hexdigest()
+
+
+def test_media_query_against_plain_wave_files(spark, folder):
+    import io
+    import wave
+
+    at, rows = folder
+    texts = dict(rows)
+    for g in media.op10_media_columns(spark, at).collect():
+        data = texts[g.doc_id].encode()
+        payload = data + b" " * (-len(data) % 192 or (192 if not data else 0))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000)
+            w.writeframes(payload)
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (g.media_bytes, g.media_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(float) - 128
+        share = np.unique(payload and list(payload), return_counts=True)[1] / len(payload)
+        assert g.feature == f"mean={x.mean():.4f};rms={np.sqrt((x**2).mean()):.4f};crossings={np.mean((x[1:] >= 0) != (x[:-1] >= 0)):.4f};entropy={max(0.0, -(share * np.log2(share)).sum()):.4f}"
+
+
 # ---- pipeline
 
 
@@ -625,3 +765,34 @@ def test_pipeline(spark, tmp_path):
     assert {f.doc_id for f in final} <= ids[2]
     texts = {x[0]: text_of(x[1]) for x in rows}
     assert all(f.decoded_sha256 == hashlib.sha256(texts[f.doc_id].encode()).hexdigest() for f in final)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, folder, tmp_path):
+    """Columns of any name, nulls everywhere, repeated rows; and no rows at all."""
+    at, _ = folder
+    rows = odd_rows()
+    odd = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("mine") for c in ("copies", "finish", "n_bytes", "digest", "row", "key", "label")})
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, kept, f"{tmp_path}/{name}")
+            assert after.columns == docs.columns
+            kept = shared.materialize(after, "test-stage")
+        final = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        texts = {hashlib.sha256(text_of(r[1]).encode()).hexdigest() for r in rows if WORD.search(text_of(r[1]))}
+        assert {f.decoded_sha256 for f in final} <= texts and bool(final) == (name == "odd")
+
+
+def test_released_scratch(spark):
+    import os
+
+    since = shared.scratch_made()
+    first = shared.materialize(spark.range(3).toDF("x"), "test-first")
+    second = shared.materialize(first, "test-second")
+    at = shared._MADE[since].removeprefix("file://")
+    assert os.path.isdir(at)
+    shared.release(spark, since)
+    assert not os.path.exists(at) and second.count() == 3
