@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -142,6 +143,36 @@ def test_near_on_odd_tables(spark, odd, none):
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_dedup_query_against_all_pairs_that_share_a_shingle(spark):
+    """op7 on a whole table against exact counts: pairs without a common shingle can't be similar, all others are counted from an inverted index."""
+    sf_dir = "/root/testdata/sf0.01"
+    sets = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        w = WORD.findall(text_of(r.text).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[r.doc_id] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    holders, common = {}, {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            for other in holders.setdefault(s, []):
+                common[other, d] = common.get((other, d), 0) + 1
+            holders[s].append(d)
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            top[y] = x
+    got = near_dedup.op7_near_dedup(spark, sf_dir).collect()
+    assert {g.doc_id: (g.n_shingles, g.component_id, g.kept) for g in got} == {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+    assert 0 < sum(not g.kept for g in got) < len(got)
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(7)
     pool = r.integers(0, 2**63, 4000, dtype=np.uint64)
@@ -787,8 +818,6 @@ def test_pipeline_on_odd_and_empty_tables(spark, folder, tmp_path):
 
 
 def test_released_scratch(spark):
-    import os
-
     since = shared.scratch_made()
     first = shared.materialize(spark.range(3).toDF("x"), "test-first")
     second = shared.materialize(first, "test-second")
