@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import body, table
+from folioscope.llm.shared import body, kept, table
 
 #: Code points of the White_Space property: fixed values.
 WHITE_SPACE = (
@@ -69,18 +69,17 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 
 AFTER, START = _automaton()
-_KEPT: dict = {}
 
 
 def class_table() -> np.ndarray:
     """Class of each code point."""
-    if "classes" not in _KEPT:
+    if "classes" not in kept("byte_bpe"):
         by_first = {"L": LETTER, "N": NUMBER}
         kinds = np.fromiter((by_first.get(unicodedata.category(chr(c))[0], SIGN) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
         kinds[list(WHITE_SPACE)] = WHITE
         kinds[0x20] = SPACE
-        _KEPT["classes"] = kinds
-    return _KEPT["classes"]
+        kept("byte_bpe")["classes"] = kinds
+    return kept("byte_bpe")["classes"]
 
 
 def refined_classes(points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -152,9 +151,9 @@ class ByteBpe:
 
     @classmethod
     def of(cls, path: str) -> ByteBpe:
-        if path not in _KEPT:
-            _KEPT[path] = cls(path)
-        return _KEPT[path]
+        if path not in kept("byte_bpe"):
+            kept("byte_bpe")[path] = cls(path)
+        return kept("byte_bpe")[path]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: the pair of lowest rank is merged, the first of equals, until no pair has a rank."""
@@ -257,8 +256,8 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id") -> D
             for part in batches_of(texts):
                 ids = [x.astype(np.int32) for x in bpe.encode(texts[part])]
                 starts = [bpe.offsets(x).astype(np.int32) for x in ids]
-                kept = batch.column(0)[part.start : part.stop]
-                yield pa.RecordBatch.from_arrays([kept, pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "ids", "offsets"])
+                own = batch.column(0)[part.start : part.stop]
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "ids", "offsets"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 

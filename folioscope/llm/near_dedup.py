@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.shared import body, materialize, small_or_shuffled, table
+from folioscope.llm.shared import body, kept, materialize, small_or_shuffled, table
 
 #: Words in a shingle and least similarity in per cent, unless a query says otherwise.
 WIDTH, PERCENT = 5, 80
@@ -35,7 +35,6 @@ ERRORS = 5.0
 BLOCK, CHUNK = 512, 400_000
 WORDS_KEPT = 150_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_KEPT: dict = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,7 +53,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    known = _KEPT.setdefault("words", {})
+    known = kept("near_dedup").setdefault("words", {})
     try:
         w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,22 @@ BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Scratch folders made in this process and not yet released.
 _MADE: list[str] = []
+#: What the operator that a Python worker runs keeps from task to task.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this operator keeps in a Python worker. Workers are used again by later steps: the first call of another operator drops it, and gives back freed memory."""
+    if operator not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _KEPT[operator] = {}
+    return _KEPT[operator]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

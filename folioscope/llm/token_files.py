@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import body, python_fs, scratch, table
+from folioscope.llm.shared import body, kept, python_fs, scratch, table
 from folioscope.llm.words import Words
 
 #: Fixed values of the public seekable format and of skippable frames.
@@ -45,7 +45,6 @@ ASCII_RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Bytes that a reader fetches at once.
 FETCH = 4 << 20
-_KEPT: dict = {}
 
 
 def byte_characters() -> dict[int, int]:
@@ -91,9 +90,9 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        if path not in _KEPT:
-            _KEPT[path] = cls(path)
-        return _KEPT[path]
+        if path not in kept("token_files"):
+            kept("token_files")[path] = cls(path)
+        return kept("token_files")[path]
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
