@@ -40,6 +40,8 @@ END_ID = 2
 LEVEL = 1
 #: Words, and runs of words, whose ids are kept; bytes of texts whose words are looked up together.
 WORDS, RUNS_KEPT, TOGETHER = 300_000, 700_000, 4_000_000
+#: Longer words and runs aren't kept, so that what is kept is bounded in bytes.
+KEPT_BYTES = 64
 #: What the tokenizer splits a word into, once normalised.
 ASCII_RUNS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -63,7 +65,9 @@ class Known(dict):
         self.find = find
 
     def __missing__(self, key):
-        self[key] = value = self.find(key)
+        value = self.find(key)
+        if len(key) <= KEPT_BYTES:
+            self[key] = value
         return value
 
 
@@ -84,7 +88,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[int, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.runs = Known(self.run)
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
@@ -138,16 +142,15 @@ class WordEncoder:
             self.words.clear()
         if len(self.runs) > RUNS_KEPT:
             self.runs.clear()
-        order = np.argsort(words.types)
-        types = words.types[order]
-        new = np.append(True, types[1:] != types[:-1])[: len(types)]
-        first, inverse = order[new], np.empty(len(order), np.int64)
-        inverse[order] = np.cumsum(new) - 1
+        first, inverse = words.distinct()
         found, known, data = [], self.words, words.bytes.tobytes()
-        for kind, start, size in zip(types[new].tolist(), words.first[first].tolist(), words.sizes[first].tolist()):
-            ids = known.get(kind)
+        for start, size in zip(words.first[first].tolist(), words.sizes[first].tolist()):
+            word = data[start : start + size]
+            ids = known.get(word)
             if ids is None:
-                ids = known[kind] = self.word(data[start : start + size])
+                ids = self.word(word)
+                if size <= KEPT_BYTES:
+                    known[word] = ids
             found.append(ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes

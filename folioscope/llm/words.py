@@ -37,6 +37,36 @@ class Words:
         sums = np.add.reduceat(_DRAWN[self.bytes] * powers[place], self.first) if len(starts) else np.empty(0, np.uint64)
         self.types = mixed(sums + self.sizes.astype(np.uint64)).view(np.int64)
 
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b (their numbers, side by side) have the same bytes."""
+        same = self.sizes[a] == self.sizes[b]
+        n = np.where(same, self.sizes[a], 0)
+        ends = np.cumsum(n)
+        offset = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+        differs = self.bytes[np.repeat(self.first[a], n) + offset] != self.bytes[np.repeat(self.first[b], n) + offset]
+        same[np.searchsorted(ends, np.flatnonzero(differs), "right")] = False
+        return same
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, inverse): the number of a word of each kind, and each word's kind. Kinds are told by bytes: equal hashes only propose them."""
+        order = np.argsort(self.types, kind="stable")
+        types = self.types[order]
+        new = np.append(True, types[1:] != types[:-1])[: len(types)]
+        first, inverse = order[new], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        others = np.flatnonzero(first[inverse] != np.arange(len(order)))
+        wrong = others[~self.alike(others, first[inverse[others]])]
+        if len(wrong):  # other words with the hash of a first one: told apart one by one
+            data, kinds, more = self.bytes.tobytes(), {}, []
+            for i in wrong.tolist():
+                word = data[self.first[i] : self.first[i] + self.sizes[i]]
+                if word not in kinds:
+                    kinds[word] = len(first) + len(more)
+                    more.append(i)
+                inverse[i] = kinds[word]
+            first = np.append(first, more)
+        return first, inverse
+
     def pairs(self) -> np.ndarray:
         """Number of each pair of neighbouring symbols: 0 before a word and behind it, a byte and one inside. A word has its bytes' pairs, then its last one."""
         symbols = self.bytes.astype(np.int32) + 1

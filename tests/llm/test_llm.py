@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import byte_bpe, components, exact_dedup, lm_score, media, mixing, near_dedup, quality, registry, shared, token_files, toxicity, url_filter
+from folioscope.llm import byte_bpe, components, exact_dedup, lm_score, media, mixing, near_dedup, quality, registry, shared, token_files, toxicity, url_filter, words
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -375,6 +375,29 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.write_token_files(none, path, empty) == [] and token_files.digest_token_files(spark, empty).count() == 0
 
 
+def thue_morse(length, first):
+    return "".join("ab"[(i.bit_count() + first) % 2] for i in range(length))
+
+
+@pytest.mark.parametrize("length", [1024, 2048])
+def test_words_with_equal_hashes(spark, length):
+    """Words that a polynomial hash modulo 2^64 can't tell apart, alone and repeated, get the library's ids each."""
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(length, 0), thue_morse(length, 1)
+    texts = [one, other, f"{one} x {other}", f"{other} {one} {other}", " ".join([one, other] * 9), "x", one.upper()]
+    found = words.Words([t.encode() for t in texts])
+    assert len(set(found.types.tolist())) == 2  # else this test shows nothing
+    first, inverse = found.distinct()
+    assert len(first) == 3 and found.alike(np.arange(len(inverse)), first[inverse]).all()
+    path = token_files.default_path()
+    folder = shared.scratch(spark, "test-collisions")
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, folder)
+    got = {g.doc_id: g.ids_crc32 for g in token_files.digest_token_files(spark, folder).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
 def test_token_file_checksum(tmp_path):
     from pyarrow import fs
 
