@@ -4,8 +4,8 @@ Rows are grouped by the length of their text in bytes; only rows of a length tha
 as well; only rows of such a group that has two members are grouped by the SHA-256 of the whole text. No shuffle carries
 a text: what is shuffled is some 60 bytes a row at most.
 
-exact_groups owes the digest of every row to its result, so it takes all three marks in one scan and refines over the
-marks. drop_exact_copies takes the digest of the survivors of the first two steps alone.
+exact_groups owes the digest of every row to its result, so it takes all three marks in one scan; what it groups are the
+lengths of all rows, the prefix hashes of rows that share a length, the digests of rows that share both. drop_exact_copies takes the digest of the survivors of the first two steps alone.
 
 Groups are counted with map-side partial sums before they are compared, so a text that fills a third of the table is
 one row a task there. Groups of at least one HOT_SHARE-th of all rows number HOT_SHARE at most; these are broadcast, and only rows of
@@ -42,6 +42,15 @@ def _shared_heads(counts: DataFrame) -> DataFrame:
     return counts.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "head").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes", "head")
 
 
+def _of_group(rows: DataFrame, groups: DataFrame, keys: list[str], often: int) -> DataFrame:
+    """rows with the other columns of their group, null for rows of none. groups: keys, n and others, materialized.
+
+    Groups of at least `often` rows are broadcast; only rows of none of these are dealt by key, if the other groups are too many to be broadcast.
+    """
+    hot, rest = F.broadcast(groups.where(F.col("n") >= often)), small_or_shuffled(groups.where(F.col("n") < often))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left"))
+
+
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, digest, keep_id, group_size, kept.
 
@@ -51,17 +60,14 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame
     doc_id and text are read, so further columns never clash.
     """
     rows = materialize(marks(docs, prefix_chars), "exact-marks")
-    # one row a task for each text, so copies meet already counted
-    texts = materialize(rows.groupBy("n_bytes", "head", "digest").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "exact-texts")
-    survivors = texts.join(_shared_heads(texts.select("n_bytes", "head", "n")), ["n_bytes", "head"], "left_semi")
-    groups = survivors.where("n > 1").select("digest", "top", "n")
     often = max(2, rows.count() // HOT_SHARE)
-    hot = F.broadcast(groups.where(F.col("n") >= often).withColumnsRenamed({"top": "hot_top", "n": "hot_n"}))
-    rows = rows.join(hot, "digest", "left")
-    # rows that are answered already are dealt by their ids and meet nothing
-    dealt = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.md5(F.col("doc_id").cast("string")).cast("binary"))
-    rest = groups.where(F.col("n") < often).withColumnRenamed("digest", "dealt")
-    rows = rows.withColumn("dealt", dealt).join(rest, "dealt", "left").withColumns({"top": F.coalesce("hot_top", "top"), "n": F.coalesce("hot_n", "n")})
+    shared = lambda of, keys: materialize(of.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "exact-shared")
+    still = rows
+    for keys in (["n_bytes"], ["n_bytes", "head"]):
+        still = _of_group(still, shared(still, keys), keys, often).where("n IS NOT NULL").drop("n")
+    # copies meet already counted, a row a task for each text
+    groups = materialize(still.groupBy("digest").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "exact-groups")
+    rows = _of_group(rows, groups, ["digest"], often)
     return rows.select(
         "doc_id",
         "n_bytes",

@@ -87,6 +87,32 @@ def test_exact_groups_hot_and_cold(spark, monkeypatch):
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()) == sorted(max(ds) for ds in of.values())
 
 
+def test_exact_groups_refine(spark, monkeypatch):
+    """Lengths of all rows are grouped, heads of rows that share a length, digests of rows that share both."""
+    grouped = []
+    write = exact_dedup.materialize
+
+    def watched(df, tag):
+        out = write(df, tag)
+        if "marks" not in tag:
+            grouped.append((tag, out.count(), df))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "materialize", watched)
+    apart = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string")
+    assert exact_dedup.exact_groups(apart).where("kept AND group_size = 1").count() == 50
+    assert [(tag, n) for tag, n, _ in grouped] == [("exact-shared", 0), ("exact-shared", 0), ("exact-groups", 0)]
+    del grouped[:]
+    # one length: 20 heads of their own, 5 texts alike in 256 characters, 3 equal ones without an id among them
+    texts = [f"{i:02}" + "a" * 300 for i in range(20)] + ["b" * 301 + str(i) for i in range(5)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1])] * 3
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(tag, n) for tag, n, _ in grouped] == [("exact-shared", 1), ("exact-shared", 1), ("exact-groups", 1)]
+    keys = [f.name for _, _, df in grouped for f in df.schema.fields if f.name in ("n_bytes", "head", "digest")]
+    assert keys == ["n_bytes", "n_bytes", "head", "digest"]
+    assert sorted((g.keep_id, g.group_size) for g in got) == sorted([(i, 1) for i in range(24)] + [(24, 4)] * 4)
+
+
 def brute_near(rows, width, percent):
     sets = {}
     for d, t in rows:
