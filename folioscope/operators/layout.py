@@ -1,11 +1,17 @@
-"""Reading order: boxes or keyed words to lines to text.
+"""Reading order: boxes or keyed words to lines to text, in time linear in a page's boxes but for their sorting.
 
-A page's boxes are one array (a page is small), so lines are built by a fold inside one row, in the JVM.
+Where a line of boxes ends depends on the running means of the line so far. These are the one thing that Python works out: it
+passes once over rows that Spark has sorted, holds four numbers, and gives each box the number of its line. Lines of keyed words are islands
+between changes of key, found by windows. Everything else is grouping and windows over lines, in the JVM; no array grows in a fold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import dedupe_lines, strip
@@ -32,76 +38,77 @@ def synthetic_box(index: Column, text: Column) -> Column:
     return F.struct(F.lit(0.0).alias("left"), top.alias("top"), F.greatest(F.lit(1.0), F.length(text) * F.lit(8.0)).alias("right"), (top + 10.0).alias("bottom"))
 
 
+def _numbered_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of page and place, with the number of each row's line. A line's middle and height are means of its boxes so far."""
+    page, line, count, middles, heights = None, 0, 0, 0.0, 0.0
+    for batch in batches:
+        names = batch.column("page_key")
+        lines = []
+        changes = [True, *pc.not_equal(names[1:], names[:-1]).to_pylist()] if batch.num_rows else []
+        if changes:
+            changes[0] = names[0].as_py() != page
+            page = names[-1].as_py()
+        for new, middle, height in zip(changes, batch.column("middle").to_pylist(), batch.column("height").to_pylist()):
+            if new:
+                line, count = 0, 0
+            if count and abs(middle - middles / count) <= max(TOLERANCE, min(heights / count, height) * TOLERANCE_SHARE):
+                count, middles, heights = count + 1, middles + middle, heights + height
+            else:
+                line, count, middles, heights = line + 1, 1, middle, height
+            lines.append(line)
+        yield batch.append_column("line", pa.array(lines, pa.int64()))
+
+
 def boxes_to_text(boxes: DataFrame, keys=("page",)) -> DataFrame:
     """keys and text from boxes (keys, idx, text, left, top, bottom).
 
     Boxes go by top, left, idx. One joins the current line if its middle is within the tolerance of the line's, whose
     figures are means of its boxes. Words of a line go by left, top, idx; a wide gap makes a blank line; repeated lines go.
     """
-    height = F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))
-    item = F.struct(
-        F.col("top").cast("double").alias("top"), F.col("left").cast("double").alias("left"), "idx", "text",
-        F.col("bottom").cast("double").alias("bottom"), ((F.col("top") + F.col("bottom")) / 2.0).alias("middle"), height.cast("double").alias("height"),
+    top, bottom = F.col("top").cast("double"), F.col("bottom").cast("double")
+    rows = boxes.select(
+        F.to_json(F.struct(*keys)).alias("page_key"), *keys, "idx", "text", top.alias("top"), F.col("left").cast("double").alias("left"), bottom.alias("bottom"),
+        ((top + bottom) / 2.0).alias("middle"), F.greatest(F.lit(1.0), bottom - top).alias("height"),
     )
-    rows = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    word_type = "struct<left:double,top:double,idx:bigint,text:string>"
-    line_type = f"struct<words:array<{word_type}>,top:double,bottom:double,middles:double,heights:double>"
-    start = F.struct(F.array().cast(f"array<{line_type}>").alias("done"), F.lit(None).cast(line_type).alias("now"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now, n = acc["now"], F.size(acc["now"]["words"])
-        word = F.struct(x["left"].alias("left"), x["top"].alias("top"), x["idx"].cast("bigint").alias("idx"), x["text"].alias("text"))
-        near = F.abs(x["middle"] - now["middles"] / n) <= F.greatest(F.lit(TOLERANCE), F.least(now["heights"] / n, x["height"]) * TOLERANCE_SHARE)
-        alone = F.struct(F.array(word).alias("words"), x["top"].alias("top"), x["bottom"].alias("bottom"), x["middle"].alias("middles"), x["height"].alias("heights"))
-        longer = F.struct(
-            F.concat(now["words"], F.array(word)).alias("words"), F.least(now["top"], x["top"]).alias("top"), F.greatest(now["bottom"], x["bottom"]).alias("bottom"),
-            (now["middles"] + x["middle"]).alias("middles"), (now["heights"] + x["height"]).alias("heights"),
-        )
-        return (
-            F.when(now.isNull(), F.struct(acc["done"].alias("done"), alone.alias("now")))
-            .when(near, F.struct(acc["done"].alias("done"), longer.alias("now")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(now)).alias("done"), alone.alias("now")))
-        )
-
-    rows = rows.withColumn("lines", F.aggregate("items", start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"]))))
-    shaped = F.transform("lines", lambda g: F.struct(
-        strip(F.array_join(F.transform(F.array_sort(g["words"]), lambda w: w["text"]), " ")).alias("text"),
-        g["top"].alias("top"), g["bottom"].alias("bottom"), (g["heights"] / F.size(g["words"])).alias("height"), F.lit(0).alias("section")))
-    return rows.withColumn("shaped", F.filter(shaped, lambda g: g["text"] != "")).select(*keys, dedupe_lines(_rendered("shaped")).alias("text"))
-
-
-def _rendered(column: str) -> Column:
-    """Lines (text, top, bottom, height, section) one under the other, a blank one where a gap is wide or the section changes."""
-    shaped = F.col(column)
-
-    def line(g: Column, i: Column) -> Column:
-        before = F.element_at(shaped, F.greatest(i, F.lit(1)))
-        wide = g["top"] - before["bottom"] > F.greatest(F.lit(GAP), before["height"] * GAP_BEFORE, g["height"] * GAP_AFTER)
-        return F.when((i > 0) & (wide | (g["section"] != before["section"])), F.concat(F.lit("\n"), g["text"])).otherwise(g["text"])
-
-    return F.when(F.size(shaped) == 0, F.lit("")).otherwise(F.array_join(F.transform(shaped, line), "\n"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    numbered = rows.repartition("page_key").sortWithinPartitions("page_key", "top", "left", "idx").mapInArrow(_numbered_lines, f"{kept}, line long")
+    words = F.array_sort(F.collect_list(F.struct("left", "top", "idx", "text")))
+    lines = numbered.groupBy(*keys, "line").agg(
+        strip(F.array_join(F.transform(words, lambda w: w["text"]), " ")).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.avg("height").alias("height")
+    )
+    return _pages(lines.withColumn("section", F.lit(0)), keys)
+
+
+def _pages(lines: DataFrame, keys) -> DataFrame:
+    """keys and text of lines (keys, line, text, top, bottom, height, section): one under the other, a blank one where a gap is wide or the section changes. Lines without text don't count."""
+    filled = F.when(F.col("text") != "", F.struct("bottom", "height", "section"))
+    before = F.last(filled, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines.withColumn("before", before)
+    wide = F.col("top") - F.col("before.bottom") > F.greatest(F.lit(GAP), F.col("before.height") * GAP_BEFORE, F.col("height") * GAP_AFTER)
+    apart = F.col("before").isNotNull() & (wide | (F.col("section") != F.col("before.section")))
+    shown = F.when(F.col("text") != "", F.struct("line", F.when(apart, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("shown")))
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("parts"))
+    return parts.select(*keys, dedupe_lines(F.array_join(F.transform("parts", lambda p: p["shown"]), "\n")).alias("text"))
 
 
 def keyed_words_to_text(words: DataFrame, keys=("page",)) -> DataFrame:
     """keys and text from words (keys, idx, text, top, height, block_num, par_num, line_num), in order of idx.
 
-    A line ends where block, paragraph or line number changes. Its height is a halving mean: each word's height is
-    averaged with the mean so far, the first word's twice. A new block or paragraph, or a wide gap, makes a blank line.
+    A line ends where block, paragraph or line number changes (a null one always is another). Its height is a halving mean: each word's height is
+    averaged with the mean so far. A new block or paragraph, or a wide gap, makes a blank line.
     """
     tall = F.greatest(F.lit(1), F.col("height"))
-    item = F.struct("idx", "text", F.col("top").cast("double").alias("top"), (F.col("top") + tall).cast("double").alias("bottom"), tall.cast("double").alias("height"), "block_num", "par_num", "line_num")
-    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    line_type = "struct<text:string,top:double,bottom:double,height:double,block:bigint,par:bigint,line:bigint>"
-    start = F.array().cast(f"array<{line_type}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.try_element_at(acc, F.lit(-1))
-        key = [x["block_num"].cast("bigint").alias("block"), x["par_num"].cast("bigint").alias("par"), x["line_num"].cast("bigint").alias("line")]
-        same = (now["block"] == x["block_num"]) & (now["par"] == x["par_num"]) & (now["line"] == x["line_num"])
-        alone = F.struct(x["text"].alias("text"), x["top"].alias("top"), x["bottom"].alias("bottom"), x["height"].alias("height"), *key)
-        longer = F.struct(F.concat_ws(" ", now["text"], x["text"]).alias("text"), F.least(now["top"], x["top"]).alias("top"), F.greatest(now["bottom"], x["bottom"]).alias("bottom"), ((now["height"] + x["height"]) / 2.0).alias("height"), *key)
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(alone)))
-
-    rows = rows.withColumn("lines", F.aggregate("items", start, step))
-    shaped = F.transform("lines", lambda g: F.struct(strip(g["text"]).alias("text"), g["top"].alias("top"), g["bottom"].alias("bottom"), g["height"].alias("height"), F.struct(g["block"], g["par"]).alias("section")))
-    return rows.withColumn("shaped", F.filter(shaped, lambda g: g["text"] != "")).select(*keys, dedupe_lines(_rendered("shaped")).alias("text"))
+    numbers = ("block_num", "par_num", "line_num")
+    rows = words.select(*keys, "idx", "text", F.col("top").cast("double").alias("top"), (F.col("top") + tall).cast("double").alias("bottom"), tall.cast("double").alias("height"), *[F.col(n).cast("long").alias(n) for n in numbers])
+    # the window's order is total, so that equal idx fall alike in all three uses
+    order = Window.partitionBy(*keys).orderBy("idx", "text", "top", "bottom", "height", *numbers)
+    same = F.lit(True)
+    for n in numbers:
+        same = same & (F.lag(n).over(order) == F.col(n))
+    rows = rows.withColumn("starts", F.when(same, 0).otherwise(1)).withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("line", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    items = F.array_sort(F.collect_list(F.struct("place", "text", "height")))
+    lines = rows.groupBy(*keys, "line").agg(items.alias("items"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.first("block_num").alias("block"), F.first("par_num").alias("par"))
+    height = F.aggregate(F.transform("items", lambda i: i["height"]), F.col("items")[0]["height"], lambda mean, h: (mean + h) / 2.0)
+    shaped = lines.select(*keys, "line", strip(F.array_join(F.transform("items", lambda i: i["text"]), " ")).alias("text"), "top", "bottom", height.alias("height"), F.struct("block", "par").alias("section"))
+    return _pages(shaped, keys)

@@ -14,9 +14,9 @@ from folioscope.functions.text import GENERIC_FRAGMENTS, WORD_SET, count_alnum,
 LEAST_ALNUM, LEAST_SCORE, LONGEST_RUN, MANY_TOKENS, LEAST_DISTINCT = 25, 90, 6, 600, 0.22
 #: Fragments of fatal engine errors depend on the engine; codes after which a request is tried again.
 RETRYABLE = (408, 409, 429, 500, 502, 503, 504)
-_EDGE = rf"(?:(?<![{WORD_SET}])(?=[{WORD_SET}])|(?<=[{WORD_SET}])(?![{WORD_SET}]))"
-_LONG_WORD = rf"{_EDGE}[{WORD_SET}-]{{3,}}"
-REPEATED_PHRASE = rf"({_LONG_WORD}(?: +{_LONG_WORD}){{0,3}})(?: +\1){{3,}}"
+#: Fixed values of repeated phrases: words of a phrase at most, the copies in a row that count.
+PHRASE_WORDS, PHRASE_COPIES = 4, 4
+_LETTER, _LONG = rf"[{WORD_SET}]", rf"\A[{WORD_SET}-]{{3,}}\z"
 
 
 def generic_of(counts: Column) -> Column:
@@ -62,23 +62,65 @@ def equal_run(tokens: Column, apart: int, n: int) -> Column:
     return F.contains(F.array_join(flags, ""), F.lit("1" * n))
 
 
-def _may_repeat(norm: Column) -> Column:
-    """Necessary for REPEATED_PHRASE: of four equal phrases of k words, the inner two and the inner ends of the outer two are whole words."""
-    return let(F.split(norm, " "), lambda w: reduce(lambda a, b: a | b, [equal_run(w, k, 3 * k - 2) for k in range(1, 5)]))
+def _may_repeat(w: Column) -> Column:
+    """Necessary for a repeated phrase: of four equal phrases of k words, the inner two and the inner ends of the outer two are whole words."""
+    return reduce(lambda a, b: a | b, [equal_run(w, k, (PHRASE_COPIES - 1) * k - 2) for k in range(1, PHRASE_WORDS + 1)])
 
 
-def runaway_repetition(c: Column) -> Column:
-    """A phrase four times in a row, a token six times, or very few distinct tokens among many.
+def _shift(w: Column, by: int) -> Column:
+    """w without its first members; zip_with fills up with nulls."""
+    return F.slice(w, F.lit(by + 1), F.greatest(F.size(w) - by, F.lit(0)))
+
+
+def _opens(word: Column, copy: Column) -> Column:
+    """Whether the phrase's first word, a whole word in its copies, ends this word and begins at an edge of letters and others."""
+    letter = lambda c: c.rlike(_LETTER)
+    before = F.length(word) - F.length(copy)
+    inner = letter(F.substring(word, before, F.lit(1))) != letter(F.left(copy, F.lit(1)))
+    return copy.rlike(_LONG) & F.endswith(word, copy) & F.when(before > 0, inner).otherwise(letter(F.left(copy, F.lit(1))))
+
 
-    The search for a phrase goes back and forth in the text, so it is made only where words repeat at a phrase's distance.
+def _phrase_of(w: Column, k: int) -> Column:
+    """Whether a phrase of k words stands four times in a row in words parted by single spaces.
+
+    Its first copy may begin inside a word and its last one end inside a word; all words between equal the words k places on. So
+    each place has a digit that says what it may be: one at which a phrase opens (1), one of an equal word (2) that may also be a later word of the
+    first copy (4), one whose copy begins the word k places on (8). What is looked for is then a run of fixed length over these digits.
     """
 
-    def judged(norm: Column) -> Column:
-        tokens = F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))
-        few = lambda t: (F.size(t) > MANY_TOKENS) & (F.size(F.array_distinct(t)) / F.size(t) < LEAST_DISTINCT)
-        return let(tokens, lambda t: few(t) | equal_run(t, 1, LONGEST_RUN - 1)) | F.when(_may_repeat(norm), norm.rlike(REPEATED_PHRASE)).otherwise(F.lit(False))
+    def place(word: Column, on: Column) -> Column:
+        # a place without a word that far on has nothing
+        here = F.when(on.isNull(), F.lit(0)).when(word == on, F.when(word.rlike(_LONG), F.when(F.left(word, F.lit(1)).rlike(_LETTER), F.lit(6)).otherwise(F.lit(2))).otherwise(F.lit(0))).otherwise(F.lit(0))
+        opens = F.when(on.isNotNull() & _opens(word, on), F.lit(1)).otherwise(F.lit(0))
+        ends = F.when(on.isNotNull() & F.startswith(on, word) & word.rlike(_LONG), F.lit(8)).otherwise(F.lit(0))
+        return F.substring(F.lit("ABCDEFGHIJKLMNOP"), here + opens + ends + 1, F.lit(1))
+
+    def having(bits: int) -> str:
+        return "[" + "".join("ABCDEFGHIJKLMNOP"[i] for i in range(16) if i & bits == bits) + "]"
+
+    later = f"{having(6)}{{{k - 1}}}{having(2)}{{{2 * k - 1}}}"
+    return F.array_join(F.zip_with(w, _shift(w, k), place), "").rlike(f"{having(1)}{later}{having(8)}")
+
 
-    return let(F.lower(scoring_text(display_text(c))), judged)
+def has_repeated_phrase(w: Column) -> Column:
+    """Whether one to four words of three or more letters, digits, _ or - stand four times in a row; linear in the words."""
+    return reduce(lambda a, b: a | b, [_phrase_of(w, k) for k in range(1, PHRASE_WORDS + 1)])
+
+
+def _runaway(norm: Column) -> Column:
+    """Of a lower-case text on one line."""
+    tokens = F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))
+    few = lambda t: (F.size(t) > MANY_TOKENS) & (F.size(F.array_distinct(t)) / F.size(t) < LEAST_DISTINCT)
+    phrases = let(F.split(norm, " "), lambda w: F.when(_may_repeat(w), has_repeated_phrase(w)).otherwise(F.lit(False)))
+    return let(tokens, lambda t: few(t) | equal_run(t, 1, LONGEST_RUN - 1)) | phrases
+
+
+def runaway_repetition(c: Column) -> Column:
+    """A phrase four times in a row, a token six times, or very few distinct tokens among many.
+
+    Where phrases begin and end is looked at only where words repeat at a phrase's distance.
+    """
+    return let(F.lower(scoring_text(display_text(c))), _runaway)
 
 
 def with_runaway_repetition(df: DataFrame, text: str, to: str = "runaway") -> DataFrame:
@@ -88,9 +130,9 @@ def with_runaway_repetition(df: DataFrame, text: str, to: str = "runaway") -> Da
 
 def with_suspicion(df: DataFrame, text: str, width: str, height: str, to: str = "suspicious") -> DataFrame:
     """df with to: a text too long for its page, or with runaway repetition."""
-    scored = scoring_text(display_text(F.col(text)))
-    long = lambda t: (t != "") & (F.length(t) > max_reasonable_chars(F.col(width), F.col(height)))
-    return df.withColumn(to, let(scored, long) | runaway_repetition(F.col(text)))
+    long = lambda t: F.length(t) > max_reasonable_chars(F.col(width), F.col(height))
+    judged = lambda t: (t != "") & (long(t) | let(F.lower(t), _runaway))
+    return df.withColumn(to, let(scoring_text(display_text(F.col(text))), judged))
 
 
 def reusable_pages(cached: DataFrame, page_count: Column | None = None) -> DataFrame:

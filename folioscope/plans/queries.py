@@ -262,7 +262,34 @@ def dedupe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", text.dedupe_lines(F.col("t")).alias("text"))
 
 
-@query()
+def _sql_phrase(k: int) -> str:
+    """Whether a phrase of k words stands four times in a row from word i on, in windows over the words of a text in order."""
+    next_w, shape = f"lead(w, {k}) OVER o", "'[\\p{L}\\p{N}_-]{3,}'"
+    edge = f"""regexp_full_match({next_w}, {shape}) AND suffix(w, {next_w})
+      AND regexp_matches(left({next_w}, 1), '[\\p{{L}}\\p{{N}}_]') <> (length(w) > length({next_w}) AND regexp_matches(w[length(w) - length({next_w}):length(w) - length({next_w})], '[\\p{{L}}\\p{{N}}_]'))"""
+    same = f"CASE WHEN w = {next_w} AND regexp_full_match(w, {shape}) THEN 1 ELSE 0 END"
+    return f"""f{k} AS (SELECT doc_id, i, {edge} AS opens, {same} AS same, prefix({next_w}, w) AND regexp_full_match(w, {shape}) AS ends,
+      regexp_matches(left(w, 1), '[\\p{{L}}\\p{{N}}_]')::INT AS letter FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    p{k} AS (SELECT doc_id, opens AND sum(same) OVER (o ROWS BETWEEN 1 FOLLOWING AND {3 * k - 2} FOLLOWING) = {3 * k - 2}
+      AND {f"sum(letter) OVER (o ROWS BETWEEN 1 FOLLOWING AND {k - 1} FOLLOWING) = {k - 1}" if k > 1 else "true"} AND lead(ends, {3 * k - 1}) OVER o AS found
+      FROM f{k} WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def sql_runaway(source: str) -> str:
+    """CTEs up to runaway (doc_id, runaway) of source (doc_id, norm): phrases four times in a row, tokens six times, few distinct among many."""
+    return f"""
+    t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(norm, ' ') AS w FROM {source})),
+    {", ".join(_sql_phrase(k) for k in range(1, 5))},
+    found AS (SELECT doc_id, bool_or(found) AS found FROM ({" UNION ALL ".join(f"SELECT doc_id, found FROM p{k}" for k in range(1, 5))}) GROUP BY doc_id),
+    e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(norm, '[a-zà-öø-ÿ0-9]+') AS w FROM {source})),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS run FROM e),
+    r AS (SELECT doc_id, w, run, count(*) AS n FROM g GROUP BY ALL),
+    m AS (SELECT doc_id, max(n) AS longest, sum(n) AS tokens, count(DISTINCT w) AS kinds FROM r GROUP BY doc_id),
+    runaway AS (SELECT s.doc_id, coalesce(found, false) OR coalesce(longest >= 6 OR (tokens > 600 AND kinds::DOUBLE / tokens < 0.22), false) AS runaway
+      FROM {source} s LEFT JOIN found ON s.doc_id = found.doc_id LEFT JOIN m ON s.doc_id = m.doc_id)"""
+
+
+@query(f"WITH x AS (SELECT doc_id, lower({SQL_SCORING}) AS norm FROM documents), {sql_runaway('x')} SELECT doc_id, runaway FROM runaway")
 def runaway_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_runaway_repetition(texts(spark, sf_dir), "t").select("doc_id", "runaway")
 
@@ -356,9 +383,14 @@ def best_attempt_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(attempts(spark, sf_dir), True)
 
 
-@query()
+@query(f"""
+WITH {SQL_ATTEMPTS.replace("a AS (", "scored AS (")}, x AS (SELECT doc_id * 3 + idx AS doc_id, s, lower(s) AS norm FROM (SELECT doc_id, idx, {SQL_SCORING.replace("coalesce(text, '')", "t")} AS s FROM u)),
+{sql_runaway("x")},
+j AS (SELECT x.doc_id AS id, s <> '' AND (length(s) > greatest(2500, least(14000, floor({PAGE_WIDTH} * {PAGE_HEIGHT} / 420)::INT)) OR runaway) AS suspected FROM x JOIN runaway ON x.doc_id = runaway.doc_id),
+a AS (SELECT scored.* REPLACE (suspected AS suspicious, CASE WHEN suspected THEN 0.0::DOUBLE ELSE score END AS score) FROM scored JOIN j ON doc_id * 3 + idx = id)
+""" + SQL_BEST.format("t <> '' AND NOT suspicious DESC, t <> '' DESC, CASE WHEN t <> '' THEN score END DESC, CASE WHEN t <> '' THEN idx ELSE -idx END"))
 def best_attempt_suspected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with suspicion from the texts themselves, which SQL can't state (back-references)."""
+    """The same with suspicion from the texts themselves."""
     return _best(select.judged(raw_attempts(spark, sf_dir), suspicion=True), True)
 
 
@@ -416,7 +448,22 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- layout and geometry
 
-@query()
+SQL_PAGE_TEXT = SQL_DEDUPED.format(key="page", source="s") + f"""
+SELECT s.page, coalesce({SQL_DISPLAY.replace("coalesce(text, '')", "coalesce(a.text, '')")}, '') AS text FROM s LEFT JOIN a ON s.page = a.page"""
+SQL_PARAGRAPHS = """
+b AS (SELECT *, lag({section}) OVER o AS section_before, lag(bottom) OVER o AS bottom_before, lag(height) OVER o AS height_before FROM rows_ WINDOW o AS (PARTITION BY page ORDER BY line)),
+s AS (SELECT page, string_agg(CASE WHEN section_before <> {section} OR top - bottom_before > greatest(18.0, height_before * 1.4, height * 1.2) THEN chr(10) ELSE '' END || t, chr(10) ORDER BY line) AS t FROM b GROUP BY page)"""
+
+
+@query(f"""
+WITH RECURSIVE x AS (SELECT l_orderkey AS page, l_linenumber AS idx, 'w' || l_partkey AS text, l_suppkey * 3.0::DOUBLE AS left_, l_partkey % 40 * 9.0::DOUBLE AS top, l_partkey % 40 * 9.0::DOUBLE + 10 + l_quantity::DOUBLE % 8 AS bottom FROM lineitem),
+i AS MATERIALIZED (SELECT *, (top + bottom) / 2 AS middle, greatest(1.0::DOUBLE, bottom - top) AS height, row_number() OVER (PARTITION BY page ORDER BY top, left_, idx, text, bottom) AS n FROM x),
+w AS (SELECT page, n, 1 AS line, middle AS middles, height AS heights, 1 AS boxes FROM i WHERE n = 1
+      UNION ALL SELECT page, n, CASE WHEN near THEN line ELSE line + 1 END, CASE WHEN near THEN middles + middle ELSE middle END, CASE WHEN near THEN heights + height ELSE height END, CASE WHEN near THEN boxes + 1 ELSE 1 END
+      FROM (SELECT i.page, i.n, line, middles, heights, boxes, middle, height, abs(middle - middles / boxes) <= greatest(12.0, least(heights / boxes, height) * 0.65) AS near FROM w JOIN i ON i.page = w.page AND i.n = w.n + 1)),
+rows_ AS (SELECT w.page, line, string_agg(text, ' ' ORDER BY left_, top, idx) AS t, min(top) AS top, max(bottom) AS bottom, avg(height) AS height, 0 AS section FROM w JOIN i ON i.page = w.page AND i.n = w.n GROUP BY w.page, line),
+{SQL_PARAGRAPHS.format(section="section")}, {SQL_PAGE_TEXT}
+""")
 def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a page are the lines of an order, laid out by their numbers."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -440,6 +487,21 @@ def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.keyed_words_to_text(words)
 
 
+@query(f"""
+WITH w AS (SELECT l_orderkey AS page, 'w' || l_partkey AS text, l_suppkey * 3.0::DOUBLE AS top, greatest(1, l_quantity::INT - 4)::DOUBLE AS height, l_partkey % 3 AS block, l_suppkey % 2 AS par,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'w' || l_partkey, l_suppkey, greatest(1, l_quantity::INT - 4)) AS n FROM lineitem),
+c AS (SELECT *, CASE WHEN lag(block) OVER o = block AND lag(par) OVER o = par THEN 0 ELSE 1 END AS starts FROM w WINDOW o AS (PARTITION BY page ORDER BY n)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY page ORDER BY n) AS line FROM c),
+rows_ AS (SELECT page, line, string_agg(text, ' ' ORDER BY n) AS t, min(top) AS top, max(top + height) AS bottom, list_reduce(list(height ORDER BY n), lambda m, h: (m + h) / 2.0::DOUBLE) AS height, any_value(block * 2 + par) AS section FROM g GROUP BY page, line),
+{SQL_PARAGRAPHS.format(section="section")}, {SQL_PAGE_TEXT}
+""")
+def keyed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a page are the lines of an order, of different heights: blocks and paragraphs change, and gaps are wide or not."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), part.cast("string")).alias("text"), (supplier * 3).alias("top"), (F.col("l_quantity").cast("int") - 4).alias("height"), (part % 3).alias("block_num"), (supplier % 2).alias("par_num"), F.lit(1).alias("line_num"))
+    return layout.keyed_words_to_text(words)
+
+
 SQL_SIZES = "p AS (SELECT p_partkey AS id, (p_size * 53 + 200)::INT AS w, ((p_partkey % 50) * 71 + 150)::INT AS h FROM part)"
 
 

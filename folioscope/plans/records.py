@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import geometry, names, text
 from folioscope.operators import evaluate, layout, quality, select, standardize
 from folioscope.plans import charts
-from folioscope.plans.queries import SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, _alphabets, _encoded, benchmark_pages, conversation_pages, n_words, query, reference_and_candidates, table
+from folioscope.plans.queries import SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, SQL_SCORING, _alphabets, _encoded, benchmark_pages, conversation_pages, n_words, query, reference_and_candidates, sql_runaway, table
 from folioscope.plans.queries import CHARS as SQL_CHARS
 from folioscope.plans.queries import WORDS as SQL_WORDS
 from folioscope.sources import boundary, documents, engines, sinks
@@ -304,17 +304,13 @@ def engine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", quality.is_retryable(400 + n % 110, n % 4).alias("retryable"), quality.is_fatal_error(F.upper("event_type"), ("err", "sign")).alias("fatal"), F.coalesce("fits", F.lit(False)).alias("in_range"))
 
 
-SQL_LONG = "length(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g')))"
-
-
 @query(f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SQL_LONG} AS n, 300 + doc_id % 9 * 200 AS w FROM documents WHERE len(list_distinct(string_split(coalesce(text, ''), ' '))) = len(string_split(coalesce(text, ''), ' ')))
-SELECT doc_id, n > 0 AND n > greatest(2500, least(14000, floor(w * 1000 / 420)::INT)) AS suspicious FROM d
+WITH x AS (SELECT doc_id, s, lower(s) AS norm, 300 + doc_id % 9 * 200 AS w FROM (SELECT doc_id, {SQL_SCORING} AS s FROM documents)), {sql_runaway("x")}
+SELECT x.doc_id, s <> '' AND (length(s) > greatest(2500, least(14000, floor(x.w * 1000 / 420)::INT)) OR runaway) AS suspicious FROM x JOIN runaway ON x.doc_id = runaway.doc_id
 """)
 def suspicious_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts too long for their pages. Only texts without a repeated word are looked at, so that runaway repetition, which SQL can't state, says nothing."""
+    """Texts too long for their pages, whose widths go by their ids, or with runaway repetition."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), (300 + F.col("doc_id") % 9 * 200).cast("int").alias("w"), F.lit(1000).alias("h"))
-    rows = rows.where(text.let(F.split("t", " ", -1), lambda w: F.size(F.array_distinct(w)) == F.size(w)))
     return quality.with_suspicion(rows, "t", "w", "h").select("doc_id", "suspicious")
 
 

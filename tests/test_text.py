@@ -102,15 +102,41 @@ def test_long_texts_in_proportion(spark):
     assert got[0] == deduped("\n".join(lines))
 
 
+#: Fixed value: what counts as a phrase that repeats.
+PHRASE = re.compile(r"(\b[\w-]{3,}(?:\s+\b[\w-]{3,}){0,3})(?:\s+\1){3,}")
+
+
 def test_repeated_phrases_as_the_pattern_finds_them(spark):
     from folioscope.operators import quality
 
     r = random.Random(7)
-    words = ["abc", "abcd", "xabc", "ab", "a-bc", "-abc", "abc-", "é__", "...", "def", "abc."]
-    values = [" ".join(r.choices(words[: r.randint(1, 11)], k=r.randint(0, 40))) for _ in range(4000)]
+    words = ["abc", "abcd", "xabc", "ab", "a-bc", "-abc", "abc-", "é__", "...", "def", "abc.", "_-a", "--abc", "x--abc"]
+    values = [" ".join(r.choices(words[: r.randint(1, 14)], k=r.randint(0, 40))) for _ in range(4000)]
     values += [("x-" if i % 2 else "") + " ".join(["one two three four"[: 3 + 4 * (i % 4)].strip()] * (3 + i % 3)) + ("more" if i % 3 else "") for i in range(60)]
+    # nearly repeated phrases: a word of a few repeats is changed, cut or lengthened
+    for _ in range(4000):
+        phrase = r.choices(words, k=r.randint(1, 5))
+        w = phrase * r.randint(3, 5)
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(w))
+            w[i] = r.choice([w[i] + "x", w[i][1:], "y" + w[i], "y-" + w[i], w[i][:-1], w[i]])
+        values.append(" ".join([r.choice(words), *w, r.choice(words)]))
     df = spark.createDataFrame([(v,) for v in values], "s string")
     norm = F.lower(text.scoring_text(text.display_text(F.col("s"))))
-    rows = df.select(norm.rlike(quality.REPEATED_PHRASE).alias("plain"), quality._may_repeat(norm).alias("may"), quality.runaway_repetition(F.col("s")).alias("got"), quality.longest_run(F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))).alias("run")).collect()
-    assert all(r.may for r in rows if r.plain) and 0 < sum(r.plain for r in rows) < len(rows)
-    assert all(r.got == (r.plain or r.run >= quality.LONGEST_RUN) for r in rows)
+    split = F.split(norm, " ")
+    tokens = F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))
+    rows = df.select(norm.alias("norm"), quality._may_repeat(split).alias("may"), quality.has_repeated_phrase(split).alias("phrase"), quality.runaway_repetition(F.col("s")).alias("got"), quality.longest_run(tokens).alias("run")).collect()
+    plain = [PHRASE.search(x.norm) is not None for x in rows]
+    assert 500 < sum(plain) < len(rows) - 500
+    assert [x.phrase for x in rows] == plain
+    assert all(x.may for x, p in zip(rows, plain) if p)
+    assert all(x.got == (p or x.run >= quality.LONGEST_RUN) for x, p in zip(rows, plain))
+
+
+def test_repeated_phrases_in_long_texts(spark):
+    """100,000 words of which many repeat at a phrase's distance but no phrase stands four times; then one at the end."""
+    from folioscope.operators import quality
+
+    words = [f"word{i // 9}" if i % 9 < 3 else f"w{i}x" for i in range(100_000)]
+    (got,) = on(spark, [" ".join(words), " ".join(words + ["far away"] * 4)], quality.has_repeated_phrase(F.split(F.col("s"), " ")))
+    assert got == [False, True]
