@@ -1,4 +1,4 @@
-"""Text normalisation and text statistics as column expressions, all of them in the JVM.
+"""Text normalisation and text statistics as column expressions, in the JVM but for the rare texts that are not in normal form C.
 
 White space means what Python's str.isspace means; Java's own classes differ, so every pattern spells its characters out.
 A column expression that is named twice is computed twice, so functions here name their input once, or bind it with let.
@@ -6,10 +6,13 @@ A column expression that is named twice is computed twice, so functions here nam
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space, and its complement, as the members of a character class.
 WS_SET = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -38,18 +41,34 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def nfc(c: Column) -> Column:
-    """Unicode normal form C by the ICU library that Spark itself ships; texts in that form already are only looked through."""
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
+#: Characters that normal form C may change or join to the one before: marks, Korean letters, and those that stand for others.
+_NOT_COMPOSED = (
+    r"[\p{M}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}\x{1F71}-\x{1FFD}"
+    r"\x{2000}\x{2001}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
+
+
+@F.pandas_udf(T.StringType())
+def _composed(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(c: Column, of: Column | None = None) -> Column:
+    """Unicode normal form C, null as empty. Only texts with a character that it may change go through Python; of, if c takes
+    long to compute, is a plain column that holds all of c's characters. Deterministic, so filters on other columns pass below it.
+    """
+    seen = c if of is None else of
+    may = (F.octet_length(seen) != F.length(seen)) & seen.rlike(_NOT_COMPOSED)
+    return F.coalesce(_composed(F.when(may, c)), c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
-def display_text(c: Column) -> Column:
-    """NFC; line ends as LF; NBSP as space; no U+200B; one space for a run of blanks; single blank lines inside only."""
-    text = F.translate(F.regexp_replace(nfc(c), r"\r\n?", "\n"), "\u00a0\u200b", " ")
+def display_text(c: Column, of: Column | None = None) -> Column:
+    """NFC; line ends as LF; NBSP as space; no U+200B; one space for a run of blanks; single blank lines inside only. of as for nfc."""
+    text = F.translate(F.regexp_replace(nfc(c, of), r"\r\n?", "\n"), "\u00a0\u200b", " ")
     text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
     # blanks at the ends of lines; a run is looked at from its first character alone
     text = F.regexp_replace(text, rf"(?<!{_BLANK}){_BLANK}++(?=\n)|(?<=\n){_BLANK}++", "")
@@ -61,9 +80,10 @@ def one_line(display: Column) -> Column:
     return strip(F.regexp_replace(display, f"{WS}+", " "))
 
 
-def scoring_text(display: Column) -> Column:
-    """The text that rates compare: normalised once more, then on one line. Of the normalisation only NFC can matter, where a U+200B was removed."""
-    return one_line(nfc(display))
+def scoring_text(display: Column, raw: Column) -> Column:
+    """The text that rates compare: a raw text's display_text, normalised once more, then on one line. Only NFC can change it again, where a U+200B was removed."""
+    joined = _composed(F.when(F.contains(raw, F.lit("\u200b")), display))
+    return one_line(F.coalesce(joined, display))
 
 
 def count_words(c: Column) -> Column:
@@ -145,7 +165,7 @@ def dedupe_lines(c: Column) -> Column:
     kept = let(filled, lambda rows: F.zip_with(rows, _before(rows), lambda x, last: F.when(last.isNull() | (last["norm"] != x["norm"]), x)))
     kept = F.filter(kept, lambda x: x.isNotNull())
     joined = let(kept, lambda rows: F.zip_with(rows, _before(rows), lambda x, last: F.when(last["blanks"] < x["blanks"], F.concat(F.lit("\n"), x["raw"])).otherwise(x["raw"])))
-    return display_text(F.array_join(joined, "\n"))
+    return display_text(F.array_join(joined, "\n"), c)
 
 
 #: Fixed values in the two functions below: the markup that is recognised.
@@ -192,4 +212,4 @@ def cleanup_markup(c: Column) -> Column:
 
 def engine_text(c: Column, markup: bool) -> Column:
     """An engine's raw text: normalised, after markup clean-up for engines that answer in Markdown."""
-    return display_text(cleanup_markup(c) if markup else c)
+    return display_text(cleanup_markup(c), c) if markup else display_text(c)

@@ -88,7 +88,8 @@ def _pages(lines: DataFrame, keys) -> DataFrame:
     apart = F.col("before").isNotNull() & (wide | (F.col("section") != F.col("before.section")))
     shown = F.when(F.col("text") != "", F.struct("line", F.when(apart, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("shown")))
     parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("parts"))
-    return parts.select(*keys, dedupe_lines(F.array_join(F.transform("parts", lambda p: p["shown"]), "\n")).alias("text"))
+    joined = parts.withColumn("joined", F.array_join(F.transform("parts", lambda p: p["shown"]), "\n"))
+    return joined.select(*keys, dedupe_lines(F.col("joined")).alias("text"))
 
 
 def keyed_words_to_text(words: DataFrame, keys=("page",)) -> DataFrame:

@@ -120,7 +120,7 @@ def runaway_repetition(c: Column) -> Column:
 
     Where phrases begin and end is looked at only where words repeat at a phrase's distance.
     """
-    return let(F.lower(scoring_text(display_text(c))), _runaway)
+    return let(F.lower(scoring_text(display_text(c), c)), _runaway)
 
 
 def with_runaway_repetition(df: DataFrame, text: str, to: str = "runaway") -> DataFrame:
@@ -132,7 +132,7 @@ def with_suspicion(df: DataFrame, text: str, width: str, height: str, to: str =
     """df with to: a text too long for its page, or with runaway repetition."""
     long = lambda t: F.length(t) > max_reasonable_chars(F.col(width), F.col(height))
     judged = lambda t: (t != "") & (long(t) | let(F.lower(t), _runaway))
-    return df.withColumn(to, let(scoring_text(display_text(F.col(text))), judged))
+    return df.withColumn(to, let(scoring_text(display_text(F.col(text)), F.col(text)), judged))
 
 
 def reusable_pages(cached: DataFrame, page_count: Column | None = None) -> DataFrame:

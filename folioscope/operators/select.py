@@ -47,7 +47,8 @@ def merge_bands(bands: DataFrame, keys=("doc", "page", "height_idx")) -> DataFra
     """text of each key: the non-empty band texts in order of band, one a line, repeated lines dropped. Keys without text drop out."""
     parts = F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("band", "text"))))
     rows = bands.groupBy(*keys).agg(parts.alias("parts")).where(F.size("parts") > 0)
-    return rows.select(*keys, dedupe_lines(F.array_join(F.transform("parts", lambda p: p["text"]), "\n")).alias("text"))
+    joined = rows.withColumn("joined", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
+    return joined.select(*keys, dedupe_lines(F.col("joined")).alias("text"))
 
 
 def best_height(merged: DataFrame, keys=("doc", "page"), tiered: bool = False) -> DataFrame:

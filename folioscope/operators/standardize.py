@@ -62,7 +62,7 @@ def standardize_pages(raw: DataFrame) -> DataFrame:
     field = lambda name: (F.col(name) if name in raw.columns else F.lit(None)).cast(RAW_FIELDS[name])
     rows = raw.select(*own, *[field(n).alias(f"raw_{n}") for n in RAW_FIELDS])
     rows = rows.withColumn("text", display_text(F.col("raw_text")))
-    rows = rows.withColumn("text_for_cer_wer", scoring_text(F.col("text")))
+    rows = rows.withColumn("text_for_cer_wer", scoring_text(F.col("text"), F.col("raw_text")))
     error = _blank_to_null(F.col("raw_error"))
     seconds = F.nanvl(F.coalesce(F.col("raw_processing_seconds").try_cast("double"), F.lit(0.0)), F.lit(0.0))
     whole = lambda name: F.coalesce(F.col(f"raw_{name}").try_cast("int"), F.lit(0))

@@ -205,7 +205,8 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {SQL_SCORING} AS text FROM documents")
 def normalize_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).withColumn("t", text.display_text(F.col("t"))).select("doc_id", text.scoring_text(F.col("t")).alias("text"))
+    rows = texts(spark, sf_dir).withColumn("display", text.display_text(F.col("t")))
+    return rows.select("doc_id", text.scoring_text(F.col("display"), F.col("t")).alias("text"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS words FROM documents")
@@ -302,7 +303,7 @@ r AS (SELECT doc_id, t, run, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT do
 SELECT d.doc_id, coalesce(m.n, 0) AS longest_run, len(w) AS tokens, len(list_distinct(w)) AS distinct_tokens FROM d LEFT JOIN m ON d.doc_id = m.doc_id
 """)
 def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = texts(spark, sf_dir).withColumn("s", text.scoring_text(F.col("t")))
+    rows = texts(spark, sf_dir).withColumn("s", text.scoring_text(text.display_text(F.col("t")), F.col("t")))
     rows = rows.withColumn("w", F.regexp_extract_all(F.lower("s"), F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0)))
     return rows.select("doc_id", quality.longest_run(F.col("w")).cast("long").alias("longest_run"), F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens"))
 

@@ -49,13 +49,28 @@ def on(spark, values, *columns):
 
 def test_normal_forms(spark):
     values = strings(3000, 1)
-    shown, scored, words, lines = on(spark, values, text.display_text(F.col("s")), text.scoring_text(text.display_text(F.col("s"))), text.count_words(F.col("s")), text.count_lines(F.col("s")))
+    shown, scored, words, lines = on(spark, values, text.display_text(F.col("s")), text.scoring_text(text.display_text(F.col("s")), F.col("s")), text.count_words(F.col("s")), text.count_lines(F.col("s")))
     assert shown == [display(v) for v in values]
     assert scored == [scoring(display(v)) for v in values]
     assert words == [len(v.split()) for v in values]
     assert lines == [sum(bool(x.strip()) for x in v.splitlines()) for v in values]
 
 
+def test_normal_form_c_of_every_character(spark):
+    """Each character alone, after a letter that marks join, after Korean letters, and with a mark behind it."""
+    chars = [chr(i) for i in range(0x20, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    values = [f"{before}{c}{after}" for c in chars for before, after in (("x", "y"), ("a", ""), ("\u1100", "\u11a8"), ("", "\u0301"))]
+    (got,) = on(spark, values, text.nfc(F.col("s")))
+    wrong = [(v, g) for v, g in zip(values, got) if g != unicodedata.normalize("NFC", v)]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
+def test_zero_width_space_between_letter_and_mark(spark):
+    value = "e\u200b\u0301 te\u0301"
+    (shown, scored) = on(spark, [value], text.display_text(F.col("s")), text.scoring_text(text.display_text(F.col("s")), F.col("s")))
+    assert shown == ["e\u0301 t\u00e9"] and scored == ["\u00e9 t\u00e9"]
+
+
 def test_dedupe_lines(spark):
     values = strings(1500, 2, 40)
     (got,) = on(spark, values, text.dedupe_lines(F.col("s")))
@@ -122,7 +137,7 @@ def test_repeated_phrases_as_the_pattern_finds_them(spark):
             w[i] = r.choice([w[i] + "x", w[i][1:], "y" + w[i], "y-" + w[i], w[i][:-1], w[i]])
         values.append(" ".join([r.choice(words), *w, r.choice(words)]))
     df = spark.createDataFrame([(v,) for v in values], "s string")
-    norm = F.lower(text.scoring_text(text.display_text(F.col("s"))))
+    norm = F.lower(text.scoring_text(text.display_text(F.col("s")), F.col("s")))
     split = F.split(norm, " ")
     tokens = F.regexp_extract_all(norm, F.lit("[a-zà-öø-ÿ0-9]+"), F.lit(0))
     rows = df.select(norm.alias("norm"), quality._may_repeat(split).alias("may"), quality.has_repeated_phrase(split).alias("phrase"), quality.runaway_repetition(F.col("s")).alias("got"), quality.longest_run(tokens).alias("run")).collect()
