@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions.text import count_words
+from folioscope.functions.text import count_spaced_words
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -69,16 +69,24 @@ def safe_rate(distance: Column, length: Column) -> Column:
 METRICS = ("reference_char_count", "hypothesis_char_count", "reference_word_count", "hypothesis_word_count", "char_distance", "word_distance", "cer", "wer")
 
 
-def with_metrics(df, reference: str, hypothesis: str):
-    """df with METRICS of the two scoring texts."""
-    df = df.withColumns(
+def with_counts(df, reference: str, hypothesis: str):
+    """df with the first four of METRICS; the texts are scoring texts, whose words are parted by single spaces."""
+    return df.withColumns(
         {
             "reference_char_count": F.length(reference),
             "hypothesis_char_count": F.length(hypothesis),
-            "reference_word_count": count_words(F.col(reference)),
-            "hypothesis_word_count": count_words(F.col(hypothesis)),
-            "char_distance": char_distance(reference, hypothesis),
-            "word_distance": word_distance(reference, hypothesis),
+            "reference_word_count": count_spaced_words(F.col(reference)),
+            "hypothesis_word_count": count_spaced_words(F.col(hypothesis)),
         }
     )
+
+
+def with_rates(df):
+    """df (with counts and distances) with cer and wer."""
     return df.withColumns({"cer": safe_rate(F.col("char_distance"), F.col("reference_char_count")), "wer": safe_rate(F.col("word_distance"), F.col("reference_word_count"))})
+
+
+def with_metrics(df, reference: str, hypothesis: str):
+    """df with METRICS of the two scoring texts."""
+    distances = {"char_distance": char_distance(reference, hypothesis), "word_distance": word_distance(reference, hypothesis)}
+    return with_rates(with_counts(df, reference, hypothesis).withColumns(distances))

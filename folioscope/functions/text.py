@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: White space, and its complement, as the members of a character class.
 WS_SET = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS, NOT_WS = f"[{WS_SET}]", f"[^{WS_SET}]"
+WS_CHARACTERS = "".join(chr(i) for i in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Runs of white space that are not a single space already, so that most of a text is only looked at.
+_SPREAD = rf"{WS}{{2,}}|[{WS_SET}&&[^\x20]]"
 #: White space other than LF.
 _BLANK = r"[\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Where str.splitlines breaks.
@@ -63,13 +66,13 @@ def nfc(c: Column, of: Column | None = None) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def display_text(c: Column, of: Column | None = None) -> Column:
     """NFC; line ends as LF; NBSP as space; no U+200B; one space for a run of blanks; single blank lines inside only. of as for nfc."""
     text = F.translate(F.regexp_replace(nfc(c, of), r"\r\n?", "\n"), "\u00a0\u200b", " ")
-    text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
+    text = F.regexp_replace(text, r"[ \t\f\x0B]{2,}|[\t\f\x0B]", " ")
     # blanks at the ends of lines; a run is looked at from its first character alone
     text = F.regexp_replace(text, rf"(?<!{_BLANK}){_BLANK}++(?=\n)|(?<=\n){_BLANK}++", "")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
@@ -77,7 +80,7 @@ def display_text(c: Column, of: Column | None = None) -> Column:
 
 def one_line(display: Column) -> Column:
     """A normalised text on one line, single spaces between words."""
-    return strip(F.regexp_replace(display, f"{WS}+", " "))
+    return strip(F.regexp_replace(display, _SPREAD, " "))
 
 
 def scoring_text(display: Column, raw: Column) -> Column:
@@ -87,7 +90,12 @@ def scoring_text(display: Column, raw: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"{NOT_WS}+"))
+    return let(one_line(F.coalesce(c, F.lit(""))), count_spaced_words)
+
+
+def count_spaced_words(c: Column) -> Column:
+    """count_words of a scoring text, of a page or of a document: its words are parted by one space or line end each, so these are counted."""
+    return F.when(c != "", F.length(c) - F.length(F.translate(c, " \n", "")) + 1).otherwise(F.lit(0))
 
 
 def words(c: Column) -> Column:

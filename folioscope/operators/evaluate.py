@@ -6,54 +6,85 @@ Document rates compare the joined texts of all pages, separators included: they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.distance import METRICS, with_metrics
-from folioscope.operators.standardize import build_documents, last_of_page
+from folioscope.functions.distance import METRICS, with_counts, with_metrics, with_rates
+from folioscope.operators.long_distance import LONG, TILE, edit_distances
+from folioscope.operators.standardize import build_documents, rolled_up
 
 EXCERPT = 120
 
 
+def rated(rows: DataFrame, reference: str, hypothesis: str, write: Callable[[DataFrame, str], DataFrame] | None = None, size: int = TILE) -> DataFrame:
+    """rows with METRICS of two scoring texts. With write (as sinks.written), pairs too long for one task are dealt to many as tiles of the given side."""
+    if write is None:
+        return with_metrics(rows, reference, hypothesis)
+    rows = write(rows.withColumn("pair_", F.monotonically_increasing_id()), "rated-pairs")
+    long = F.length(reference).cast("long") * F.length(hypothesis) > LONG * size * size
+    pairs = rows.where(long).select(F.col("pair_").alias("id"), F.col(reference).alias("a"), F.col(hypothesis).alias("b"))
+    if pairs.isEmpty():
+        return with_metrics(rows, reference, hypothesis).drop("pair_")
+    found = [edit_distances(pairs, write, words, size).select(F.col("id").alias("pair_"), F.col("distance").cast("int").alias(name)) for words, name in ((False, "char_distance"), (True, "word_distance"))]
+    of_long = with_counts(rows.where(long), reference, hypothesis).join(found[0], "pair_").join(found[1], "pair_")
+    return with_metrics(rows.where(F.coalesce(~long, F.lit(True))), reference, hypothesis).unionByName(with_rates(of_long)).drop("pair_")
+
+
 def page_metrics(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each reference page and model of its doc: status, missing_page, excerpts, error and METRICS.
 
     A page that a model lacks has an empty text and status missing. Duplicate pages: the last one counts.
     """
-    ref = last_of_page(reference, ("doc",)).select("doc", "page", F.col("text").alias("ref_text"), F.col("text_for_cer_wer").alias("ref_scored"))
-    models = candidates.select("doc", "model").distinct()
-    wanted = ref.join(models, "doc")
-    cand = last_of_page(candidates).select("doc", "model", "page", "status", "error", F.col("text").alias("cand_text"), F.col("text_for_cer_wer").alias("cand_scored"))
-    rows = wanted.join(cand, ["doc", "model", "page"], "left").select(
+    version = lambda model, *of: F.struct(model.alias("model"), "ord", *[c.alias(n) for n, c in zip(("status", "error"), of)], F.col("text").alias("text"), F.col("text_for_cer_wer").alias("scored"))
+    none = F.lit(None).cast("string")
+    both = reference.where("page > 0").select("doc", "page", version(none, none, none).alias("v")).unionByName(candidates.where("page > 0").select("doc", "page", version(F.col("model"), F.col("status"), F.col("error")).alias("v")))
+    # all versions of a page meet once; of each maker the last one counts
+    pages = both.groupBy("doc", "page").agg(F.collect_list("v").alias("versions"))
+    last = lambda is_of: F.array_max(F.filter("versions", is_of))
+    pages = pages.withColumn("ref", last(lambda v: v["model"].isNull())).where("ref IS NOT NULL")
+    models = candidates.groupBy("doc").agg(F.collect_set("model").alias("models"))
+    made = F.transform("models", lambda m: F.struct(m.alias("model"), last(lambda v: v["model"] == m).alias("cand")))
+    rows = pages.join(models, "doc").select("doc", "page", "ref", F.explode(made).alias("made"))
+    rows = rows.select(
         "doc",
-        "model",
+        "made.model",
         "page",
-        F.coalesce("status", F.lit("missing")).alias("status"),
-        F.col("cand_scored").isNull().alias("missing_page"),
-        F.left("ref_text", F.lit(EXCERPT)).alias("reference_excerpt"),
-        F.left(F.coalesce("cand_text", F.lit("")), F.lit(EXCERPT)).alias("hypothesis_excerpt"),
-        "error",
-        "ref_scored",
-        F.coalesce("cand_scored", F.lit("")).alias("cand_scored"),
+        F.coalesce("made.cand.status", F.lit("missing")).alias("status"),
+        F.col("made.cand.scored").isNull().alias("missing_page"),
+        F.left("ref.text", F.lit(EXCERPT)).alias("reference_excerpt"),
+        F.left(F.coalesce("made.cand.text", F.lit("")), F.lit(EXCERPT)).alias("hypothesis_excerpt"),
+        F.col("made.cand.error").alias("error"),
+        F.col("ref.scored").alias("ref_scored"),
+        F.coalesce("made.cand.scored", F.lit("")).alias("cand_scored"),
     )
     return with_metrics(rows, "ref_scored", "cand_scored").drop("ref_scored", "cand_scored")
 
 
+def _number_sets(ref: str, cand: str) -> list:
+    """missing_pages and extra_pages of two arrays of page numbers."""
+    return [F.array_sort(F.array_except(ref, cand)).alias("missing_pages"), F.array_sort(F.array_except(cand, ref)).alias("extra_pages")]
+
+
 def page_sets(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc, model, missing_pages, extra_pages: sorted page numbers that only one side has."""
     ref = reference.where("page > 0").groupBy("doc").agg(F.collect_set("page").alias("r"))
     cand = candidates.groupBy("doc", "model").agg(F.collect_set(F.when(F.col("page") > 0, F.col("page"))).alias("c"))
     rows = cand.join(ref, "doc", "left").withColumn("r", F.coalesce("r", F.array().cast("array<int>")))
-    return rows.select("doc", "model", F.array_sort(F.array_except("r", "c")).alias("missing_pages"), F.array_sort(F.array_except("c", "r")).alias("extra_pages"))
+    return rows.select("doc", "model", *_number_sets("r", "c"))
+
 
+def document_metrics(reference: DataFrame, candidates: DataFrame, write: Callable[[DataFrame, str], DataFrame] | None = None, size: int = TILE) -> DataFrame:
+    """A row for each doc and model: METRICS of the documents' texts, counts and times, missing and extra pages; docs without a reference drop out.
 
-def document_metrics(reference: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A row for each doc and model: METRICS of the documents' texts, counts and times; docs without a reference drop out."""
-    ref = build_documents(reference, ("doc",)).select("doc", F.col("text_for_cer_wer").alias("ref_scored"))
-    cand = build_documents(candidates)
-    rows = with_metrics(cand.join(ref, "doc").withColumnRenamed("text_for_cer_wer", "cand_scored"), "ref_scored", "cand_scored")
-    times = ["total_processing_seconds", "average_page_processing_seconds"]
-    return rows.select("doc", "model", "page_count", "successful_pages_count", "failed_pages_count", *times, *METRICS).join(page_sets(reference, candidates), ["doc", "model"])
+    Each side's pages are grouped once, for texts, counts and page numbers alike, and joined once. write and size as for rated.
+    """
+    ref = rolled_up(reference, ("doc",)).select("doc", F.col("text_for_cer_wer").alias("ref_scored"), F.col("page_numbers").alias("ref_pages"))
+    counts = ["page_count", "successful_pages_count", "failed_pages_count", "total_processing_seconds", "average_page_processing_seconds"]
+    cand = rolled_up(candidates).select("doc", "model", *counts, F.col("text_for_cer_wer").alias("cand_scored"), F.col("page_numbers").alias("cand_pages"))
+    rows = cand.join(ref, "doc").select("doc", "model", *counts, "ref_scored", "cand_scored", *_number_sets("ref_pages", "cand_pages"))
+    return rated(rows, "ref_scored", "cand_scored", write, size).select("doc", "model", *counts, *METRICS, "missing_pages", "extra_pages")
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def _opens(word: Column, copy: Column) -> Column:
     letter = lambda c: c.rlike(_LETTER)
     before = F.length(word) - F.length(copy)
     inner = letter(F.substring(word, before, F.lit(1))) != letter(F.left(copy, F.lit(1)))
-    return copy.rlike(_LONG) & F.endswith(word, copy) & F.when(before > 0, inner).otherwise(letter(F.left(copy, F.lit(1))))
+    return F.endswith(word, copy) & copy.rlike(_LONG) & F.when(before > 0, inner).otherwise(letter(F.left(copy, F.lit(1))))
 
 
 def _phrase_of(w: Column, k: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.distance import round3
-from folioscope.functions.text import count_words, display_text, scoring_text, strip
+from folioscope.functions.text import count_spaced_words, display_text, scoring_text, strip
 
 SCHEMA_VERSION = "2.0"
 #: The attempts of the extraction cascade, in order; what a document says about its texts.
@@ -76,7 +76,7 @@ def standardize_pages(raw: DataFrame) -> DataFrame:
         "text",
         "text_for_cer_wer",
         F.length("text").alias("char_count"),
-        count_words(F.col("text_for_cer_wer")).alias("word_count"),
+        count_spaced_words(F.col("text_for_cer_wer")).alias("word_count"),
         round3(F.when(seconds > 0.0, seconds).otherwise(F.lit(0.0))).alias("processing_seconds"),
         whole("rotation_applied_degrees").alias("rotation_applied_degrees"),
         _blank_to_null(mode).alias("extraction_mode"),
@@ -97,6 +97,11 @@ def build_documents(pages: DataFrame, keys=("doc", "model")) -> DataFrame:
 
     All pages count, whatever their number. The average time is taken from the rounded total.
     """
+    return rolled_up(pages, keys).drop("page_numbers")
+
+
+def rolled_up(pages: DataFrame, keys=("doc", "model")) -> DataFrame:
+    """build_documents with page_numbers, the distinct positive numbers of the pages."""
     page = F.struct("page", "ord", F.struct(*[c for c in PAGE_FIELDS if c not in ("page", "metadata")], F.map_entries("metadata").alias("metadata")).alias("fields"))
     rows = pages.withColumn("_page", page).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("timed_pages_count"),
@@ -107,6 +112,7 @@ def build_documents(pages: DataFrame, keys=("doc", "model")) -> DataFrame:
         _joined("text_for_cer_wer", "\n").alias("text_for_cer_wer"),
         F.sum("processing_seconds").alias("seconds"),
         F.array_sort(F.collect_list("_page")).alias("pages"),
+        F.collect_set(F.when(F.col("page") > 0, F.col("page"))).alias("page_numbers"),
     )
     rows = rows.withColumn("total_processing_seconds", round3("seconds"))
     return rows.select(
@@ -120,11 +126,12 @@ def build_documents(pages: DataFrame, keys=("doc", "model")) -> DataFrame:
         "text",
         "text_for_cer_wer",
         F.length("text").alias("total_char_count"),
-        count_words(F.col("text_for_cer_wer")).alias("total_word_count"),
+        count_spaced_words(F.col("text_for_cer_wer")).alias("total_word_count"),
         "total_processing_seconds",
         round3(F.col("total_processing_seconds") / F.col("timed_pages_count")).alias("average_page_processing_seconds"),
         F.create_map(F.lit("text_normalization"), F.lit(TEXT_NORMALIZATION)).alias("metadata"),
         F.transform("pages", _page_of).alias("pages"),
+        "page_numbers",
     )
 
 
