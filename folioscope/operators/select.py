@@ -1,18 +1,21 @@
 """Choosing among attempts, and the staged cascade that makes them.
 
 Spark evaluates Python functions for all rows of a stage, so a cheaper attempt that suffices must end a page's way: each
-stage of the cascade runs on the pages that are still open only, and is written before the next one reads it.
+stage of the cascade runs on the pages that are still open only, and is written before the next one reads it. An open page
+carries its best attempt so far in columns of its own, so no stage groups, joins or shuffles texts. Attempts that are rows of
+their own are grouped by best_attempt; those in one row are chosen from by best_of, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import dedupe_lines, score_text
-from folioscope.operators.quality import is_acceptable_text, is_generic_response, with_suspicion
+from folioscope.functions.text import dedupe_lines, let, score_text
+from folioscope.operators.quality import is_generic_response, judgement, with_suspicion
 
 #: Columns of an attempt beside its keys.
 ATTEMPT = ("idx", "mode", "text", "score", "suspicious", "warnings", "error")
@@ -37,6 +40,25 @@ def best_attempt(attempts: DataFrame, keys=("doc", "page"), tiered: bool = False
     return chosen.select(*keys, *[F.col(f"best.{c}").alias(c) for c in ATTEMPT if c not in ("warnings", "error")], F.col("all_warnings").alias("warnings"), F.when(F.col("best.text") == "", F.col("all_errors")).alias("error"))
 
 
+def best_of(attempts: Column, tiered: bool = False) -> Column:
+    """best_attempt of an array of attempts in order of idx (structs with ATTEMPT's fields), as a struct; null for an empty array."""
+
+    def ranked(a: Column, place: Column) -> Column:
+        filled = F.coalesce(a["text"], F.lit("")) != ""
+        trusted = [(filled & ~F.coalesce(a["suspicious"], F.lit(False))).alias("trusted")] if tiered else []
+        # of equals the first, without any text the last
+        return F.struct(*trusted, filled.alias("filled"), F.when(filled, F.coalesce(a["score"], F.lit(0.0))).alias("score"), F.when(filled, -place).otherwise(place).alias("turn"), place.alias("place"))
+
+    def told(all_: Column) -> Column:
+        best = all_[F.array_max(F.transform(all_, ranked))["place"]]
+        warnings = F.flatten(F.transform(all_, lambda a: F.coalesce(a["warnings"], F.array().cast("array<string>"))))
+        failed = F.transform(F.filter(all_, lambda a: F.coalesce(a["error"], F.lit("")) != ""), lambda a: F.concat_ws(": ", a["mode"], a["error"]))
+        kept = [best[c].alias(c) for c in ATTEMPT if c not in ("warnings", "error")]
+        return F.struct(*kept, warnings.alias("warnings"), F.when(best["text"] == "", F.array_join(failed, " | ")).alias("error"))
+
+    return let(F.when(F.size(attempts) > 0, attempts), lambda all_: F.when(all_.isNotNull(), told(all_)))
+
+
 def _errors() -> Column:
     """mode: error of the attempts that failed, in order, joined by |."""
     failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull() & (F.col("error") != ""), F.struct("idx", F.concat_ws(": ", "mode", "error").alias("e")))))
@@ -73,17 +95,44 @@ def judged(attempts: DataFrame, suspicion: bool) -> DataFrame:
     return attempts.withColumn("score", F.when(F.col("suspicious"), F.lit(0.0)).otherwise(score_text(F.col("text"))))
 
 
+#: What an open page of the cascade carries of its best attempt so far, of all warnings and of all errors.
+_CARRIED = {
+    "best_idx": "int", "best_mode": "string", "best_text": "string", "best_score": "double", "best_suspicious": "boolean", "best_warnings": "array<string>", "best_errors": "array<string>",
+}
+
+
+def _carried_on(rows: DataFrame, suspicion: bool) -> DataFrame:
+    """rows (of one stage, judged, with _CARRIED) with the better of the new attempt and the carried one, and closed: whether the new one is taken and acceptable."""
+    filled, had = (F.coalesce(c, F.lit("")) != "" for c in ("text", "best_text"))
+    trusted, was = ~F.coalesce("suspicious", F.lit(False)), ~F.coalesce("best_suspicious", F.lit(False))
+    higher = F.coalesce("score", F.lit(0.0)) > F.coalesce("best_score", F.lit(0.0))
+    ahead = F.when(trusted == was, higher).otherwise(trusted) if suspicion else higher
+    rows = rows.withColumn("better", F.when(filled & had, ahead).otherwise(filled | ~had))
+    none = F.array().cast("array<string>")
+    new = {f"best_{c}": F.when(F.col("better"), F.col(c)).otherwise(F.col(f"best_{c}")) for c in ("idx", "mode", "text", "score", "suspicious")}
+    error = F.when(F.coalesce("error", F.lit("")) != "", F.array(F.concat_ws(": ", "mode", "error"))).otherwise(none)
+    new |= {"best_warnings": F.concat("best_warnings", F.coalesce("warnings", none)), "best_errors": F.concat("best_errors", error)}
+    return rows.withColumns(new | {"closed": F.col("better") & F.col("acceptable") & trusted})
+
+
 def cascade(pages: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], write: Callable[[DataFrame, str], DataFrame], keys=("doc", "page"), suspicion: bool = False) -> DataFrame:
-    """The best attempt of each page. A stage gets the open pages and returns them with text, error and warnings.
+    """The best attempt of each page. A stage gets the open pages and returns them, all columns, with text, error and warnings.
 
-    After each stage a page is closed if its best attempt so far is acceptable. write(df, name) must materialize df.
+    After each stage a page is closed if its best attempt so far is acceptable. write(df, name) must materialize df. Pages have no columns whose
+    names begin with best_; what a closed page needs no more isn't written again.
     """
-    made, open_pages = None, pages
+    own = [c for c in pages.columns if c not in keys]
+    empty = {c: F.array().cast(t) if t.startswith("array") else F.lit(None).cast(t) for c, t in _CARRIED.items()}
+    still, ended = pages.withColumns(empty), []
     for idx, (mode, run) in enumerate(stages):
-        rows = judged(run(open_pages).withColumns({"idx": F.lit(idx), "mode": F.lit(mode)}), suspicion)
-        rows = write(rows.select(*keys, *ATTEMPT), f"attempt-{idx}")
-        made = rows if made is None else made.unionByName(rows)
-        best = best_attempt(made, keys, tiered=suspicion)
-        closed = best.where(is_acceptable_text(F.col("text")) & ~F.col("suspicious")).select(*keys)
-        open_pages = pages.join(closed, list(keys), "left_anti")
-    return best_attempt(made, keys, tiered=suspicion)
+        made = run(still).withColumns({"idx": F.lit(idx), "mode": F.lit(mode)})
+        made = with_suspicion(made, "text", "width", "height") if suspicion else made.withColumn("suspicious", F.lit(False))
+        made = made.withColumn("judged", judgement(F.col("text")))
+        made = made.withColumns({"score": F.when(F.col("suspicious"), F.lit(0.0)).otherwise(F.col("judged.score")), "acceptable": F.col("judged.acceptable")})
+        rows = _carried_on(made, suspicion)
+        rows = write(rows.select(*keys, *[F.when(~F.col("closed"), F.col(c)).alias(c) for c in own], *_CARRIED, "closed"), f"attempt-{idx}")
+        ended.append(rows.where("closed"))
+        still = rows.where("NOT closed").drop("closed")
+    last = reduce(DataFrame.unionByName, [r.select(*keys, *_CARRIED) for r in (*ended, still)])
+    error = F.when(F.col("best_text") == "", F.array_join("best_errors", " | "))
+    return last.select(*keys, *[F.col(f"best_{c}").alias(c) for c in ATTEMPT if c not in ("warnings", "error")], F.col("best_warnings").alias("warnings"), error.alias("error"))

@@ -349,16 +349,21 @@ def fewer_words(s: Column) -> Column:
     return F.array_join(F.filter(F.split(s, " ", -1), lambda _, i: i % 4 != 3), " ")
 
 
-def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def row_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, attempts: a text's attempts in order, in one row."""
     n, s = F.length("t"), F.col("t")
-    one = lambda idx, mode, t, fails, suspicious: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), F.when(fails, "").otherwise(t).alias("text"), suspicious.alias("suspicious"), F.when(fails, F.lit("engine failed")).alias("error"))
+    one = lambda idx, mode, t, fails, suspicious: F.struct(F.lit(idx).alias("idx"), F.lit(mode).alias("mode"), F.when(fails, "").otherwise(t).alias("text"), suspicious.alias("suspicious"), F.array(F.lit(mode)).alias("warnings"), F.when(fails, F.lit("engine failed")).alias("error"))
     rows = F.array(
         one(0, "pagina_inteira", F.translate(s, "elo", "c10"), n % 3 == 0, n % 11 == 1),
         one(1, "pagina_inteira_pre", fewer_words(s), n % 7 == 0, n % 5 == 2),
         one(2, "faixas", s, n % 7 < 2, n % 13 == 4),
     )
-    made = texts(spark, sf_dir).select("doc_id", F.explode(rows).alias("a")).select("doc_id", "a.*")
-    return made.withColumns({"warnings": F.array("mode"), "width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
+    return texts(spark, sf_dir).select("doc_id", rows.alias("attempts"))
+
+
+def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = row_attempts(spark, sf_dir).select("doc_id", F.explode("attempts").alias("a")).select("doc_id", "a.*")
+    return made.withColumns({"width": F.lit(PAGE_WIDTH), "height": F.lit(PAGE_HEIGHT)})
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +386,10 @@ def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_ATTEMPTS} " + SQL_BEST.format("t <> '' AND NOT suspicious DESC, t <> '' DESC, CASE WHEN t <> '' THEN score END DESC, CASE WHEN t <> '' THEN idx ELSE -idx END"))
 def best_attempt_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(attempts(spark, sf_dir), True)
+    """Chosen inside the row that holds a text's attempts."""
+    scored = F.transform("attempts", lambda a: a.withField("score", text.score_text(a["text"])))
+    best = row_attempts(spark, sf_dir).withColumn("attempts", scored).select("doc_id", select.best_of(F.col("attempts"), tiered=True).alias("best")).select("doc_id", "best.*")
+    return best.select("doc_id", "mode", "text", "score", F.array_join("warnings", ",").alias("warnings"), "error")
 
 
 @query(f"""

@@ -317,3 +317,64 @@ def test_files_to_ranking_and_chart(spark, tmp_path):
     assert rows[0].line == "   1   0.0000   0.0000        0        0         ok"
     checked = sinks.written(spark.range(3), "test-written")
     assert checked.count() == 3
+
+
+def test_best_of_a_row_is_best_of_rows(spark):
+    """Attempts in one row and in rows of their own give the same, ties and empty texts included."""
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for d in range(300):
+        for i in range(r.randint(1, 5)):
+            text = r.choice(["", "", "abc", "some more text", None])
+            rows.append((d, 0, i, f"m{i}", text, r.choice([0.0, 5.0, 5.0, None]), r.choice([True, False, None]), r.choice([["w"], None, []]), r.choice(["failed", "", None])))
+    df = spark.createDataFrame(rows, "doc int, page int, idx int, mode string, text string, score double, suspicious boolean, warnings array<string>, error string")
+    arrays = df.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in select.ATTEMPT if c != "idx"]))).alias("a"))
+    for tiered in (False, True):
+        grouped = {(x.doc): x for x in select.best_attempt(df.withColumn("text", F.coalesce("text", F.lit(""))), tiered=tiered).collect()}
+        row = {x.doc: x for x in arrays.withColumn("a", F.transform("a", lambda a: a.withField("text", F.coalesce(a["text"], F.lit(""))))).select("doc", "page", select.best_of(F.col("a"), tiered).alias("b")).select("doc", "page", "b.*").collect()}
+        assert {d: tuple(x[c] for c in ("idx", "mode", "text", "score", "suspicious", "warnings", "error")) for d, x in grouped.items()} == {d: tuple(x[c] for c in ("idx", "mode", "text", "score", "suspicious", "warnings", "error")) for d, x in row.items()}
+
+
+@pytest.mark.parametrize("suspicion", [False, True])
+def test_cascade_against_plain_loops(spark, tmp_path, suspicion):
+    """Each page goes through the stages until its best attempt so far is acceptable; no text is shuffled between stages."""
+    import random
+
+    r = random.Random(10)
+    good = "a line of text that is long enough to count\nsecond line here with even more text in it, so that it scores over the limit number "
+    said = ["", "short", "the text content " * 9, good + "one", good + "two and longer", "again and again " * 60]
+    pages = [(d, 1, [r.randrange(len(said)) for _ in range(4)]) for d in range(200)]
+    df = spark.createDataFrame(pages, "doc int, page int, turns array<int>").withColumns({"width": F.lit(1000), "height": F.lit(1000)}).repartition(4)
+    texts = F.array(*[F.lit(t) for t in said])
+
+    def stage(i):
+        text = texts[F.col("turns")[i]]
+        return lambda rows: rows.withColumns({"text": text, "error": F.when(text == "", F.lit(f"e{i}")), "warnings": F.array(F.lit(f"w{i}"))})
+
+    written = []
+
+    def write(rows, name):
+        written.append(rows._jdf.queryExecution().executedPlan().toString())
+        rows.write.parquet(f"{tmp_path}/{suspicion}-{name}")
+        return spark.read.parquet(f"{tmp_path}/{suspicion}-{name}")
+
+    got = {x.doc: x for x in select.cascade(df, [(m, stage(i)) for i, m in enumerate(standardize.PIPELINE)], write, suspicion=suspicion).collect()}
+    judged = {x.t: x for x in select.judged(spark.createDataFrame([(t, 1000, 1000) for t in said], "t string, width int, height int").withColumn("text", F.col("t")), suspicion).withColumn("ok", quality.is_acceptable_text(F.col("text"))).collect()}
+    for d, _, turns in pages:
+        best, warnings, errors = None, [], []
+        for i, k in enumerate(turns):
+            j = judged[said[k]]
+            warnings.append(f"w{i}")
+            if not said[k]:
+                errors.append(f"{standardize.PIPELINE[i]}: e{i}")
+            rank = (bool(said[k]) and not (suspicion and j.suspicious), bool(said[k]), j.score if said[k] else 0.0)
+            if best is None or rank > best[0] or not rank[1] and not best[0][1]:
+                best = rank, i, said[k], j
+            if best[1] == i and j.ok and not j.suspicious:
+                break
+        x = got[d]
+        assert (x.idx, x.mode, x.text, x.score, x.suspicious, x.warnings) == (best[1], standardize.PIPELINE[best[1]], best[2], best[3].score, best[3].suspicious, warnings)
+        assert x.error == (" | ".join(errors) if not best[2] else None)
+    assert all("Exchange" not in plan for plan in written[1:])
