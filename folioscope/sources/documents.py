@@ -20,20 +20,41 @@ PAGE_KEYS = (
 )
 
 
+def resolved(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Full paths of files, each once, in order; one that is missing is an error."""
+    conf, of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return list(dict.fromkeys(of(p).getFileSystem(conf).resolvePath(of(p)).toString() for p in paths))
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, json of whole files; a path that is named twice counts once."""
-    files = spark.read.text(list(dict.fromkeys(paths)), wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")).dropDuplicates(["path"])
+    """path, engine, document, bytes, json of whole files; a path that is named twice, however it is written, counts once.
+
+    engine and document are what the file's name says before and after _output_ (the first may have no document). They come from the listing, as
+    path and bytes do: a filter on them opens only the files that it lets through. Small files share a task, by their sizes.
+    """
+    return _files(spark, resolved(spark, paths))
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.text(paths, wholetext=True)
+    name = F.col("_metadata.file_name")
+    return files.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_extract(name, r"\A(.*?)_output(?:_.*)?\.json\z", 1).alias("engine"),
+        F.regexp_extract(name, r"_output_(.*)\.json\z", 1).alias("document"),
+        F.col("_metadata.file_size").alias("bytes"),
+        F.col("value").alias("json"),
+    )
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, json of the results under root, or of the fallback pattern only if there are none."""
+    """read_files of the results under root, or of the fallback pattern only if there are none."""
     for pattern in (RESULTS, FALLBACK):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}")
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
         if found:
-            return read_files(spark, sorted(s.getPath().toString() for s in found))
-    return spark.createDataFrame([], "path string, json string")
+            return _files(spark, sorted(s.getPath().toString() for s in found))
+    return spark.createDataFrame([], "path string, engine string, document string, bytes long, json string")
 
 
 def parent_folder(path: Column) -> Column:

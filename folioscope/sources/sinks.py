@@ -6,48 +6,142 @@ import json
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from folioscope.functions.names import output_path
 
+#: Files of a staging folder: what a task wrote, and the tasks' folders once all have ended.
+LISTED, COMMITTED = "listed.jsonl", "committed.json"
+
 
 def file_system(uri: str):
     """(file system, path) of pyarrow for a URI such as file:///..., hdfs://..., or for a plain path."""
-    from pyarrow import fs
-
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def write_document_files(documents: DataFrame, root: str, extra_root: str | None = None, source: str = "source_pdf") -> DataFrame:
-    """Each document as a JSON file of its own, under the path that output_path builds from its model and source; returns path, bytes of each.
+def exists(uri: str) -> bool:
+    fs, at = file_system(uri)
+    return fs.get_file_info(at).type != pafs.FileType.NotFound
 
-    The files are indented by two spaces, keep what is not ASCII and replace what is there; extra_root gets a copy. The
-    tasks write them, so root must be a folder that all executors share; a task that is run again writes the same
-    files. discover finds them there. Runs when the result is read or written.
-    """
-    roots = list(dict.fromkeys(r for r in (root, extra_root) if r))
-    body = F.to_json(F.struct(*[c for c in documents.columns]), {"ignoreNullFields": "false"})
-    rows = documents.select(F.array(*[output_path(r, F.col("model"), F.col(source)) for r in roots]).alias("paths"), body.alias("body"))
-
-    def run(batches):
-        for batch in batches:
-            written = []
-            for paths, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+
+@dataclass
+class _TaskFiles(WriterCommitMessage):
+    """The staging folders of a task that ended well, one a root."""
+
+    folders: list[str]
+
+
+class _StagedWriter(DataSourceArrowWriter):
+    """Writes rows (place, name, body) as files of a folder that is the attempt's own, with a list of them; nothing appears where files are looked for."""
+
+    def __init__(self, staging: list[str]):
+        self.staging = staging
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        attempt = uuid.uuid4().hex
+        folders = [f"{s}/{attempt}" for s in self.staging]
+        targets = [(*file_system(f), f) for f in folders]
+        for fs, at, _ in targets:
+            fs.create_dir(at, recursive=True)
+        listed: list[list[str]] = [[] for _ in targets]
+        for batch in iterator:
+            for places, text in zip(batch.column("places").to_pylist(), batch.column("body").to_pylist()):
                 data = json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode()
-                for path in paths:
-                    fs, at = file_system(path)
-                    fs.create_dir(posixpath.dirname(at), recursive=True)
-                    with fs.open_output_stream(at) as out:
+                for place, (fs, at, folder), files in zip(places, targets, listed):
+                    name = f"{len(files)}.staged"
+                    with fs.open_output_stream(f"{at}/{name}") as out:
                         out.write(data)
-                    written.append((path, len(data)))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in written], pa.string()), pa.array([n for _, n in written], pa.int64())], ["path", "bytes"])
+                    files.append(json.dumps({"staged": f"{folder}/{name}", "path": place, "bytes": len(data)}))
+        for (fs, at, _), files in zip(targets, listed):
+            with fs.open_output_stream(f"{at}/{LISTED}") as out:
+                out.write("\n".join(files).encode())
+        return _TaskFiles(folders)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        for i, staging in enumerate(self.staging):
+            fs, at = file_system(staging)
+            fs.create_dir(at, recursive=True)
+            with fs.open_output_stream(f"{at}/{COMMITTED}") as out:
+                out.write(json.dumps([m.folders[i] for m in messages if m]).encode())
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        _forget(self.staging)
+
+
+class DocumentFiles(DataSource):
+    """Data source that stages documents as files; write_document_files moves them to their places once all are there."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_files"
 
-    return rows.mapInArrow(run, "path string, bytes long")
+    def schema(self) -> str:
+        return "places array<string>, body string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _StagedWriter(json.loads(self.options["staging"]))
+
+
+def _forget(folders: list[str]) -> None:
+    for folder in folders:
+        fs, at = file_system(folder)
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            fs.delete_dir(at)
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moves staged files to their places. A task that is run again finds the moved ones in place and goes on."""
+    for batch in batches:
+        for staged, path in zip(batch.column("staged").to_pylist(), batch.column("path").to_pylist()):
+            (fs, source), (_, to) = file_system(staged), file_system(path)
+            if fs.get_file_info(source).type == pafs.FileType.NotFound:
+                if fs.get_file_info(to).type == pafs.FileType.NotFound:
+                    raise FileNotFoundError(f"neither {staged} nor {path}")
+                continue
+            fs.create_dir(posixpath.dirname(to), recursive=True)
+            if fs.type_name != "local" and fs.get_file_info(to).type != pafs.FileType.NotFound:
+                fs.delete_file(to)  # other stores don't move onto a file
+            fs.move(source, to)
+        yield batch.select(["path", "bytes"])
+
+
+def write_document_files(documents: DataFrame, root: str, extra_root: str | None = None, source: str = "source_pdf", run: str | None = None) -> DataFrame:
+    """Each document as a JSON file of its own, under the path that output_path builds from its model and source; returns path, bytes of each.
+
+    The files are indented by two spaces, keep what is not ASCII and replace what is there; extra_root gets a copy. discover finds them there. root must be a
+    folder that all executors share. Tasks write to a hidden staging folder of this run; if any fails for good, the folder goes and no
+    file has appeared or changed. When all have ended, a second job moves the files to their places; it can be repeated. A run that is
+    named and has been completed isn't written again: its files are returned.
+    """
+    spark = documents.sparkSession
+    roots = list(dict.fromkeys(r.rstrip("/") for r in (root, extra_root) if r))
+    run = run or uuid.uuid4().hex
+    done = [f"{r}/data/.runs/{run}" for r in roots]
+    if not all(exists(f"{d}/_SUCCESS") for d in done):
+        staging = [f"{r}/data/.staging-{run}" for r in roots]
+        if not all(exists(f"{s}/{COMMITTED}") for s in staging):
+            _forget(staging)
+            spark.dataSource.register(DocumentFiles)
+            body = F.to_json(F.struct(*[c for c in documents.columns]), {"ignoreNullFields": "false"})
+            rows = documents.select(F.array(*[output_path(r, F.col("model"), F.col(source)) for r in roots]).alias("places"), body.alias("body"))
+            rows.write.format("document_files").option("staging", json.dumps(staging)).mode("append").save()
+        for staged, to in zip(staging, done):
+            fs, at = file_system(staged)
+            folders = json.loads(fs.open_input_stream(f"{at}/{COMMITTED}").read())
+            listed = spark.read.schema("staged string, path string, bytes long").json([f"{f}/{LISTED}" for f in folders] or [f"{staged}/{COMMITTED}"]).where("path IS NOT NULL")
+            moved = listed.repartition(max(1, min(len(folders), spark.sparkContext.defaultParallelism * 4))).mapInArrow(_moved, "path string, bytes long")
+            moved.write.mode("overwrite").parquet(to)
+        _forget(staging)
+    return spark.read.schema("path string, bytes long").parquet(*done)
 
 
 def write_documents(documents: DataFrame, path: str, extra_path: str | None = None) -> None:
@@ -65,16 +159,26 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_pages(pages: DataFrame, path: str) -> None:
-    """Page-wise progress: finished pages are appended by model; a rerun reads them and leaves them out."""
-    pages.write.mode("append").partitionBy("model").parquet(path)
+def append_pages(pages: DataFrame, path: str, run: str = "run", batch: int = 0) -> None:
+    """Page-wise progress: finished pages, in a folder of their run and batch, by model; a rerun reads them and leaves them out.
+
+    A batch that is written again replaces itself, so a replay adds nothing. read_pages reads what all runs wrote.
+    """
+    pages.write.mode("overwrite").partitionBy("model").parquet(f"{path.rstrip('/')}/run={run}/batch={batch}")
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages that append_pages wrote, with run and batch; of a page that several batches wrote the last counts (by ord, then batch)."""
+    rows = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/run=*/batch=*").withColumn("model", F.col("model").cast("string"))
+    last = Window.partitionBy("doc", "model", "page").orderBy(F.desc("ord"), F.desc("batch"), F.desc("run"))
+    return rows.withColumn("nth_", F.row_number().over(last)).where("nth_ = 1").drop("nth_")
 
 
 def scratch_folder(spark, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share; only a local session may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/folioscope-scratch"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
