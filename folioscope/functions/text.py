@@ -26,7 +26,7 @@ _BLANK = r"[\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD_SET = r"\p{L}\p{N}_"
 #: Letters and digits that the scores count; fragments of answers that hold no page text.
-ALNUM_SET = "A-Za-zÀ-ÖØ-öø-ÿ0-9"
+ALNUM_CHARACTERS = "".join(chr(i) for a, b in ("09", "AZ", "az", "ÀÖ", "Øö", "øÿ") for i in range(ord(a), ord(b) + 1))
 GENERIC_FRAGMENTS = (
     "transforme uma imagem",
     "no texto extração",
@@ -56,6 +56,10 @@ def _composed(c: pd.Series) -> pd.Series:
     return c.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Signs that most texts hold; taken out first, they leave a pattern for all others little to find.
+_ASCII_SIGNS = "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum())
+
+
 def nfc(c: Column, of: Column | None = None) -> Column:
     """Unicode normal form C, null as empty. Only texts with a character that it may change go through Python; of, if c takes
     long to compute, is a plain column that holds all of c's characters. Deterministic, so filters on other columns pass below it.
@@ -112,7 +116,7 @@ def count_lines(c: Column) -> Column:
 
 
 def count_alnum(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{ALNUM_SET}]+", ""))
+    return F.length(c) - F.length(F.translate(c, ALNUM_CHARACTERS, ""))
 
 
 def text_counts(c: Column) -> Column:
@@ -161,8 +165,9 @@ def dedupe_lines(c: Column) -> Column:
 
     def split_both(t: Column) -> Column:
         raw = F.regexp_replace(t, rf"(?<!{_BLANK}){_BLANK}++(?=\n|\z)", "")
-        norm = F.regexp_replace(F.regexp_replace(F.lower(t), f"{_BLANK}+", " "), r" ?\n ?", "\n")
-        norm = F.regexp_replace(F.regexp_replace(norm, r"\A +| +\z", ""), r"[^a-zà-öø-ÿ0-9 \n]+", "")
+        norm = F.regexp_replace(F.lower(t), rf"{_BLANK}{{2,}}|[{_BLANK}&&[^\x20]]", " ")
+        norm = F.translate(F.trim(F.regexp_replace(norm, r" \n ?|\n ", "\n")), _ASCII_SIGNS, "")
+        norm = F.regexp_replace(norm, r"[^a-zà-öø-ÿ0-9 \n]+", "")
         return F.arrays_zip(F.split(raw, "\n", -1).alias("raw"), F.split(norm, "\n", -1).alias("norm"))
 
     numbered = F.transform(let(text, split_both), lambda x, i: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), i.alias("i")))
