@@ -7,7 +7,7 @@ from folioscope.functions import geometry, names
 from folioscope.operators import evaluate, layout, quality, select, standardize
 from folioscope.plans import charts, runs
 from folioscope.sources import boundary, documents, engines, sinks
-from folioscope.streaming.pages import append_stream
+from folioscope.streaming.pages import append_stream, resume_state
 
 RAW = "doc string, model string, ord int, page string, text string, processing_seconds string, error string, warnings array<string>, meta map<string,string>, metadata map<string,string>, ocr_method string"
 
@@ -231,15 +231,43 @@ def test_engine_answers(spark):
     assert engines.first_answer(lambda c: c, ["", "generic", "text"], lambda t: t == "generic") == "text"
 
 
-def test_stream_and_sinks(spark, tmp_path):
-    rows = "select 'd' doc, 'm' model, cast(id % 3 as int) ord, cast(id % 3 as string) page, 'text' text, timestamp'2024-01-01' arrived from range(6)"
-    spark.sql(rows).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+def stream_of(spark, tmp_path, batches):
+    """Raw pages as files that a stream reads one by one."""
+    schema = "doc string, model string, ord int, page string, text string, processing_seconds string, warnings array<string>, metadata map<string,string>, arrived timestamp"
+    for i, rows in enumerate(batches):
+        made = [(d, "m", ord_, str(p), text, "0.5", ["w"], {"k": text}, None) for d, p, ord_, text in rows]
+        spark.createDataFrame(made, schema).withColumn("arrived", F.lit("2024-01-01 00:00:00.123456").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/n={i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Pages that come again within and across batches, in any order: the stream's pages are those of the batch operators, and its state says what is there."""
+    import random
+
+    r = random.Random(14)
+    batches = [[(r.choice("ab"), r.randrange(6), ord_, r.choice(["", f"text  {ord_}"])) for ord_ in r.sample(range(100 * n, 100 * n + 60), 12)] for n in (2, 0, 1)]
+    batches.append(batches[0])  # rows that come again
+    stream = stream_of(spark, tmp_path, batches)
     append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    pages = spark.read.parquet(f"{tmp_path}/out")
-    assert pages.count() == 3
-    sinks.write_documents(standardize.build_documents(pages), f"{tmp_path}/docs")
-    assert spark.read.json(f"{tmp_path}/docs").first().page_count == 2
+    raw = spark.read.schema(stream.schema).parquet(f"{tmp_path}/in/*").dropDuplicates(["doc", "model", "page", "ord"])
+    wanted = standardize.last_of_page(standardize.standardize_pages(raw)).orderBy("doc", "page")
+    shown = lambda df: [(x.doc, x.page, x.ord, x.text, x.status, x.warnings, x.metadata, x.arrived) for x in df.where("page > 0").orderBy("doc", "page").collect()]
+    assert shown(sinks.read_pages(spark, f"{tmp_path}/out")) == shown(wanted)
+    state = {(s.doc, s.page): (s.ord, s.filled) for s in resume_state(spark, f"{tmp_path}/cp").collect()}
+    last = {}
+    for d, p, ord_, text in sum(batches, []):
+        last[d, str(p)] = max(last.get((d, str(p)), (-1, False)), (ord_, bool(text)))
+    assert state == last
+    # nothing new: the query goes on from its checkpoint and adds nothing
+    before = sinks.read_pages(spark, f"{tmp_path}/out").count()
+    append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert sinks.read_pages(spark, f"{tmp_path}/out").count() == before
+
+
+def test_documents_as_json_lines(spark, tmp_path):
+    pages = standardize.standardize_pages(spark.createDataFrame([("d", "m", n, str(n), "text") for n in range(3)], "doc string, model string, ord int, page string, text string"))
+    sinks.write_documents(standardize.build_documents(pages), f"{tmp_path}/docs", f"{tmp_path}/copy")
+    assert spark.read.json(f"{tmp_path}/docs").first().page_count == 2 == spark.read.json(f"{tmp_path}/copy").first().page_count
 
 
 def test_results_of_any_shape():
