@@ -2,13 +2,14 @@
 
 An engine is anything with recognise(pages) -> results over an iterator of pandas frames; it runs inside mapInPandas, so
 it loads once a task and streams. What it returns for a page is text or raw boxes; everything after that is in operators.
-Engines, renderers and image filters themselves are not part of this package; FakeEngine stands in for them in tests.
+Engines and renderers themselves are not part of this package; image filters are in operators.images.
 """
 
 from __future__ import annotations
 
-import hashlib
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -30,20 +31,62 @@ class OcrEngine(Protocol):
         """The text of a page or band (a dict of its columns); raises if it can't."""
 
 
-def run_engine(pages: DataFrame, engine: OcrEngine) -> DataFrame:
-    """pages with ATTEMPT_SCHEMA's columns. An exception becomes the row's error and never ends the run."""
+class _Calls:
+    """Calls of one task: at most `in_flight` at once, results in the order of the pages, and a budget of repeats that all calls share.
+
+    A call that takes longer than the deadline becomes an error and is left to end by itself; its place is free again.
+    """
+
+    def __init__(self, recognise: Callable[[dict], str], in_flight: int, deadline: float | None, repeats: int):
+        self.recognise, self.in_flight, self.deadline, self.repeats = recognise, max(1, in_flight), deadline, repeats
+        self.lock = threading.Lock()
+
+    def _may_repeat(self) -> bool:
+        with self.lock:
+            self.repeats -= 1
+            return self.repeats >= 0
+
+    def _call(self, page: dict, answer: dict) -> None:
+        while True:
+            try:
+                answer["text"], answer["error"] = self.recognise(page), None
+            except Exception as e:  # noqa: BLE001  any failure of an engine is a page's error
+                answer["text"], answer["error"] = "", str(e)
+                if self._may_repeat():
+                    continue
+            answer["seconds"] = time.perf_counter() - answer["began"]
+            answer["done"].set()
+            return
+
+    def _ended(self, answer: dict) -> tuple[str, str | None, list, float]:
+        left = None if self.deadline is None else max(0.0, answer["began"] + self.deadline - time.perf_counter())
+        if answer["done"].wait(left):
+            return answer["text"], answer["error"], [], answer["seconds"]
+        return "", f"no answer within {self.deadline:g} s", [], time.perf_counter() - answer["began"]
+
+    def run(self, pages: list[dict]) -> list[tuple[str, str | None, list, float]]:
+        flying, made = deque(), []
+        for page in pages:
+            if len(flying) == self.in_flight:
+                made.append(self._ended(flying.popleft()))
+            answer = {"began": time.perf_counter(), "done": threading.Event()}
+            threading.Thread(target=self._call, args=(page, answer), daemon=True).start()
+            flying.append(answer)
+        return made + [self._ended(answer) for answer in flying]
+
+
+def run_engine(pages: DataFrame, engine: OcrEngine, in_flight: int = 1, deadline: float | None = None, repeats: int = 0) -> DataFrame:
+    """pages with ATTEMPT_SCHEMA's columns. An exception becomes the row's error and never ends the run.
+
+    An engine that waits for others, such as a model server, can answer several pages of a task at once (in_flight; recognise is then called from several
+    threads). deadline: seconds a page may take, its repeats included. repeats: how many failed calls of a task are made again, in all.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine.open()
+        calls = _Calls(engine.recognise, in_flight, deadline, repeats)
         for frame in frames:
-            made = []
-            for page in frame.to_dict("records"):
-                began = time.perf_counter()
-                try:
-                    text, error = engine.recognise(page), None
-                except Exception as e:  # noqa: BLE001  any failure of an engine is a page's error
-                    text, error = "", str(e)
-                made.append((text, error, [], time.perf_counter() - began))
+            made = calls.run(frame.to_dict("records"))
             yield frame.assign(**dict(zip(("text", "error", "warnings", "processing_seconds"), map(list, zip(*made)) if made else ([], [], [], []))))
 
     kept = [c for c in pages.columns if c not in ("text", "error", "warnings", "processing_seconds")]
@@ -111,22 +154,6 @@ def render_pages(files: DataFrame, renderer: Callable[[bytes], list[tuple[int, i
     return files.select("path", "content").mapInPandas(run, "path string, page int, width int, height int, image binary")
 
 
-class FakeEngine:
-    """Answers from the page's own truth column, with deterministic mistakes: a page fails, is empty or is misread by a hash of its keys and mode."""
-
-    def __init__(self, mode: str, fails: int = 0, empties: int = 0):
-        self.mode, self.fails, self.empties = mode, fails, empties
-
-    def open(self) -> None:
-        pass
-
-    def recognise(self, page: dict) -> str:
-        h = hashlib.md5(f"{page['doc']}/{page['page']}/{self.mode}".encode()).digest()[0] % 10
-        if h < self.fails:
-            raise RuntimeError("engine failed")
-        return "" if h < self.fails + self.empties else page["truth"]
-
-
 def cloud_response_to_text(payload: Column, header: bool = True, footer: bool = True) -> Column:
     """struct(text, summary) of a cloud answer (JSON): pages' header, markdown and footer joined by blank lines, cleaned of markup.
 

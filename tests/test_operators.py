@@ -1,6 +1,10 @@
+import hashlib
 import json
+import sys
+import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry, names
@@ -9,6 +13,8 @@ from folioscope.plans import charts, runs
 from folioscope.sources import boundary, documents, engines, sinks
 from folioscope.streaming.pages import append_stream, resume_state
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't import this file
+
 RAW = "doc string, model string, ord int, page string, text string, processing_seconds string, error string, warnings array<string>, meta map<string,string>, metadata map<string,string>, ocr_method string"
 
 
@@ -120,6 +126,66 @@ def test_heights_and_bands(spark):
     assert select.best_height(merged).first().height_idx == 0  # an earlier generic text may score higher
 
 
+class FakeEngine:
+    """Answers from the page's own truth column, with deterministic mistakes: a page fails or is empty by a hash of its keys and mode."""
+
+    def __init__(self, mode, fails=0, empties=0):
+        self.mode, self.fails, self.empties = mode, fails, empties
+
+    def open(self):
+        pass
+
+    def recognise(self, page):
+        h = hashlib.md5(f"{page['doc']}/{page['page']}/{self.mode}".encode()).digest()[0] % 10
+        if h < self.fails:
+            raise RuntimeError("engine failed")
+        return "" if h < self.fails + self.empties else page["truth"]
+
+
+class SlowEngine:
+    """Takes 50 ms a page; pages that divide by 7 fail on their first call, those by 11 on every call, number 5 hangs."""
+
+    def __init__(self, hangs=False):
+        self.hangs, self.seen = hangs, set()
+
+    def open(self):
+        pass
+
+    def recognise(self, page):
+        n = page["page"]
+        time.sleep(3.0 if self.hangs and n == 5 else 0.05)
+        if n % 11 == 0 or n % 7 == 0 and n not in self.seen:
+            self.seen.add(n)
+            raise RuntimeError(f"failed {n}")
+        return f"text {n}"
+
+
+def test_engine_calls_in_flight(spark):
+    pages = spark.createDataFrame([("d", n) for n in range(1, 65)], "doc string, page int").coalesce(1)
+
+    def timed(**how):
+        began = time.perf_counter()
+        rows = engines.run_engine(pages, SlowEngine(how.pop("hangs", False)), **how).collect()
+        return rows, time.perf_counter() - began
+
+    timed(in_flight=64)
+    plain, alone = timed()
+    rows, together = timed(in_flight=16)
+    assert alone > 3.2 and together < alone / 4
+    assert [r.page for r in rows] == [r.page for r in plain] == list(range(1, 65))
+    fails = lambda n: n % 11 == 0 or n % 7 == 0
+    for got in (plain, rows):
+        assert {r.page: r.error for r in got} == {n: f"failed {n}" if fails(n) else None for n in range(1, 65)}
+        assert all(r.text == ("" if fails(r.page) else f"text {r.page}") and 0.04 < r.processing_seconds < 1 for r in got)
+    # the budget of repeats is shared: enough of it leaves the pages that always fail
+    repeated, _ = timed(in_flight=16, repeats=100)
+    assert {r.page for r in repeated if not r.error} >= {n for n in range(1, 65) if n % 7 == 0 and n % 11}
+    few, _ = timed(in_flight=16, repeats=1)
+    assert sum(r.error is not None for r in few) in (13, 14)
+    hung, took = timed(in_flight=16, deadline=0.5, hangs=True)
+    assert took < 3 and {r.page: r.error for r in hung}[5] == "no answer within 0.5 s" and {r.page: r.text for r in hung}[6] == "text 6"
+
+
 def test_cascade_runs_open_pages_only(spark):
     truth = "a line of text that is long enough to count\nsecond line here with even more text in it, so that it scores over the limit"
     pages = spark.createDataFrame([("d", n, truth) for n in range(1, 21)], "doc string, page int, truth string")
@@ -129,7 +195,7 @@ def test_cascade_runs_open_pages_only(spark):
         seen[name] = df.count()
         return df
 
-    stages = [(mode, lambda df, mode=mode: engines.run_engine(df, engines.FakeEngine(mode, 3, 3))) for mode in standardize.PIPELINE]
+    stages = [(mode, lambda df, mode=mode: engines.run_engine(df, FakeEngine(mode, 3, 3))) for mode in standardize.PIPELINE]
     got = select.cascade(pages, stages, write).collect()
     assert len(got) == 20 and seen["attempt-0"] == 20 > seen["attempt-1"] > seen["attempt-2"]
 
