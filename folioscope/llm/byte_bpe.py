@@ -44,9 +44,9 @@ STATES = 8
 BLOCK = 128
 #: Code points scanned at once, unless one text is longer.
 CHUNK = 1_000_000
-#: Pieces whose ids are kept.
-CACHE = 300_000
-#: Pieces of more bytes are merged with a heap.
+#: Pieces whose ids are kept; pieces of a text that are looked up at once.
+CACHE, TOGETHER = 300_000, 100_000
+#: Pieces of more bytes are merged with a heap, and not kept.
 LONG_PIECE = 64
 
 
@@ -214,13 +214,18 @@ class ByteBpe:
             try:
                 joined = b"".join(map(self.cache.__getitem__, pieces))
             except KeyError:
-                if len(self.cache) > CACHE:
-                    self.cache.clear()
-                for piece in set(pieces).difference(self.cache):
-                    self.cache[piece] = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                joined = b"".join(map(self.cache.__getitem__, pieces))
+                joined = b"".join(self._joined(pieces[at : at + TOGETHER]) for at in range(0, len(pieces), TOGETHER))
             yield np.frombuffer(joined, "<u4")
 
+    def _joined(self, pieces: list[str]) -> bytes:
+        """Ids of some pieces. Long ones aren't kept, and few enough come at once that what is kept is bounded in bytes."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        own = {}
+        for piece in set(pieces).difference(self.cache):
+            (self.cache if len(piece) <= LONG_PIECE else own)[piece] = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        return b"".join([own[p] if p in own else self.cache[p] for p in pieces] if own else map(self.cache.__getitem__, pieces))
+
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token begins in the text's UTF-8 bytes."""
         ends = np.cumsum(self.lengths[ids])

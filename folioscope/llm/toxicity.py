@@ -124,8 +124,9 @@ class Grammar:
         self.symbols = {w: s for ws, s in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (MODALS, MODAL), (THREATS, THREAT), (INSULTS, INSULT)) for w in ws}
         self.strength = {w: SEED for w in INSULTS} | {w: 1.0 for w in THREATS}
         for word, strength in learned.items():
-            if not word.endswith("*"):
-                self.symbols[word], self.strength[word] = INSULT, max(strength, self.strength.get(word, 0))
+            # a word of the grammar keeps its part: one learned as an insult must still be a target or a negation
+            if not word.endswith("*") and self.symbols.get(word, INSULT) in (INSULT, THREAT):
+                self.symbols[word], self.strength[word] = self.symbols.get(word, INSULT), max(strength, self.strength.get(word, 0))
         self.beginnings = {w[:-1]: s for w, s in learned.items() if w.endswith("*")}
         self.lengths = sorted({len(b) for b in self.beginnings})
         self.weights = first_weights() if weights is None else weights

@@ -471,6 +471,20 @@ def test_byte_bpe_like_library(spark, odd, none):
 # ---- media
 
 
+def test_byte_bpe_keeps_no_long_pieces(monkeypatch):
+    """Long pieces aren't kept, and ids are the same however many pieces are looked up at once."""
+    import tiktoken
+
+    bpe = byte_bpe.ByteBpe(byte_bpe.default_path())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(25)
+    texts = ["y" * 5000, "z" * 65, " ".join("".join(r.choices("abcdef", k=r.randint(1, 90))) for _ in range(3000)), ""]
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 700)
+    got = [ids.tolist() for ids in bpe.encode(texts)]
+    assert 0 < max(map(len, bpe.cache)) <= byte_bpe.LONG_PIECE
+    assert got == [library.encode_ordinary(t) for t in texts]
+
+
 def test_media_round_trip(spark, odd, none):
     folder = shared.scratch(spark, "test-media")
     media.write_archives(odd, folder)
@@ -537,6 +551,57 @@ def test_toxicity_grammar():
     assert score("Nobody is hurt. " * 50 + "You moron!") >= 0.7
 
 
+def test_learned_words_keep_their_part_in_the_grammar():
+    """A target, negation, modal or report that is learned as well stays what it is; a threat stays a threat."""
+    plain = toxicity.Grammar({"idiot": 0.9})
+    for word in ("you", "not", "said", "will", "kill"):
+        learned = toxicity.Grammar({"idiot": 0.9, word: 0.5})
+        assert learned.symbols[word] == plain.symbols[word]
+        for text in ("you are an idiot", "you are not an idiot", "he said you are an idiot", "I will kill you"):
+            assert (learned.features(text) == plain.features(text)).all(), (word, text)
+    assert toxicity.Grammar({"grumble": 0.5}).symbols["grumble"] == toxicity.INSULT
+
+
+def plain_score(grammar, text):
+    """The score of a text by its definition: clause by clause, each of the five transducers by itself."""
+    best, total = [0.0] * len(toxicity.KINDS), 0.0
+    low = text.lower()
+    words = toxicity.TOKEN.findall(low)
+    if not any(grammar.read(w)[0] in (toxicity.INSULT, toxicity.THREAT) for w in words):
+        return [0.0] * (1 + len(best))
+    for clause in toxicity.CLAUSE.split(low):
+        read = [grammar.read(w) for w in grammar.split(clause)]
+        marks = [set() for _ in read]
+        forward = [set() for _ in read]
+        for part in toxicity.transducers():
+            for places, marked in ((range(len(read)), (marks, forward)), (range(len(read) - 1, -1, -1), (marks,))):
+                state = part.start
+                for at in places:
+                    state, mark = part.step(state, read[at][0])
+                    for of in marked if mark else ():
+                        of[at].add(mark)
+        for at, (_, strength) in enumerate(read):
+            if forward[at] & {"insult", "threat"}:
+                kind = toxicity.KIND["threat" in forward[at], "target" in marks[at], "negated" in forward[at], "reported" in marks[at]]
+                best[kind] = max(best[kind], strength)
+                total += 0.0 if any(toxicity.KINDS[kind][2:]) else strength
+    return [min(2.0, toxicity.DENSE * total / (len(words) + 10)), *best]
+
+
+def test_toxicity_scores_against_brute_force(spark, labels):
+    """Features of many random texts from their definition, and the score from features and weights by hand."""
+    r = random.Random(24)
+    words = ["you", "he", "said", "not", "never", "idiot", "kill", "will", "the", "house", "stupid", "I", "are", "grumbles", ".", "!", ","]
+    grammar = toxicity.Grammar({"idiot": 0.9, "grumb*": 0.4, "stupid": 0.7})
+    for _ in range(400):
+        text = " ".join(r.choices(words, k=r.randint(0, 30)))
+        found = grammar.features(text)
+        assert found.tolist() == pytest.approx(plain_score(grammar, text))
+        density, *best = plain_score(grammar, text)
+        log_odds = toxicity.BASE + toxicity.DENSITY_ADDS * density + max(0.0, *(w * b for w, b in zip(toxicity.first_weights()[2:], best)))
+        assert grammar.score(found) == pytest.approx(1 / (1 + math.exp(-log_odds)))
+
+
 def test_toxicity_reads_apostrophes():
     g = toxicity.Grammar({})
     score = lambda t: g.score(g.features(t))
