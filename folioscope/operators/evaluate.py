@@ -7,6 +7,7 @@ Document rates compare the joined texts of all pages, separators included: they
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,3 +127,29 @@ def console_page_lines(pages: DataFrame) -> DataFrame:
     """The fixed-width lines of each model's pages, for the longer form of the console report."""
     line = F.format_string("%4d %8.4f %8.4f %8d %8d %10s", "page", "cer", "wer", "char_distance", "word_distance", F.left("status", F.lit(10)))
     return pages.select("doc", "model", "page", line.alias("line"))
+
+
+#: Headings of the console report, and the lengths of their rules.
+REFERENCE_LINE = "Referencia: %s | paginas=%d | chars=%d | words=%d"
+MODEL_HEADINGS, MODEL_RULE = ("Modelo", "CER", "WER", "DistC", "DistW", "Tempo(s)", "Falhas", "Faltantes", "Extras"), 97
+PAGE_HEADINGS, PAGE_RULE = ("Pag", "CER", "WER", "DistC", "DistW", "Status"), 56
+
+
+def console_report(reference: DataFrame, board: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc, n, line: the whole console report of each doc, in order of n from 1.
+
+    reference: doc, file_name, page_count, total_char_count, total_word_count. board: as of leaderboard. pages: as of page_metrics, for the longer form.
+    """
+    heads = ["%-20s %8s %8s %8s %8s %10s %8s %10s %8s" % MODEL_HEADINGS, "-" * MODEL_RULE]
+    about = F.format_string(REFERENCE_LINE, "file_name", "page_count", "total_char_count", "total_word_count")
+    place = lambda rank, part, page: F.struct(rank.cast("int").alias("rank"), part.cast("int").alias("part"), page.cast("int").alias("page"))
+    none = F.lit(0)
+    first = reference.select("doc", F.posexplode(F.array(about, F.lit(""), *[F.lit(h) for h in heads])).alias("at", "line")).select("doc", place(none - 1, F.col("at"), none).alias("place"), "line")
+    parts = [first, console_lines(board).select("doc", place(none, F.col("rank"), none).alias("place"), "line")]
+    if pages is not None:
+        titles = F.array(F.lit(""), F.concat(F.lit("["), F.col("model"), F.lit("]")), F.lit("%4s %8s %8s %8s %8s %10s" % PAGE_HEADINGS), F.lit("-" * PAGE_RULE))
+        parts.append(board.select("doc", "rank", F.posexplode(titles).alias("at", "line")).select("doc", place(F.col("rank"), F.col("at") - 4, none).alias("place"), "line"))
+        listed = console_page_lines(pages).join(board.select("doc", "model", "rank"), ["doc", "model"])
+        parts.append(listed.select("doc", place(F.col("rank"), none, F.col("page")).alias("place"), "line"))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("place")).alias("n"), "line")

@@ -65,12 +65,18 @@ def _errors() -> Column:
     return F.array_join(F.transform(failed, lambda a: a["e"]), " | ")
 
 
-def merge_bands(bands: DataFrame, keys=("doc", "page", "height_idx")) -> DataFrame:
-    """text of each key: the non-empty band texts in order of band, one a line, repeated lines dropped. Keys without text drop out."""
-    parts = F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("band", "text"))))
-    rows = bands.groupBy(*keys).agg(parts.alias("parts")).where(F.size("parts") > 0)
+def merge_bands(bands: DataFrame, keys=("doc", "page", "height_idx"), counts: tuple[str, ...] = ()) -> DataFrame:
+    """text of each key: the non-empty band texts in order of band, one a line, repeated lines dropped. Keys without text drop out.
+
+    With counts (columns of what each band's answer holds, such as tables_count) also bands_count and their sums over the bands that have a text; what is no number counts as 0.
+    """
+    filled = F.coalesce("text", F.lit("")) != ""
+    parts = F.array_sort(F.collect_list(F.when(filled, F.struct("band", "text"))))
+    sums = [F.sum(F.when(filled, F.coalesce(F.col(c).cast("string").try_cast("long"), F.lit(0)))).alias(c) for c in counts]
+    rows = bands.groupBy(*keys).agg(parts.alias("parts"), *sums).where(F.size("parts") > 0)
     joined = rows.withColumn("joined", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
-    return joined.select(*keys, dedupe_lines(F.col("joined")).alias("text"))
+    told = [F.size("parts").alias("bands_count"), *counts] if counts else []
+    return joined.select(*keys, dedupe_lines(F.col("joined")).alias("text"), *told)
 
 
 def best_height(merged: DataFrame, keys=("doc", "page"), tiered: bool = False) -> DataFrame:

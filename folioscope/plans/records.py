@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import geometry, names, text
 from folioscope.operators import evaluate, layout, quality, select, standardize
 from folioscope.plans import charts
-from folioscope.plans.queries import SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, SQL_SCORING, _alphabets, _encoded, benchmark_pages, conversation_pages, n_words, query, reference_and_candidates, sql_runaway, table
+from folioscope.plans.queries import SQL, SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, SQL_SCORING, _alphabets, _encoded, benchmark_pages, conversation_pages, n_words, query, reference_and_candidates, sql_runaway, table
 from folioscope.plans.queries import CHARS as SQL_CHARS
 from folioscope.plans.queries import WORDS as SQL_WORDS
 from folioscope.sources import boundary, documents, engines, sinks
@@ -375,14 +375,14 @@ def best_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(board, pages): orders as documents, the first three suppliers' lines as models' pages."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("rank")).agg(F.max("l_quantity").alias("q"))  # noqa: E741
+    """(board, pages): orders as documents, line numbers as ranked models, each with two pages."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("rank")).agg(F.max("l_quantity").alias("q"))  # noqa: E741
     board = l.select("doc", F.concat(F.lit("m"), F.col("rank").cast("string")).alias("model"), "rank", F.col("q").alias("total_processing_seconds"), (F.col("q") / 40).alias("cer"), (F.col("q") / 20).alias("wer"))
     pages = board.select("doc", "model", F.explode(F.array(F.lit(5), F.lit(9))).alias("page"), ((F.col("cer") * F.col("page")) / 5).alias("cer"))
     return board, pages
 
 
-SQL_LINES_RANKED = "b AS (SELECT l_orderkey AS doc, l_linenumber AS rank, max(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
+SQL_LINES_RANKED = "b AS (SELECT l_orderkey AS doc, l_linenumber AS rank, max(l_quantity) AS q FROM lineitem GROUP BY ALL)"
 
 
 @query(f"WITH {SQL_LINES_RANKED} SELECT doc, max(q) * 1.18::DOUBLE AS time_axis, max(q / 40) * 1.2::DOUBLE AS cer_axis, max(q / 20) * 1.2::DOUBLE AS wer_axis FROM b GROUP BY doc")
@@ -390,7 +390,7 @@ def axis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.axis_limits(line_cells(spark, sf_dir)[0])
 
 
-@query(f"WITH {SQL_LINES_RANKED} SELECT doc, rank, 'M' || rank AS label, least(1.0::DOUBLE, q / 40 * 5 / 5) AS p1, least(1.0::DOUBLE, q / 40 * 9 / 5) AS p2 FROM b WHERE doc IN (SELECT doc FROM b WHERE rank = 1)")
+@query(f"WITH {SQL_LINES_RANKED} SELECT doc, rank, CASE WHEN rank <= 2 THEN 'M' ELSE 'm' END || rank AS label, least(1.0::DOUBLE, q / 40 * 5 / 5) AS p1, least(1.0::DOUBLE, q / 40 * 9 / 5) AS p2 FROM b WHERE doc IN (SELECT doc FROM b WHERE rank = 1)")
 def heat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heat map's rows by rank; documents without a first-ranked model have no columns."""
     cells = charts.heat_cells(*line_cells(spark, sf_dir), labels={"m1": "M1", "m2": "M2"})
@@ -417,3 +417,59 @@ def report_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = r.select("doc", F.explode("r.models").alias("m")).select("doc", "m.model", F.size("m.pages").alias("listed_pages"))
     rows = ranking.join(pages, ["doc", "model"])
     return rows.select("doc", "rank", "model", "char_distance", "word_distance", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), F.col("listed_pages").cast("long").alias("listed_pages"))
+
+
+# ---- odd characters, whole reports, sums over bands
+
+SQL_ODD = "replace(replace(replace(replace(replace(coalesce(text, ''), '. ', '.' || chr(13) || chr(10)), 'er ', 'er' || chr(160)), 'th', 't' || chr(8203) || 'h'), ', ', ',' || chr(13)), 'é', 'e' || chr(769))"
+SQL_CLEAN = f"replace(replace(replace(replace(nfc_normalize({SQL_ODD}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(8203), '')"
+SQL_CLEAN_LINES = f"array_to_string(list_transform(string_split({SQL_CLEAN}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\f\\v]+', ' ', 'g'))), chr(10))"
+
+
+@query(f"""
+SELECT doc_id, trim(regexp_replace({SQL_CLEAN_LINES}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text,
+       trim(regexp_replace(nfc_normalize({SQL_CLEAN}), '\\s+', ' ', 'g')) AS scored FROM documents
+""")
+def odd_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with CR, CR LF, no-break spaces, zero-width spaces and letters whose accents stand apart, as standard texts and as scoring texts."""
+    odd = F.coalesce("text", F.lit(""))
+    for plain, put in ((". ", ".\r\n"), ("er ", "er\u00a0"), ("th", "t\u200bh"), (", ", ",\r"), ("é", "e\u0301")):
+        odd = F.replace(odd, F.lit(plain), F.lit(put))
+    rows = table(spark, sf_dir, "documents").select("doc_id", odd.alias("odd")).withColumn("text", text.display_text(F.col("odd")))
+    return rows.select("doc_id", "text", text.scoring_text(F.col("text"), F.col("odd")).alias("scored"))
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, trim(text) AS t, turn % 3 AS tables_count, CASE WHEN turn % 4 = 1 THEN 0 ELSE length(text) END AS images_count FROM conversations WHERE turn % 5 <> 4 AND coalesce(text, '') <> '')
+SELECT conv_id, count(*)::BIGINT AS bands_count, sum(tables_count)::BIGINT AS tables_count, sum(images_count)::BIGINT AS images_count FROM b GROUP BY conv_id
+""")
+def band_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as bands of a page; every fifth has no text, and some counts are no numbers."""
+    turn = F.col("turn")
+    bands = table(spark, sf_dir, "conversations").select(
+        "conv_id", turn.alias("band"), F.when(turn % 5 != 4, F.col("text")).alias("text"), (turn % 3).alias("tables_count"),
+        F.when(turn % 4 == 1, "none").otherwise(F.length("text").cast("string")).alias("images_count"),
+    )
+    made = select.merge_bands(bands, ("conv_id",), ("tables_count", "images_count"))
+    return made.select("conv_id", F.col("bands_count").cast("long").alias("bands_count"), "tables_count", "images_count")
+
+
+SQL_BOARD = SQL["leaderboard"].strip()
+
+
+@query(f"""
+WITH RECURSIVE board AS ({SQL_BOARD}),
+d AS (SELECT item_id AS doc, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS page FROM benchmark),
+f AS (SELECT doc, max(page) AS pages, string_agg(trim(regexp_replace(s, '\\s+', ' ', 'g')), chr(10) ORDER BY page) AS t FROM d WHERE trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '' GROUP BY doc),
+x AS (SELECT doc, 0 AS part, unnest([printf('Referencia: %s | paginas=%d | chars=%d | words=%d', doc || '.pdf', pages, length(t), {n_words("t")}), '',
+        'Modelo                    CER      WER    DistC    DistW   Tempo(s)   Falhas  Faltantes   Extras', repeat('-', 97)]) AS line, generate_subscripts([1, 2, 3, 4], 1) AS place FROM f
+      UNION ALL SELECT doc, 1, printf('%-20s %8.4f %8.4f %8d %8d %10.3f %8d %10d %8d', model, cer, wer, char_distance, word_distance, 0.0::DOUBLE, failed_pages_count, missing_pages_count, extra_pages_count), rank FROM board)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY part, place) AS n, line FROM x
+""")
+def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The console report of every benchmark item, of engines that don't tell their times."""
+    pages = benchmark_pages(spark, sf_dir)
+    reference, made = reference_and_candidates(pages)
+    board = evaluate.leaderboard(reference, made.withColumn("processing_seconds", F.lit(0.0)))
+    about = standardize.build_documents(reference, ("doc",)).select("doc", F.concat(F.col("doc").cast("string"), F.lit(".pdf")).alias("file_name"), "page_count", F.length("text_for_cer_wer").alias("total_char_count"), "total_word_count")
+    return evaluate.console_report(about, board)
