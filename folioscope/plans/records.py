@@ -473,3 +473,74 @@ def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = evaluate.leaderboard(reference, made.withColumn("processing_seconds", F.lit(0.0)))
     about = standardize.build_documents(reference, ("doc",)).select("doc", F.concat(F.col("doc").cast("string"), F.lit(".pdf")).alias("file_name"), "page_count", F.length("text_for_cer_wer").alias("total_char_count"), "total_word_count")
     return evaluate.console_report(about, board)
+
+
+# ---- engines, renderers and copies of what they make
+
+
+class RuleEngine:
+    """Stands for an engine: answers by a rule on the page's text, and fails on every page that divides by five with two left."""
+
+    def open(self) -> None:
+        pass
+
+    def recognise(self, page: dict) -> str:
+        if page["page"] % 5 == 2:
+            raise RuntimeError(f"no answer for page {page['page']}")
+        return page["truth"].replace("e", "c")
+
+
+@query("SELECT conv_id AS doc, turn + 1 AS page, CASE WHEN (turn + 1) % 5 = 2 THEN '' ELSE replace(coalesce(text, ''), 'e', 'c') END AS text, CASE WHEN (turn + 1) % 5 = 2 THEN 'no answer for page ' || (turn + 1) END AS error FROM conversations")
+def engine_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn through an engine, four calls in flight a task."""
+    pages = conversation_pages(spark, sf_dir).select("doc", "page", F.coalesce("text", F.lit("")).alias("truth"))
+    return engines.run_engine(pages, RuleEngine(), in_flight=4).select("doc", "page", "text", "error")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS page, list('attempt ' || l_linenumber || ': part ' || l_partkey ORDER BY l_linenumber, l_partkey) AS said FROM lineitem GROUP BY l_orderkey)
+SELECT page, array_to_string(said[greatest(1, len(said) - 2):len(said)], ' | ') AS last FROM a
+""")
+def last_attempt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three entries of each order's list of attempts."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    said = F.transform("lines", lambda x: F.concat(F.lit("attempt "), x["l_linenumber"].cast("string"), F.lit(": part "), x["l_partkey"].cast("string")))
+    return rows.withColumn("said", said).select("page", F.array_join(engines.last_attempts(F.col("said"), 3), " | ").alias("last"))
+
+
+PAGE_BYTES = 700
+
+
+def _cut(content: bytes, dpi: int) -> list[tuple[int, int, bytes]]:
+    """A renderer of pages of PAGE_BYTES; it can't open what has a length that divides by three."""
+    if len(content) % 3 == 0:
+        raise ValueError("can't open")
+    return [(dpi, 10, content[i : i + PAGE_BYTES]) for i in range(0, len(content), PAGE_BYTES)]
+
+
+def _whole(content: bytes, dpi: int) -> list[tuple[int, int, bytes]]:
+    return [(dpi, 20, content)]
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, n, unnest(CASE WHEN doc_id % 4 = 0 THEN [0, 1] WHEN n % 3 = 0 THEN [0] ELSE range(0, ceil(n / {PAGE_BYTES}.0)::BIGINT) END) AS i FROM d)
+SELECT doc_id, i + 1 AS page, doc_id % 4 = 0 AS reused, CASE WHEN doc_id % 4 = 0 THEN 'scan' || (i + 1) || '.png' ELSE printf('page_%04d.jpg', i + 1) END AS image_file,
+       CASE WHEN doc_id % 4 = 0 THEN 0 WHEN n % 3 = 0 THEN 20 ELSE 10 END AS height, CASE WHEN doc_id % 4 = 0 THEN 5 + i WHEN n % 3 = 0 THEN n ELSE least({PAGE_BYTES}, n - i * {PAGE_BYTES}) END::BIGINT AS bytes FROM r
+""")
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rendered by the first renderer that can open them; every fourth has its pages already, beside a file that is none."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
+    old = docs.where(F.col("path").cast("long") % 4 == 0).select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("image_file"), F.lit(b).alias("image")) for n, b in (("scan2.png", bytearray(6)), ("scan1.png", bytearray(5)), ("notes.txt", bytearray(1)))])).alias("f")).select("path", "f.*")
+    made = boundary.rendered_or_reused(docs, old, 220, {"cut": _cut, "whole": _whole})
+    return made.select(F.col("path").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "reused", "image_file", F.coalesce("height", F.lit(0)).alias("height"), F.length("image").cast("long").alias("bytes"))
+
+
+@query("SELECT conv_id AS doc, unnest(['main', 'copy']) AS root, max(turn) + 1 AS pages FROM conversations GROUP BY conv_id")
+def written_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written under two roots in one run, found again under each."""
+    docs = standardize.build_documents(timed_pages(spark, sf_dir).withColumn("model", F.lit("engine 1"))).withColumn("source_pdf", F.concat("doc", F.lit(".pdf")))
+    folder = sinks.scratch_folder(spark, "copies")
+    sinks.write_document_files(docs, f"{folder}/main", f"{folder}/copy")
+    found = [documents.load_documents(documents.discover(spark, f"{folder}/{root}"))[0].select(F.regexp_extract("source_pdf", r"\A(.*)\.pdf\z", 1).cast("long").alias("doc"), F.lit(root).alias("root"), F.col("page_count").alias("pages")) for root in ("main", "copy")]
+    return found[0].unionByName(found[1])
