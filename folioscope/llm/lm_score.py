@@ -37,13 +37,13 @@ WINDOW = 2
 #: Words that the network knows in a corpus of HEAD_FROM types, and the power by which they grow with the types.
 HEAD, HEAD_FROM, HEAD_POWER = 8_192, 400_000, 0.2
 #: Size of embeddings and hidden layer; masked words in a step, one of how many words is masked, rate, seed.
-SIZE, STEP, MASKED, RATE, SEED = 24, 8_192, 4, 0.01, 9
+SIZE, STEP, MASKED, RATE, SEED = 24, 8_192, 1, 0.01, 9
 #: Occurrences that the network's probability counts as beside those in the memory.
 PRIOR = 2.0
 #: Bytes and documents of a chunk; words that one copy is trained on and that one range of hashes holds, about.
 TOGETHER, DOCS_TOGETHER, TRAINER_WORDS, RANGE_WORDS = 3_000_000, 50_000, 10_000_000, 2_000_000
-#: Numbers in a block of parameters that is averaged.
-BLOCK = 65_536
+#: Numbers in a block of parameters that is averaged; copies of a block that meet in one task.
+BLOCK, FAN = 65_536, 32
 #: Bits of an entry's hash that stand for the word, and bits by which those of its window exceed the logarithm of the corpus's words.
 WORD_BITS, SPARE_BITS = 12, 20
 #: The network's log-probabilities are rounded to this part of one, so that they pack; the sum of n words is off by some sqrt(n) / 55.
@@ -255,6 +255,28 @@ class Adam:
             self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
 
 
+COPIES = "trainer long, block long, words long, part binary"
+
+
+def averages(copies: DataFrame, trainers: int) -> dict[int, np.ndarray]:
+    """Each block's mean over the copies (COPIES), weighted by their words; block -1 is summed. At most FAN blocks meet in one task, in as many rounds as that takes."""
+
+    def summed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("trainer")
+        block, words, parts = t.column("block")[0].as_py(), t.column("words").to_numpy(), t.column("part").to_pylist()
+        kind = np.int64 if block < 0 else np.float64
+        total = sum(np.frombuffer(x, kind) for x in parts)
+        return pa.table({"trainer": pa.array([t.column("trainer")[0].as_py() // FAN]), "block": pa.array([block]), "words": pa.array([int(words.sum())]), "part": pa.array([total.tobytes()], pa.binary())})
+
+    while True:
+        copies = copies.groupBy(F.expr(f"trainer div {FAN}"), "block").applyInArrow(summed, COPIES)
+        trainers = -(-trainers // FAN)
+        if trainers == 1:
+            break
+    rows = copies.toArrow().to_pylist()
+    return {r["block"]: np.frombuffer(r["part"], np.int64).astype(np.float64) if r["block"] < 0 else np.frombuffer(r["part"], np.float64) / r["words"] for r in rows}
+
+
 def trained(docs: DataFrame) -> tuple[Network, int]:
     """The network of the corpus, and the number of its words."""
     types = materialize(word_counts(docs), "lm-words")
@@ -279,23 +301,14 @@ def trained(docs: DataFrame) -> tuple[Network, int]:
             seen += len(words.types)
         if seen:
             trainer, vector = TaskContext.get().partitionId(), own.flat()
-            parts = [vector[at : at + BLOCK].tobytes() for at in range(0, len(vector), BLOCK)]
+            parts = [(vector[at : at + BLOCK].astype(np.float64) * seen).tobytes() for at in range(0, len(vector), BLOCK)]
             parts.append(pairs.tobytes())
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array([trainer] * n), pa.array([*range(n - 1), -1]), pa.array([seen] * n), pa.array(parts, pa.binary())], ["trainer", "block", "words", "part"])
 
-    def averaged(t: pa.Table) -> pa.Table:
-        t = t.sort_by("trainer")
-        words, parts = t.column("words").to_numpy(), t.column("part").to_pylist()
-        if t.column("block")[0].as_py() < 0:
-            found = sum(np.frombuffer(x, np.int64) for x in parts).astype(np.float64)
-        else:
-            found = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(parts, words)) / words.sum()
-        return pa.table({"block": t.column("block")[:1], "part": pa.array([found.tobytes()], pa.binary())})
-
-    texts = docs.select(body().cast("binary").alias("text")).coalesce(max(1, -(-total.words // TRAINER_WORDS)))
-    copies = texts.mapInArrow(run, "trainer long, block long, words long, part binary")
-    found = {r["block"]: np.frombuffer(r["part"], np.float64) for r in copies.groupBy("block").applyInArrow(averaged, "block long, part binary").toArrow().to_pylist()}
+    trainers = max(1, -(-total.words // TRAINER_WORDS))
+    texts = docs.select(body().cast("binary").alias("text")).coalesce(trainers)
+    found = averages(texts.mapInArrow(run, COPIES), trainers)
     if found:
         pairs = found.pop(-1)
         network.finish(np.concatenate([found[k] for k in sorted(found)]), pairs)

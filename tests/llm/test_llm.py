@@ -706,6 +706,19 @@ def test_language_model_against_brute_force(spark, monkeypatch, head):
         assert np.exp(network.log_p(window, np.arange(network.rare + 1))).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize(("copies", "fan"), [(1, 32), (5, 32), (23, 2), (9, 3)])
+def test_copies_are_averaged_in_a_tree(spark, monkeypatch, copies, fan):
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    g = np.random.default_rng(copies)
+    rows, want, pairs, words = [], np.zeros(7), np.zeros(3, np.int64), 0
+    for trainer in range(copies):
+        n, vector, counted = int(g.integers(1, 1000)), g.normal(size=7), g.integers(0, 99, 3)
+        rows += [(trainer, 0, n, bytearray((vector[:4] * n).tobytes())), (trainer, 1, n, bytearray((vector[4:] * n).tobytes())), (trainer, -1, n, bytearray(counted.tobytes()))]
+        want, pairs, words = want + vector * n, pairs + counted, words + n
+    found = lm_score.averages(spark.createDataFrame(rows, lm_score.COPIES).repartition(3), copies)
+    assert np.allclose(np.concatenate([found[0], found[1]]), want / words) and found[-1].tolist() == pairs.tolist()
+
+
 def test_language_model_grows():
     assert lm_score.head_for(1000) == lm_score.HEAD < lm_score.head_for(2_000_000) < lm_score.head_for(10_000_000)
     assert lm_score.window_bits(100) < lm_score.window_bits(10**9) < lm_score.window_bits(10**13) == 52
