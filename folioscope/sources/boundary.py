@@ -20,23 +20,23 @@ from pyspark.sql import types as T
 # ---- results of any shape
 
 
+#: What needs no unpacking.
+_BASIC = (Mapping, list, tuple, str, bytes, int, float, type(None))
+#: How an object may hand over what it holds, the first that it has counts. The last may be text in JSON.
+OFFERED = ("tolist", "item", "res", "data", "to_dict", "asdict", "json")
+
+
 def plain(value: Any) -> Any:
-    """An engine's result as mappings, lists and scalars: arrays become lists, objects what they hold."""
-    if isinstance(value, Mapping | list | tuple | str | bytes | int | float | None):
-        return value
-    for call in ("tolist", "item"):
-        if callable(getattr(value, call, None)):
-            return getattr(value, call)()
-    for holder in ("res", "data"):
-        if hasattr(value, holder):
-            return plain(getattr(value, holder))
-    for call in ("to_dict", "asdict"):
-        if callable(getattr(value, call, None)):
-            return plain(getattr(value, call)())
-    if hasattr(value, "json"):
-        held = value.json() if callable(value.json) else value.json
-        return json.loads(held) if isinstance(held, str) else plain(held)
-    return {k: v for k, v in vars(value).items() if not k.startswith("_")} if hasattr(value, "__dict__") else value
+    """An engine's result as mappings, lists and scalars, taken out of objects by OFFERED as often as it takes; an object that offers nothing is the mapping of its public attributes."""
+    while not isinstance(value, _BASIC):
+        offered = [n for n in OFFERED if hasattr(value, n)]
+        if not offered:
+            return {k: v for k, v in getattr(value, "__dict__", {}).items() if k[0] != "_"} or value
+        held = getattr(value, offered[0])
+        value = held() if callable(held) else held
+        if offered[0] == "json" and isinstance(value, str):
+            value = json.loads(value)
+    return value
 
 
 def number(value: Any, default: float = 0.0) -> float:
@@ -47,13 +47,17 @@ def number(value: Any, default: float = 0.0) -> float:
 
 
 def corners(box: Any) -> list[tuple[float, float]]:
-    """Points of a box in any nesting: four numbers are two opposite corners, two numbers a point."""
-    box = plain(box)
-    if not isinstance(box, list | tuple):
-        return []
-    if len(box) in (2, 4) and all(isinstance(v, int | float) for v in box):
-        return [(float(x), float(y)) for x, y in zip(box[::2], box[1::2])]
-    return [p for part in box for p in corners(part)]
+    """Points of a box in any nesting: a list of four numbers is two opposite corners, one of two numbers a point; all else holds further lists or nothing."""
+    found, waiting = [], [box]
+    while waiting:
+        part = plain(waiting.pop())
+        if not isinstance(part, list | tuple):
+            continue
+        if len(part) in (2, 4) and all(isinstance(v, int | float) for v in part):
+            found += [(float(part[i]), float(part[i + 1])) for i in range(0, len(part), 2)]
+        else:
+            waiting += reversed(part)
+    return found
 
 
 def is_box(value: Any) -> bool:
@@ -63,6 +67,10 @@ def is_box(value: Any) -> bool:
     return isinstance(value, list | tuple) and only(value) and bool(corners(value))
 
 
+#: The names under which an answer's parts come, in the order in which they count.
+TEXTS, SCORES, BOXES = ("rec_texts", "texts"), ("rec_scores", "scores"), ("rec_boxes", "rec_polys", "dt_polys", "boxes")
+
+
 def _first(found: Mapping, *names: str, default: Any = None) -> Any:
     return next((found[n] for n in names if found.get(n) is not None), default)
 
@@ -75,9 +83,9 @@ def results(answer: Any, place: int = 0) -> Iterator[tuple[int, str, float, Any]
             yield place, text, 0.0, None
         case {"res": inner} if (found := list(results(inner))):
             yield from found
-        case Mapping() as m if _first(m, "rec_texts", "texts") is not None and "res" not in m:
-            texts = plain(_first(m, "rec_texts", "texts"))
-            scores, boxes = (plain(_first(m, *names, default=[])) for names in (("rec_scores", "scores"), ("rec_boxes", "rec_polys", "dt_polys", "boxes")))
+        case Mapping() as m if _first(m, *TEXTS) is not None and "res" not in m:
+            texts = plain(_first(m, *TEXTS))
+            scores, boxes = (plain(_first(m, *names, default=[])) for names in (SCORES, BOXES))
             at = lambda values, i: values[i] if isinstance(values, list | tuple) and i < len(values) else None
             for i, text in enumerate(texts if isinstance(texts, list | tuple) else [texts]):
                 yield i, str(text or ""), number(at(scores, i)), at(boxes, i)

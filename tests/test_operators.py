@@ -353,6 +353,28 @@ def test_results_of_any_shape():
     assert boundary.boxed({"res": {"texts": []}, "text": "t"})[0][1] == "t" and boundary.boxed(None) == []
 
 
+def test_what_results_offer():
+    """Each way to hand a result over, the order of two ways, and objects in objects."""
+    import types
+
+    of = types.SimpleNamespace
+    assert boundary.plain(of(tolist=lambda: [1, 2])) == [1, 2] and boundary.plain(of(item=lambda: 2.5)) == 2.5
+    assert boundary.plain(of(res=[3])) == [3] and boundary.plain(of(data=of(res="x"))) == "x"
+    assert boundary.plain(of(to_dict=lambda: {"a": 1})) == {"a": 1} == boundary.plain(of(asdict=lambda: {"a": 1}))
+    assert boundary.plain(of(json='{"a": [1]}')) == {"a": [1]} == boundary.plain(of(json=lambda: {"a": [1]}))
+    assert boundary.plain(of(res=[1], tolist=lambda: [2])) == [2] and boundary.plain(of(json="[1]", data=[3])) == [3]
+    assert boundary.plain(of(text="t", _hidden=1)) == {"text": "t"}
+    assert [boundary.number(v) for v in ("1.5", None, "x", of(item=lambda: 3))] == [1.5, 0.0, 0.0, 3.0]
+
+
+def test_corners_of_boxes():
+    assert boundary.corners([1, 2, 3, 4]) == [(1.0, 2.0), (3.0, 4.0)] and boundary.corners((5, 6.5)) == [(5.0, 6.5)]
+    assert boundary.corners([[1, 2], [3, 4], [5, 6]]) == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
+    assert boundary.corners([[[1, 2]], [[3, 4, 5, 6]]]) == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
+    assert boundary.corners(None) == boundary.corners(7) == boundary.corners([1, 2, 3]) == boundary.corners("ab") == boundary.corners([]) == []
+    assert boundary.is_box([[0, 0], [1, 1]]) and not boundary.is_box([[0, 0], "text"]) and not boundary.is_box([])
+
+
 def test_renderers(spark, tmp_path):
     one = lambda content, dpi: [(dpi, 1, content), (dpi, 2, content)]
 
