@@ -31,6 +31,10 @@ class OcrEngine(Protocol):
         """The text of a page or band (a dict of its columns); raises if it can't."""
 
 
+#: How often one page's call is made again at most, so that a page which always fails doesn't use up what all share.
+REPEATS_A_PAGE = 2
+
+
 class _Calls:
     """Calls of one task: at most `in_flight` at once, results in the order of the pages, and a budget of repeats that all calls share.
 
@@ -47,16 +51,16 @@ class _Calls:
             return self.repeats >= 0
 
     def _call(self, page: dict, answer: dict) -> None:
-        while True:
+        for left in range(REPEATS_A_PAGE, -1, -1):
             try:
                 answer["text"], answer["error"] = self.recognise(page), None
             except Exception as e:  # noqa: BLE001  any failure of an engine is a page's error
                 answer["text"], answer["error"] = "", str(e)
-                if self._may_repeat():
+                if left and self._may_repeat():
                     continue
-            answer["seconds"] = time.perf_counter() - answer["began"]
-            answer["done"].set()
-            return
+            break
+        answer["seconds"] = time.perf_counter() - answer["began"]
+        answer["done"].set()
 
     def _ended(self, answer: dict) -> tuple[str, str | None, list, float]:
         left = None if self.deadline is None else max(0.0, answer["began"] + self.deadline - time.perf_counter())
