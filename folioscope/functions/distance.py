@@ -61,6 +61,16 @@ def round3(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else round(max(0.0, v), 3)).astype("float64")  # infinity stays
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Decimals as Python and C print them, rounded from the exact binary value; Java's formats start from the shortest decimal."""
+
+    @F.pandas_udf(T.StringType())
+    def printed(c: pd.Series) -> pd.Series:
+        return c.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}").astype(object)
+
+    return printed(x.cast("double"))
+
+
 def safe_rate(distance: Column, length: Column) -> Column:
     """distance / length, which may exceed 1; without a reference 0 if nothing differs, else 1."""
     return F.when(length > 0, distance / length).when(distance == 0, F.lit(0.0)).otherwise(F.lit(1.0))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.distance import METRICS, with_counts, with_metrics, with_rates
+from folioscope.functions.distance import METRICS, fixed, with_counts, with_metrics, with_rates
 from folioscope.operators.long_distance import LONG, TILE, edit_distances
 from folioscope.operators.standardize import build_documents, rolled_up
 
@@ -119,13 +119,13 @@ def report(reference: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def console_lines(board: DataFrame) -> DataFrame:
     """The fixed-width lines of a leaderboard, in order of rank."""
-    line = F.format_string("%-20s %8.4f %8.4f %8d %8d %10.3f %8d %10d %8d", F.left("model", F.lit(20)), "cer", "wer", "char_distance", "word_distance", "total_processing_seconds", "failed_pages_count", "missing_pages_count", "extra_pages_count")
+    line = F.format_string("%-20s %8s %8s %8d %8d %10s %8d %10d %8d", F.left("model", F.lit(20)), fixed(F.col("cer"), 4), fixed(F.col("wer"), 4), "char_distance", "word_distance", fixed(F.col("total_processing_seconds"), 3), "failed_pages_count", "missing_pages_count", "extra_pages_count")
     return board.select("doc", "rank", line.alias("line"))
 
 
 def console_page_lines(pages: DataFrame) -> DataFrame:
     """The fixed-width lines of each model's pages, for the longer form of the console report."""
-    line = F.format_string("%4d %8.4f %8.4f %8d %8d %10s", "page", "cer", "wer", "char_distance", "word_distance", F.left("status", F.lit(10)))
+    line = F.format_string("%4d %8s %8s %8d %8d %10s", "page", fixed(F.col("cer"), 4), fixed(F.col("wer"), 4), "char_distance", "word_distance", F.left("status", F.lit(10)))
     return pages.select("doc", "model", "page", line.alias("line"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.distance import fixed
 from folioscope.functions.names import color, label
 
 
 def percent_label(cer):
-    return F.when(cer > 1, F.lit(">100%")).otherwise(F.format_string("%.0f%%", cer * 100))
+    return F.when(cer > 1, F.lit(">100%")).otherwise(F.concat(fixed(cer * 100, 0), F.lit("%")))
 
 
 def heat_cells(board: DataFrame, pages: DataFrame, labels: dict[str, str] | None = None, families: dict[str, str] | None = None) -> DataFrame:

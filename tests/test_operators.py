@@ -494,3 +494,10 @@ def test_cascade_against_plain_loops(spark, tmp_path, suspicion):
         assert (x.idx, x.mode, x.text, x.score, x.suspicious, x.warnings) == (best[1], standardize.PIPELINE[best[1]], best[2], best[3].score, best[3].suspicious, warnings)
         assert x.error == (" | ".join(errors) if not best[2] else None)
     assert all("Exchange" not in plan for plan in written[1:])
+
+
+def test_printed_decimals_start_from_the_binary_value(spark):
+    board = spark.createDataFrame([("d", 1, "m", 0.03125, 0.20625, 1, 2, 0.0005, 0, 0, 0)], "doc string, rank int, model string, cer double, wer double, char_distance int, word_distance int, total_processing_seconds double, failed_pages_count int, missing_pages_count int, extra_pages_count int")
+    values = (0.03125, 0.20625, 1, 2, 0.0005)
+    assert evaluate.console_lines(board).first().line.startswith("%-20s %8.4f %8.4f %8d %8d %10.3f" % ("m", *values))
+    assert board.select(charts.percent_label(F.col("cer") * 4)).first()[0] == "%.0f%%" % 12.5
