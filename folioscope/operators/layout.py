@@ -40,11 +40,12 @@ def synthetic_box(index: Column, text: Column) -> Column:
 
 def _numbered_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of page and place, with the number of each row's line. A line's middle and height are means of its boxes so far."""
-    page, line, count, middles, heights = None, 0, 0, 0.0, 0.0
+    page, line, count, middles, heights = _numbered_lines, 0, 0, 0.0, 0.0  # no page yet: a key may be null
     for batch in batches:
         names = batch.column("page_key")
         lines = []
-        changes = [True, *pc.not_equal(names[1:], names[:-1]).to_pylist()] if batch.num_rows else []
+        differ = pc.or_(pc.not_equal(names[1:], names[:-1]).fill_null(False), pc.xor(names[1:].is_null(), names[:-1].is_null()))
+        changes = [True, *differ.to_pylist()] if batch.num_rows else []
         if changes:
             changes[0] = names[0].as_py() != page
             page = names[-1].as_py()
@@ -59,19 +60,23 @@ def _numbered_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.append_column("line", pa.array(lines, pa.int64()))
 
 
-def boxes_to_text(boxes: DataFrame, keys=("page",)) -> DataFrame:
+def boxes_to_text(boxes: DataFrame, keys=("page",), tasks: int | None = None) -> DataFrame:
     """keys and text from boxes (keys, idx, text, left, top, bottom).
 
     Boxes go by top, left, idx. One joins the current line if its middle is within the tolerance of the line's, whose
     figures are means of its boxes. Words of a line go by left, top, idx; a wide gap makes a blank line; repeated lines go.
+    tasks: how many to deal pages to, if not the session's number.
     """
     top, bottom = F.col("top").cast("double"), F.col("bottom").cast("double")
     rows = boxes.select(
-        F.to_json(F.struct(*keys)).alias("page_key"), *keys, "idx", "text", top.alias("top"), F.col("left").cast("double").alias("left"), bottom.alias("bottom"),
+        (F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))).alias("page_key"), *keys, "idx", "text", top.alias("top"), F.col("left").cast("double").alias("left"), bottom.alias("bottom"),
         ((top + bottom) / 2.0).alias("middle"), F.greatest(F.lit(1.0), bottom - top).alias("height"),
     )
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    numbered = rows.repartition("page_key").sortWithinPartitions("page_key", "top", "left", "idx").mapInArrow(_numbered_lines, f"{kept}, line long")
+    parts = [tasks] if tasks else []
+    numbered = rows.repartition(*parts, "page_key").sortWithinPartitions("page_key", "top", "left", "idx").mapInArrow(_numbered_lines, f"{kept}, line long").drop("page_key")
+    # dealt by page once more, as Python hides that it is, and then no more
+    numbered = numbered.repartition(*parts, *keys)
     words = F.array_sort(F.collect_list(F.struct("left", "top", "idx", "text")))
     lines = numbered.groupBy(*keys, "line").agg(
         strip(F.array_join(F.transform(words, lambda w: w["text"]), " ")).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.avg("height").alias("height")

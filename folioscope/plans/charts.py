@@ -20,7 +20,9 @@ def heat_cells(board: DataFrame, pages: DataFrame, labels: dict[str, str] | None
     """
     place = F.row_number().over(Window.partitionBy("doc", "model").orderBy("page"))
     rows = pages.select("doc", "model", "page", "cer").withColumn("position", place)
-    rows = rows.join(board.select("doc", "model", "rank"), ["doc", "model"])
+    # joined by doc alone, by which the windows are dealt too: rows are shuffled and sorted once
+    ranks = board.groupBy("doc").agg(F.collect_list(F.struct(F.col("model").alias("of"), "rank")).alias("ranks"))
+    rows = rows.join(ranks, "doc").select(*rows.columns, F.explode(F.filter("ranks", lambda r: r["of"] == F.col("model"))).alias("r")).select(*rows.columns, F.col("r.rank").alias("rank"))
     width = F.max(F.when(F.col("rank") == 1, F.col("position"))).over(Window.partitionBy("doc"))
     rows = rows.withColumn("columns", width).where("position <= columns")
     return rows.select("doc", "rank", "model", label(F.col("model"), labels, families).alias("label"), color(F.col("rank") - 1).alias("color"), "position", F.least("cer", F.lit(1.0)).alias("cell"), percent_label(F.col("cer")).alias("percent"))

@@ -41,6 +41,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that one task groups and sorts, about.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(df: DataFrame) -> int | None:
+    """Tasks of TASK_ROWS for a table's rows, which its files' footers tell; none if the session's own number of tasks is enough."""
+    n = -(-df.count() // TASK_ROWS)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """df dealt by key once for all that is grouped by it and more; into so many tasks, so that what one holds doesn't grow with the table."""
+    return df.repartition(tasks, key) if tasks else df.repartition(key)
+
+
 # ---- documents of pages, and what engines make of them
 
 SQL_BENCHMARK_PAGES = """
@@ -478,7 +493,7 @@ def reading_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     top = F.pmod(F.col("l_partkey"), F.lit(40)) * 9.0
     boxes = l.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_suppkey") * 3.0).alias("left"), top.alias("top"), (top + 10.0 + F.pmod(F.col("l_quantity"), F.lit(8))).alias("bottom"))
-    return layout.boxes_to_text(boxes)
+    return layout.boxes_to_text(boxes, tasks=tasks_for(l))
 
 
 @query("""
@@ -492,7 +507,8 @@ SELECT page, string_agg(t, chr(10) || chr(10) ORDER BY line) AS text FROM d WHER
 def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page are the lines of an order; a new part class begins a new block."""
     block = F.col("l_partkey") % 3
-    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.lit(0).alias("top"), F.lit(10).alias("height"), block.alias("block_num"), F.lit(1).alias("par_num"), F.lit(1).alias("line_num"))
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    words = dealt(l, "l_orderkey", tasks_for(l)).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.lit(0).alias("top"), F.lit(10).alias("height"), block.alias("block_num"), F.lit(1).alias("par_num"), F.lit(1).alias("line_num"))
     return layout.keyed_words_to_text(words)
 
 
@@ -507,7 +523,8 @@ rows_ AS (SELECT page, line, string_agg(text, ' ' ORDER BY n) AS t, min(top) AS
 def keyed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page are the lines of an order, of different heights: blocks and paragraphs change, and gaps are wide or not."""
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), part.cast("string")).alias("text"), (supplier * 3).alias("top"), (F.col("l_quantity").cast("int") - 4).alias("height"), (part % 3).alias("block_num"), (supplier % 2).alias("par_num"), F.lit(1).alias("line_num"))
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    words = dealt(l, "l_orderkey", tasks_for(l)).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("w"), part.cast("string")).alias("text"), (supplier * 3).alias("top"), (F.col("l_quantity").cast("int") - 4).alias("height"), (part % 3).alias("block_num"), (supplier % 2).alias("par_num"), F.lit(1).alias("line_num"))
     return layout.keyed_words_to_text(words)
 
 

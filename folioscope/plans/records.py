@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import geometry, names, text
 from folioscope.operators import evaluate, layout, quality, select, standardize
 from folioscope.plans import charts
-from folioscope.plans.queries import SQL, SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, SQL_SCORING, _alphabets, _encoded, benchmark_pages, conversation_pages, n_words, query, reference_and_candidates, sql_runaway, table
+from folioscope.plans.queries import SQL, SQL_BENCHMARK_PAGES, SQL_CANDIDATES, SQL_DISPLAY, SQL_RATE, SQL_SCORE, SQL_SCORING, _alphabets, _encoded, benchmark_pages, conversation_pages, dealt, n_words, query, reference_and_candidates, sql_runaway, table, tasks_for
 from folioscope.plans.queries import CHARS as SQL_CHARS
 from folioscope.plans.queries import WORDS as SQL_WORDS
 from folioscope.sources import boundary, documents, engines, sinks
@@ -229,7 +229,7 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page and items, in order: text, confidence, x, y."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("t"), F.col("l_discount").alias("c"), F.col("l_suppkey").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
-    return l.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return dealt(l, "l_orderkey", tasks_for(l)).groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 @query(f"""
@@ -376,7 +376,8 @@ def best_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(board, pages): orders as documents, line numbers as ranked models, each with two pages."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("rank")).agg(F.max("l_quantity").alias("q"))  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    l = dealt(l.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", tasks_for(l)).groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("rank")).agg(F.max("l_quantity").alias("q"))  # noqa: E741
     board = l.select("doc", F.concat(F.lit("m"), F.col("rank").cast("string")).alias("model"), "rank", F.col("q").alias("total_processing_seconds"), (F.col("q") / 40).alias("cer"), (F.col("q") / 20).alias("wer"))
     pages = board.select("doc", "model", F.explode(F.array(F.lit(5), F.lit(9))).alias("page"), ((F.col("cer") * F.col("page")) / 5).alias("cer"))
     return board, pages

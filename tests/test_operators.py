@@ -501,3 +501,43 @@ def test_printed_decimals_start_from_the_binary_value(spark):
     values = (0.03125, 0.20625, 1, 2, 0.0005)
     assert evaluate.console_lines(board).first().line.startswith("%-20s %8.4f %8.4f %8d %8d %10.3f" % ("m", *values))
     assert board.select(charts.percent_label(F.col("cer") * 4)).first()[0] == "%.0f%%" % 12.5
+
+
+def test_heights_are_judged_once(spark):
+    rows = [(1, 0, "a long enough text of many words and more of them", False), (1, 1, "x" * 60, False), (2, 0, "", False), (3, 1, "some words that are long enough to count here", True)]
+    best = select.best_height(spark.createDataFrame(rows, "doc int, height_idx int, text string, suspicious boolean"), ("doc",), tiered=True)
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc, r.height_idx) for r in best.collect()] == [(1, 0)]
+
+
+def test_heat_cells_join_by_document_alone(spark):
+    board = spark.createDataFrame([("d", "m", 1), ("d", "n", 2)], "doc string, model string, rank int")
+    pages = spark.createDataFrame([("d", "m", 1, 0.5), ("d", "n", 4, 0.1), ("d", "n", 2, 2.0), ("d", "other", 1, 0.0)], "doc string, model string, page int, cer double")
+    cells = charts.heat_cells(board, pages)
+    assert sorted((r.model, r.position, r.cell) for r in cells.collect()) == [("m", 1, 0.5), ("n", 1, 1.0)]
+    assert "Join Inner, (doc" in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_stay_out_of_python(spark):
+    from folioscope.functions.distance import with_metrics
+
+    rows = with_metrics(spark.createDataFrame([("a b", "a b"), ("a b", "a c"), (None, "x")], "r string, h string"), "r", "h")
+    assert "CASE WHEN" in rows._jdf.queryExecution().optimizedPlan().toString().split("char_distance(")[1][:60]
+    assert [(r.char_distance, r.word_distance) for r in rows.collect()] == [(0, 0), (1, 1), (1, 1)]
+
+
+def test_partitions_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from folioscope.plans import queries, records
+
+    rows = spark.range(4000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "cast(5 AS double) AS l_quantity", "0.1d AS l_discount")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "TASK_ROWS", 100)
+    for of in (queries.keyed_lines, queries.reading_order_lines, records.heat_matrix, records.any_answer_boxes):
+        df = of(spark, str(tmp_path))
+        assert df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("\n")[0].endswith(", 40")
+
+
+def test_answers_of_a_batch_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, '["a", "b"]'), (3, "[]"), (4, '"c"')], "n int, answer string").coalesce(1)
+    found = {r.n: r.b for r in rows.select("n", boundary.boxes_of_answer("answer").alias("b")).collect()}
+    assert found[1] is None and [b.text for b in found[2]] == ["a", "b"] and found[3] == [] and [b.text for b in found[4]] == ["c"]
