@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import dedupe_lines, let, score_text
-from folioscope.operators.quality import is_generic_response, judgement, with_suspicion
+from folioscope.operators.quality import judgement, with_suspicion
 
 #: Columns of an attempt beside its keys.
 ATTEMPT = ("idx", "mode", "text", "score", "suspicious", "warnings", "error")
@@ -85,10 +85,11 @@ def best_height(merged: DataFrame, keys=("doc", "page"), tiered: bool = False) -
     tiered: a suspicious text scores 0 and does not end the search, and 0 is never chosen.
     """
     suspicious = F.coalesce("suspicious", F.lit(False)) if tiered and "suspicious" in merged.columns else F.lit(False)
-    rows = merged.select(*keys, "height_idx", "text", F.when(suspicious, F.lit(0.0)).otherwise(score_text(F.col("text"))).alias("score"), (~is_generic_response(F.col("text")) & ~suspicious).alias("ends"))
-    stop = rows.groupBy(*keys).agg(F.min(F.when(F.col("ends"), F.col("height_idx"))).alias("stop"))
-    tried = rows.join(stop, list(keys)).where((F.col("stop").isNull() | (F.col("height_idx") <= F.col("stop"))) & (F.col("score") > 0))
-    best = tried.groupBy(*keys).agg(F.max_by(F.struct("text", "score", "height_idx"), F.struct("score", -F.col("height_idx"))).alias("b"))
+    rows = merged.dropna(subset=list(keys)).select(*keys, "height_idx", "text", suspicious.alias("suspicious"), judgement(F.col("text")).alias("j"))
+    one = F.struct(F.when(F.col("suspicious"), F.lit(0.0)).otherwise(F.col("j.score")).alias("score"), (-F.col("height_idx")).alias("turn"), "height_idx", "text", (~F.col("j.generic") & ~F.col("suspicious")).alias("ends"))
+    # a key's few heights meet once: each text is judged once and shuffled once
+    met = rows.groupBy(*keys).agg(F.collect_list(one).alias("all"), F.min(F.when(~F.col("j.generic") & ~F.col("suspicious"), F.col("height_idx"))).alias("stop"))
+    best = met.select(*keys, F.array_max(F.filter("all", lambda a: (F.col("stop").isNull() | (a["height_idx"] <= F.col("stop"))) & (a["score"] > 0))).alias("b")).where("b IS NOT NULL")
     return best.select(*keys, F.col("b.text").alias("text"), F.col("b.score").alias("score"), F.col("b.height_idx").alias("height_idx"))
 
 
