@@ -6,9 +6,10 @@ integers of any width, after common ends are cut off. Short pairs may use Spark'
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,26 +34,29 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = full, 0, len(a)  # vertical differences of +1 and -1
+    full = (1 << len(a)) - 1
+    up, down = full, 0  # vertical differences of +1 and -1
     for x in b:
         here = where.get(x, 0) | down
-        level = (((here & up) + up) ^ up) | here
-        right, left = down | ~(up | level) & full, up & level
-        distance += bool(right & top) - bool(left & top)
-        right = right << 1 & full | 1
-        up, down = left << 1 & full | ~(level | right) & full, right & level
-    return distance
+        level = (((here & up) + up) ^ up | here) & full
+        right = (down | full ^ (up | level)) << 1 | 1
+        up, down = ((up & level) << 1 | ~(level | right)) & full, right & level
+    return len(b) + up.bit_count() - down.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="int32")
+def _pairs(a: pa.Array, b: pa.Array) -> Iterator[tuple[str, str]]:
+    """Of a batch one pair of strings at a time, so that a task holds no second copy of its texts."""
+    return ((x.as_py() or "", y.as_py() or "") for x, y in zip(a, b))
 
 
-@F.pandas_udf(T.IntegerType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x.split(), y.split()) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def char_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([edit_distance(x, y) for x, y in _pairs(a, b)], pa.int32())
+
+
+@F.arrow_udf(T.IntegerType())
+def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([edit_distance(x.split(), y.split()) for x, y in _pairs(a, b)], pa.int32())
 
 
 @F.pandas_udf(T.DoubleType())
@@ -98,5 +102,8 @@ def with_rates(df):
 
 def with_metrics(df, reference: str, hypothesis: str):
     """df with METRICS of the two scoring texts."""
-    distances = {"char_distance": char_distance(reference, hypothesis), "word_distance": word_distance(reference, hypothesis)}
+    # equal texts stay in the JVM: nulls stand for them, which have no distance
+    differ = F.coalesce(F.col(reference), F.lit("")) != F.coalesce(F.col(hypothesis), F.lit(""))
+    a, b = (F.when(differ, F.col(c)) for c in (reference, hypothesis))
+    distances = {"char_distance": char_distance(a, b), "word_distance": word_distance(a, b)}
     return with_rates(with_counts(df, reference, hypothesis).withColumns(distances))
