@@ -54,9 +54,10 @@ class _StagedWriter(DataSourceArrowWriter):
             fs.create_dir(at, recursive=True)
         listed: list[list[str]] = [[] for _ in targets]
         for batch in iterator:
-            for places, text in zip(batch.column("places").to_pylist(), batch.column("body").to_pylist()):
-                data = json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode()
-                for place, (fs, at, folder), files in zip(places, targets, listed):
+            # one document at a time: a list of a batch's bodies would be a second copy of them
+            for row_places, text in zip(batch.column("places"), batch.column("body")):
+                data = json.dumps(json.loads(text.as_py()), ensure_ascii=False, indent=2).encode()
+                for place, (fs, at, folder), files in zip(row_places.as_py(), targets, listed):
                     name = f"{len(files)}.staged"
                     with fs.open_output_stream(f"{at}/{name}") as out:
                         out.write(data)
