@@ -206,6 +206,26 @@ def test_preprocessed_rows(rows, monkeypatch):
     assert images.preprocessed(table.where("false")).count() == 0
 
 
+def test_small_pages_of_one_size_are_filtered_together(spark, monkeypatch):
+    """A thousand small pages once took as many rounds of calls of numpy; pages of other sizes and failing ones are dealt with beside them."""
+    g = np.random.default_rng(6)
+    made = [g.integers(a, b, (h, 16)).astype(np.uint8) for h, (a, b) in zip([9, 12, 9, 40] * 50, [(0, 256), (200, 256), (0, 30), (7, 8), (90, 120)] * 40)]
+    stacks, run = [], pixels.preprocess_stack
+    monkeypatch.setattr(pixels, "preprocess_stack", lambda stack: stacks.append(stack.shape) or run(stack))
+    got = images._preprocessed([*made, None, np.empty((0, 5), np.uint8), np.dstack([made[0]] * 3)], [])
+    assert [x.tolist() for x in got[:200]] == [run(x[None])[0].tolist() for x in made] and got[200:202] == [None, None]
+    assert got[202].tolist() == run(pixels.gray(np.dstack([made[0]] * 3))[None])[0].tolist()
+    assert len(stacks) < 12 and sum(n for n, *_ in stacks) == 201 and {(h, w) for _, h, w in stacks} == {(9, 16), (12, 16), (40, 16)}
+
+    def short(stack):
+        if len(stack) > 1:
+            raise MemoryError
+        return run(stack)
+
+    monkeypatch.setattr(pixels, "preprocess_stack", short)
+    assert [x.tolist() for x in images._preprocessed(made, [])] == [x.tolist() for x in got[:200]]
+
+
 def test_turned_and_scaled_rows(rows):
     gray, rgb, table = rows
     got = {r.doc: r for r in images.turned(table.where("doc < 3").withColumn("rotation", F.when(F.col("doc") == 1, 180).otherwise(0))).collect()}
