@@ -21,6 +21,7 @@ window. Equal windows of a chunk are one entry, so a passage that every document
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ BLOCK, FAN = 65_536, 32
 WORD_BITS, SPARE_BITS = 12, 20
 #: The network's log-probabilities are rounded to this part of one, so that they pack; the sum of n words is off by some sqrt(n) / 55.
 ROUNDED = 16
+#: Outputs within this bound have exponentials whose sums fit, so that a softmax needs no maximum.
+LARGEST = 60.0
 
 
 def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
@@ -138,7 +141,7 @@ class Network:
             "word": drawn(0.1, self.rare + 1, SIZE), "word_bias": np.log(n / of_class[self.of]),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.spelling = np.zeros(257 * 257, np.float32)
+        self.spelling, self.rooms = np.zeros(257 * 257, np.float32), {}
 
     def codes(self, types: np.ndarray) -> np.ndarray:
         """int32 codes of types."""
@@ -151,59 +154,103 @@ class Network:
             codes[found] = self.order[to[found]]
         return codes
 
-    def inputs(self, windows: np.ndarray) -> np.ndarray:
-        x = self.p["in"][windows[0]] * self.p["place"][0]
-        for w, place in zip(windows[1:], self.p["place"][1:]):
-            x += self.p["in"][w] * place
-        return x
-
-    def groups(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(rows, first, end) for each class of several words that codes have: their places and the class's words."""
-        of = self.of[codes]
-        order = np.argsort(of, kind="stable")
-        found, at = np.unique(of[order], return_index=True)
-        for k, rows in zip(found.tolist(), np.split(order, at[1:])):
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to. Its memory is kept and used again under this name: asking the system for fresh pages at each step takes longer than many sums."""
+        size, kind = math.prod(shape), self.p["in"].dtype
+        kept = self.rooms.get(name)
+        if kept is None or kept.size < size or kept.dtype != kind:
+            kept = self.rooms[name] = np.empty(size, kind)
+        return kept[:size].reshape(shape)
+
+    def inputs(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours' embeddings, and their sum by place."""
+        n = windows.shape[1]
+        of = np.take(self.p["in"], windows, axis=0, out=self.room("of", len(windows), n, SIZE), mode="clip")
+        x, more = np.multiply(of[0], self.p["place"][0], out=self.room("x", n, SIZE)), self.room("more", n, SIZE)
+        for e, place in zip(of[1:], self.p["place"][1:]):
+            x += np.multiply(e, place, out=more)
+        return of, x
+
+    def outputs(self, hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        z = np.matmul(hidden, weights, out=self.room("z", len(hidden), len(bias)))
+        z += bias
+        return z
+
+    def groups(self, classes: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+        """(rows, first, end) for each class of several words that sorted classes have: their places and the class's words."""
+        at = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(classes) else []
+        for k, a, b in zip(classes[at].tolist(), at, [*at[1:], len(classes)]):
             if self.starts[k + 1] - self.starts[k] > 1:
-                yield rows, int(self.starts[k]), int(self.starts[k + 1])
+                yield slice(int(a), int(b)), int(self.starts[k]), int(self.starts[k + 1])
 
-    def log_p(self, windows: np.ndarray, codes: np.ndarray, block: int = 4096) -> np.ndarray:
+    def small(self) -> bool:
+        """Whether no output can be beyond LARGEST: the hidden layer is within -1 and 1."""
+        p = self.p
+        words = _sums(np.abs(p["word"], out=self.room("words", *p["word"].shape))) + np.abs(p["word_bias"])
+        return max((np.abs(p["class"]).sum(0) + np.abs(p["class_bias"])).max(), words.max()) < LARGEST
+
+    def log_p(self, windows: np.ndarray, codes: np.ndarray, block: int = 1024) -> np.ndarray:
         """log P(word | its neighbours) of words by their codes."""
-        p, out = self.p, np.empty(len(codes))
-        hidden = np.empty((len(codes), SIZE), p["in"].dtype)
+        p, small = self.p, self.small()
+        order = np.argsort(self.of[codes], kind="stable")
+        windows, codes = windows[:, order], codes[order]
+        classes, sums, hidden = self.of[codes], np.empty(len(codes)), np.empty((len(codes), SIZE), p["in"].dtype)
         for at in range(0, len(codes), block):
-            h = np.tanh(self.inputs(windows[:, at : at + block]) @ p["hidden"] + p["bias"])
-            hidden[at : at + block] = h
-            out[at : at + block] = _log_softmax_at(h @ p["class"] + p["class_bias"], self.of[codes[at : at + block]])
-        for rows, first, end in self.groups(codes):
-            for at in range(0, len(rows), block):
-                part = rows[at : at + block]
-                out[part] += _log_softmax_at(hidden[part] @ p["word"][first:end].T + p["word_bias"][first:end], codes[part] - first)
+            h = hidden[at : at + block]
+            np.matmul(self.inputs(windows[:, at : at + block])[1], p["hidden"], out=h)
+            h += p["bias"]
+            np.tanh(h, out=h)
+            sums[at : at + block] = _log_softmax_at(self.outputs(h, p["class"], p["class_bias"]), classes[at : at + block], small)
+        for rows, first, end in self.groups(classes):
+            for at in range(rows.start, rows.stop, block):
+                part = slice(at, min(at + block, rows.stop))
+                sums[part] += _log_softmax_at(self.outputs(hidden[part], p["word"][first:end].T, p["word_bias"][first:end]), codes[part] - first, small)
+        out = np.empty(len(codes))
+        out[order] = sums
         return out
 
-    def slopes(self, windows: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
-        """Slopes of the mean cross entropy by each parameter."""
-        p, n = self.p, len(codes)
-        x = self.inputs(windows)
-        h = np.tanh(x @ p["hidden"] + p["bias"])
-        d = _slope_at(h @ p["class"] + p["class_bias"], self.of[codes], n)
-        slope = {"class": h.T @ d, "class_bias": d.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-        dh = d @ p["class"].T
-        for own, first, end in self.groups(codes):
-            of_own, words = h[own], p["word"][first:end]
-            d = _slope_at(of_own @ words.T + p["word_bias"][first:end], codes[own] - first, n)
-            slope["word"][first:end] = d.T @ of_own
-            slope["word_bias"][first:end] = d.sum(0)
-            dh[own] += d @ words
-        dh *= 1 - h * h
+    def slopes(self, windows: np.ndarray, codes: np.ndarray, block: int = 1024) -> dict[str, np.ndarray]:
+        """Slopes of the mean cross entropy by each parameter, which hold until the next call. Words are taken class by class, so those of a class are next to each other."""
+        p, n, small = self.p, len(codes), self.small()
+        order = np.argsort(self.of[codes], kind="stable")
+        windows, codes = windows[:, order], codes[order]
+        classes = self.of[codes]
+        of, x = self.inputs(windows)
+        h, dh, more = self.room("h", n, SIZE), self.room("dh", n, SIZE), self.room("more", n, SIZE)
+        np.matmul(x, p["hidden"], out=h)
+        h += p["bias"]
+        np.tanh(h, out=h)
+        slope = {k: self.room("slope " + k, *p[k].shape) for k in ("class", "class_bias", "word", "word_bias", "in")}
+        for empty in slope.values():
+            empty.fill(0)
+        for at in range(0, n, block):
+            own = h[at : at + block]
+            d = _slope_at(self.outputs(own, p["class"], p["class_bias"]), classes[at : at + block], n, small)
+            slope["class"] += own.T @ d
+            slope["class_bias"] += d.sum(0)
+            np.matmul(d, p["class"].T, out=dh[at : at + block])
+        for rows, first, end in self.groups(classes):
+            own, words = h[rows], p["word"][first:end]
+            d = _slope_at(self.outputs(own, words.T, p["word_bias"][first:end]), codes[rows] - first, n, small)
+            np.matmul(d.T, own, out=slope["word"][first:end])
+            d.sum(0, out=slope["word_bias"][first:end])
+            dh[rows] += d @ words
+        dh *= np.subtract(1, np.multiply(h, h, out=more), out=more)
         slope["hidden"], slope["bias"] = x.T @ dh, dh.sum(0)
-        dx = dh @ p["hidden"].T
-        slope["place"] = np.stack([np.einsum("ij,ij->j", p["in"][w], dx) for w in windows])
+        dx = np.matmul(dh, p["hidden"].T, out=x)
+        slope["place"] = np.stack([np.einsum("ij,ij->j", e, dx) for e in of])
         flat = windows.reshape(-1)
         order = np.argsort(flat.astype(np.uint16) if self.edge < 65_536 else flat, kind="stable")
-        found = flat[order]
-        at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        slope["in"] = np.zeros_like(p["in"])
-        slope["in"][found[at]] = np.add.reduceat((dx[None] * p["place"][:, None]).reshape(-1, SIZE)[order], at, axis=0)
+        # rare words and edges come last and are a good part of all: two sums instead of sorted rows
+        order = order[: len(flat) - np.count_nonzero(flat >= self.rare)]
+        for code in (self.rare, self.edge):
+            slope["in"][code] = np.einsum("ij,ij->j", (windows == code).astype(dx.dtype) @ dx, p["place"])
+        if len(order):
+            found = flat[order]
+            at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            by_place = np.multiply(dx, p["place"][:, None], out=of).reshape(-1, SIZE)
+            by_word = np.take(by_place, order, axis=0, out=self.room("by word", len(order), SIZE), mode="clip")
+            slope["in"][found[at]] = np.add.reduceat(by_word, at, axis=0, out=self.room("summed", len(at), SIZE))
         return slope
 
     def spell(self, words: Words) -> np.ndarray:
@@ -224,35 +271,53 @@ class Network:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     """The log-softmax of each row of z at one place; z is overwritten."""
-    z -= z.max(1, keepdims=True)
+    if not small:
+        z -= z.max(1, keepdims=True)
     found = z[np.arange(len(z)), at]
-    return found - np.log(np.exp(z, out=z).sum(1))
+    return found - np.log(_sums(np.exp(z, out=z)))
 
 
-def _slope_at(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _slope_at(z: np.ndarray, at: np.ndarray, n: int, small: bool) -> np.ndarray:
     """Slope by z of -1 / n of the sum of the log-softmax of each row at one place; z is overwritten."""
-    z -= z.max(1, keepdims=True)
+    if not small:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= (1 / (n * z.sum(1, keepdims=True, dtype=z.dtype))).astype(z.dtype)
+    sums = _sums(z)
+    sums *= n
+    z *= np.divide(1, sums, out=sums)[:, None]
     z[np.arange(len(z)), at] -= z.dtype.type(1 / n)
     return z
 
 
+def _sums(z: np.ndarray) -> np.ndarray:
+    """The sum of each row."""
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 class Adam:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.n = p, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.m, self.v, self.a, self.b = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(4))
 
     def step(self, slopes: dict[str, np.ndarray]) -> None:
         self.n += 1
         rate = np.float32(RATE * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n))
         for k, g in slopes.items():
-            m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+            m, v, a, b = self.m[k], self.v[k], self.a[k], self.b[k]
+            np.subtract(g, m, out=a)
+            a *= np.float32(0.1)
+            m += a
+            np.multiply(g, g, out=a)
+            a -= v
+            a *= np.float32(0.001)
+            v += a
+            np.sqrt(v, out=a)
+            a += np.float32(1e-8)
+            np.multiply(m, rate, out=b)
+            b /= a
+            self.p[k] -= b
 
 
 COPIES = "trainer long, block long, words long, part binary"

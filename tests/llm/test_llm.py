@@ -740,6 +740,34 @@ def test_words_of_a_chunk():
         assert all(by_type.setdefault(t, w) == w for t, w in zip(words.types.tolist(), got)) and len(by_type) == len(set(got))
 
 
+def test_network_steps_use_their_memory_again():
+    """A step once asked for fresh arrays for nearly every sum. What it writes to is kept, and results stay those of plain formulas, with large outputs too."""
+    random = np.random.default_rng(3)
+    network = lm_score.Network(np.arange(300), np.arange(600, 300, -1), 50)
+    codes, windows = random.integers(0, 301, 4000), random.integers(0, 302, (4, 4000))
+    adam, rooms = lm_score.Adam(network.p), None
+    for n in (4000, 4000, 2500):
+        adam.step(network.slopes(windows[:, :n], codes[:n]))
+        now = {k: v.ctypes.data for k, v in network.rooms.items()}
+        assert rooms is None or {k: now[k] for k in rooms if k not in ("z", "summed")} == {k: v for k, v in rooms.items() if k not in ("z", "summed")}
+        rooms = now
+    for by in (1, 400):
+        network.p["word"] *= np.float32(by)
+        network.p["class"] *= np.float32(by)
+        assert network.small() == (by == 1)
+        p = {k: v.astype(np.float64) for k, v in network.p.items()}
+        h = np.tanh(sum(p["in"][w] * place for w, place in zip(windows, p["place"])) @ p["hidden"] + p["bias"])
+        want = []
+        for row, code in zip(h, codes):
+            k = network.of[code]
+            first, end = network.starts[k], network.starts[k + 1]
+            of_class, of_word = row @ p["class"] + p["class_bias"], p["word"][first:end] @ row + p["word_bias"][first:end]
+            want.append(of_class[k] - np.logaddexp.reduce(of_class) + of_word[code - first] - np.logaddexp.reduce(of_word))
+        assert network.log_p(windows, codes) == pytest.approx(np.array(want), rel=1e-4, abs=1e-4 * by)
+    alone = network.slopes(np.full((4, 3), network.edge), np.full(3, network.rare))  # no known word near
+    assert not alone["in"][: network.rare + 1].any() and all(np.isfinite(x).all() for x in alone.values())
+
+
 def test_network_slopes():
     """Slopes against differences of the mean cross entropy."""
     network = lm_score.Network(np.arange(50), np.arange(60, 10, -1), 9)
