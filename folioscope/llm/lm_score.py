@@ -3,7 +3,8 @@
 Each word of a text is predicted from the WINDOW words on both sides of it, and the log-probabilities are summed.
 
 The network's inputs are embeddings of the neighbours, weighted by their place, and a hidden layer; its output is the word itself, by a
-softmax in two steps: the class of the word, then the word among those of its class, both from the hidden layer. It knows the commonest words of the
+softmax in two steps: the class of the word, then the word among those of its class, both from the hidden layer. Classes are cut so that a word takes
+the fewest outputs, which changes no word's being predicted among all. It knows the commonest words of the
 corpus, more of them the larger the vocabulary is. Any other word is predicted as a rare word by the network, then spelled by
 a model of byte pairs of the corpus's rare words, so every word has a probability. Each task trains a copy in numpy on its documents
 (Adam, cross entropy): one word in MASKED is masked and predicted, from a place that changes from chunk to chunk, the others are what it is
@@ -51,6 +52,10 @@ WORD_BITS, SPARE_BITS = 12, 20
 ROUNDED = 16
 #: Outputs within this bound have exponentials whose sums fit, so that a softmax needs no maximum.
 LARGEST = 60.0
+#: Parameters that a step of training changes at once.
+PIECE = 16_384
+#: Rows that are multiplied at once by what is the same for each; a word that occurs more often in a step is summed up by itself.
+WIDE, FEW = 64, 16
 
 
 def chunks(batches, text: int) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
@@ -119,14 +124,16 @@ class Network:
         # head words by the first bits of their types; those that share them are looked up by the rest
         self.bits = max(1, (4 * len(head)).bit_length())
         slot = (head.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.order = np.argsort(head.view(np.uint64))
-        self.types = np.append(head[self.order], 0)
-        self.slots = np.searchsorted(slot[self.order], np.arange(2**self.bits))
-        self.deepest = int(np.bincount(slot).max()) if len(head) else 0
+        order = np.argsort(head.view(np.uint64))
+        self.order, self.types = np.append(order, self.rare).astype(np.int32), np.append(head[order], 0)
+        self.slots = np.searchsorted(slot[order], np.arange(2**self.bits))
+        self.sizes = np.bincount(slot, minlength=2**self.bits).astype(np.uint16)
+        self.deepest = int(self.sizes.max())
         n = np.append(counts, rare) + 1.0
-        # the commonest words make classes of their own, later ones share classes of like mass; the rare word is a class
-        mass = np.cumsum(n[:-1]) - n[:-1]
-        step = np.floor(mass / max(1.0, n[:-1].sum()) * max(1, round(len(head) ** 0.5)))
+        # a class begins where the roots of the words' shares, summed up, pass a whole number: that makes classes and words of the own class, which are
+        # all the outputs that a word takes, fewest on average; the rare word is a class
+        roots = np.sqrt(n[:-1] / n.sum())
+        step = np.floor(np.cumsum(roots) - roots)
         first = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(head) else np.empty(0, np.int64)
         self.starts = np.append(first, [self.rare, self.rare + 1]).astype(np.int64)
         sizes = np.diff(self.starts)
@@ -145,13 +152,16 @@ class Network:
 
     def codes(self, types: np.ndarray) -> np.ndarray:
         """int32 codes of types."""
-        at = self.slots[(types.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)]
-        codes = np.full(len(types), self.rare, np.int32)
-        for by in range(self.deepest):
-            to = np.minimum(at + by, self.rare)
-            found = np.flatnonzero(self.types[to] == types)
-            found = found[to[found] < self.rare]
-            codes[found] = self.order[to[found]]
+        slot = (types.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        to = self.slots[slot]
+        codes = np.where(self.types[to] == types, self.order[to], np.int32(self.rare))
+        left = np.flatnonzero((codes == self.rare) & (self.sizes[slot] > 1))
+        for by in range(1, self.deepest):
+            to = self.slots[slot[left]] + by
+            found = self.types[to] == types[left]
+            codes[left[found]] = self.order[to[found]]
+            left = left[~found]
+            left = left[self.sizes[slot[left]] > by + 1]
         return codes
 
     def room(self, name: str, *shape: int) -> np.ndarray:
@@ -166,15 +176,28 @@ class Network:
         """The neighbours' embeddings, and their sum by place."""
         n = windows.shape[1]
         of = np.take(self.p["in"], windows, axis=0, out=self.room("of", len(windows), n, SIZE), mode="clip")
-        x, more = np.multiply(of[0], self.p["place"][0], out=self.room("x", n, SIZE)), self.room("more", n, SIZE)
+        x, more = _times(of[0], self.p["place"][0], self.room("x", n, SIZE)), self.room("more", n, SIZE)
         for e, place in zip(of[1:], self.p["place"][1:]):
-            x += np.multiply(e, place, out=more)
+            x += _times(e, place, more)
         return of, x
 
-    def outputs(self, hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z = np.matmul(hidden, weights, out=self.room("z", len(hidden), len(bias)))
-        z += bias
-        return z
+    def hidden(self, x: np.ndarray, out: np.ndarray) -> None:
+        """The hidden layer to out, a column each; its last row is 1: what stands for the bias of the outputs."""
+        h = np.matmul(self.p["hidden"].T, x.T, out=out[:SIZE])
+        h += self.p["bias"][:, None]
+        np.tanh(h, out=h)
+        out[SIZE] = 1
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and, a row each, of the words, with their biases."""
+        p = self.p
+        classes, words = self.room("classes", SIZE + 1, p["class"].shape[1]), self.room("weights", len(p["word"]), SIZE + 1)
+        classes[:SIZE], classes[SIZE] = p["class"], p["class_bias"]
+        words[:, :SIZE], words[:, SIZE] = p["word"], p["word_bias"]
+        return classes, words
+
+    def outputs(self, hidden: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.matmul(hidden.T, weights, out=self.room("z", hidden.shape[1], weights.shape[1]))
 
     def groups(self, classes: np.ndarray) -> Iterator[tuple[slice, int, int]]:
         """(rows, first, end) for each class of several words that sorted classes have: their places and the class's words."""
@@ -194,17 +217,24 @@ class Network:
         p, small = self.p, self.small()
         order = np.argsort(self.of[codes], kind="stable")
         windows, codes = windows[:, order], codes[order]
-        classes, sums, hidden = self.of[codes], np.empty(len(codes)), np.empty((len(codes), SIZE), p["in"].dtype)
+        classes, sums, hidden = self.of[codes], np.empty(len(codes)), np.empty((len(codes), SIZE + 1), p["in"].dtype)
+        of_classes, of_words = self.weights()
+        # what each word at each place adds to the hidden layer, once for all that have it
+        added = [(p["in"] * place) @ p["hidden"] for place in p["place"]]
+        added[0] += p["bias"]
         for at in range(0, len(codes), block):
-            h = hidden[at : at + block]
-            np.matmul(self.inputs(windows[:, at : at + block])[1], p["hidden"], out=h)
-            h += p["bias"]
-            np.tanh(h, out=h)
-            sums[at : at + block] = _log_softmax_at(self.outputs(h, p["class"], p["class_bias"]), classes[at : at + block], small)
+            own = windows[:, at : at + block]
+            h, more = self.room("x", own.shape[1], SIZE), self.room("more", own.shape[1], SIZE)
+            np.take(added[0], own[0], axis=0, out=h, mode="clip")
+            for by_word, w in zip(added[1:], own[1:]):
+                h += np.take(by_word, w, axis=0, out=more, mode="clip")
+            hidden[at : at + block, :SIZE] = np.tanh(h, out=h)
+            hidden[at : at + block, SIZE] = 1
+            sums[at : at + block] = _log_softmax_at(self.outputs(hidden[at : at + block].T, of_classes), classes[at : at + block], small)
         for rows, first, end in self.groups(classes):
             for at in range(rows.start, rows.stop, block):
                 part = slice(at, min(at + block, rows.stop))
-                sums[part] += _log_softmax_at(self.outputs(hidden[part], p["word"][first:end].T, p["word_bias"][first:end]), codes[part] - first, small)
+                sums[part] += _log_softmax_at(self.outputs(hidden[part].T, of_words[first:end].T), codes[part] - first, small)
         out = np.empty(len(codes))
         out[order] = sums
         return out
@@ -216,29 +246,34 @@ class Network:
         windows, codes = windows[:, order], codes[order]
         classes = self.of[codes]
         of, x = self.inputs(windows)
-        h, dh, more = self.room("h", n, SIZE), self.room("dh", n, SIZE), self.room("more", n, SIZE)
-        np.matmul(x, p["hidden"], out=h)
-        h += p["bias"]
-        np.tanh(h, out=h)
+        own, dh, more, by = self.room("own", SIZE + 1, n), self.room("dh", SIZE, n), self.room("scaled", SIZE, n), self.room("by", n)
+        self.hidden(x, own)
+        h, (of_classes, of_words) = own[:SIZE], self.weights()
         slope = {k: self.room("slope " + k, *p[k].shape) for k in ("class", "class_bias", "word", "word_bias", "in")}
         for empty in slope.values():
             empty.fill(0)
         for at in range(0, n, block):
-            own = h[at : at + block]
-            d = _slope_at(self.outputs(own, p["class"], p["class_bias"]), classes[at : at + block], n, small)
-            slope["class"] += own.T @ d
-            slope["class_bias"] += d.sum(0)
-            np.matmul(d, p["class"].T, out=dh[at : at + block])
+            rows = slice(at, min(at + block, n))
+            d = _slope_at(self.outputs(own[:, rows], of_classes), classes[rows], n, small, by[rows])
+            slope["class"] += np.multiply(h[:, rows], by[rows], out=more[:, rows]) @ d
+            slope["class_bias"] += by[rows] @ d
+            np.matmul(p["class"], d.T, out=dh[:, rows])
+        dh *= by
+        by.fill(0)
+        by_words = self.room("by words", SIZE, n)
+        by_words.fill(0)
         for rows, first, end in self.groups(classes):
-            own, words = h[rows], p["word"][first:end]
-            d = _slope_at(self.outputs(own, words.T, p["word_bias"][first:end]), codes[rows] - first, n, small)
-            np.matmul(d.T, own, out=slope["word"][first:end])
-            d.sum(0, out=slope["word_bias"][first:end])
-            dh[rows] += d @ words
+            d = _slope_at(self.outputs(own[:, rows], of_words[first:end].T), codes[rows] - first, n, small, by[rows])
+            np.matmul(d.T, np.multiply(h[:, rows], by[rows], out=more[:, rows]).T, out=slope["word"][first:end])
+            np.matmul(by[rows], d, out=slope["word_bias"][first:end])
+            np.matmul(p["word"][first:end].T, d.T, out=by_words[:, rows])
+        by_words *= by
+        dh += by_words
         dh *= np.subtract(1, np.multiply(h, h, out=more), out=more)
-        slope["hidden"], slope["bias"] = x.T @ dh, dh.sum(0)
-        dx = np.matmul(dh, p["hidden"].T, out=x)
-        slope["place"] = np.stack([np.einsum("ij,ij->j", e, dx) for e in of])
+        slope["hidden"], slope["bias"] = x.T @ dh.T, dh.sum(1)
+        dx = np.matmul(dh.T, p["hidden"].T, out=x)
+        ones, more = np.ones(n, dx.dtype), self.room("more", n, SIZE)
+        slope["place"] = np.stack([ones @ np.multiply(e, dx, out=more) for e in of])
         flat = windows.reshape(-1)
         order = np.argsort(flat.astype(np.uint16) if self.edge < 65_536 else flat, kind="stable")
         # rare words and edges come last and are a good part of all: two sums instead of sorted rows
@@ -248,11 +283,30 @@ class Network:
         if len(order):
             found = flat[order]
             at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-            by_place = np.multiply(dx, p["place"][:, None], out=of).reshape(-1, SIZE)
-            by_word = np.take(by_place, order, axis=0, out=self.room("by word", len(order), SIZE), mode="clip")
-            slope["in"][found[at]] = np.add.reduceat(by_word, at, axis=0, out=self.room("summed", len(at), SIZE))
+            for e, place in zip(of, p["place"]):
+                _times(dx, place, e)
+            self.sum_runs(of.reshape(-1, SIZE), order, at, found[at], slope["in"])
         return slope
 
+    def sum_runs(self, x: np.ndarray, order: np.ndarray, first: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
+        """Sums rows of x, taken in this order, from each first one to the next, to the rows of out at places to. Short runs, which are most, are summed side by side."""
+        sizes = np.diff(np.append(first, len(order)))
+        by_size = np.argsort(np.maximum(FEW + 1 - sizes, 0).astype(np.uint16), kind="stable")
+        many = int(np.count_nonzero(sizes > FEW))
+        long, short = np.sort(by_size[:many]), by_size[many:]
+        total, more = self.room("summed", len(short), SIZE), self.room("summand", len(short), SIZE)
+        at, n = first[short], len(short)
+        np.take(x, order[at], axis=0, out=total, mode="clip")
+        longer = np.bincount(sizes[short], minlength=FEW + 1)
+        for by in range(1, FEW):
+            n -= int(longer[by])
+            total[:n] += np.take(x, order[at[:n] + by], axis=0, out=more[:n], mode="clip")
+        out[to[short]] = total
+        if many:
+            of_long = order[np.repeat(sizes > FEW, sizes)]
+            rows = np.take(x, of_long, axis=0, out=self.room("by word", len(of_long), SIZE), mode="clip")
+            out[to[long]] = np.add.reduceat(rows, np.cumsum(sizes[long]) - sizes[long], axis=0)
+
     def spell(self, words: Words) -> np.ndarray:
         """log P(spelling) of all words, were they rare."""
         inside, last = words.pairs()
@@ -279,18 +333,29 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     return found - np.log(_sums(np.exp(z, out=z)))
 
 
-def _slope_at(z: np.ndarray, at: np.ndarray, n: int, small: bool) -> np.ndarray:
-    """Slope by z of -1 / n of the sum of the log-softmax of each row at one place; z is overwritten."""
+def _slope_at(z: np.ndarray, at: np.ndarray, n: int, small: bool, by: np.ndarray) -> np.ndarray:
+    """d, which overwrites z, and by: the slope by z of -1 / n of the sum of the log-softmax of each row at one place is by times d, row by row.
+
+    Rows are left unscaled, as what they are multiplied with is narrower than they are."""
     if not small:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     sums = _sums(z)
+    flat = z.reshape(-1)
+    flat[at + np.arange(0, z.size, z.shape[1])] -= sums
     sums *= n
-    z *= np.divide(1, sums, out=sums)[:, None]
-    z[np.arange(len(z)), at] -= z.dtype.type(1 / n)
+    np.divide(1, sums, out=by)
     return z
 
 
+def _times(x: np.ndarray, by: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """x * by, written to out: WIDE rows at once, as rows are short."""
+    n = len(x) // WIDE * WIDE
+    np.multiply(x[:n].reshape(-1, WIDE * len(by)), np.tile(by, WIDE), out=out[:n].reshape(-1, WIDE * len(by)))
+    np.multiply(x[n:], by, out=out[n:])
+    return out
+
+
 def _sums(z: np.ndarray) -> np.ndarray:
     """The sum of each row."""
     return z @ np.ones(z.shape[1], z.dtype)
@@ -299,25 +364,28 @@ def _sums(z: np.ndarray) -> np.ndarray:
 class Adam:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.n = p, 0
-        self.m, self.v, self.a, self.b = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(4))
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
     def step(self, slopes: dict[str, np.ndarray]) -> None:
         self.n += 1
         rate = np.float32(RATE * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n))
-        for k, g in slopes.items():
-            m, v, a, b = self.m[k], self.v[k], self.a[k], self.b[k]
-            np.subtract(g, m, out=a)
-            a *= np.float32(0.1)
-            m += a
-            np.multiply(g, g, out=a)
-            a -= v
-            a *= np.float32(0.001)
-            v += a
-            np.sqrt(v, out=a)
-            a += np.float32(1e-8)
-            np.multiply(m, rate, out=b)
-            b /= a
-            self.p[k] -= b
+        for k, slope in slopes.items():
+            # by pieces, which stay in the processor's cache from sum to sum
+            whole = [x.reshape(-1) for x in (slope, self.m[k], self.v[k], self.p[k])]
+            for at in range(0, slope.size, PIECE):
+                g, m, v, p = (x[at : at + PIECE] for x in whole)
+                a = np.subtract(g, m)
+                a *= np.float32(0.1)
+                m += a
+                np.multiply(g, g, out=a)
+                a -= v
+                a *= np.float32(0.001)
+                v += a
+                np.sqrt(v, out=a)
+                a += np.float32(1e-8)
+                np.divide(m, a, out=a)
+                a *= rate
+                p -= a
 
 
 COPIES = "trainer long, block long, words long, part binary"

@@ -6,10 +6,10 @@ import numpy as np
 
 #: Odd numbers that spread bits.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: White space that parts words; a byte's lower case, A-Z alone; a random number for each byte.
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: A random number for each byte.
 _DRAWN = np.random.default_rng(9).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+#: What undoes a multiplication by ODD[2] modulo 2^64.
+_UNDOES = np.uint64(pow(int(ODD[2]), -1, 2**64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,17 +24,25 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"\n".join(texts), np.uint8)
-        space = _SPACE[data]
-        word = np.flatnonzero(~space)
-        starts = np.flatnonzero(~space & np.append(True, space[:-1])) if len(data) else np.empty(0, np.int64)
-        self.bytes = _LOWER[data[word]]
-        self.first = np.searchsorted(word, starts)
-        self.sizes = np.diff(np.append(self.first, len(word)))
+        inside = np.zeros(len(data) + 2, bool)  # neither ASCII white space nor beyond the ends
+        np.logical_and(data - np.uint8(9) > 4, data != 32, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts = edges[::2].copy()
+        self.sizes = edges[1::2] - starts
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.bytes = (data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)))[inside[1:-1]]
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.lengths = np.diff(np.append(0, np.searchsorted(starts, ends)))
-        place = np.arange(len(word)) - np.repeat(self.first, self.sizes)
-        powers = np.cumprod(np.append(np.uint64(1), np.full(int(self.sizes.max(initial=0)), ODD[2])))
-        sums = np.add.reduceat(_DRAWN[self.bytes] * powers[place], self.first) if len(starts) else np.empty(0, np.uint64)
+        if len(starts):
+            # a word's polynomial of ODD[2]: its bytes take the powers in a row, from the chunk's first byte on, and its sum is divided by the power that it began with
+            powers = np.full(len(self.bytes), ODD[2])
+            powers[0] = 1
+            powers = np.cumprod(powers, out=powers)
+            powers *= _DRAWN[self.bytes]
+            begins = np.cumprod(np.append(np.uint64(1), np.full(int(self.sizes.max()), _UNDOES)))[np.append(0, self.sizes[:-1])]
+            sums = np.add.reduceat(powers, self.first) * np.cumprod(begins)
+        else:
+            sums = np.empty(0, np.uint64)
         self.types = mixed(sums + self.sizes.astype(np.uint64)).view(np.int64)
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

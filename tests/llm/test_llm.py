@@ -787,6 +787,50 @@ def test_network_slopes():
         assert slopes[name][at] == pytest.approx((above - below) / 2e-5, rel=1e-3, abs=1e-6), name
 
 
+def test_network_takes_few_outputs_a_word():
+    """Classes of like mass made a word take a good third more outputs than it has to: 2 sums of roots of shares is the least that classes can do."""
+    for power in (0.8, 1.0, 1.3):
+        counts = np.round(1e7 / np.arange(1, 8_193) ** power).astype(np.int64)
+        network = lm_score.Network(np.arange(8_192), counts, int(counts.sum() // 2))
+        share = np.append(counts, counts.sum() // 2) / (counts.sum() + counts.sum() // 2)
+        sizes = np.diff(network.starts)
+        assert sizes.sum() == 8_193 and sizes[-1] == 1 and (sizes > 0).all()
+        outputs = len(sizes) + (share * np.where(sizes > 1, sizes, 0)[network.of]).sum()
+        assert outputs < 1.1 * 2 * np.sqrt(share[:-1]).sum()
+
+
+@pytest.mark.parametrize("few", [1, 3, 16, 100])
+def test_runs_are_summed(monkeypatch, few):
+    monkeypatch.setattr(lm_score, "FEW", few)
+    network, g = lm_score.Network(np.arange(50), np.arange(60, 10, -1), 9), np.random.default_rng(few)
+    for n, kinds in ((1, 1), (40, 40), (3000, 50), (3000, 3)):
+        x, of = g.normal(size=(n, lm_score.SIZE)).astype(np.float32), np.sort((g.random(n) ** 3 * kinds).astype(np.int64))
+        order = g.permutation(n)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out, want = np.zeros((kinds, lm_score.SIZE), np.float32), np.zeros((kinds, lm_score.SIZE))
+        network.sum_runs(x, order, first, of[first], out)
+        np.add.at(want, of, x[order])
+        assert np.allclose(out, want, atol=1e-3)
+
+
+def test_codes_of_types_that_share_their_first_bits():
+    head = np.array([5, 1 << 62, (1 << 62) + 1, (1 << 62) + 2, -1, -2, 0, 77], np.int64)
+    network = lm_score.Network(head, np.arange(80, 0, -10), 3)
+    asked = np.append(head, [6, (1 << 62) + 3, -3, 1 << 61])
+    assert network.codes(asked).tolist() == [*range(8), 8, 8, 8, 8] and network.codes(asked).dtype == np.int32
+    assert lm_score.Network(head[:0], head[:0], 3).codes(asked).tolist() == [0] * 12
+
+
+def test_types_are_polynomials_of_bytes():
+    """A word's hash is the same wherever in a chunk it is."""
+    r = random.Random(21)
+    found = words.Words([bytes(r.choices(range(256), k=r.randint(0, 60))) for _ in range(300)] + [b"y" * 5000, b"Y" * 5000])
+    for i, (a, n) in enumerate(zip(found.first.tolist(), found.sizes.tolist())):
+        total = sum(int(words._DRAWN[b]) * pow(int(words.ODD[2]), k, 2**64) for k, b in enumerate(found.bytes[a : a + n].tolist())) + n
+        assert words.mixed(np.array([total % 2**64], np.uint64)).view(np.int64)[0] == found.types[i]
+    assert found.types[-1] == found.types[-2]
+
+
 # ---- the queries themselves, on a folder of odd rows
 
 
