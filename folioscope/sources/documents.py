@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from itertools import islice
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry
 from folioscope.functions.names import YES
 from folioscope.operators.quality import reusable_pages
+from folioscope.sources.sinks import file_system, written
 
 #: Where results are looked for, and where if there are none.
 RESULTS, FALLBACK = "data/extracted/*_output_*.json", "ocr_models/*/*_output.json"
+#: Files that the driver lists at most, some KB each; more are listed and opened by tasks of about so many bytes or files.
+DRIVER_FILES, TASK_BYTES, TASK_FILES = 1_000, 16 << 20, 10_000
 #: Keys of a page that are no metadata.
 PAGE_KEYS = (
     "page", "image_file", "status", "text", "text_for_cer_wer", "char_count", "word_count", "processing_seconds",
@@ -37,26 +49,92 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = spark.read.text(paths, wholetext=True)
-    name = F.col("_metadata.file_name")
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.regexp_extract(name, r"\A(.*?)_output(?:_.*)?\.json\z", 1).alias("engine"),
-        F.regexp_extract(name, r"_output_(.*)\.json\z", 1).alias("document"),
-        F.col("_metadata.file_size").alias("bytes"),
-        F.col("value").alias("json"),
-    )
+    meta = F.col("_metadata")
+    return files.select(meta["file_path"].alias("path"), *_named(meta["file_name"]), meta["file_size"].alias("bytes"), F.col("value").alias("json"))
+
+
+def _named(file: Column) -> list[Column]:
+    return [F.regexp_extract(file, r"\A(.*?)_output(?:_.*)?\.json\z", 1).alias("engine"), F.regexp_extract(file, r"_output_(.*)\.json\z", 1).alias("document")]
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """read_files of the results under root, or of the fallback pattern only if there are none."""
+    """read_files of the results under root, or of the fallback pattern only if there are none.
+
+    Up to DRIVER_FILES are listed by the driver. More are listed by a task into a table, from which tasks open them, so that the driver holds none;
+    this needs a root without wildcards in a store that pyarrow opens, the driver lists any other. A filter opens only its files either way.
+    """
     for pattern in (RESULTS, FALLBACK):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}")
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = _listing(spark, fs.makeQualified(path).toString().removesuffix(f"/{pattern}"), pattern)
+        if listed is not None and listed.limit(DRIVER_FILES + 1).count() > DRIVER_FILES:
+            return _opened(written(listed, "listed"))
+        found = fs.globStatus(path)
         if found:
             return _files(spark, sorted(s.getPath().toString() for s in found))
     return spark.createDataFrame([], "path string, engine string, document string, bytes long, json string")
 
 
+def _as_uri(path: str) -> str:
+    """A path as Spark's file metadata write it: what is not ASCII stays, but for spaces and controls."""
+    return re.sub(r"[^A-Za-z0-9_.!~'()*,;:$&+=@/-]", lambda c: quote(c[0]) if c[0] < "\x80" or unicodedata.category(c[0]) in ("Cc", "Zs", "Zl", "Zp") else c[0], path)
+
+
+def _entries(fs: pafs.FileSystem, at: str, fits) -> Iterator[tuple[str, bool, int]]:
+    """(name, whether a folder, bytes) of the entries of a folder whose names fit; none if there is no such folder. A local folder is read entry by entry."""
+    if fs.type_name != "local":
+        yield from ((i.base_name, i.type == pafs.FileType.Directory, i.size or 0) for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if fits(i.base_name))
+    elif os.path.isdir(at):
+        with os.scandir(at) as entries:
+            yield from ((e.name, e.is_dir(), e.stat().st_size) for e in entries if fits(e.name))
+
+
+def _matching(fs: pafs.FileSystem, at: str, parts: list[str]) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the files that the parts of a pattern fit, and of all in folders that they fit; hidden and empty ones are left out, as Spark's readers do."""
+    if parts and "*" not in parts[0]:
+        yield from _matching(fs, f"{at}/{parts[0]}", parts[1:])
+        return
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    for name, folder, size in _entries(fs, at, lambda n: fnmatchcase(n, parts[0] if parts else "*") and (bool(parts[1:]) or not hidden(n))):
+        if folder:
+            yield from _matching(fs, f"{at}/{name}", parts[1:])
+        elif size and not parts[1:]:
+            yield f"{at}/{name}", size
+
+
+def _listing(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
+    """path, bytes of the files under root that pattern fits, listed by one task; none if only Spark can list them."""
+    try:
+        at = file_system(root)[1].rstrip("/")
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    if re.search(r"[*?\[\]{}\\]", root):
+        return None
+    before = root.rstrip("/").removesuffix(at)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        list(batches)
+        found = _matching(file_system(root)[0], at, pattern.split("/"))
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_pylist([{"path": before + _as_uri(p), "bytes": n} for p, n in some])
+
+    return spark.range(1, numPartitions=1).mapInArrow(rows, "path string, bytes long")
+
+
+def _opened(listed: DataFrame) -> DataFrame:
+    """read_files of a written listing. Texts are exploded, so that Spark takes filters on the other columns below the UDF, but none on texts, which would open a file again."""
+
+    @F.udf("array<string>", useArrow=False)  # Arrow would hold the texts of ten thousand files
+    def content(path: str) -> list[str]:
+        fs, at = file_system(unquote(path))
+        with fs.open_input_stream(at) as file:
+            return [file.read().decode("utf-8", "replace")]
+
+    files, size = listed.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES, files // TASK_FILES)
+    return listed.repartition(tasks, "path").select("path", *_named(F.substring_index("path", "/", -1)), "bytes", F.explode(content("path")).alias("json"))
+
+
 def parent_folder(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/[^/]*\z", 1)
 

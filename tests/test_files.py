@@ -57,6 +57,35 @@ def test_names_without_a_document(spark, tmp_path):
     assert (found.engine, found.document, found.json) == ("eng", "", "[]")
 
 
+def test_the_driver_holds_no_list_of_many_files(spark, tmp_path):
+    folder = tmp_path / "data" / "extracted"
+    folder.mkdir(parents=True)
+    for i in range(1_100):
+        (folder / f"m{i % 100}_output_{i}.json").write_text('{"pages": []}')
+    found = documents.discover(spark, str(tmp_path))
+    assert len(found.inputFiles()) < 10 and found.agg(F.count_distinct("path"), F.sum("bytes")).first() == (1_100, 14_300)
+    one = found.where("engine = 'm7'")
+    (folder / "m8_output_8.json").unlink()  # another engine's
+    assert one.where("json = '{\"pages\": []}'").count() == 11
+    with pytest.raises(Exception, match="m8_output_8.json"):
+        found.where("engine = 'm8'").select("json").collect()
+
+
+def test_files_of_any_name_are_the_same_however_they_are_listed(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "ro ot%41ü" / "data" / "extracted"
+    (folder / "d_output_x.json").mkdir(parents=True)
+    for name in ("m_output_a", "m x_output_b c", "é_output_ü", "p%20_output_q%", "a+b_output_c#d", "_h_output_a", ".h_output_b", "_k=1_output_b", "nb\u00a0x_output_z", "\U0001d54f_output_;@,$", "d_output_x.json/part", "none"):
+        (folder / f"{name}.json").write_text(f'["{name}"]\r\n')
+    (folder / "empty_output_1.json").touch()
+    (folder / "bad_output_1.json").write_bytes(b'\xef\xbb\xbf["\xff"]')
+    by_driver = documents.discover(spark, str(tmp_path / "ro ot%41ü"))
+    monkeypatch.setattr(documents, "DRIVER_FILES", 2)
+    by_task = documents.discover(spark, str(tmp_path / "ro ot%41ü"))
+    assert by_task.schema.simpleString() == by_driver.schema.simpleString()
+    assert sorted(by_task.collect()) == sorted(by_driver.collect()) and by_task.count() == 10
+    assert "BatchEvalPython" in by_task._jdf.queryExecution().toString() and "BatchEvalPython" not in by_driver._jdf.queryExecution().toString()
+
+
 def made(spark, n, text="tëxt"):
     rows = [(d, "m", p, f"{text} {d} {p}") for d in range(n) for p in (1, 2)]
     pages = standardize.standardize_pages(spark.createDataFrame(rows, "doc int, model string, ord int, text string").withColumn("page", F.col("ord").cast("string")))
